@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import ascii_lower, duplicate_groups
 from .packing import pack_documents
+from .quality_rules import LEAST_ROWS, MARGINS, REACH, judged
 from .token_binary import token_shards
 from .tokens import public_tokenizer
 
@@ -15,6 +17,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_groups(_table(spark, sf_dir, "documents"), ascii_lower, keep="max")
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(_table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
 
@@ -23,12 +36,54 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return judged(docs).drop("text", "lang", "source")
+
+
+#: The sketches are exact below about half of ACCURACY rows in a group, where this takes the ordered values themselves.
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+tri AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2])) AS g FROM w WHERE len(ws) > 2),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM dup, (VALUES (0), (1), (2)) AS o(k) GROUP BY r),
+b AS (SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON w.r = cov.r),
+m AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS v1, 1000 * n_dup_lines // greatest(n_lines, 1) AS v2, 100 * word_chars // greatest(n_words, 1) AS v3 FROM b),
+v AS (SELECT lang, source, unnest([1, 2, 3]) AS k, unnest([v1, v2, v3]) AS x FROM m WHERE n_words > 0),
+q AS (
+  SELECT 0 AS level, lang, source, k, max(n) AS n, min(x) FILTER (i >= ceil(0.25 * n)) AS lo, min(x) FILTER (i >= ceil(0.5 * n)) AS mid
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, k ORDER BY x) AS i, count(*) OVER (PARTITION BY lang, source, k) AS n FROM v) GROUP BY lang, source, k
+  UNION ALL
+  SELECT 1, lang, NULL, k, max(n), min(x) FILTER (i >= ceil(0.25 * n)), min(x) FILTER (i >= ceil(0.5 * n))
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang, k ORDER BY x) AS i, count(*) OVER (PARTITION BY lang, k) AS n FROM v) GROUP BY lang, k
+  UNION ALL
+  SELECT 2, NULL, NULL, k, max(n), min(x) FILTER (i >= ceil(0.25 * n)), min(x) FILTER (i >= ceil(0.5 * n))
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x) AS i, count(*) OVER (PARTITION BY k) AS n FROM v) GROUP BY k),
+f AS (
+  SELECT s.lang, s.source, s.k, CASE WHEN s.n >= {LEAST_ROWS} THEN s.mid WHEN l.n >= {LEAST_ROWS} THEN l.mid ELSE a.mid END AS mid,
+    {REACH} * CASE WHEN s.n >= {LEAST_ROWS} THEN s.mid - s.lo WHEN l.n >= {LEAST_ROWS} THEN l.mid - l.lo ELSE a.mid - a.lo END AS reach
+  FROM q s JOIN q l ON s.level = 0 AND l.level = 1 AND s.lang IS NOT DISTINCT FROM l.lang AND s.k = l.k JOIN q a ON a.level = 2 AND a.k = s.k),
+j AS (
+  SELECT r, bool_and(CASE k WHEN 1 THEN v1 <= mid + greatest(reach, {MARGINS["symbols"]}) WHEN 2 THEN v2 <= mid + greatest(reach, {MARGINS["dup_lines"]})
+    ELSE v3 <= mid + greatest(reach, {MARGINS["word_length"]}) AND v3 >= mid - greatest(reach, {MARGINS["word_length_low"]}) END) AS inside
+  FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(inside, false) AS kept
+FROM m LEFT JOIN j ON m.r = j.r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_exact_dedup": op4_exact_dedup,
         "op5_token_binary": op5_token_binary,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL}
