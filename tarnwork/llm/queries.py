@@ -7,16 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import ascii_lower, duplicate_groups
+from .ngram_jaccard import jaccard_components
 from .packing import pack_documents
 from .quality_rules import LEAST_ROWS, MARGINS, REACH, judged
 from .token_binary import token_shards
 from .tokens import public_tokenizer
+from .warc import through_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_archives(_table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages),
+h AS (SELECT *, list_transform(range(0, 8), lambda g: ('0x' || substr(sha1(t), 5 * g + 1, 5))::BIGINT) AS bits FROM p)
+SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(bits, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> k) & 31)::INTEGER + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM h
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"), ascii_lower, keep="max")
 
@@ -32,6 +48,10 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(_table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -78,12 +98,14 @@ FROM m LEFT JOIN j ON m.r = j.r
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_token_binary": op5_token_binary,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL}
