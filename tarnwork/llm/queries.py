@@ -10,6 +10,7 @@ from .exact_dedup import ascii_lower, duplicate_groups
 from .ngram_jaccard import jaccard_components
 from .packing import pack_documents
 from .quality_rules import LEAST_ROWS, MARGINS, REACH, judged
+from .substring_dedup import drop_repeats
 from .token_binary import token_shards
 from .tokens import public_tokenizer
 from .warc import through_archives
@@ -19,6 +20,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(_table(spark, sf_dir, "documents"), span=13)
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, unnest(range(1, len(ws) - 11)) AS i, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM d WHERE len(ws) >= 13),
+x AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS least FROM w) WHERE least < doc_id),
+c AS (SELECT DISTINCT r, i + k AS i FROM x, (SELECT unnest(range(0, 13)) AS k)),
+n AS (SELECT r, list(i) AS gone FROM c GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda w, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.r = n.r
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_archives(_table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -98,6 +115,7 @@ FROM m LEFT JOIN j ON m.r = j.r
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_token_binary": op5_token_binary,
@@ -108,4 +126,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL}
