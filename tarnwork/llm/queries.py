@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import ascii_lower, duplicate_groups
+from .lm_scoring import score_documents
 from .ngram_jaccard import jaccard_components
 from .packing import pack_documents
+from .pii import personal_spans
 from .quality_rules import LEAST_ROWS, MARGINS, REACH, judged
+from .sentencepiece_codec import round_trip
 from .substring_dedup import drop_repeats
 from .token_binary import token_shards
 from .tokens import public_tokenizer
@@ -20,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(_table(spark, sf_dir, "documents"), span=13)
 
@@ -113,8 +120,17 @@ FROM m LEFT JOIN j ON m.r = j.r
 """
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
@@ -122,6 +138,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_quality_rules": op8_quality_rules,
+        "op9_lm_scoring": op9_lm_scoring,
+        "op10_pii": op10_pii,
     }
 
 
