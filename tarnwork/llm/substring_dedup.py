@@ -168,11 +168,11 @@ def _cut(docs: DataFrame, span: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(s_row, np.arange(rows.num_rows + 1)).astype(np.int32)), parts)
             some = np.bincount(s_row, minlength=rows.num_rows) > 0
             whole = [None if s else hashlib.sha256(line[at[a] : at[b - 1] + lens[b - 1]].tobytes() if b > a else b"").hexdigest() for s, a, b in zip(some.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            text = rows.column("text")
-            text = pa.compute.if_else(pa.array(some), text, pa.scalar(None, text.type))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_key"), pa.array(np.diff(first)), pa.array(whole, pa.string()), text.cast(pa.string()), lists], ["doc_id", "_key", "n_words", "kept_sha256", "text", "segments"])
-
-    import pyarrow.compute  # noqa: F401  makes pa.compute there for the workers
+            sizes = np.where(some, np.diff(off), 0)
+            edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            valid = np.packbits(some, bitorder="little").tobytes()
+            text = pa.Array.from_buffers(pa.string(), len(some), [pa.py_buffer(valid), pa.py_buffer(edge.tobytes()), pa.py_buffer(buf[ragged(off[:-1], sizes)].tobytes())])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_key"), pa.array(np.diff(first)), pa.array(whole, pa.string()), text, lists], ["doc_id", "_key", "n_words", "kept_sha256", "text", "segments"])
 
     return docs.mapInArrow(scan, "doc_id long, _key long, n_words long, kept_sha256 string, text string, segments array<struct<start:int,anchor:long,h1:long,h2:long,words:binary>>")
 
