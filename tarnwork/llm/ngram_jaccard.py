@@ -21,6 +21,8 @@ from .graphs import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: nodes of a signature that are compared by pairs; nodes of a block, where there are more
+MOST_PAIRED, BLOCK = 16, 512
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,13 +110,51 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("_common") >= percent * (F.size("_a") + F.size("_b") - F.col("_common"))).select("a", "b")
 
 
+def _block_links(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all linked nodes of large signatures. many: node, _least (a node of the same signature).
+
+    Large signatures that share nodes make a family. Its nodes are dealt into blocks; each two blocks are compared in a task of their own,
+    which gives no more links than connect its nodes.
+    """
+    family = components(many.filter("node <> _least").select(F.col("_least").alias("a"), F.col("node").alias("b")).distinct())
+    blocks_ = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")
+    dealt = family.join(blocks_, "component").withColumn("_own", own).select("component", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("i"), F.greatest(j, F.col("_own")).alias("j")))).alias("_at"))
+    rows = dealt.select("component", F.col("_at.i").alias("i"), F.col("_at.j").alias("j"), "node").join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, column = table.column("node").to_numpy(), table.column("shingles").combine_chunks()
+        sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        _, ids = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(sizes)
+        root, links = list(range(len(nodes))), []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+        for x in range(len(nodes) - 1):
+            mark[ids[ends[x] - sizes[x] : ends[x]]] = 1
+            common = np.add.reduceat(mark[ids[ends[x] :]], ends[x:-1] - ends[x])
+            mark[ids[ends[x] - sizes[x] : ends[x]]] = 0
+            for y in np.flatnonzero(100 * common >= percent * (sizes[x] + sizes[x + 1 :] - common)) + x + 1:
+                if (p := top(x)) != (q := top(int(y))):
+                    root[q] = p
+                    links.append((int(nodes[x]), int(nodes[y])))
+        return pa.table({"a": pa.array([min(k) for k in links], pa.int64()), "b": pa.array([max(k) for k in links], pa.int64())})
+
+    return rows.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Words are lower-cased in A-Z and split at 0x20 and 0x09-0x0D. Texts with the same set are one node. Nodes that share a signature are
-    candidates, in two rounds: first each one against the node of its signature that most others share signatures with, then, in signatures
-    whose nodes are not all connected by then, each two nodes of different components. Every candidate is compared set against set, so no
-    link between components is lost, and a large group of near copies does not become all its pairs.
+    candidates, in two rounds: first each one against the smallest node of its signature, then, in signatures whose nodes are not all
+    connected by then, each two nodes of different components, by pairs or, where many nodes share a signature, in blocks. Every candidate is
+    compared set against set, so no link between components is lost, and a large group of near copies does not become all its pairs.
 
     Null or empty text, and text without words, has no shingles and links with nothing; so does an empty table. A null doc_id takes part
     under the least long and comes back as null. Repeated rows each get their row. Other columns are ignored.
@@ -126,12 +166,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = signs.groupBy("signature").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x <> _y").select("signature")
     members = checkpointed(signs.join(shared, "signature", "left_semi").groupBy("signature", "node").agg(F.lit(1).alias("_")).drop("_"))
 
-    size = members.groupBy("signature").agg(F.count("*").alias("_size"))
-    weight = members.join(size, "signature").groupBy("node").agg(F.sum("_size").alias("_weight"))
-    weighed = members.join(weight, "node")
-    hubs = weighed.groupBy("signature").agg(F.max("_weight").alias("_weight"))
-    hubs = weighed.join(hubs, ["signature", "_weight"]).groupBy("signature").agg(F.min("node").alias("hub"))
-    stars = checkpointed(members.join(hubs, "signature").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    hubs = members.groupBy("signature").agg(F.min("node").alias("hub"))
+    stars = checkpointed(members.join(hubs, "signature").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
     involved = members.select("node").distinct().join(nodes, "node").select(F.col("first").alias("doc_id"))
     sets = checkpointed(_scan(docs.join(involved, "doc_id", "left_semi"), n, percent, "sets").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
@@ -139,11 +175,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     labels = components(links)
 
     placed = members.join(labels, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("signature").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_size")).filter("_x <> _y and _size > 2").select("signature")
-    left = checkpointed(placed.join(open_, "signature", "left_semi"))
-    other = left.select("signature", F.col("node").alias("b"), F.col("component").alias("_other"))
-    pairs = left.withColumnRenamed("node", "a").join(other, "signature").filter("component < _other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = checkpointed(_links(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent))
+    open_ = placed.groupBy("signature").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("_size"), F.min("node").alias("_least")).filter("_x <> _y and _size > 2")
+    left = checkpointed(placed.join(open_.select("signature", "_size", "_least"), "signature"))
+    few = left.filter(F.col("_size") <= MOST_PAIRED)
+    other = few.select("signature", F.col("node").alias("b"), F.col("component").alias("_other"))
+    pairs = few.select("signature", F.col("node").alias("a"), "component").join(other, "signature").filter("component < _other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = _links(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent)
+    many = left.filter(F.col("_size") > MOST_PAIRED).select("node", "_least").distinct()
+    if not many.isEmpty():
+        more = more.union(_block_links(many, sets, percent))
+    more = checkpointed(more)
     if not more.isEmpty():
         labels = components(links.union(more))
 
