@@ -69,15 +69,17 @@ def fences(measured: DataFrame) -> DataFrame:
 
     One mergeable quantile sketch per metric and group; sketches of a group are built in every task and merged after the shuffle, so that a
     source with a third of all rows sends one sketch per task. Only the lower half of a distribution sets its fences, so junk may make up to
-    half of a group. Documents without words take no part. Null languages and sources are groups of their own.
+    half of a group. Documents without words take no part. Null languages and sources are groups of their own. The driver gets the quantiles of
+    the whole corpus, one row.
     """
     metrics = ["symbols", "dup_lines", "word_length"]
     quantiles = [F.percentile_approx(m, [0.25, 0.5], ACCURACY).alias(m) for m in metrics]
-    cube = measured.filter("n_words > 0").rollup("lang", "source").agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quantiles)
-    by_source, by_lang, whole = (cube.filter(F.col("_level") == k).drop("_level") for k in (0, 1, 3))
+    cube = checkpointed(measured.filter("n_words > 0").rollup("lang", "source").agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quantiles))
+    by_source, by_lang = (cube.filter(F.col("_level") == k).drop("_level") for k in (0, 1))
+    whole = cube.filter(F.col("_level") == 3).select(*metrics).first() or {m: [0, 0] for m in metrics}
     renamed = lambda df, tag: df.select(*(F.col(c).alias(f"{c}{tag}") for c in df.columns))
-    out = renamed(by_source, "_s").join(renamed(by_lang, "_l"), F.col("lang_s").eqNullSafe(F.col("lang_l"))).crossJoin(renamed(whole, "_w"))
-    pick = {m: F.when(F.col("_n_s") >= LEAST_ROWS, F.col(f"{m}_s")).when(F.col("_n_l") >= LEAST_ROWS, F.col(f"{m}_l")).otherwise(F.col(f"{m}_w")) for m in metrics}
+    out = renamed(by_source, "_s").join(renamed(by_lang, "_l"), F.col("lang_s").eqNullSafe(F.col("lang_l")))
+    pick = {m: F.when(F.col("_n_s") >= LEAST_ROWS, F.col(f"{m}_s")).when(F.col("_n_l") >= LEAST_ROWS, F.col(f"{m}_l")).otherwise(F.array(*map(F.lit, whole[m]))) for m in metrics}
     out = out.select(F.col("lang_s").alias("_lang"), F.col("source_s").alias("_source"), *(v.alias(m) for m, v in pick.items()))
     reach = {m: F.greatest(REACH * (F.col(m)[1] - F.col(m)[0]), F.lit(MARGINS[m])) for m in metrics}
     high = [(F.col(m)[1] + reach[m]).alias(f"_most_{m}") for m in metrics]
