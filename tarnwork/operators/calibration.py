@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,19 +57,19 @@ def predict(features: list[str], weights: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+@lru_cache(maxsize=256)
+def _log_factorials(m: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, m + 1)))])
+
+
 def binom_cdf(k: int, m: int, p: float) -> float:
     """P[Bin(m, p) <= k], summed from logarithms; 1 for k >= m or m <= 0."""
-    if m <= 0 or k >= m:
+    if m <= 0 or k >= m or (k >= 0 and p <= 0):
         return 1.0
-    if k < 0:
+    if k < 0 or p >= 1:
         return 0.0
-    if p <= 0:
-        return 1.0
-    if p >= 1:
-        return 0.0
-    i = np.arange(k + 1)
-    lg = np.array([math.lgamma(v + 1) for v in range(m + 1)])
-    return float(min(1.0, np.exp(lg[m] - lg[i] - lg[m - i] + i * math.log(p) + (m - i) * math.log1p(-p)).sum()))
+    i, lg = np.arange(k + 1), _log_factorials(m)
+    return float(min(1.0, np.exp(lg[m] - lg[: k + 1] - lg[m - k : m + 1][::-1] + i * math.log(p) + (m - i) * math.log1p(-p)).sum()))
 
 
 def clopper_pearson_upper(k: int, m: int, delta: float) -> float:
@@ -76,21 +77,30 @@ def clopper_pearson_upper(k: int, m: int, delta: float) -> float:
     if m <= 0 or k >= m:
         return 1.0
     lo, hi = 0.0, 1.0
-    for _ in range(200):
+    for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if binom_cdf(k, m, mid) > delta else (lo, mid)
     return (lo + hi) / 2
 
 
-def with_binomial(rows: DataFrame, k: str, m: str, p: float, delta: float) -> DataFrame:
-    """Adds p_value (of k or fewer of m at rate p) and upper (bound at delta) to rows of counts."""
+def with_p_value(rows: DataFrame, k: str, m: str, p: float) -> DataFrame:
+    """Adds p_value, of k or fewer of m at rate p, to rows of counts."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(p_value=[binom_cdf(int(a), int(b), p) for a, b in zip(batch[k], batch[m], strict=True)])
+
+    return rows.mapInPandas(scan, f"{rows.schema.simpleString()[7:-1]},p_value:double")
+
+
+def with_upper_bound(rows: DataFrame, k: str, m: str, delta: float) -> DataFrame:
+    """Adds upper, the bound at delta on the rate behind k of m, to rows of counts."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = list(zip(batch[k].tolist(), batch[m].tolist(), strict=True))
-            yield batch.assign(p_value=[binom_cdf(int(a), int(b), p) for a, b in pairs], upper=[clopper_pearson_upper(int(a), int(b), delta) for a, b in pairs])
+            yield batch.assign(upper=[clopper_pearson_upper(int(a), int(b), delta) for a, b in zip(batch[k], batch[m], strict=True)])
 
-    return rows.mapInPandas(scan, f"{rows.schema.simpleString()[7:-1]},p_value:double,upper:double")
+    return rows.mapInPandas(scan, f"{rows.schema.simpleString()[7:-1]},upper:double")
 
 
 def threshold_counts(scored: DataFrame, score: str, correct: str, grid: tuple[float, ...] = GRID) -> DataFrame:
@@ -109,7 +119,7 @@ def calibrate(scored: DataFrame, score: str, correct: str, alpha: float, delta:
     """One row: n, threshold, m, k, emitted. Thresholds are tested in the order of the grid until one fails; of those passed the one with most rows is taken, the first of equals. Fewer than `least` rows certify nothing."""
     from pyspark.sql import Window
 
-    tested = with_binomial(threshold_counts(scored, score, correct, grid), "k", "m", alpha, delta)
+    tested = with_p_value(threshold_counts(scored, score, correct, grid), "k", "m", alpha)
     passed = F.when((F.col("p_value") <= delta) & (F.col("m") > 0), 1).otherwise(0)
     w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     run = tested.withColumn("_ok", F.min(passed).over(w) == 1)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, norm_words, tokens
+from ..functions.text import norm_words, tokens
+from .folds import fold
 
 
 def title_key(title: Column) -> Column:
@@ -84,24 +85,24 @@ def _alike(a: frozenset, b: frozenset) -> float:
 def align(candidates: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Adds slot to (doc_id, member, ord, text): members in order, each candidate to the best slot without one of its member; the later of equals; else a new slot."""
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["member", "ord"])
+    def walk(rows: list[dict]) -> list[tuple]:
         slots: list[list[tuple]] = []
         out = []
-        for r in rows.itertuples():
-            own, best, at = _set(r.text), threshold, None
+        for r in rows:
+            own, best, at = _set(r["text"]), threshold, None
             for k, slot in enumerate(slots):
                 score = max(_alike(own, s) for _, s in slot)
-                if score >= best and all(m != r.member for m, _ in slot):
+                if score >= best and all(m != r["member"] for m, _ in slot):
                     best, at = score, k
             if at is None:
                 at = len(slots)
                 slots.append([])
-            slots[at].append((r.member, own))
-            out.append(at)
-        return rows.assign(slot=out)
+            slots[at].append((r["member"], own))
+            out.append((r["member"], r["ord"], r["text"], at))
+        return out
 
-    return candidates.groupBy("doc_id").applyInPandas(walk, f"{candidates.schema.simpleString()[7:-1]},slot:int")
+    kinds = dict(candidates.dtypes)
+    return fold(candidates.select("doc_id", "member", "ord", "text"), ["doc_id"], ["member", "ord"], walk, f"member {kinds['member']}, ord {kinds['ord']}, text string, slot int")
 
 
 def reconcile(events: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -110,19 +111,19 @@ def reconcile(events: DataFrame, threshold: float = 0.5) -> DataFrame:
     events: doc_id, slot, ord, text, strategy, quote_ok.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: list[dict]) -> list[tuple]:
         groups: list[list] = []
-        for r in rows.sort_values("ord").itertuples():
-            own = _set(r.text)
+        for r in rows:
+            own = _set(r["text"])
             home = next((g for g in groups if _alike(own, g[0][0]) >= threshold), None)
             if home is None:
                 groups.append(home := [])
             home.append((own, r))
         out = []
         for g in groups:
-            if any(r.quote_ok for _, r in g):
-                names = [r.strategy for _, r in g]
-                out.append((g[0][1].doc_id, g[0][1].slot, g[0][1].text, max(dict.fromkeys(names), key=names.count), len(g)))
-        return pd.DataFrame(out, columns=["doc_id", "slot", "text", "strategy", "support"])
+            if any(r["quote_ok"] for _, r in g):
+                names = [r["strategy"] for _, r in g]
+                out.append((g[0][1]["text"], max(dict.fromkeys(names), key=names.count), len(g)))
+        return out
 
-    return events.groupBy("doc_id", "slot").applyInPandas(walk, "doc_id long, slot int, text string, strategy string, support int")
+    return fold(events.select("doc_id", "slot", "ord", "text", "strategy", "quote_ok"), ["doc_id", "slot"], ["ord"], walk, "text string, strategy string, support int")

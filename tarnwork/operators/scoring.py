@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import score_value
+from .folds import fold
 
 CORRECT = ("exact", "normalized", "fuzzy")
 
@@ -59,17 +61,17 @@ def greedy_match(pairs: DataFrame, keys: list[str], threshold: float) -> DataFra
     pairs: keys, ref, item, similarity. A choice depends on all before it, so the pairs of a key, one study's category, are walked in order.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: list[dict]) -> list[tuple]:
         used, kept = set(), []
-        rows = rows.sort_values(["ref", "similarity", "item"], ascending=[True, False, True])
-        for _, own in rows.groupby("ref", sort=True):
-            free = own[~own["item"].isin(used)]
-            if len(free) and free["similarity"].iloc[0] >= threshold:
-                used.add(free["item"].iloc[0])
-                kept.append(free.index[0])
-        return rows.loc[kept, [*keys, "ref", "item", "similarity"]]
-
-    return pairs.groupBy(*keys).applyInPandas(walk, pairs.select(*keys, "ref", "item", "similarity").schema)
+        for ref, own in groupby(rows, key=lambda r: r["ref"]):
+            best = min((r for r in own if r["item"] not in used), key=lambda r: (-r["similarity"], r["item"]), default=None)
+            if best and best["similarity"] >= threshold:
+                used.add(best["item"])
+                kept.append((ref, best["item"], best["similarity"]))
+        return kept
+
+    kinds = dict(pairs.dtypes)
+    return fold(pairs.select(*keys, "ref", "item", "similarity"), keys, ["ref", "item"], walk, f"ref {kinds['ref']}, item {kinds['item']}, similarity double")
 
 
 def rubric(counts: DataFrame, by: str = "study") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 #: points that a block may stand above its section's heading
 TOLERANCE = 0.5
 
@@ -143,17 +146,18 @@ def heading_sequence(candidates: DataFrame) -> DataFrame:
     a document's few candidates are walked in order.
     """
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[~rows["page"].isin(rows["page"].value_counts().loc[lambda n: n >= 6].index)].sort_values("ord")
+    def walk(rows: list[dict]) -> list[tuple]:
+        on_page = Counter(r["page"] for r in rows)
         kept, last = [], ()
-        for i, r in zip(rows.index, rows.itertuples(), strict=True):
-            number = tuple(int(x) for x in r.number.split("."))
-            if r.font or number > last:
-                kept.append(i)
+        for r in rows:
+            number = tuple(int(x) for x in r["number"].split("."))
+            if on_page[r["page"]] < 6 and (r["font"] or number > last):
+                kept.append((r["ord"], r["page"], r["number"], r["font"]))
                 last = number
-        return rows.loc[kept]
+        return kept
 
-    return candidates.groupBy("doc_id").applyInPandas(walk, candidates.schema)
+    kinds = dict(candidates.dtypes)
+    return fold(candidates.select("doc_id", "ord", "page", "number", "font"), ["doc_id"], ["ord"], walk, ", ".join(f"{c} {kinds[c]}" for c in ("ord", "page", "number", "font")))
 
 
 def clusters(pages: DataFrame, gap: int = 15) -> DataFrame:
