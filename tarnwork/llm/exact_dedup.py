@@ -34,13 +34,13 @@ def duplicate_groups(docs: DataFrame, normal: Callable[[Column], Column] = lambd
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of docs whose text has no copy with a smaller doc_id; of rows with equal doc_id and text one stays. Columns stay as they are.
+    """Rows of docs whose text has no copy with a smaller doc_id; of rows with equal doc_id and text the least by its other columns stays.
 
-    The other columns of the row that stays come from the least of them by lang, source and n_chars.
+    Columns stay as they are. Null text counts as empty, after a text that is empty; a null doc_id stays only without any other.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    text = F.coalesce("text", F.lit(""))
-    rest = F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), "doc_id", F.col("text").isNull().alias("_null"), *extra))
-    one = docs.withColumn("_text", text).groupBy(F.md5("_text").alias("_hash"), "_text").agg(rest.alias("_row"))
-    got = {c: F.col(f"_row.`{c}`") for c in extra} | {"doc_id": F.col("_row.doc_id"), "text": F.when(~F.col("_row._null"), F.col("_text"))}
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text").isNull().alias("null_text"), F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`") for c in extra)).alias("rest"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), order.alias("_row"))
+    one = rows.groupBy(F.md5("_text").alias("_hash"), "_text").agg(F.min("_row").alias("_row"))
+    got = {c: F.col(f"_row.rest.`{c}`") for c in extra} | {"doc_id": F.col("_row.id"), "text": F.when(~F.col("_row.null_text"), F.col("_text"))}
     return one.select(*(got[c].alias(c) for c in docs.columns))

@@ -199,5 +199,5 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs with the smallest doc_id of their group of near duplicates; columns stay as they are. Rows without shingles all stay."""
-    kept = jaccard_components(docs, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = jaccard_components(docs, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")

@@ -91,7 +91,7 @@ def labelled_table() -> list[tuple[list[str], list[int]]]:
     fills = {"w": ["the", "report", "Garten", "maison", "was", "of", "Casa,", "team"], "n": ["anna", "j.doe", "Peter", "info", "sales7", "marie.k"], "d": ["example", "mail", "firma", "test-site"], "t": ["com", "org", "de", "net"]}
     marked = [
         "W W {e:N at D dot T} W W", "W {e:N (at) D (dot) T} W", "W W {e:N [at] D [dot] T}", "email {e:N at D dot T} W W", "contact {e:N [at] D [dot] T} W", "{e:N (at) D (dot) T} W W W",
-        "W call {p:555-201-3344} W", "W W {p:(415) 555-0136} W", "tel {p:020 7946 0018} W", "phone {p:555 867 5309} W W", "{p:(212) 555-0199} W", "W fax {p:(030) 901820} W", "W mobile {p:0171 5550123} W", "call {p:212-555-0147}",
+        "W call {p:555-201-3344} W", "W W {p:(415) 555-0136} W", "tel {p:020 7946 0018} W", "phone {p:555 867 5309} W W", "{p:(212) 555-0199} W", "W fax {p:(030) 901820} W", "W mobile {p:0171 5550123} W", "W W {p:646-555-0123} W", "call {p:212-555-0147}",
     ]
     plain = [
         "W W W W W W", "W at W W", "W W at the D", "at W dot W", "W the dot at W W", "W 2019 W 12 W", "W 1,200 W 35% W", "on 12-05-2021 W", "W 2020-01-31 W", "version 2.10.3 W", "W 123456789 W", "W 4111 W 9 W", "call W W W", "phone W W",

@@ -87,23 +87,26 @@ def fences(measured: DataFrame) -> DataFrame:
     return out.select("_lang", "_source", *high, low.alias("_least_word_length"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Adds the base columns, base_failed and kept to docs (doc_id, text, lang, source and others, which stay).
-
-    Null text counts as empty, which fails the base rules. Repeated rows and null doc_ids are judged like others. An empty table gives no rows.
-    """
-    columns = docs.columns
-    measured = _metrics(base_columns(docs.select(*(F.col(c) for c in columns))))
+def _judged(docs: DataFrame, carried: list[Column]) -> DataFrame:
+    rows = docs.select("text", "lang", "source", *carried)
     limits = checkpointed(fences(_metrics(base_columns(docs.select("text", "lang", "source")))))
     if limits.count() <= MOST_SENT:
         limits = F.broadcast(limits)
-    out = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    out = _metrics(base_columns(rows)).join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = (F.col("symbols") <= F.col("_most_symbols")) & (F.col("dup_lines") <= F.col("_most_dup_lines")) & (F.col("word_length") <= F.col("_most_word_length")) & (F.col("word_length") >= F.col("_least_word_length"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(*columns, *names, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"))
+    return out.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(inside, F.lit(False))})
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id, text, lang, source): doc_id, the base columns, base_failed, kept.
+
+    Null text counts as empty, which fails the base rules. Null languages and sources are groups like others; repeated rows and null doc_ids are
+    judged like others. An empty table gives no rows. Other columns are ignored.
+    """
+    return _judged(docs, [F.col("doc_id")]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """Rows of docs that the rules keep, with the columns of docs."""
-    return judged(docs).filter("kept").select(*docs.columns)
+    """Rows of docs that the rules keep, with all columns of docs as they are, whatever their names."""
+    return _judged(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")]).filter("kept").select("_row.*")

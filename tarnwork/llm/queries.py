@@ -81,8 +81,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judged(docs).drop("text", "lang", "source")
+    return judged(_table(spark, sf_dir, "documents"))
 
 
 #: The sketches are exact below about half of ACCURACY rows in a group, where this takes the ordered values themselves.
