@@ -31,6 +31,48 @@ def parse_candidates(replies: DataFrame, keys: list[str], fields: DataFrame) ->
     return rows.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(F.broadcast(fields.select("field")), "field", "left_semi").select(*keys, "field", "value", F.nullif(F.trim("quote"), F.lit("")).alias("quote"))
 
 
+#: a page as a vision model describes it
+PAGE = "struct<is_schedule:boolean,columns:array<struct<visit:string,epoch:string>>,rows:array<struct<activity:string,marks:array<int>>>>"
+
+
+def schedule_pages(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, page, activity, visit_key, epoch, ord) of replies (keys, page, reply) that are JSON of a schedule page with columns.
+
+    Marks outside the columns go, and repeated ones. A visit's key is its name and how often the page had it before; empty epochs take the one
+    to their left.
+    """
+    pages = replies.select(*keys, "page", F.from_json("reply", PAGE).alias("p")).filter(F.coalesce("p.is_schedule", F.lit(False)) & (F.size(F.coalesce("p.columns", F.array())) > 0))
+    columns = pages.select(*keys, "page", F.posexplode("p.columns").alias("col", "c"))
+    name = F.lower(F.trim(F.coalesce("c.visit", F.lit(""))))
+    w = Window.partitionBy(*keys, "page")
+    nth = F.row_number().over(w.partitionBy(*keys, "page", name).orderBy("col"))
+    epoch = F.last(F.nullif(F.trim("c.epoch"), F.lit("")), ignorenulls=True).over(w.orderBy("col").rowsBetween(Window.unboundedPreceding, 0))
+    columns = columns.select(*keys, "page", "col", F.concat(name, F.lit("#"), nth.cast("string")).alias("visit_key"), F.coalesce(epoch, F.lit("")).alias("epoch"))
+    rows = pages.select(*keys, "page", F.explode("p.rows").alias("r")).select(*keys, "page", F.trim("r.activity").alias("activity"), F.explode(F.array_distinct(F.coalesce("r.marks", F.array()))).alias("col"))
+    return rows.join(columns, [*keys, "page", "col"]).select(*keys, "page", "activity", "visit_key", "epoch", F.col("col").alias("ord"))
+
+
+def classify_residue(sections: DataFrame, model: Model | None, types: list[str]) -> DataFrame:
+    """Sections with a model's answer for those without a type, where it is one of the types; unchanged without a model."""
+    asked = complete(sections.filter("type is null").withColumn("prompt", F.col("title")), model)
+    answer = F.lower(F.trim("reply"))
+    typed = asked.withColumn("type", F.when(answer.isin(types), answer)).select(*sections.columns)
+    return sections.filter("type is not null").unionByName(typed)
+
+
+#: columns of a study that must be there, as conditions
+STRUCTURE = {"has_title": "coalesce(trim(title), '') <> ''", "has_arms": "n_arms > 0", "has_visits": "n_visits > 0"}
+
+
+def gates(studies: DataFrame, key: str, rules: DataFrame | None = None) -> DataFrame:
+    """(key, rules): failed structural rules of each study, and those of an outside rule table (key, rule) for studies that pass them."""
+    own = studies.select(key, F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(e), F.lit(False)), F.lit(n)) for n, e in STRUCTURE.items()))).alias("rules"))
+    if rules is None:
+        return own
+    other = rules.join(own.filter(F.size("rules") == 0).select(key), key, "left_semi").groupBy(key).agg(F.collect_set("rule").alias("rules"))
+    return own.unionByName(other)
+
+
 def parse_verdict(reply: F.Column) -> F.Column:
     """supported, partial or unsupported, as whole words; null for anything else."""
     word = F.regexp_extract(F.lower(F.coalesce(reply, F.lit(""))), r"(?:^|[^a-z])(unsupported|supported|partial)(?:[^a-z]|$)", 1)

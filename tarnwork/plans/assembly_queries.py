@@ -9,6 +9,7 @@ from ..sources import files
 from ..streaming.log import windowed_counts
 from . import assembly as A
 from .inputs import table
+from .spine import metadata
 
 
 def sanitized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +101,40 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HOURLY_EVENTS = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL"
 
+def vision_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    page = F.concat(F.lit('{"is_schedule": '), (F.col("p_size") % 4 > 0).cast("string"), F.lit(', "columns": [{"visit": "V", "epoch": "E1"}, {"visit": " v ", "epoch": ""}, {"visit": "W", "epoch": "E2"}], "rows": [{"activity": "'), F.col("p_name"), F.lit('", "marks": [1, 1, 7]}, {"activity": "b", "marks": [2]}]}'))
+    return A.schedule_pages(p.select("p_partkey", F.lit(1).alias("page"), page.alias("reply")), ["p_partkey"])
+
+
+VISION_PAGES = "SELECT p_partkey, 1 AS page, unnest([p_name, 'b']) AS activity, unnest(['v#2', 'w#1']) AS visit_key, unnest(['E1', 'E2']) AS epoch, unnest([1, 2])::INT AS ord FROM part WHERE p_size % 4 > 0"
+
+
+def gate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.col("p_name")).alias("title"), (F.col("p_size") % 2).alias("n_arms"), F.lit(4).alias("n_visits"))
+    rules = p.filter("n_arms > 0").select("p_partkey", F.lit("R1").alias("rule"))
+    return A.failed_rules(A.gates(p, "p_partkey", rules), "p_partkey").withColumn("failed", F.array_join("failed", ","))
+
+
+GATE_RULES = "SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_size % 2 > 0 THEN 'R1' ELSE concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'has_arms' END, CASE WHEN p_size % 3 = 0 THEN 'has_title' END) END AS failed FROM part"
+
+
+def metadata_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to decided fields; each document gets labelled lines in front, and a second method that reads its columns."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.concat(F.lit("Sponsor: Firm "), F.col("source"), F.lit("\nPhase: tbd\n"), F.coalesce("text", F.lit("")))
+    other = docs.select("doc_id", F.lit("sponsor").alias("field"), F.concat(F.lit("firm "), F.col("source")).alias("value"), F.lit("m1").alias("method"), F.lit(True).alias("is_model"), F.lit(9).alias("ord"))
+    labels = spark.createDataFrame([("sponsor", "^sponsor"), ("phase", "^phase")], "field string, pattern string")
+    return metadata(docs.select("doc_id", lines.alias("text")), labels, other)
+
+
+METADATA_SPINE = "SELECT doc_id, unnest(['sponsor', 'phase']) AS field, unnest(['Firm ' || source, NULL]) AS value, unnest([1.0, 0.0])::DOUBLE AS confidence, unnest(['AUTO_ACCEPT', 'BLOCK']) AS decision FROM documents"
+
 QUERIES = {
+    "vision_pages": vision_pages, "gate_rules": gate_rules, "metadata_spine": metadata_spine,
     "sanitized_parts": sanitized_parts, "sanitizer_findings": sanitizer_findings, "unique_names": unique_names, "activity_links": activity_links, "assembled_orders": assembled_orders, "failed_rules": failed_rules, "cached_replies": cached_replies, "parsed_replies": parsed_replies, "reply_verdicts": reply_verdicts, "hourly_events": hourly_events,
 }
 SQL = {
+    "vision_pages": VISION_PAGES, "gate_rules": GATE_RULES, "metadata_spine": METADATA_SPINE,
     "sanitized_parts": SANITIZED_PARTS, "sanitizer_findings": SANITIZER_FINDINGS, "unique_names": UNIQUE_NAMES, "activity_links": ACTIVITY_LINKS, "assembled_orders": ASSEMBLED_ORDERS, "failed_rules": FAILED_RULES, "cached_replies": CACHED_REPLIES, "parsed_replies": PARSED_REPLIES, "reply_verdicts": REPLY_VERDICTS, "hourly_events": HOURLY_EVENTS,
 }
