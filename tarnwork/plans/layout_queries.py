@@ -228,14 +228,14 @@ def grid_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from the least values, without the last column for even lines."""
+    """The same from the least values."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.lower(F.min("l_returnflag")).alias("a"), F.min("l_linestatus").alias("b"), F.min("l_quantity").cast("int").cast("string").alias("c"))
-    return li.select("l_orderkey", F.col("l_linenumber").alias("row"), F.posexplode(F.array("a", "b", "c")).alias("col", "text")).filter("row % 2 = 1 or col < 2")
+    return li.select("l_orderkey", F.col("l_linenumber").alias("row"), F.posexplode(F.array("a", "b", "c")).alias("col", "text"))
 
 
 GRIDS_SQL = """
 ga AS (SELECT l_orderkey, l_linenumber AS row, unnest([0, 1, 2]) AS col, unnest([max(l_returnflag), max(l_linestatus), max(l_quantity)::INT::VARCHAR]) AS text FROM lineitem GROUP BY l_orderkey, l_linenumber),
-gb AS (SELECT * FROM (SELECT l_orderkey, l_linenumber AS row, unnest([0, 1, 2]) AS col, unnest([lower(min(l_returnflag)), min(l_linestatus), min(l_quantity)::INT::VARCHAR]) AS text FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE row % 2 = 1 OR col < 2)
+gb AS (SELECT l_orderkey, l_linenumber AS row, unnest([0, 1, 2]) AS col, unnest([lower(min(l_returnflag)), min(l_linestatus), min(l_quantity)::INT::VARCHAR]) AS text FROM lineitem GROUP BY l_orderkey, l_linenumber)
 """
 
 
@@ -338,16 +338,16 @@ GLYPHS_IN_BOXES = "SELECT o_orderkey AS page, o_custkey AS box_id, count(*) AS n
 
 
 def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation before and after: sections of two versions by their first words."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.concat(F.col("turn").cast("string"), F.lit(". "), F.col("role")).alias("title"), "text")
-    old = c.filter("ord % 2 = 0")
-    new = c.filter("ord % 3 = 0").withColumn("text", F.when(F.col("ord") == 0, F.col("text")).otherwise(F.upper("text")))
-    return M.diff_versions(old, new, ["conv_id"]).select("conv_id", "ord_old", "ord_new", "title", "kind")
+    """Conversations as two versions of a study: sections are turns by role; in the new version the assistant is called reply, and later turns of users are in capitals."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "role", "text")
+    titled = lambda df, role: df.select("conv_id", "ord", F.concat(F.col("ord").cast("string"), F.lit(". "), role).alias("title"), "text")
+    new = c.withColumn("text", F.when(F.col("ord") == 0, F.col("text")).otherwise(F.upper("text")))
+    return M.diff_versions(titled(c, F.col("role")), titled(new, F.when(F.col("role") == "assistant", "reply").otherwise(F.col("role"))), ["conv_id"]).select("conv_id", "ord_old", "ord_new", "title", "kind")
 
 
 VERSION_DIFF = """
-WITH o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations WHERE turn % 2 = 0),
-w AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN text ELSE upper(text) END AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations WHERE turn % 3 = 0)
+WITH o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations),
+w AS (SELECT conv_id, turn, r AS role, CASE WHEN turn = 0 THEN text ELSE upper(text) END AS text, row_number() OVER (PARTITION BY conv_id, r ORDER BY turn) AS n FROM (SELECT *, CASE role WHEN 'assistant' THEN 'reply' ELSE role END AS r FROM conversations))
 SELECT coalesce(o.conv_id, w.conv_id) AS conv_id, o.turn AS ord_old, w.turn AS ord_new, coalesce(w.turn || '. ' || w.role, o.turn || '. ' || o.role) AS title, CASE WHEN o.turn IS NULL THEN 'added' WHEN w.turn IS NULL THEN 'removed' WHEN o.text IS NOT DISTINCT FROM w.text THEN 'unchanged' ELSE 'modified' END AS kind
 FROM o FULL JOIN w ON o.conv_id = w.conv_id AND o.role = w.role AND o.n = w.n
 """
@@ -364,26 +364,27 @@ WITH t AS (SELECT p_partkey, p_size, len(regexp_split_to_array(p_name, '\s+')) A
 
 
 def token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    left = p.filter("p_size > 25").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    right = p.filter("p_size <= 25").select("p_brand", F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.col("p_type")).alias("text"))
-    return M.link_by_tokens(left, right, ["p_brand"]).withColumn("similarity", F.round("similarity", 9))
+    """Large parts linked to small ones of their brand and hundred of keys."""
+    p = table(spark, sf_dir, "part").withColumn("hundred", F.floor(F.col("p_partkey") / 100))
+    left = p.filter("p_size > 25").select("p_brand", "hundred", F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    right = p.filter("p_size <= 25").select("p_brand", "hundred", F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.col("p_type")).alias("text"))
+    return M.link_by_tokens(left, right, ["p_brand", "hundred"]).withColumn("similarity", F.round("similarity", 9))
 
 
 TOKEN_LINKS = r"""
-WITH t AS (SELECT p_brand, p_partkey AS id, p_size, list_distinct(regexp_extract_all(lower(CASE WHEN p_size > 25 THEN p_name ELSE p_name || ' ' || p_type END), '[\p{L}\p{N}_]+')) AS t FROM part),
-s AS (SELECT a.p_brand, a.id AS left_id, b.id AS right_id, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) AS similarity FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size > 25 AND b.p_size <= 25)
-SELECT p_brand, left_id, right_id, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) = 1
+WITH t AS (SELECT p_brand, p_partkey // 100 AS hundred, p_partkey AS id, p_size, list_distinct(regexp_extract_all(lower(CASE WHEN p_size > 25 THEN p_name ELSE p_name || ' ' || p_type END), '[\p{L}\p{N}_]+')) AS t FROM part),
+s AS (SELECT a.p_brand, a.hundred, a.id AS left_id, b.id AS right_id, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) AS similarity FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.hundred = b.hundred AND a.p_size > 25 AND b.p_size <= 25)
+SELECT p_brand, hundred, left_id, right_id, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) = 1
 """
 
 
 def aligned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("doc_id"), (F.col("p_size") % 3).alias("member"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"))
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("doc_id"), (F.col("p_size") % 3).alias("member"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"))
     return M.align(p)
 
 
 def reconciled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("doc_id"), (F.col("p_size") % 5).alias("slot"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), F.col("p_type").alias("strategy"), (F.col("p_size") > 10).alias("quote_ok"))
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("doc_id"), (F.col("p_size") % 5).alias("slot"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), F.col("p_type").alias("strategy"), (F.col("p_size") > 10).alias("quote_ok"))
     return M.reconcile(p)
 
 
