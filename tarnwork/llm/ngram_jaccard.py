@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, blocks, checkpointed, find_words, gram_rows, hash_grams, hash_words, mix
@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: nodes of a signature that are compared by pairs; nodes of a block, where there are more
 MOST_PAIRED, BLOCK = 16, 512
+#: nodes of which a task remembers that their signatures are out
+MOST_SENT = 200_000
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,13 +89,19 @@ def _scan(docs: DataFrame, n: int, percent: int, what: str) -> DataFrame:
         return int(mix(np.array([s.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].astype(np.int64)) if len(s) else 0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # nodes whose signatures this task has given; copies need none, and repeated ones do no harm
         for rows, buf, off in blocks(batches):
             sets = list(shingle_sets(buf, off, n))
             nodes, sizes = np.array([node(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
             if what == "keys":
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes), pa.array(nodes)], ["doc_id", "n_shingles", "node"])
             elif what == "signatures":
-                signs = [signatures(s, percent) for s in sets]
+                signs = []
+                for s, own in zip(sets, nodes.tolist(), strict=True):
+                    signs.append(s[:0] if own in sent else signatures(s, percent))
+                    sent.add(own)
+                if len(sent) > MOST_SENT:
+                    sent = set()
                 flat = np.concatenate(signs).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(nodes, [len(x) for x in signs]))], ["signature", "node"])
             else:
@@ -162,12 +170,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     keys = checkpointed(_scan(docs, n, percent, "keys"))
     nodes = keys.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    signs = _scan(docs, n, percent, "signatures")
-    shared = signs.groupBy("signature").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x <> _y").select("signature")
-    members = checkpointed(signs.join(shared, "signature", "left_semi").groupBy("signature", "node").agg(F.lit(1).alias("_")).drop("_"))
-
-    hubs = members.groupBy("signature").agg(F.min("node").alias("hub"))
-    stars = checkpointed(members.join(hubs, "signature").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    w = Window.partitionBy("signature")  # one shuffle of two numbers a row, and one sort, which spills
+    signs = _scan(docs, n, percent, "signatures").withColumns({"hub": F.min("node").over(w), "_y": F.max("node").over(w)})
+    members = checkpointed(signs.filter("hub <> _y").select("signature", "node", "hub").distinct())
+    stars = checkpointed(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
     involved = members.select("node").distinct().join(nodes, "node").select(F.col("first").alias("doc_id"))
     sets = checkpointed(_scan(docs.join(involved, "doc_id", "left_semi"), n, percent, "sets").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
