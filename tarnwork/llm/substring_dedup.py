@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, blocks, find_words, gram_rows, hash_grams, hash_spans, hash_words, mix, new_dir, ragged
+from .common import NO_ID, blocks, checkpointed, find_words, gram_rows, hash_grams, hash_spans, hash_words, mix, ragged
 from .token_binary import WaveletMatrix
 
 #: words of an anchor
@@ -129,8 +129,7 @@ def _anchors(docs: DataFrame, span: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, span: int) -> DataFrame:
-    """Per row of docs with the anchors that it shares (and hot ones among them): its segments with these anchors; rows without any get their digest at once."""
-    segment = pa.struct([("start", pa.int32()), ("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("words", pa.binary())])
+    """A row for each segment with a shared anchor of each row of docs (doc_id, _key, text, shared, hot)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in blocks(batches):
@@ -153,8 +152,7 @@ def _cut(docs: DataFrame, span: int) -> DataFrame:
             s_at = np.concatenate([place[own], one])
             s_n = np.concatenate([windows[own], np.ones(len(one), np.int64)]) + span - 1
             s_anchor = np.concatenate([anchor[own], alone])
-            order = np.argsort(s_row, kind="stable")
-            s_row, s_at, s_n, s_anchor = s_row[order], s_at[order], s_n[order], s_anchor[order]
+            s_hot = np.arange(len(s_row)) >= own.sum()
             lo, hi = at[s_at], at[s_at + s_n - 1] + lens[s_at + s_n - 1] if len(s_at) else at[s_at]
             data = line[ragged(lo, hi - lo)]
             h1 = hash_spans(data, hi - lo)
@@ -164,68 +162,102 @@ def _cut(docs: DataFrame, span: int) -> DataFrame:
                 h2 = mix(word_sums[s_at + s_n] - word_sums[s_at] - (plain[s_at + s_n] - plain[s_at]) * (s_at.astype(np.uint64) * np.uint64(2)))
             edge = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
             blobs = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data.tobytes())])
-            parts = pa.StructArray.from_arrays([pa.array((s_at - first[s_row]).astype(np.int32)), pa.array(s_anchor.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), blobs], fields=list(segment))
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(s_row, np.arange(rows.num_rows + 1)).astype(np.int32)), parts)
-            some = np.bincount(s_row, minlength=rows.num_rows) > 0
-            whole = [None if s else hashlib.sha256(line[at[a] : at[b - 1] + lens[b - 1]].tobytes() if b > a else b"").hexdigest() for s, a, b in zip(some.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            sizes = np.where(some, np.diff(off), 0)
-            edge = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            valid = np.packbits(some, bitorder="little").tobytes()
-            text = pa.Array.from_buffers(pa.string(), len(some), [pa.py_buffer(valid), pa.py_buffer(edge.tobytes()), pa.py_buffer(buf[ragged(off[:-1], sizes)].tobytes())])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_key"), pa.array(np.diff(first)), pa.array(whole, pa.string()), text, lists], ["doc_id", "_key", "n_words", "kept_sha256", "text", "segments"])
-
-    return docs.mapInArrow(scan, "doc_id long, _key long, n_words long, kept_sha256 string, text string, segments array<struct<start:int,anchor:long,h1:long,h2:long,words:binary>>")
-
-
-def _search(distinct: DataFrame, span: int) -> DataFrame:
-    """h1, h2, least: for each window of each distinct segment, the smallest document that holds it. All segments of an anchor meet in one shard."""
-
-    def answer(h1: list, h2: list, first: list, segments: list) -> pa.RecordBatch:
-        ids: dict[bytes, int] = {}
-        split = [s.split(b" ") for s in segments]
-        symbols = np.fromiter((ids.setdefault(w, len(ids) + 1) for words in split for w in words), np.int64)
-        lens = np.fromiter(map(len, split), np.int64, len(split))
-        index = FMIndex(symbols, lens, np.array(first, np.int64))
-        windows = lens - span + 1
-        ends = ragged(np.cumsum(lens) - lens, windows) + span
-        least = np.full(len(ends), np.iinfo(np.int64).max)
-        for at in range(0, len(ends), 1 << 17):
-            part = ends[at : at + (1 << 17)]
-            length, lo, hi = index.matches(symbols, part, span)
-            hit = length == span
-            least[at : at + len(part)][hit] = index.least(lo[hit], hi[hit])
-        edge = np.concatenate([[0], np.cumsum(windows)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(least))], ["h1", "h2", "least"])
+            at_row = pa.array(s_row)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").take(at_row), rows.column("_key").take(at_row), pa.array((s_at - first[s_row]).astype(np.int32)), pa.array(s_anchor.view(np.int64)), pa.array(s_hot), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), blobs],
+                ["doc_id", "_key", "start", "anchor", "hot", "h1", "h2", "words"],
+            )
+
+    return docs.mapInArrow(scan, "doc_id long, _key long, start int, anchor long, hot boolean, h1 long, h2 long, words binary")
+
+
+def _answers(segments: list[bytes], first: list[int], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of all segments, one after the other, the smallest document that holds each; and how many windows each segment has."""
+    ids: dict[bytes, int] = {}
+    split = [s.split(b" ") for s in segments]
+    symbols = np.fromiter((ids.setdefault(w, len(ids) + 1) for words in split for w in words), np.int64)
+    lens = np.fromiter(map(len, split), np.int64, len(split))
+    index = FMIndex(symbols, lens, np.array(first, np.int64))
+    windows = lens - span + 1
+    ends = ragged(np.cumsum(lens) - lens, windows) + span
+    least = np.full(len(ends), np.iinfo(np.int64).max)
+    for at in range(0, len(ends), 1 << 17):
+        part = ends[at : at + (1 << 17)]
+        length, lo, hi = index.matches(symbols, part, span)
+        hit = length == span
+        least[at : at + len(part)][hit] = index.least(lo[hit], hi[hit])
+    return least, windows
+
+
+def _shards(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[list]]:
+    """Columns of whole anchors (rows are sorted by anchor) with about SHARD_WORDS words."""
+    held: list[list] = [[] for _ in columns]
+    last, size = None, 0
+    for batch in batches:
+        for anchor, *row in zip(*(batch.column(k).to_pylist() for k in ("anchor", *columns)), strict=True):
+            if size > SHARD_WORDS and anchor != last:
+                yield held
+                held, size = [[] for _ in columns], 0
+            for column, value in zip(held, row, strict=True):
+                column.append(value)
+            last, size = anchor, size + row[-1].count(b" ") + 1
+    if held[0]:
+        yield held
+
+
+def _lists(values: np.ndarray, lens: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(values))
+
+
+def _gone(rows: DataFrame, span: int) -> DataFrame:
+    """(doc_id, _key, gone): windows to remove from each row's segments. An anchor has at most HOT of them."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [])
-        anchors, size = [], 0
-        for batch in batches:
-            for anchor, *row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "h1", "h2", "first", "words")), strict=True):
-                if size > SHARD_WORDS and anchor != anchors[-1]:
-                    yield answer(*held)
-                    held, anchors, size = ([], [], [], []), [], 0
-                for column, value in zip(held, row, strict=True):
-                    column.append(value)
-                anchors.append(anchor)
-                size += row[3].count(b" ") + 1
-        if anchors:
-            yield answer(*held)
-
-    return distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "h1 long, h2 long, least array<long>")
+        for doc_ids, keys, starts, words in _shards(batches, ["doc_id", "_key", "start", "words"]):
+            slot: dict[bytes, int] = {}
+            at = np.fromiter((slot.setdefault(w, len(slot)) for w in words), np.int64, len(words))
+            docs, first = np.array(doc_ids, np.int64), np.full(len(slot), np.iinfo(np.int64).max)
+            np.minimum.at(first, at, docs)
+            least, windows = _answers(list(slot), first.tolist(), span)
+            n = windows[at]
+            row = np.repeat(np.arange(len(at)), n)
+            place = ragged(np.zeros(len(at), np.int64), n)
+            hit = least[ragged((np.cumsum(windows) - windows)[at], n)] < docs[row]
+            count = np.bincount(row[hit], minlength=len(at))
+            some = np.flatnonzero(count)
+            gone = (np.array(starts, np.int64)[row] + place)[hit].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(np.array(keys, np.int64)[some]), _lists(gone, count[some])], ["doc_id", "_key", "gone"])
+
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "doc_id long, _key long, gone array<int>")
+
+
+def _gone_hot(rows: DataFrame, span: int) -> DataFrame:
+    """The same for segments of hot anchors, which a third of all rows may share: equal ones meet in an aggregate before they are indexed, and answers go back by a join, which Spark splits where it is skewed."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h1, h2, first, words in _shards(batches, ["h1", "h2", "first", "words"]):
+            least, windows = _answers(words, first, span)
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(least, windows)], ["h1", "h2", "least"])
+
+    distinct = rows.groupBy("anchor", "h1", "h2", "words").agg(F.min("doc_id").alias("first"))
+    least = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "h1 long, h2 long, least array<long>")
+    found = rows.select("doc_id", "_key", "start", "h1", "h2").join(least, ["h1", "h2"])
+    gone = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
+    return found.select("doc_id", "_key", gone.alias("gone")).filter(F.size("gone") > 0)
 
 
 def _without(cut: DataFrame, span: int) -> DataFrame:
-    """Digests of rows that lose the windows that begin at the words in `gone` (null: none)."""
+    """Digests of rows (doc_id, _key, text) that lose the windows that begin at the words in those of `lost` (_key, gone) with their key (null: none)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in blocks(batches):
             starts, ends, first = find_words(buf, off)
-            gone, removed, digest = rows.column("gone"), [], []
+            lost, keys, removed, digest = rows.column("lost").to_pylist(), rows.column("_key").to_pylist(), [], []
             for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                 change = np.zeros(b - a + 1, np.int64)
-                if gone[i].is_valid:
-                    at = np.unique(gone[i].values.to_numpy())
+                own = [x["gone"] for x in lost[i] or () if x["_key"] == keys[i]]
+                if own:
+                    at = np.unique(np.concatenate([np.array(g, np.int64) for g in own]))
                     change[at] += 1
                     np.subtract.at(change, at + span, 1)
                 keep = np.flatnonzero(np.cumsum(change)[:-1] == 0) + a
@@ -246,21 +278,14 @@ def drop_repeats(docs: DataFrame, span: int = 13) -> DataFrame:
     the input. Null text and text with fewer words than span lose nothing. A null doc_id is smaller than all others. Repeated rows
     are each judged, and never against one another. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    anchors = _anchors(docs, span)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_x"), F.max("doc_id").alias("_y"), F.count("*").alias("_n")).filter("_x <> _y").select("anchor", (F.col("_n") > HOT).alias("_hot"))
-    hits = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("_hot"), F.col("anchor"))).alias("hot"))
-    table = new_dir(spark, "segments")
-    _cut(docs.withColumn("_key", F.xxhash64("text")).join(hits, "doc_id", "left"), span).write.parquet(table)
-    cut = spark.read.parquet(table)
-    some = cut.filter("kept_sha256 is null")
-    rows = some.select("doc_id", "_key", F.explode("segments").alias("s")).select("doc_id", "_key", "s.*")
-    distinct = rows.groupBy("anchor", "h1", "h2", "words").agg(F.min("doc_id").alias("first"))
-    least = _search(distinct, span)
-    found = rows.select("doc_id", "_key", "start", "h1", "h2").join(least, ["h1", "h2"])
-    found = found.select("doc_id", "_key", F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("gone")).filter(F.size("gone") > 0)
-    gone = found.groupBy("doc_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    changed = _without(some.select("doc_id", "_key", "text").join(gone, ["doc_id", "_key"], "left"), span)
-    clean = cut.filter("kept_sha256 is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return clean.unionByName(changed).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    w = Window.partitionBy("anchor")  # one shuffle of two numbers a row, and one sort, which spills
+    anchors = _anchors(docs, span).withColumns({"_x": F.min("doc_id").over(w), "_y": F.max("doc_id").over(w), "_hot": F.count("*").over(w) > HOT})
+    hits = checkpointed(anchors.filter("_x <> _y").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("_hot"), F.col("anchor"))).alias("hot")))
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    rows = _cut(keyed.join(hits, "doc_id"), span)
+    gone = _gone(rows.filter("not hot"), span)
+    if not hits.filter(F.size("hot") > 0).isEmpty():
+        gone = gone.unionByName(_gone_hot(rows.filter("hot"), span))
+    lost = gone.groupBy("doc_id").agg(F.collect_list(F.struct("_key", "gone")).alias("lost"))
+    return _without(keyed.join(lost, "doc_id", "left"), span).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
