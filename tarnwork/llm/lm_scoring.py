@@ -1,8 +1,9 @@
 """Pseudo-likelihood of documents under a bidirectional window network, trained on the corpus.
 
 Words become the most frequent words of the corpus and, for the rest, buckets by hash. The network sees the two words on either side of a
-masked word and predicts it: first its class of frequency, then the word in the class. A document's score is the sum of the log-probabilities
-of all its words, each given its neighbours.
+masked word and predicts it: first its class of frequency, then the word in the class. A word of a bucket then has its share of the bucket, by
+its count in the corpus: the counts of all words are a written table, which the rarer words of documents are joined to. A document's score is
+the sum of the log-probabilities of all its words, each given its neighbours.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, find_words, hash_words, mix
+from .common import blocks, find_words, hash_words, mix, new_dir
 
 #: symbols of the network, in so many classes of equal size; the last BUCKETS symbols are buckets of rarer words
 CLASSES, CLASS_SIZE, BUCKETS = 32, 32, 128
@@ -24,6 +25,8 @@ SIDE, EMBED, HIDDEN = 2, 16, 32
 #: one word in so many is masked in a round of training
 MASK_ONE_IN = 8
 ROUNDS, RATE, BATCH = 2, 0.1, 2048
+#: occurrences that all words of a bucket unseen in the corpus count as, together
+UNSEEN = 0.5
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,9 +112,10 @@ def gradients(params: Params, context: np.ndarray, target: np.ndarray) -> Params
 
 
 class Symbols:
-    """The corpus vocabulary: hashes of its most frequent words, most frequent first."""
+    """The corpus vocabulary: hashes of its most frequent words, most frequent first, occurrences of each bucket, and where the counts of all words are written."""
 
-    def __init__(self, hashes: list[int]) -> None:
+    def __init__(self, hashes: list[int], totals: np.ndarray | None = None, counts: str | None = None) -> None:
+        self.totals, self.counts = np.zeros(BUCKETS) if totals is None else totals, counts
         keys = np.array(hashes, np.int64).view(np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
@@ -140,16 +144,30 @@ def _contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([wide[place + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def vocabulary(docs: DataFrame) -> list[int]:
-    """Hashes of the most frequent words of all documents, ties by hash. The driver gets no more than SYMBOLS - BUCKETS numbers."""
+def vocabulary(docs: DataFrame) -> Symbols:
+    """Writes the counts of all words of all documents; the most frequent, ties by hash, become symbols. The driver gets no more than SYMBOLS - BUCKETS words and a sum for each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, off in blocks(batches):
             words, n = np.unique(_block_words(buf, off)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [x["word"] for x in counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS).collect()]
+    path = new_dir(docs.sparkSession, "words")
+    docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
+    counts = docs.sparkSession.read.schema("word long, n long").parquet(path)
+    hashes = [x["word"] for x in counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS).collect()]
+    symbols = Symbols(hashes)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SYMBOLS, np.int64)
+        for batch in batches:
+            np.add.at(sums, symbols(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums[SYMBOLS - BUCKETS :])], ["bucket", "n"])
+
+    totals = np.zeros(BUCKETS)
+    for x in counts.mapInArrow(total, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        totals[x["bucket"]] = x["n"]
+    return Symbols(hashes, totals, path)
 
 
 def _round(docs: DataFrame, symbols: Symbols, params: Params, number: int) -> Params:
@@ -184,25 +202,43 @@ def _round(docs: DataFrame, symbols: Symbols, params: Params, number: int) -> Pa
 
 
 def trained(docs: DataFrame) -> tuple[Symbols, Params]:
-    """Vocabulary and network of a corpus; both of fixed size, whatever the corpus."""
-    symbols, params = Symbols(vocabulary(docs)), initial()
+    """Vocabulary and network of a corpus; the table of counts grows with the corpus, the network is of fixed size."""
+    symbols, params = vocabulary(docs), initial()
     for number in range(ROUNDS):
         params = _round(docs, symbols, params, number)
     return symbols, params
 
 
 def scored(docs: DataFrame, symbols: Symbols, params: Params) -> DataFrame:
-    """doc_id, n_words, log_likelihood (sum over all words) and mean_log_likelihood (null without words)."""
+    """doc_id, n_words, log_likelihood (sum over all words) and mean_log_likelihood (null without words).
+
+    A word of a bucket adds log P(bucket | neighbours) + log(n(word) / (n(bucket) + UNSEEN)). Tasks give a row for each document, with all that
+    needs no count, and one for each of its distinct words of buckets; these meet their counts in a join and come together by document.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = np.concatenate([np.zeros(SYMBOLS - BUCKETS), np.log(symbols.totals + UNSEEN)])
         for rows, buf, off in blocks(batches):
             hashes, first = _block_words(buf, off)
             ids = symbols(hashes)
-            values = np.concatenate([[0.0], np.cumsum(log_probs(params, _contexts(ids, first), ids), dtype=np.float64)])
-            n, total = np.diff(first), values[first[1:]] - values[first[:-1]]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, n_words long, log_likelihood double")
+            values = np.concatenate([[0.0], np.cumsum(log_probs(params, _contexts(ids, first), ids) - share[ids], dtype=np.float64)])
+            n, value = np.diff(first), values[first[1:]] - values[first[:-1]]
+            number = rows.column("_row").to_numpy()
+            # no word has the key of a document's own row, or it counts nothing: n is 0
+            yield pa.RecordBatch.from_arrays([rows.column("_row"), rows.column("doc_id"), pa.array(n), pa.array(value), pa.array(mix(number.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(n), np.int64))], names)
+            rare = np.flatnonzero(ids >= SYMBOLS - BUCKETS)
+            row, word = np.repeat(np.arange(len(n)), n)[rare], hashes[rare]
+            order = np.lexsort((word, row))
+            row, word = row[order], word[order]
+            start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])) if len(row) else row
+            none = np.zeros(len(start), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(number[row[start]]), pa.nulls(len(start), pa.int64()), pa.array(none), pa.array(none.astype(np.float64)), pa.array(word[start].view(np.int64)), pa.array(np.diff(np.append(start, len(row))))], names)
+
+    names = ["_row", "doc_id", "n_words", "value", "word", "n"]
+    parts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "_row long, doc_id long, n_words long, value double, word long, n long")
+    counts = docs.sparkSession.read.schema("word long, n long").parquet(symbols.counts).withColumnRenamed("n", "_count")
+    value = F.col("value") + F.col("n") * F.log(F.coalesce(F.col("_count").cast("double"), F.lit(UNSEEN)))
+    out = parts.join(counts, "word", "left").groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum(value).alias("log_likelihood")).drop("_row")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 

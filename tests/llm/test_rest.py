@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 
@@ -153,6 +154,25 @@ def test_trained_network_tells_order(spark):
     assert lm.score_documents(train.limit(0)).count() == 0
 
 
+def test_rare_words_are_told_apart(spark):
+    common = [f"c{i}" for i in range(lm.SYMBOLS - lm.BUCKETS)]
+    rare = [f"r{i}" for i in range(2000)]
+    rows = [(i, " ".join(common)) for i in range(20)] + [(50 + i, " ".join(rare[: 2000 if i == 0 else 1000])) for i in range(10)]
+    symbols, params = lm.trained(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    key = lambda w: int(lm._block_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0])
+    bucket = lambda w: int(symbols(np.array([key(w)]).view(np.uint64))[0]) - (lm.SYMBOLS - lm.BUCKETS)
+    ten, one = next((a, b) for a in rare[:1000] for b in rare[1000:] if bucket(a) == bucket(b))
+    new = next(w for w in (f"q{i}" for i in range(99999)) if bucket(w) == bucket(ten))
+    held = [(1, ten), (2, one), (3, new), (4, ten), (None, f"{one} {one}"), (6, None)]
+    got = {r.doc_id: r for r in lm.scored(spark.createDataFrame(held, "doc_id long, text string"), symbols, params).collect()}
+    ll = {k: r.log_likelihood for k, r in got.items()}
+    assert len(got) == 6 and got[None].n_words == 2 and ll[1] == pytest.approx(ll[4])
+    assert ll[1] - ll[2] == pytest.approx(math.log(10)) and ll[2] - ll[3] == pytest.approx(math.log(1 / lm.UNSEEN))
+    total = sum(10 if i < 1000 else 1 for i, w in enumerate(rare) if bucket(w) == bucket(ten))
+    context = np.full((1, 2 * lm.SIDE), lm.SYMBOLS)
+    assert ll[1] == pytest.approx(float(lm.log_probs(params, context, np.array([bucket(ten) + lm.SYMBOLS - lm.BUCKETS]))[0]) + math.log(10 / (total + lm.UNSEEN)), abs=1e-4)
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(900)]
