@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import groupby
+from collections import Counter, defaultdict, deque
+from itertools import groupby, takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +75,43 @@ def greedy_match(pairs: DataFrame, keys: list[str], threshold: float) -> DataFra
     return fold(pairs.select(*keys, "ref", "item", "similarity"), keys, ["ref", "item"], walk, f"ref {kinds['ref']}, item {kinds['item']}, similarity double")
 
 
+def greedy_match_sets(refs: DataFrame, items: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """greedy_match by the Jaccard similarity of token sets, without a table of pairs; pairs that share no token never match.
+
+    refs: keys, ref, tokens; items: keys, item, tokens; the ids of a key differ. Items with equal sets wait in one queue, and each distinct set of a
+    reference is compared once with the distinct sets that share a token with it, so the work grows with the rows and the distinct sets. All rows
+    of a key are walked in one task.
+    """
+
+    def walk(rows: list[dict]) -> list[tuple]:
+        queues: dict[frozenset, deque] = defaultdict(deque)
+        holders, ways, kept = defaultdict(list), {}, []
+        for r in rows:
+            r["_tokens"] = frozenset(r["_tokens"])
+            if r["_side"]:
+                queues[r["_tokens"]].append(r["_id"])
+        for own in queues:
+            for token in own:
+                holders[token].append(own)
+        for r in rows:
+            own = r["_tokens"]
+            if r["_side"]:
+                continue
+            if own not in ways:
+                shared = Counter(other for token in own for other in holders.get(token, ()))
+                scores = ((n / (len(own) + len(other) - n), other) for other, n in shared.items())
+                ways[own] = sorted((x for x in scores if x[0] >= threshold), key=lambda x: -x[0])
+            ways[own] = [x for x in ways[own] if queues[x[1]]]
+            if ways[own]:
+                top = ways[own][0][0]
+                best = min((queues[other] for _, other in takewhile(lambda x: x[0] == top, ways[own])), key=lambda q: q[0])  # noqa: B023
+                kept.append((r["_id"], best.popleft(), top))
+        return kept
+
+    side = lambda df, name, tag: df.select(*keys, F.lit(tag).alias("_side"), F.col(name).alias("_id"), F.col("tokens").alias("_tokens"))
+    return fold(side(refs, "ref", 0).unionByName(side(items, "item", 1)), keys, ["_side", "_id"], walk, f"ref {dict(refs.dtypes)['ref']}, item {dict(items.dtypes)['item']}, similarity double")
+
+
 def rubric(counts: DataFrame, by: str = "study") -> DataFrame:
     """accuracy = matched / (reference + spurious), recall = matched / reference, overall and by study; 1 over nothing. counts: by, category, n_reference, n_delivered, n_matched. Categories without a reference are not scored."""
     rows = counts.filter("n_reference > 0")

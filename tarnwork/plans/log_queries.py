@@ -185,13 +185,12 @@ SELECT study, sum(r)::BIGINT AS n_reference, sum(m)::BIGINT AS n_matched, sum(gr
 
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large parts matched one to one with small ones of their brand and hundred of keys, by name."""
-    from ..functions.text import jaccard, tokens
+    """Large parts matched one to one with small ones of their brand, by name."""
+    from ..functions.text import tokens
 
-    p = table(spark, sf_dir, "part").select("p_brand", F.floor(F.col("p_partkey") / 100).alias("hundred"), "p_partkey", "p_size", tokens(F.col("p_name")).alias("t"))
-    a, b = p.filter("p_size > 25"), p.filter("p_size <= 25").select("p_brand", "hundred", F.col("p_partkey").alias("item"), F.col("t").alias("u"))
-    pairs = a.join(b, ["p_brand", "hundred"]).select("p_brand", "hundred", F.col("p_partkey").alias("ref"), "item", jaccard(F.col("t"), F.col("u")).alias("similarity")).filter("similarity > 0")
-    return scoring.greedy_match(pairs, ["p_brand", "hundred"], 0.3)
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", tokens(F.col("p_name")).alias("tokens"))
+    refs, items = p.filter("p_size > 25").withColumnRenamed("p_partkey", "ref"), p.filter("p_size <= 25").withColumnRenamed("p_partkey", "item")
+    return scoring.greedy_match_sets(refs, items, ["p_brand"], 0.3)
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

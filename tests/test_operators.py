@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import text as T
 from tarnwork.operators import audit, calibration, grids, matching, scoring, sections, stitching, voting
-from tarnwork.plans import assembly
+from tarnwork.plans import assembly, log_queries
 from tarnwork.sources import files
 from tarnwork.streaming import log
 
@@ -59,6 +59,28 @@ def test_greedy_takes_in_order(spark):
     assert values(scoring.greedy_match(pairs, ["study"], 0.3)) == [("s", 1, 7, 0.6)]
 
 
+def test_greedy_matches_the_whole_key(spark):
+    rng = random.Random(4)
+    words = ["a", "b", "c", "d", "e"]
+    rows = [(rng.choice("xy"), i, sorted(rng.sample(words, rng.randrange(4)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, id long, tokens array<string>")
+    refs, items = df.filter("id % 3 > 0").withColumnRenamed("id", "ref"), df.filter("id % 3 = 0").withColumnRenamed("id", "item")
+    pairs = refs.withColumnRenamed("tokens", "t").join(items, "k").select("k", "ref", "item", T.jaccard(F.col("t"), F.col("tokens")).alias("similarity"))
+    assert values(scoring.greedy_match_sets(refs, items, ["k"], 0.3)) == values(scoring.greedy_match(pairs, ["k"], 0.3))
+
+
+def test_greedy_query_takes_all_parts_of_a_brand(spark):
+    got = values(log_queries.greedy_match(spark, "/root/testdata/sf0.001").select("p_brand", "ref", "item", "similarity"))
+    parts = [(r.p_brand, r.p_partkey, r.p_size, set(r.p_name.lower().split())) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").orderBy("p_partkey").collect()]
+    used, want = set(), []
+    for brand, ref, size, own in parts:
+        near = [(-len(own & t) / len(own | t), item) for b, item, s, t in parts if b == brand and s <= 25 and item not in used] if size > 25 else []
+        if near and -min(near)[0] >= 0.3:
+            used.add(min(near)[1])
+            want.append((brand, ref, min(near)[1], -min(near)[0]))
+    assert got == sorted(want, key=str) and any(ref // 100 != item // 100 for _, ref, item, _ in got)
+
+
 def test_sections(spark):
     s = spark.createDataFrame([(1, 0, 1, 10.0, 1, "A", "history"), (1, 1, 1, 50.0, 2, "B", None), (1, 2, 2, 20.0, 1, "C", None)], "doc_id long, ord int, page int, y0 double, level int, title string, type string")
     b = spark.createDataFrame([(1, 0, 1, 5.0, 9.0, "x"), (1, 1, 1, 9.8, 9.0, "y"), (1, 2, 2, 90.0, 9.0, "z")], "doc_id long, ord int, page int, y0 double, size double, text string")
