@@ -109,6 +109,30 @@ def test_stitching(spark):
     assert values(stitching.ruled_boxes(lines)) == [(1, 1, 0, 0.0, 0.0, 10.0, 9.0, 2), (1, 1, 1, 50.0, 0.0, 60.0, 0.0, 1)]
 
 
+def test_stitching_by_headers(spark):
+    e, f, g = [10.0, 50.0, 90.0], [10.0, 30.0, 90.0], [10.0, 50.0, 90.0, 120.0]
+    two, one = [["Visit", "V1"], ["Day", "1"]], [["Visit (continued)", "V1"], ["Lab", "x"]]
+    cases = {
+        "aligned edges alone": [(1, e, two, None, False), (2, e, [["Lab", "x"]], None, False)],
+        "repeated header": [(1, e, two, None, False), (2, e, two, None, False)],
+        "same page": [(1, e, two, None, False), (1, e, two, None, False)],
+        "fewer header rows": [(1, e, two, None, False), (2, e, two, None, False), (3, e, one, None, False)],
+        "other columns": [(1, e, [["Visit", ""]], None, False), (2, e, [["", "Visit"]], None, False)],
+        "one column more": [(1, e, [["Visit", "V1"]], None, False), (2, g, [["Visit", "V1", "V2"]], None, False)],
+        "cue, unknown edges": [(1, None, two, None, False), (2, None, [["Lab", "x"]], None, True)],
+        "header, unknown edges": [(1, None, two, None, False), (2, None, two, None, False)],
+        "other widths": [(1, e, two, None, False), (2, f, two, None, False)],
+        "new caption": [(1, e, two, None, False), (2, e, two, "Table 2", True)],
+        "continued caption": [(1, e, two, None, False), (2, e, two, "Table 1 (continued)", True)],
+        "blank header": [(1, e, [["", ""]], None, False), (2, f, [["", ""]], None, False)],
+    }
+    rows = [(name, i, page, float(i), edges, header, caption, cue) for name, own in cases.items() for i, (page, edges, header, caption, cue) in enumerate(own)]
+    got = stitching.stitch(spark.createDataFrame(rows, "doc_id string, table_ix int, page int, y0 double, edges array<double>, header array<array<string>>, caption string, cue boolean"))
+    last = {r.doc_id: r.verdict for r in got.orderBy("table_ix").collect()}
+    assert {k for k, v in last.items() if v == "CONTINUATION"} == {"repeated header", "header, unknown edges", "continued caption"}
+    assert {k for k, v in last.items() if v == "SEPARATE"} == {"same page", "blank header"}
+
+
 def test_binomial_bounds():
     from math import comb
 
