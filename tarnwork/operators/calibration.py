@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the calibration.
 LEAST_N, DELTA = 47, 0.1
+FOLDS, LEAST_FOLDED = 5, 10
 GRID = tuple(round(0.99 - 0.01 * k, 2) for k in range(99))
 
 
@@ -50,11 +51,61 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, l2: float = 1
     return w
 
 
-def predict(features: list[str], weights: np.ndarray) -> Column:
+def logit(features: list[str], weights: np.ndarray) -> Column:
     z = F.lit(float(weights[0]))
     for f, v in zip(features, weights[1:].tolist(), strict=True):
         z = z + F.col(f).cast("double") * v
-    return 1 / (1 + F.exp(-z))
+    return z
+
+
+def predict(features: list[str], weights: np.ndarray, platt: tuple[float, float] = (1.0, 0.0)) -> Column:
+    """Probabilities; platt: slope and intercept of fit_calibrated."""
+    return 1 / (1 + F.exp(-(logit(features, weights) * platt[0] + platt[1])))
+
+
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds _i, the place in the order from 0; rows stay in their partitions, and the driver gets a count of each."""
+    placed = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before, starts = 0, []
+    for r in counts:
+        starts.append((r["_part"], before))
+        before += r["n"]
+    starts = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_i", F.col("_start") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_start")
+
+
+def folds(rows: DataFrame, order: list[str], group: str | None = None) -> tuple[str, DataFrame, list]:
+    """How rows are held out, rows with _fold, and the folds: each group of two or more ("groups"); else the place in the order modulo FOLDS ("kfold"); else, under LEAST_FOLDED rows, none ("in_sample")."""
+    if group is not None:
+        names = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
+        if len(names) >= 2:
+            return "groups", rows.withColumn("_fold", F.col(group)).checkpoint(), names
+    if rows.count() >= LEAST_FOLDED:
+        return "kfold", _numbered(rows, order).withColumn("_fold", F.col("_i") % FOLDS).drop("_i").checkpoint(), list(range(FOLDS))
+    return "in_sample", rows.withColumn("_fold", F.lit(None).cast("int")), []
+
+
+def fit_calibrated(rows: DataFrame, features: list[str], label: str, order: list[str], group: str | None = None, l2: float = 1.0) -> tuple[np.ndarray, tuple[float, float], str]:
+    """Weights of the fit on all rows, Platt's slope and intercept, and how rows were held out.
+
+    Each row's logit comes from a fit without its fold; slope and intercept are fitted on these logits against Platt's smoothed targets. Needs the
+    session's checkpoint folder. Rows without a label are for the caller to leave out.
+    """
+    mode, placed, held = folds(rows.select(*dict.fromkeys([*features, label, *order, *([group] if group else [])])), order, group)
+    weights = fit_logistic(placed, features, label, l2)
+    z = logit(features, weights)
+    if held:
+        z = F.lit(None).cast("double")
+        for fold in held:
+            own = F.col("_fold").eqNullSafe(F.lit(fold))
+            z = F.when(own, logit(features, fit_logistic(placed.filter(~own), features, label, l2))).otherwise(z)
+    good = F.col(label).cast("double") > 0.5
+    n_good, n_bad = placed.agg(F.count_if(good), F.count_if(~good)).first()
+    target = F.when(good, (n_good + 1) / (n_good + 2)).otherwise(1 / (n_bad + 2))
+    intercept, slope = fit_logistic(placed.select(z.alias("_z"), target.alias("_t")), ["_z"], "_t", l2=1e-6)
+    return weights, (float(slope), float(intercept)), mode
 
 
 @lru_cache(maxsize=256)

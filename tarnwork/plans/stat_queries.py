@@ -31,11 +31,11 @@ WITH {FEATURES_SQL} SELECT doc_id, correct, coalesce(lang = 'de', false)::DOUBLE
 
 
 def fitted_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of a penalised logistic fit on the labelled documents."""
+    """Calibrated probabilities of a penalised logistic fit on the labelled documents."""
     names = ["odd", "odd_missing", "log_span_length"]
     rows = encoded_features(spark, sf_dir)
-    weights = C.fit_logistic(rows.filter("correct is not null"), names, "correct")
-    return rows.select("doc_id", "correct", F.round(C.predict(names, weights), 6).alias("probability"))
+    weights, platt, _ = C.fit_calibrated(rows.filter("correct is not null"), names, "correct", ["doc_id", *names, "correct"])
+    return rows.select("doc_id", "correct", F.round(C.predict(names, weights, platt), 6).alias("probability"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

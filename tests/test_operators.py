@@ -164,6 +164,31 @@ def test_logistic_is_the_optimum(spark):
     assert np.abs(gradient).max() < 1e-6
 
 
+def test_calibration_is_out_of_fold(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, 60)
+    y = (rng.random(60) < 1 / (1 + np.exp(-2 * x))).astype(float)
+
+    def newton(z, t, l2):
+        full, w = np.column_stack([np.ones(len(z)), z]), np.zeros(2)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-full @ w))
+            w = w + np.linalg.solve((full.T * (p * (1 - p))) @ full + np.diag([0, l2]), full.T @ (t - p) - np.array([0, l2]) * w)
+        return w
+
+    place = np.arange(60)
+    for group, mode, fold in ((None, "kfold", place % 5), ("g", "groups", place // 25)):
+        df = spark.createDataFrame([(int(i), float(a), bool(b), int(i) // 25) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i int, x double, y boolean, g int").repartition(3)
+        z = np.zeros(60)
+        for f in np.unique(fold):
+            w = newton(x[fold != f], y[fold != f], 1.0)
+            z[fold == f] = w[0] + w[1] * x[fold == f]
+        want = newton(z, np.where(y > 0.5, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)), 1e-6)
+        weights, platt, got = calibration.fit_calibrated(df, ["x"], "y", ["i"], group)
+        assert got == mode and weights == pytest.approx(newton(x, y, 1.0), abs=1e-6) and platt == pytest.approx((want[1], want[0]), abs=1e-5)
+    assert calibration.fit_calibrated(df.filter("i < 9"), ["x"], "y", ["i"])[2] == "in_sample"
+
+
 def test_matching(spark):
     c = spark.createDataFrame([(1, 0, 0, "time to first event"), (1, 1, 0, "first event time to"), (1, 1, 1, "other thing")], "doc_id long, member int, ord int, text string")
     assert values(matching.align(c).select("member", "ord", "slot")) == [(0, 0, 0), (1, 0, 0), (1, 1, 1)]
