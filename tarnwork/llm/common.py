@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: 0x20 and 0x09-0x0D, the separators of a word
 WS = np.zeros(256, bool)
@@ -26,19 +29,17 @@ _GRAM = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; a cluster has to name one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
-        import tempfile
-
-        current = spark.sparkContext.getCheckpointDir()
-        where = current or f"file://{tempfile.mkdtemp(prefix='tarnwork-')}"
-        if not current:
-            spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='tarnwork-')}"
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def checkpointed(df):
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
@@ -48,6 +49,25 @@ def new_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and the table's path, for deleted()."""
+    path = new_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Removes folders that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, marked to be sent to every task if a count shows that it has no more than `most` rows; else a join deals both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; any store that pyarrow reaches."""
     return pafs.FileSystem.from_uri(uri) if ":" in uri else (pafs.LocalFileSystem(), uri)
@@ -68,7 +88,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("") if column.null_count else column
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if not len(column) or data is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

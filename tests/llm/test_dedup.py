@@ -77,9 +77,9 @@ def brute_components(docs, n, percent):
     return sorted((low(i), len(s), least[root(x)]) for x, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize(("n", "percent", "paired", "block"), [(3, 90, 16, 512), (5, 80, 2, 4), (2, 60, 3, 8)])
-def test_jaccard(spark, monkeypatch, n, percent, paired, block):
-    monkeypatch.setattr(ngram_jaccard, "MOST_PAIRED", paired)
+@pytest.mark.parametrize(("n", "percent", "light", "block"), [(3, 90, 16, 2048), (5, 80, 1, 4), (2, 60, 2, 8), (1, 50, 3, 30)])
+def test_jaccard(spark, monkeypatch, n, percent, light, block):
+    monkeypatch.setattr(ngram_jaccard, "LIGHT", light)
     monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
     low = lambda i: -(2**63) if i is None else i
     got = sorted((low(r.doc_id), r.n_shingles, low(r.component_id)) for r in jaccard_components(table(spark, odd_docs()), n, percent).collect())
@@ -94,6 +94,23 @@ def test_jaccard_keeps_one(spark):
     assert sorted(low(r.doc_id) for r in got.collect()) == sorted(i for i, _, c in brute_components(odd_docs(), 5, 80) if i == c)
 
 
+def test_jaccard_with_colliding_names(spark, monkeypatch):
+    """With names of five bits nearly all sets collide at first; all get other names."""
+    prepared = ngram_jaccard._prepared
+    monkeypatch.setattr(ngram_jaccard, "_prepared", lambda docs, n, percent: prepared(docs, n, percent, bits=5))
+    low = lambda i: -(2**63) if i is None else i
+    got = sorted((low(r.doc_id), r.n_shingles, low(r.component_id)) for r in jaccard_components(table(spark, odd_docs()), 5, 80).collect())
+    assert got == brute_components(odd_docs(), 5, 80)
+
+
+def test_jaccard_keeps_rows_not_ids(spark):
+    t, u = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    docs = [(1, t), (5, t + " zz"), (5, u), (-(2**63), u + " y"), (9, "c d e f g h"), (9, "c d e f g h"), (7, None), (7, None), (None, "x1 x2 x3 x4 x5 x6"), (3, "x1  x2 x3 x4 x5 x6")]
+    got = sorted(((r.doc_id, r.text) for r in one_of_each_group(table(spark, docs), 5, 80).collect()), key=str)
+    want = [(1, t), (-(2**63), u + " y"), (9, "c d e f g h"), (7, None), (7, None), (None, "x1 x2 x3 x4 x5 x6")]
+    assert got == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("hot", [5_000, 1])
 def test_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr("tarnwork.llm.substring_dedup.HOT", hot)
