@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, few, written
 
 #: a word is a run of characters other than 0x20 and 0x09-0x0D
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,8 +13,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: metric -> least distance of its fence from the median; a metric ending in _low has a fence below
 MARGINS = {"symbols": 20, "dup_lines": 300, "word_length": 400, "word_length_low": 300}
-#: a (language, source) with fewer documents takes the quantiles of its language, a language with fewer those of the corpus
-LEAST_ROWS = 100
+#: documents that the quantiles of a language weigh as in those of its sources, and those of the corpus in those of its languages
+PRIOR = 100
 #: fences stand at so many distances between median and lower quartile
 REACH = 6
 #: relative rank error of the sketches is one in so many
@@ -68,31 +68,30 @@ def fences(measured: DataFrame) -> DataFrame:
     """lang, source, and for each metric the value beyond which a document is rejected.
 
     One mergeable quantile sketch per metric and group; sketches of a group are built in every task and merged after the shuffle, so that a
-    source with a third of all rows sends one sketch per task. Only the lower half of a distribution sets its fences, so junk may make up to
-    half of a group. Documents without words take no part. Null languages and sources are groups of their own. The driver gets the quantiles of
-    the whole corpus, one row.
+    source with a third of all rows sends one sketch per task. The quantiles of n documents of a source are drawn to those of its language, as
+    if these came from PRIOR documents more, and those of a language to those of the corpus: one rule for groups of any size. Only the lower
+    half of a distribution sets its fences, so junk may make up to half of a group. Documents without words take no part. Null languages and
+    sources are groups of their own. The driver gets the quantiles of the whole corpus, one row.
     """
     metrics = ["symbols", "dup_lines", "word_length"]
     quantiles = [F.percentile_approx(m, [0.25, 0.5], ACCURACY).alias(m) for m in metrics]
     cube = checkpointed(measured.filter("n_words > 0").rollup("lang", "source").agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quantiles))
     by_source, by_lang = (cube.filter(F.col("_level") == k).drop("_level") for k in (0, 1))
     whole = cube.filter(F.col("_level") == 3).select(*metrics).first() or {m: [0, 0] for m in metrics}
-    renamed = lambda df, tag: df.select(*(F.col(c).alias(f"{c}{tag}") for c in df.columns))
-    out = renamed(by_source, "_s").join(renamed(by_lang, "_l"), F.col("lang_s").eqNullSafe(F.col("lang_l")))
-    pick = {m: F.when(F.col("_n_s") >= LEAST_ROWS, F.col(f"{m}_s")).when(F.col("_n_l") >= LEAST_ROWS, F.col(f"{m}_l")).otherwise(F.array(*map(F.lit, whole[m]))) for m in metrics}
-    out = out.select(F.col("lang_s").alias("_lang"), F.col("source_s").alias("_source"), *(v.alias(m) for m, v in pick.items()))
-    reach = {m: F.greatest(REACH * (F.col(m)[1] - F.col(m)[0]), F.lit(MARGINS[m])) for m in metrics}
-    high = [(F.col(m)[1] + reach[m]).alias(f"_most_{m}") for m in metrics]
-    low = F.col("word_length")[1] - F.greatest(REACH * (F.col("word_length")[1] - F.col("word_length")[0]), F.lit(MARGINS["word_length_low"]))
-    return out.select("_lang", "_source", *high, low.alias("_least_word_length"))
+    drawn = lambda n, own, parent: (F.col(n) * own + F.lit(float(PRIOR)) * parent) / (F.col(n) + F.lit(float(PRIOR)))
+    by_lang = by_lang.select(F.col("lang").alias("lang_l"), *(drawn("_n", F.col(m)[k], F.lit(float(whole[m][k]))).alias(f"{m}_{k}") for m in metrics for k in (0, 1)))
+    out = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_l")))
+    low, mid = ({m: drawn("_n", F.col(m)[k], F.col(f"{m}_{k}")) for m in metrics} for k in (0, 1))
+    most = [(mid[m] + F.greatest(REACH * (mid[m] - low[m]), F.lit(float(MARGINS[m])))).alias(f"_most_{m}") for m in metrics]
+    least = mid["word_length"] - F.greatest(REACH * (mid["word_length"] - low["word_length"]), F.lit(float(MARGINS["word_length_low"])))
+    return out.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *most, least.alias("_least_word_length"))
 
 
 def _judged(docs: DataFrame, carried: list[Column]) -> DataFrame:
-    rows = docs.select("text", "lang", "source", *carried)
-    limits = checkpointed(fences(_metrics(base_columns(docs.select("text", "lang", "source")))))
-    if limits.count() <= MOST_SENT:
-        limits = F.broadcast(limits)
-    out = _metrics(base_columns(rows)).join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    """Rows are measured once and written with what is carried of them; the fences and the verdicts come from the written numbers."""
+    measured, _ = written(_metrics(base_columns(docs.select("text", "lang", "source", *carried))).drop("text"), "measured")
+    limits = few(checkpointed(fences(measured)), MOST_SENT)
+    out = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = (F.col("symbols") <= F.col("_most_symbols")) & (F.col("dup_lines") <= F.col("_most_dup_lines")) & (F.col("word_length") <= F.col("_most_word_length")) & (F.col("word_length") >= F.col("_least_word_length"))
     return out.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(inside, F.lit(False))})
@@ -102,7 +101,8 @@ def judged(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text, lang, source): doc_id, the base columns, base_failed, kept.
 
     Null text counts as empty, which fails the base rules. Null languages and sources are groups like others; repeated rows and null doc_ids are
-    judged like others. An empty table gives no rows. Other columns are ignored.
+    judged like others. An empty table gives no rows. Other columns are ignored. Groups of more than about ACCURACY / 2 rows have sketched
+    quantiles, whose rank is off by one in ACCURACY at most; a document so near a fence may be judged otherwise when tasks end in another order.
     """
     return _judged(docs, [F.col("doc_id")]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

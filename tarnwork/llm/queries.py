@@ -11,7 +11,7 @@ from .lm_scoring import score_documents
 from .ngram_jaccard import jaccard_components
 from .packing import pack_documents
 from .pii import personal_spans
-from .quality_rules import LEAST_ROWS, MARGINS, REACH, judged
+from .quality_rules import MARGINS, PRIOR, REACH, judged
 from .sentencepiece_codec import round_trip
 from .substring_dedup import drop_repeats
 from .token_binary import token_shards
@@ -105,10 +105,13 @@ q AS (
   UNION ALL
   SELECT 2, NULL, NULL, k, max(n), min(x) FILTER (i >= ceil(0.25 * n)), min(x) FILTER (i >= ceil(0.5 * n))
   FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x) AS i, count(*) OVER (PARTITION BY k) AS n FROM v) GROUP BY k),
-f AS (
-  SELECT s.lang, s.source, s.k, CASE WHEN s.n >= {LEAST_ROWS} THEN s.mid WHEN l.n >= {LEAST_ROWS} THEN l.mid ELSE a.mid END AS mid,
-    {REACH} * CASE WHEN s.n >= {LEAST_ROWS} THEN s.mid - s.lo WHEN l.n >= {LEAST_ROWS} THEN l.mid - l.lo ELSE a.mid - a.lo END AS reach
-  FROM q s JOIN q l ON s.level = 0 AND l.level = 1 AND s.lang IS NOT DISTINCT FROM l.lang AND s.k = l.k JOIN q a ON a.level = 2 AND a.k = s.k),
+l AS (
+  SELECT l.lang, l.k, (l.n * l.lo + {PRIOR}::DOUBLE * a.lo) / (l.n + {PRIOR}::DOUBLE) AS lo, (l.n * l.mid + {PRIOR}::DOUBLE * a.mid) / (l.n + {PRIOR}::DOUBLE) AS mid
+  FROM q l JOIN q a ON l.level = 1 AND a.level = 2 AND l.k = a.k),
+e AS (
+  SELECT s.lang, s.source, s.k, (s.n * s.lo + {PRIOR}::DOUBLE * l.lo) / (s.n + {PRIOR}::DOUBLE) AS lo, (s.n * s.mid + {PRIOR}::DOUBLE * l.mid) / (s.n + {PRIOR}::DOUBLE) AS mid
+  FROM q s JOIN l ON s.level = 0 AND s.lang IS NOT DISTINCT FROM l.lang AND s.k = l.k),
+f AS (SELECT lang, source, k, mid, {REACH} * (mid - lo) AS reach FROM e),
 j AS (
   SELECT r, bool_and(CASE k WHEN 1 THEN v1 <= mid + greatest(reach, {MARGINS["symbols"]}) WHEN 2 THEN v2 <= mid + greatest(reach, {MARGINS["dup_lines"]})
     ELSE v3 <= mid + greatest(reach, {MARGINS["word_length"]}) AND v3 >= mid - greatest(reach, {MARGINS["word_length_low"]}) END) AS inside
