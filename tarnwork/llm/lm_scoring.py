@@ -1,32 +1,49 @@
 """Pseudo-likelihood of documents under a bidirectional window network, trained on the corpus.
 
-Words become the most frequent words of the corpus and, for the rest, buckets by hash. The network sees the two words on either side of a
-masked word and predicts it: first its class of frequency, then the word in the class. A word of a bucket then has its share of the bucket, by
-its count in the corpus: the counts of all words are a written table, which the rarer words of documents are joined to. A document's score is
-the sum of the log-probabilities of all its words, each given its neighbours.
+The most frequent words of the corpus are symbols; all rarer ones share a symbol, and which of them it is follows from a model of their
+spelling. The network sees the two words on either side of a masked word and predicts it: first its class of frequency, then the symbol in the
+class, then the bytes of a rarer word. So every word has a probability of its own, and a document's score is the sum of the log-probabilities
+of all its words, each given its neighbours.
+
+Texts are also cut into chunks where two neighbouring words say so, about 16 words each, and a written table counts every chunk of the corpus.
+A chunk that the corpus has m times elsewhere is predicted by a mixture of the network, which weighs as one occurrence, and these m.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, find_words, hash_words, mix, new_dir
+from .common import blocks, few, find_words, hash_words, mix, ragged, written
 
-#: symbols of the network, in so many classes of equal size; the last BUCKETS symbols are buckets of rarer words
-CLASSES, CLASS_SIZE, BUCKETS = 32, 32, 128
+#: symbols of the network, in so many classes of equal size; the last symbol stands for all rarer words
+CLASSES, CLASS_SIZE = 64, 64
 SYMBOLS = CLASSES * CLASS_SIZE
+RARE = SYMBOLS - 1
+#: as neighbours, rarer words are one of so many buckets by hash
+BUCKETS = 1024
+#: a place beyond either end of a text
+EDGE = RARE + BUCKETS
 #: words on either side, numbers of an embedding and of the hidden layer
-SIDE, EMBED, HIDDEN = 2, 16, 32
-#: one word in so many is masked in a round of training
-MASK_ONE_IN = 8
-ROUNDS, RATE, BATCH = 2, 0.1, 2048
-#: occurrences that all words of a bucket unseen in the corpus count as, together
-UNSEEN = 0.5
+SIDE, EMBED, HIDDEN = 2, 24, 48
+#: rounds of training; a word is masked in one of them
+ROUNDS = 2
+#: words of a step of training: fewer in the first steps of a task
+RATE, FIRST_STEPS, FIRST_BATCH, BATCH = 0.1, 256, 1024, 8192
+#: words that a training task has at least, if there are so many
+TASK_WORDS = 4_000_000
+#: places before a byte that its probability follows from are hashed to so many cells
+CELLS = 1024
+#: one place between words in so many ends a chunk; chunks of fewer words are left to the network
+CHUNK, LEAST_CHUNK = 16, 4
+#: occurrences that the network weighs as, beside those of a chunk elsewhere in the corpus
+NETWORK = 1.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -35,13 +52,19 @@ Params = dict[str, np.ndarray]
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
-    """Parameters; symbol SYMBOLS stands for the place beyond either end of a text."""
-    return {"embed": (SYMBOLS + 1, EMBED), "mix": (2 * SIDE * EMBED, HIDDEN), "bias": (HIDDEN,), "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "word": (CLASSES, HIDDEN, CLASS_SIZE), "word_bias": (CLASSES, CLASS_SIZE)}
+    """Parameters of the network."""
+    return {"embed": (EDGE + 1, EMBED), "mix": (2 * SIDE * EMBED, HIDDEN), "bias": (HIDDEN,), "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "word": (CLASSES, HIDDEN, CLASS_SIZE), "word_bias": (CLASSES, CLASS_SIZE)}
 
 
-def initial() -> Params:
+def initial(counts: np.ndarray | None = None) -> Params:
+    """The network before training. counts: occurrences of each symbol, which it predicts in proportion, whatever the neighbours."""
     rng = np.random.default_rng(7)
-    return {k: (np.zeros(s) if "bias" in k else rng.normal(0, 0.1 if k == "embed" else s[-2] ** -0.5, s)).astype(np.float32) for k, s in shapes().items()}
+    out = {k: (rng.normal(0, 0.1, s) if len(s) > 1 and "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in shapes().items()}
+    if counts is not None:
+        share = (counts + 0.5).reshape(CLASSES, CLASS_SIZE)
+        out["class_bias"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
+        out["word_bias"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+    return out
 
 
 def flat(params: Params) -> np.ndarray:
@@ -62,7 +85,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def log_probs(params: Params, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probabilities of targets given contexts [n][2 * SIDE]. What each symbol adds to the hidden layer at each place is looked up."""
+    """Log-probabilities of target symbols given contexts [n][2 * SIDE]. What each neighbour adds to the hidden layer at each place is looked up."""
     tables = [params["embed"] @ params["mix"][k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
     out = np.empty(len(target), np.float32)
     for at in range(0, len(target), 1 << 15):
@@ -112,26 +135,60 @@ def gradients(params: Params, context: np.ndarray, target: np.ndarray) -> Params
 
 
 class Symbols:
-    """The corpus vocabulary: hashes of its most frequent words, most frequent first, occurrences of each bucket, and where the counts of all words are written."""
+    """The corpus vocabulary: hashes of its most frequent words, most frequent first."""
 
-    def __init__(self, hashes: list[int], totals: np.ndarray | None = None, counts: str | None = None) -> None:
-        self.totals, self.counts = np.zeros(BUCKETS) if totals is None else totals, counts
+    def __init__(self, hashes: list[int]) -> None:
         keys = np.array(hashes, np.int64).view(np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
-        rare = (SYMBOLS - BUCKETS + (mix(words) % np.uint64(BUCKETS))).astype(np.int64)
+        """Words as neighbours: their symbol, or RARE + bucket. As targets, all of the latter are RARE."""
+        rare = (RARE + (mix(words) % np.uint64(BUCKETS))).astype(np.int64)
         if not len(self.keys):
             return rare
         at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         return np.where(self.keys[at] == words, self.order[at], rare)
 
 
-def _block_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Model(NamedTuple):
+    symbols: Symbols
+    params: Params
+    #: [cell][byte] occurrences in rarer words; 0x20 ends a word
+    spelling: np.ndarray
+    #: where the counts of all words (kind 0) and chunks (kind 1) of the corpus are written: kind, key, n
+    counts: str
+
+
+class Words(NamedTuple):
+    """Words of a block of texts, in lower case."""
+
+    low: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    #: n + 1 offsets of the rows
+    first: np.ndarray
+    hashes: np.ndarray
+
+
+def block_words(buf: np.ndarray, off: np.ndarray) -> Words:
     low = _LOWER[buf]
     starts, ends, first = find_words(low, off)
-    return hash_words(low, starts, ends), first
+    return Words(low, starts, ends, first, hash_words(low, starts, ends))
+
+
+def chunks(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of each chunk of a block; a chunk's borders depend on the words beside them alone, so copies have equal chunks."""
+    h, n = words.hashes, len(words.hashes)
+    if not n:
+        return np.zeros(0, np.int64), h
+    new = np.zeros(n, bool)
+    with np.errstate(over="ignore"):
+        new[1:] = mix(h[1:] * np.uint64(3) + h[:-1]) % np.uint64(CHUNK) == 0
+        new[words.first[words.first < n]] = True
+        at = np.flatnonzero(new)
+        place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+        return at, mix(np.add.reduceat(mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at))
 
 
 def _contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -139,113 +196,179 @@ def _contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     pad = SIDE + len(first) * SIDE
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     place = np.arange(len(ids)) + SIDE * (row + 1)
-    wide = np.full(len(ids) + pad, SYMBOLS, np.int64)
+    wide = np.full(len(ids) + pad, EDGE, np.int32)
     wide[place] = ids
     return np.stack([wide[place + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def vocabulary(docs: DataFrame) -> Symbols:
-    """Writes the counts of all words of all documents; the most frequent, ties by hash, become symbols. The driver gets no more than SYMBOLS - BUCKETS words and a sum for each bucket."""
+def _letters(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the bytes of chosen words and the end of each: cell * 256 + byte, and the first of each word."""
+    lens = words.ends[which] - words.starts[which] + 1
+    first = np.cumsum(lens) - lens
+    data = np.full(int(lens.sum()) + 2, 32, np.int64)
+    inner = np.ones(len(data) - 2, bool)
+    inner[first + lens - 1] = False
+    data[2:][inner] = words.low[ragged(words.starts[which], lens - 1)]
+    one, two = data[1:-1].copy(), data[:-2].copy()
+    one[first], two[first] = 32, 32
+    two[(first + 1)[lens > 1]] = 32
+    return ((one * 31 + two * 257) * 0x9E3779B1 >> 7) % CELLS * 256 + data[2:], first
+
+
+def rare_words(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rarer words of a block: their places, the first of each distinct one, which distinct one each is, and how often each comes."""
+    at = np.flatnonzero(ids >= RARE)
+    _, where, back, n = np.unique(words.hashes[at], return_index=True, return_inverse=True, return_counts=True)
+    return at, at[where], back, n
+
+
+def counted(docs: DataFrame) -> str:
+    """Writes the counts of all words and chunks of all documents; returns where."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, off in blocks(batches):
-            words, n = np.unique(_block_words(buf, off)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+            words = block_words(buf, off)
+            for kind, keys in enumerate((words.hashes, chunks(words)[1])):
+                key, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "kind byte, key long, n long")
+    return written(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")[1]
+
 
-    path = new_dir(docs.sparkSession, "words")
-    docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
-    counts = docs.sparkSession.read.schema("word long, n long").parquet(path)
-    hashes = [x["word"] for x in counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - BUCKETS).collect()]
-    symbols = Symbols(hashes)
+def _counts(docs: DataFrame, path: str, kind: int) -> DataFrame:
+    return docs.sparkSession.read.schema("kind byte, key long, n long").parquet(path).filter(F.col("kind") == kind).select("key", "n")
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(SYMBOLS, np.int64)
+
+def _merged(rows: DataFrame, tasks: int) -> tuple[Params | None, np.ndarray]:
+    """The weighted mean of the networks and the sum of the spellings of rows (words, params, spelling), 16 at a time."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, params, spelling = 0, 0.0, np.zeros(CELLS * 256, np.int64)
         for batch in batches:
-            np.add.at(sums, symbols(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums[SYMBOLS - BUCKETS :])], ["bucket", "n"])
+            for n, p, s in zip(*(batch.column(k).to_pylist() for k in ("words", "params", "spelling")), strict=True):
+                words, params = words + n, params + n * np.frombuffer(p, np.float32).astype(np.float64)
+                spelling += np.frombuffer(zlib.decompress(s), np.int64)
+        if words:
+            yield _network_row(words, params / words, spelling)
 
-    totals = np.zeros(BUCKETS)
-    for x in counts.mapInArrow(total, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        totals[x["bucket"]] = x["n"]
-    return Symbols(hashes, totals, path)
+    while True:
+        tasks = -(-tasks // 16)
+        rows = rows.repartition(tasks).mapInArrow(merge, "words long, params binary, spelling binary")
+        if tasks == 1:
+            break
+    got = rows.collect()
+    return (unflat(np.frombuffer(got[0]["params"], np.float32)), np.frombuffer(zlib.decompress(got[0]["spelling"]), np.int64)) if got else (None, np.zeros(CELLS * 256, np.int64))
 
 
-def _round(docs: DataFrame, symbols: Symbols, params: Params, number: int) -> Params:
-    """One round: every task trains a copy on the masked words of its rows; the copies are averaged, each by its words."""
+def _network_row(words: int, params: np.ndarray, spelling: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([words]), pa.array([params.astype(np.float32).tobytes()], pa.binary()), pa.array([zlib.compress(spelling.tobytes(), 1)], pa.binary())], ["words", "params", "spelling"])
+
+
+def _round(docs: DataFrame, tasks: int, symbols: Symbols, params: Params, number: int) -> tuple[Params, np.ndarray]:
+    """One round: every task trains a copy on its words masked in this round; the copies are averaged, each by its words. The first round also counts the bytes of all rarer words."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in params.items()}
         seen = {k: np.full_like(v, 1e-4) for k, v in own.items()}
-        words = 0
+        spelling, n_words, steps = np.zeros(CELLS * 256, np.int64), 0, 0
         for _, buf, off in blocks(batches):
-            hashes, first = _block_words(buf, off)
-            ids = symbols(hashes)
-            place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
-            masked = np.flatnonzero(mix(hashes + place.astype(np.uint64) * np.uint64(2 * number + 1)) % np.uint64(MASK_ONE_IN) == 0)
-            context = _contexts(ids, first)[masked]
-            for at in range(0, len(masked), BATCH):
-                got = gradients(own, context[at : at + BATCH], ids[masked[at : at + BATCH]])
-                n = min(BATCH, len(masked) - at)
-                for k, g in got.items():
+            words = block_words(buf, off)
+            ids = symbols(words.hashes)
+            if number == 0 and len(ids):
+                _, which, _, n = rare_words(words, ids)
+                cells, first = _letters(words, which)
+                spelling += np.bincount(cells, np.repeat(n, np.diff(np.append(first, len(cells)))), CELLS * 256).astype(np.int64)
+            place = np.arange(len(ids)) - np.repeat(words.first[:-1], np.diff(words.first))
+            masked = np.flatnonzero(mix(words.hashes + mix(place.astype(np.uint64))) % np.uint64(ROUNDS) == number)
+            context, target, at = _contexts(ids, words.first)[masked], np.minimum(ids[masked], RARE), 0
+            while at < len(masked):
+                n = min(FIRST_BATCH if steps < FIRST_STEPS else BATCH, len(masked) - at)
+                for k, g in gradients(own, context[at : at + n], target[at : at + n]).items():
                     g /= n
                     seen[k] += g * g
                     own[k] += RATE * g / np.sqrt(seen[k])
-            words += len(masked)
-        if words:
-            values = flat(own).astype(np.float64) * words
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), words))], ["i", "value", "words"])
+                at, steps = at + n, steps + 1
+            n_words += len(masked)
+        if n_words:
+            yield _network_row(n_words, flat(own), spelling)
 
-    rows = docs.select("text").mapInArrow(train, "i int, value double, words long").groupBy("i").agg((F.sum("value") / F.sum("words")).alias("value")).toPandas()
-    if rows.empty:
-        return params
-    return unflat(rows.sort_values("i")["value"].to_numpy())
+    new, spelling = _merged(docs.select("text").coalesce(tasks).mapInArrow(train, "words long, params binary, spelling binary"), tasks)
+    return new or params, spelling
 
 
-def trained(docs: DataFrame) -> tuple[Symbols, Params]:
-    """Vocabulary and network of a corpus; the table of counts grows with the corpus, the network is of fixed size."""
-    symbols, params = vocabulary(docs), initial()
+def trained(docs: DataFrame) -> Model:
+    """The model of a corpus. The counts of words and chunks grow with it; the network and the spelling are of fixed size, and every word of every text trains them.
+
+    A round has a task for each TASK_WORDS words, so that how rows are dealt has little weight in small corpora; copies start from the same network,
+    which predicts words in proportion to their counts.
+    """
+    path = counted(docs)
+    words = _counts(docs, path, 0)
+    top = words.orderBy(F.desc("n"), "key").limit(RARE).collect()
+    total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    symbols, known = Symbols([x["key"] for x in top]), np.zeros(SYMBOLS)
+    known[: len(top)] = [x["n"] for x in top]
+    known[RARE] = total - known.sum()
+    params, spelling = initial(known), np.zeros(CELLS * 256, np.int64)
+    tasks = max(1, -(-total // TASK_WORDS))
     for number in range(ROUNDS):
-        params = _round(docs, symbols, params, number)
-    return symbols, params
+        params, letters = _round(docs, tasks, symbols, params, number)
+        spelling = spelling + letters
+    return Model(symbols, params, spelling, path)
+
+
+def word_log_probs(model: Model, words: Words) -> np.ndarray:
+    """log P(word | neighbours) of all words of a block."""
+    ids = model.symbols(words.hashes)
+    out = log_probs(model.params, _contexts(ids, words.first), np.minimum(ids, RARE)).astype(np.float64)
+    if len(ids):
+        cell = model.spelling.reshape(CELLS, 256) + 0.05
+        letter = np.log(cell / cell.sum(axis=1, keepdims=True)).ravel()
+        at, which, back, _ = rare_words(words, ids)
+        if len(at):
+            cells, first = _letters(words, which)
+            out[at] += np.add.reduceat(letter[cells], first)[back]
+    return out
 
 
-def scored(docs: DataFrame, symbols: Symbols, params: Params) -> DataFrame:
-    """doc_id, n_words, log_likelihood (sum over all words) and mean_log_likelihood (null without words).
+def scored(docs: DataFrame, model: Model, own: bool = False) -> DataFrame:
+    """doc_id, n_words, log_likelihood (sum over all words), mean_log_likelihood (null without words), n_seen (words of chunks that the corpus has elsewhere).
 
-    A word of a bucket adds log P(bucket | neighbours) + log(n(word) / (n(bucket) + UNSEEN)). Tasks give a row for each document, with all that
-    needs no count, and one for each of its distinct words of buckets; these meet their counts in a join and come together by document.
+    own: docs are the corpus, so that one occurrence of each chunk is the document's own. Tasks give a row for each chunk and for what is in none;
+    these meet the counts in a join and come together by document.
     """
+    names = ["_row", "doc_id", "n_words", "value", "key"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = np.concatenate([np.zeros(SYMBOLS - BUCKETS), np.log(symbols.totals + UNSEEN)])
         for rows, buf, off in blocks(batches):
-            hashes, first = _block_words(buf, off)
-            ids = symbols(hashes)
-            values = np.concatenate([[0.0], np.cumsum(log_probs(params, _contexts(ids, first), ids) - share[ids], dtype=np.float64)])
-            n, value = np.diff(first), values[first[1:]] - values[first[:-1]]
-            number = rows.column("_row").to_numpy()
-            # no word has the key of a document's own row, or it counts nothing: n is 0
-            yield pa.RecordBatch.from_arrays([rows.column("_row"), rows.column("doc_id"), pa.array(n), pa.array(value), pa.array(mix(number.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(n), np.int64))], names)
-            rare = np.flatnonzero(ids >= SYMBOLS - BUCKETS)
-            row, word = np.repeat(np.arange(len(n)), n)[rare], hashes[rare]
-            order = np.lexsort((word, row))
-            row, word = row[order], word[order]
-            start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])) if len(row) else row
-            none = np.zeros(len(start), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(number[row[start]]), pa.nulls(len(start), pa.int64()), pa.array(none), pa.array(none.astype(np.float64)), pa.array(word[start].view(np.int64)), pa.array(np.diff(np.append(start, len(row))))], names)
-
-    names = ["_row", "doc_id", "n_words", "value", "word", "n"]
-    parts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "_row long, doc_id long, n_words long, value double, word long, n long")
-    counts = docs.sparkSession.read.schema("word long, n long").parquet(symbols.counts).withColumnRenamed("n", "_count")
-    value = F.col("value") + F.col("n") * F.log(F.coalesce(F.col("_count").cast("double"), F.lit(UNSEEN)))
-    out = parts.join(counts, "word", "left").groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum(value).alias("log_likelihood")).drop("_row")
-    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+            words = block_words(buf, off)
+            total = np.concatenate([[0.0], np.cumsum(word_log_probs(model, words))])
+            at, key = chunks(words)
+            size = np.diff(np.append(at, len(words.hashes)))
+            long = size >= LEAST_CHUNK
+            at, key, size = at[long], key[long], size[long]
+            row, value = np.searchsorted(words.first, at, "right") - 1, total[at + size] - total[at]
+            n, number = np.diff(words.first), rows.column("_row").to_numpy()
+            rest = total[words.first[1:]] - total[words.first[:-1]] - np.bincount(row, value, len(n))
+            left = n - np.bincount(row, size, len(n)).astype(np.int64)
+            # a document's own row has a key that no chunk has, or if one has it, no words to weigh
+            yield pa.RecordBatch.from_arrays([rows.column("_row"), rows.column("doc_id"), pa.array(left), pa.array(rest), pa.array(mix(number.astype(np.uint64)).view(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(number[row]), pa.nulls(len(row), pa.int64()), pa.array(-size), pa.array(value), pa.array(key.view(np.int64))], names)
+
+    parts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "_row long, doc_id long, n_words long, value double, key long")
+    elsewhere = _counts(docs, model.counts, 1).select("key", (F.col("n") - int(own)).alias("m")).filter("m > 0")
+    seen = (F.col("n_words") < 0) & F.col("m").isNotNull()  # rows of chunks have their words as a negative number
+    value = F.when(seen, F.log(F.col("m") + NETWORK * F.exp("value")) - F.log(F.col("m") + NETWORK)).otherwise(F.col("value"))
+    out = parts.join(few(elsewhere), "key", "left").groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.abs("n_words")).alias("n_words"), F.sum(value).alias("log_likelihood"), F.sum(F.when(seen, -F.col("n_words")).otherwise(0)).alias("n_seen")).drop("_row")
+    return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"), "n_seen")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Trains on docs and scores them: one row per row of docs.
 
-    Null, empty and blank text has no words and scores 0. Null doc_ids and repeated rows are scored like others. An empty table trains
-    nothing and gives no rows. Other columns are ignored. Numbers follow the partitions of docs in their last digits, as training does.
+    Null, empty and blank text has no words and scores 0. Null doc_ids and repeated rows are scored like others; a repeated row sees its copies
+    as elsewhere. An empty table trains nothing and gives no rows. Other columns are ignored. The network follows the order of rows and, beyond
+    TASK_WORDS words, the partitions of docs.
     """
-    return scored(docs, *trained(docs))
+    return scored(docs, trained(docs), own=True)
