@@ -25,6 +25,13 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str) -> int:
+    """Ids of a vocabulary file, added ones included: the largest and one more."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+
 def _codec(path: str) -> ChunkEncoder:
     """One for each worker process and file."""
     if path not in _CODECS:

@@ -1,3 +1,4 @@
+import io
 import random
 import zlib
 
@@ -8,7 +9,7 @@ from tokenizers import Tokenizer
 from tarnwork.llm import sentencepiece_codec
 from tarnwork.llm.packing import pack_documents, sum_of_squares
 from tarnwork.llm.sentencepiece_codec import Codec, round_trip
-from tarnwork.llm.token_binary import WaveletMatrix, dump_shard, load_shard, token_shards
+from tarnwork.llm.token_binary import ShardFile, WaveletMatrix, dump_shard, token_shards
 from tarnwork.llm.tokens import encode_block, public_tokenizer
 
 TEXTS = ["Hello  world,\n\nit's fine.", "", None, " a b", "tab\tand\x0bmore ", "été naïve ﬁ 日本語", "x y", "ends in blanks   ", "<|endoftext|> <|endoftext|>x", "1 234\r\n5", "  \n ", "ABC " * 900, "é ́"]
@@ -35,25 +36,45 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, start int, ids string")
 
 
-def test_token_shards(spark):
+@pytest.mark.parametrize("shard_tokens", [1 << 24, 40])
+def test_token_shards(spark, shard_tokens):
     library, at = Tokenizer.from_file(public_tokenizer("word_bpe_49k.json")), 0
-    got = {r.doc_id: r for r in token_shards(docs(spark, TEXTS), public_tokenizer("word_bpe_49k.json")).collect()}
+    got = {r.doc_id: r for r in token_shards(docs(spark, TEXTS), public_tokenizer("word_bpe_49k.json"), shard_tokens=shard_tokens).collect()}
     for i, t in enumerate(TEXTS):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), crc(ids))
+        assert (got[i].first_id, got[i].n_ends, got[i].end_at) == (ids[0], ids.count(2), len(ids) - 1)
         at += len(ids)
     assert token_shards(docs(spark, []), public_tokenizer("word_bpe_49k.json")).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
-def test_wavelet_matrix(n):
-    ids = np.random.default_rng(n).integers(0, 50, n).astype(np.uint32)
-    matrix, doc_ids, lens = load_shard(dump_shard(WaveletMatrix.build(ids, 6), np.array([4]), np.array([n])))
-    assert (matrix.decode() == ids).all() and doc_ids.tolist() == [4] and lens.tolist() == [n]
-    assert (matrix.access(np.arange(n)) == ids).all()
-    for symbol in (0, 7, 49, 60, 70):
-        assert matrix.occurrences(symbol).tolist() == np.flatnonzero(ids == symbol).tolist()
-        assert matrix.count(symbol) == (ids == symbol).sum() and matrix.rank(symbol, n // 2) == (ids[: n // 2] == symbol).sum()
+def test_token_shards_of_odd_ids(spark):
+    """Null ids come first, the least long is an id like others, and rows that repeat an id follow one another."""
+    rows = [(None, "a b"), (None, None), (-(2**63), "c"), (5, "d e f"), (5, "d e f"), (5, "g"), (-1, "")] + [(None, "same text")] * 50
+    table = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, _tie int, anonymous int").repartition(3)
+    got = sorted(token_shards(table, public_tokenizer("word_bpe_49k.json")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 52 + [-(2**63), -1, 5, 5, 5]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+
+
+@pytest.mark.parametrize(("n", "most"), [(0, 50), (1, 50), (63, 50), (64, 50), (65, 50), (1000, 50), (200_000, 90_000), (131_072, 3)])
+def test_wavelet_matrix(n, most):
+    """Access, rank and select through the file, ids beyond 65,536 included."""
+    ids = np.random.default_rng(n).integers(0, most, n).astype(np.uint32)
+    file = io.BytesIO(dump_shard(WaveletMatrix.build(ids, int(most - 1).bit_length()), np.array([4]), np.array([True]), np.array([n])))
+    shard = ShardFile(file)
+    doc_ids, anonymous, lens = shard.documents()
+    assert (shard.decode() == ids).all() and doc_ids.tolist() == [4] and lens.tolist() == [n] and anonymous.tolist() == [True]
+    for matrix in (shard, WaveletMatrix.build(ids, int(most - 1).bit_length())):
+        at = np.arange(n)[:: max(1, n // 3000)]
+        assert (matrix.access(at) == ids[at]).all()
+        for symbol in (0, 1, 7, 49, most - 1, most + 60):
+            assert matrix.occurrences(symbol).tolist() == np.flatnonzero(ids == symbol).tolist()
+            assert matrix.count(symbol) == (ids == symbol).sum() and matrix.rank(symbol, n // 2) == (ids[: n // 2] == symbol).sum()
+    if n == 200_000:
+        shard = ShardFile(file)
+        shard.access(np.array([5]))
+        assert shard.read.cache_info().misses == shard.levels < shard.levels * shard.blocks
 
 
 def test_packing(spark):
