@@ -72,7 +72,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> Dat
 def pack(pieces: DataFrame, size: int, items_per_task: int = 200_000) -> DataFrame:
     """Adds sequence_id and offset to rows with a length of 1 to size.
 
-    Rows are dealt by a hash of their identity into tasks of about items_per_task rows, each of which packs its own rows, longest first.
+    Rows are dealt by a hash of their place into tasks of about items_per_task rows, equal rows like others, and each task packs its own rows,
+    longest first. pieces should be written, so that a repeated task finds its rows at the same places.
     """
     names = pieces.columns
 
@@ -87,7 +88,7 @@ def pack(pieces: DataFrame, size: int, items_per_task: int = 200_000) -> DataFra
 
     parts = max(1, -(-pieces.count() // items_per_task))
     schema = pieces.schema.simpleString()[len("struct<") : -1]
-    return pieces.repartition(parts, *names).mapInArrow(place, f"{schema},sequence_id:long,offset:long")
+    return pieces.repartition(parts, F.monotonically_increasing_id()).mapInArrow(place, f"{schema},sequence_id:long,offset:long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -> DataFrame:

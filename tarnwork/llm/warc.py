@@ -7,18 +7,21 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
+from uuid import NAMESPACE_URL, uuid5
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, store
+from .common import new_dir, store, written
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: bytes of compressed archive that one task scans
 SPLIT_BYTES = 8 << 20
+#: tasks of a reader at most
+MOST_TASKS = 100_000
 #: read at once
 STEP = 1 << 18
 #: bytes of a member that are decoded to tell whether it starts a record
@@ -36,25 +39,18 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(first, "_key").select("page_id", "url", "payload", F.when(other, F.col("_first")).alias("refers_to"))
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
-
-
-def _page(name: str | None) -> int | None:
-    number = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
-
-
-def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """A record as one gzip member. A revisit has the HTTP head of its payload, without the payload."""
+def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, record_id: str) -> bytes:
+    """A record as one gzip member. A revisit has the HTTP head of its payload, without the payload. Page numbers have headers of their own, as pages may repeat theirs."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))).replace('%', ''))}")
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -67,10 +63,10 @@ def decode_record(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
-    url = fields.get("WARC-Target-URI")
-    out = {"page_id": _page(fields["WARC-Record-ID"]), "url": None if url is None else unquote(url), "record_type": fields["WARC-Type"], "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
+    url, number = fields.get("WARC-Target-URI"), lambda name: int(fields[name]) if name in fields else None
+    out = {"record_id": fields["WARC-Record-ID"], "page_id": number("X-Page-ID"), "url": None if url is None else unquote(url), "record_type": fields["WARC-Type"], "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
     if out["record_type"] == "revisit":
-        return out | {"payload": None, "payload_bytes": length, "refers_to": _page(fields.get("WARC-Refers-To"))}
+        return out | {"payload": None, "payload_bytes": length, "refers_to": number("X-Refers-To-Page-ID")}
     if base64.b32encode(hashlib.sha1(payload).digest()).decode() != out["payload_digest"]:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
     return out | {"payload": payload, "payload_bytes": len(payload), "refers_to": None}
@@ -133,7 +129,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:0
                 fs.create_dir(name.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(name, compression=None)
             for page_id, url, payload, refers_to in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "refers_to")), strict=True):
-                data = encode_record(page_id, url, payload.encode(), refers_to, date)
+                data = encode_record(page_id, url, payload.encode(), refers_to, date, f"urn:uuid:{uuid5(NAMESPACE_URL, f'{path}#{n}')}")
                 out.write(data)
                 size, n = size + len(data), n + 1
         if out is not None:
@@ -143,8 +139,8 @@ def write_archives(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:0
     return rows.mapInArrow(write, "path string, bytes long, records long")
 
 
-def read_archives(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of archives (path, bytes): page_id, url, record_type, payload_digest, payload, payload_bytes, refers_to."""
+def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records of archives (path, bytes): record_id, page_id, url, record_type, payload_digest, payload, payload_bytes, refers_to. A task takes one split or, beyond MOST_TASKS, several."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,14 +156,12 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], split_bytes
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64())])
-    splits = [(path, size, start) for path, size in files for start in range(0, size, split_bytes)]
-    table = spark.createDataFrame(splits, "path string, bytes long, start long").repartition(max(1, len(splits)), "path", "start")
-    return table.mapInArrow(read, "page_id long, url string, record_type string, payload_digest string, payload binary, payload_bytes long, refers_to long")
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64())])
+    splits = files.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    return splits.repartition(min(MOST_TASKS, max(1, splits.count())), "path", "start").mapInArrow(read, "record_id string, page_id long, url string, record_type string, payload_digest string, payload binary, payload_bytes long, refers_to long")
 
 
 def through_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes pages as WARC records and reads them back. An empty table gives no archive and no rows; other columns are ignored. The driver holds a row for each archive."""
-    spark = pages.sparkSession
-    written = write_archives(with_revisits(pages, least_bytes), new_dir(spark, "warc")).collect()
-    return read_archives(spark, [(x["path"], x["bytes"]) for x in written])
+    """Writes pages as WARC records and reads them back. An empty table gives no archive and no rows; other columns are ignored. The list of archives is a table."""
+    archives, _ = written(write_archives(with_revisits(pages, least_bytes), new_dir(pages.sparkSession, "warc")), "archives")
+    return read_archives(archives)
