@@ -80,9 +80,14 @@ def fold_typography(s: Column) -> Column:
     return F.regexp_replace(F.translate(out, "‘’“”–—­", "''\"\"--"), r"(?U)\s+", " ")
 
 
+# Placeholders for a value.
+NO_VALUE = ("not available", "not applicable", "n/a", "na", "tbd", "unknown", "none", "not known", "not app")
+
+
 def usable(s: Column) -> Column:
-    """Whether a value is more than a placeholder."""
-    return ~F.lower(F.trim(F.coalesce(s, F.lit("")))).isin("", "n/a", "na", "tbd", "tba", "unknown", "none", "-", "not applicable")
+    """Whether a value is more than a placeholder, blanks and periods around it apart."""
+    bare = F.lower(F.regexp_replace(F.coalesce(s, F.lit("")), r"^[ .]+|[ .]+$", ""))
+    return (bare != "") & ~bare.isin(*NO_VALUE)
 
 
 def mark_anywhere(s: Column) -> Column:

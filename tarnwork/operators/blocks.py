@@ -80,10 +80,18 @@ def merge_windows(first: DataFrame, *more: DataFrame) -> DataFrame:
     return out.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y0", "ord")))
 
 
-def label_values(blocks: DataFrame, labels: DataFrame, pages: int = 3, most: int = 300) -> DataFrame:
-    """(doc_id, field, value): the first usable "label: value" line of each field. labels: field, pattern (matched at the line's start, lower case)."""
+def label_values(blocks: DataFrame, labels: DataFrame, pages: int = 3, most: int = 300, most_labels: int = 1000) -> DataFrame:
+    """(doc_id, field, value): the first usable "label: value" line of each field. labels: field, pattern (matched at the line's start, lower case).
+
+    The labels, most_labels at most, become conditions of one pass over the lines, so nothing is joined.
+    """
     from ..functions.text import usable
 
+    rules = sorted((r["field"], r["pattern"]) for r in labels.select("field", "pattern").distinct().limit(most_labels + 1).collect())
+    if len(rules) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    low = F.lower("text")
+    named = F.array_distinct(F.array_compact(F.array(*(F.when(low.rlike(pattern), F.lit(field)) for field, pattern in rules)))) if rules else F.array().cast("array<string>")
     lines = blocks.filter((F.col("page") <= pages) & F.contains(F.col("text"), F.lit(":"))).withColumn("value", F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1)))
-    rows = lines.filter(usable(F.col("value")) & (F.char_length("value") <= most)).join(labels, F.expr("lower(text) rlike pattern"))
+    rows = lines.filter(usable(F.col("value")) & (F.char_length("value") <= most)).select("doc_id", "ord", "value", F.explode(named).alias("field"))
     return rows.groupBy("doc_id", "field").agg(F.min_by("value", "ord").alias("value"))

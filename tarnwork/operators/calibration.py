@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,8 @@ def encode(rows: DataFrame, levels: dict[str, list[str]], nullable: list[str], l
 def fit_logistic(rows: DataFrame, features: list[str], label: str, l2: float = 1.0, rounds: int = 100, tolerance: float = 1e-10) -> np.ndarray:
     """Weights, intercept first and not penalised, of the summed log-loss plus l2 / 2 times the squared weights, by Newton steps.
 
-    Each step is one aggregation of the gradient and the upper half of the Hessian; the driver solves a system of the number of features.
+    Each step is one aggregation of the gradient and the upper half of the Hessian; the driver solves a system of the number of features. rows are
+    read in every step, so what is dear to compute is for the caller to write first (fit_calibrated checkpoints).
     """
     w = np.zeros(len(features) + 1)
     x = [F.lit(1.0), *(F.col(f).cast("double") for f in features)]
@@ -84,7 +84,7 @@ def folds(rows: DataFrame, order: list[str], group: str | None = None) -> tuple[
             return "groups", rows.withColumn("_fold", F.col(group)).checkpoint(), names
     if rows.count() >= LEAST_FOLDED:
         return "kfold", _numbered(rows, order).withColumn("_fold", F.col("_i") % FOLDS).drop("_i").checkpoint(), list(range(FOLDS))
-    return "in_sample", rows.withColumn("_fold", F.lit(None).cast("int")), []
+    return "in_sample", rows.withColumn("_fold", F.lit(None).cast("int")).checkpoint(), []
 
 
 def fit_calibrated(rows: DataFrame, features: list[str], label: str, order: list[str], group: str | None = None, l2: float = 1.0) -> tuple[np.ndarray, tuple[float, float], str]:
@@ -108,19 +108,33 @@ def fit_calibrated(rows: DataFrame, features: list[str], label: str, order: list
     return weights, (float(slope), float(intercept)), mode
 
 
-@lru_cache(maxsize=256)
-def _log_factorials(m: int) -> np.ndarray:
-    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, m + 1)))])
+def _beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function by its continued fraction (modified Lentz), in constant memory whatever a and b."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1.0 / ((1.0 - (a + b) * x / (a + 1)) or tiny)
+    out = d
+    for j in range(1, 1_000_000):
+        for term in (j * (b - j) * x / ((a + 2 * j - 1) * (a + 2 * j)), -(a + j) * (a + b + j) * x / ((a + 2 * j) * (a + 2 * j + 1))):
+            d = 1.0 / ((1.0 + term * d) or tiny)
+            c = (1.0 + term / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
 
 
 def binom_cdf(k: int, m: int, p: float) -> float:
-    """P[Bin(m, p) <= k], summed from logarithms; 1 for k >= m or m <= 0."""
+    """P[Bin(m, p) <= k]; 1 for k >= m or m <= 0."""
     if m <= 0 or k >= m or (k >= 0 and p <= 0):
         return 1.0
     if k < 0 or p >= 1:
         return 0.0
-    i, lg = np.arange(k + 1), _log_factorials(m)
-    return float(min(1.0, np.exp(lg[m] - lg[: k + 1] - lg[m - k : m + 1][::-1] + i * math.log(p) + (m - i) * math.log1p(-p)).sum()))
+    return min(1.0, max(0.0, _beta_share(1 - p, m - k, k + 1)))
 
 
 def clopper_pearson_upper(k: int, m: int, delta: float) -> float:
@@ -183,7 +197,7 @@ def calibrate(scored: DataFrame, score: str, correct: str, alpha: float, delta:
 
 def gate(fields: DataFrame, bound: DataFrame, probability: str = "probability") -> DataFrame:
     """Decisions under a bound of one row: BLOCK stays; others are accepted if a bound was emitted, they have a value and reach the threshold."""
-    rows = fields.crossJoin(F.broadcast(bound.select("threshold", "emitted")))
+    rows = fields.crossJoin(F.broadcast(bound.select("threshold", "emitted").limit(1)))  # one row
     accept = F.coalesce(F.col("emitted") & F.col("value").isNotNull() & (F.col(probability) >= F.col("threshold")), F.lit(False))
     out = rows.withColumn("confidence", F.when(F.col("decision") == "BLOCK", F.col("confidence")).otherwise(F.col(probability)))
     return out.withColumn("decision", F.when(F.col("decision") == "BLOCK", "BLOCK").when(accept, "AUTO_ACCEPT").otherwise("REVIEW")).drop("threshold", "emitted")

@@ -28,8 +28,8 @@ def sanity(field: Column, value: Column, document: Column) -> Column:
 def drop_prohibited(candidates: DataFrame, sections: DataFrame, prohibited: DataFrame, key: str = "section") -> tuple[DataFrame, DataFrame]:
     """Candidates (doc_id, page, y0 of their quote, ...) outside prohibited sections, and a WARNING for each dropped one. Candidates without a place stay."""
     placed = section_of(candidates.filter("page is not null"), sections, [key])
-    bad = placed.join(F.broadcast(prohibited.select(key).distinct()), key, "left_semi")
-    good = placed.join(F.broadcast(prohibited.select(key).distinct()), key, "left_anti").select(*candidates.columns)
+    bad = placed.join(prohibited.select(key).distinct(), key, "left_semi")
+    good = placed.join(prohibited.select(key).distinct(), key, "left_anti").select(*candidates.columns)
     return good.unionByName(candidates.filter("page is null")), bad.select("doc_id", key, F.lit("WARNING").alias("severity"))
 
 
@@ -75,8 +75,8 @@ ESTIMAND_LABELS = ("population", "treatment", "variable", "endpoint", "summary",
 STRATEGIES = ("treatment policy", "hypothetical", "composite", "while on treatment", "principal stratum")
 
 
-def estimand_groups(blocks: DataFrame, least: int = 3) -> DataFrame:
-    """(doc_id, group, population, treatment, variable, summary, events, strategy) of labelled lines; a repeated label starts a group, groups with fewer than `least` labels, or without summary and events, go."""
+def estimand_groups(blocks: DataFrame, least: int = 3, most_characters: int | None = 1200) -> DataFrame:
+    """(doc_id, group, population, treatment, variable, summary, events, strategy) of labelled lines; a repeated label starts a group, groups with fewer than `least` labels, or without summary and events, go. Values keep most_characters characters; None: all."""
 
     def walk(rows: list[dict]) -> list[tuple]:
         groups: list[dict] = []
@@ -86,7 +86,7 @@ def estimand_groups(blocks: DataFrame, least: int = 3) -> DataFrame:
             if label in ESTIMAND_LABELS and value.strip():
                 if not groups or label in groups[-1]:
                     groups.append({})
-                groups[-1][label] = value.strip()[:1200]
+                groups[-1][label] = value.strip()[:most_characters]
         kept = [g for g in groups if len(g) >= least and ("summary" in g or "intercurrent events" in g)]
         strategy = lambda g: next((s for s in STRATEGIES if s in g.get("intercurrent events", "").lower()), None)
         return [(i, g.get("population"), g.get("treatment"), g.get("variable") or g.get("endpoint"), g.get("summary"), g.get("intercurrent events"), strategy(g)) for i, g in enumerate(kept)]

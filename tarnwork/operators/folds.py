@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,38 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], walk: Callable[[lis
 
     kinds = dict(rows.dtypes)
     return gathered.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds running sums of the values over the rows of each group in order, however large a group is.
+
+    Rows are sorted over all partitions at once, so a group that holds a third of them spreads over many tasks; sums run inside a partition, and
+    what comes before it is added from a table with a row for each partition and group. Needs the session's checkpoint folder.
+    """
+    placed = rows.withColumns({f"_v_{k}": v for k, v in values.items()}).orderBy(*by, *order).withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_pos", 33)).checkpoint()
+    parts = placed.groupBy(*by, "_part").agg(*(F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_by_part"), *(F.coalesce(F.sum(f"_s_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in values))
+    same = F.col("_part") == F.col("_by_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = Window.partitionBy(*by, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(parts, same).select(*rows.columns, *((F.col(f"_b_{k}") + F.sum(f"_v_{k}").over(inside)).alias(k) for k in values))
+
+
+def by_generation(rows: DataFrame, key: list[str], parent: str, own: str, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows with column `own` settled from the top of each tree down, to any depth: step(own, settled column of the parent).
+
+    Rows without a parent, or whose parent is not there, stay as they are. key: the tree, then the row's number in it; parent: the number of the
+    parent. Each generation is one join with the one before, cut off by a checkpoint, and rounds end when a generation is empty.
+    """
+    tree, number = key
+    up = rows.select(F.col(tree).alias("_t"), F.col(number).alias("_n"))
+    settled = rows.join(up, (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n")), "left_anti").checkpoint()
+    out = settled
+    while True:
+        above = settled.select(F.col(tree).alias("_t"), F.col(number).alias("_n"), F.col(own).alias("_above"))
+        settled = rows.join(above, (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n"))).withColumn(own, step(F.col(own), F.col("_above"))).select(*rows.columns).checkpoint()
+        if settled.isEmpty():
+            return out
+        out = out.unionByName(settled)

@@ -53,14 +53,18 @@ def word_changes(pairs: DataFrame) -> DataFrame:
 def link_by_tokens(left: DataFrame, right: DataFrame, keys: list[str], threshold: float = 0.3) -> DataFrame:
     """(keys, left_id, right_id, similarity): for each left text the most similar right one of its key that reaches the threshold, the first of equals.
 
-    Candidates share a token, so both sides meet in an equi-join on (key, token); shared tokens are counted, not compared pair by pair.
+    Texts with equal words are one on either side (the right one with its first id), so a key with many repeated texts compares only its distinct
+    ones. Candidates share a token, so both sides meet in an equi-join on (key, token); shared tokens are counted, not compared pair by pair.
     left, right: keys, id, text.
     """
-    side = lambda df, tag: df.select(*keys, F.col("id").alias(f"{tag}_id"), tokens(F.col("text")).alias("_t")).withColumn(f"_n_{tag}", F.size("_t")).select(*keys, f"{tag}_id", f"_n_{tag}", F.explode("_t").alias("_token"))
-    shared = side(left, "left").join(side(right, "right"), [*keys, "_token"]).groupBy(*keys, "left_id", "right_id").agg(F.count("*").alias("_c"), F.first("_n_left").alias("_a"), F.first("_n_right").alias("_b"))
-    scored = shared.withColumn("similarity", F.col("_c") / (F.col("_a") + F.col("_b") - F.col("_c"))).filter(F.col("similarity") >= threshold)
-    best = scored.groupBy(*keys, "left_id").agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("_o"))).alias("_m"))
-    return best.select(*keys, "left_id", (-F.col("_m._o")).alias("right_id"), F.col("_m.similarity").alias("similarity"))
+    sets = lambda df: df.select(*keys, "id", F.array_sort(tokens(F.col("text"))).alias("_t"))
+    own, other = sets(left), sets(right).groupBy(*keys, "_t").agg(F.min("id").alias("right_id"))
+    spread = lambda df, tag, *more: df.select(*keys, *more, F.col("_t").alias(f"_t_{tag}"), F.size("_t").alias(f"_n_{tag}"), F.explode("_t").alias("_token"))
+    shared = spread(own.select(*keys, "_t").distinct(), "left").join(spread(other, "right", "right_id"), [*keys, "_token"])
+    counted = shared.groupBy(*keys, "_t_left", "_n_left", "right_id", "_n_right").agg(F.count("*").alias("_c"))
+    scored = counted.withColumn("similarity", F.col("_c") / (F.col("_n_left") + F.col("_n_right") - F.col("_c"))).filter(F.col("similarity") >= threshold)
+    best = scored.groupBy(*keys, F.col("_t_left").alias("_t")).agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("_o"))).alias("_m"))
+    return own.join(best, [*keys, "_t"]).select(*keys, F.col("id").alias("left_id"), (-F.col("_m._o")).alias("right_id"), F.col("_m.similarity").alias("similarity"))
 
 
 def rationales(sections: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,8 +8,8 @@ from itertools import groupby, takewhile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import score_value
-from .folds import fold
+from ..functions.text import jaccard, norm_words, score_value, tokens
+from .folds import fold, running_sums
 
 CORRECT = ("exact", "normalized", "fuzzy")
 
@@ -112,6 +112,71 @@ def greedy_match_sets(refs: DataFrame, items: DataFrame, keys: list[str], thresh
     return fold(side(refs, "ref", 0).unionByName(side(items, "item", 1)), keys, ["_side", "_id"], walk, f"ref {dict(refs.dtypes)['ref']}, item {dict(items.dtypes)['item']}, similarity double")
 
 
+# The similarity that a match of each category of a study takes.
+CATEGORY_THRESHOLDS = {"identifiers": 1.0, "arms": 0.3, "interventions": 0.3, "criteria": 0.5, "objectives": 0.4, "endpoints": 0.5, "estimands": 0.3, "epochs": 0.5, "encounters": 0.5, "activities": 0.6, "vendors": 0.5, "marks": 0.6}
+
+
+def scalar_equal(field: Column, got: Column, want: Column) -> Column:
+    """Whether a study's value of a field is the one of its reference, by what the field means.
+
+    Titles agree in 0.8 of their words, sponsors in half, or one names the other; identifiers up to case; phases by their numbers, Roman ones
+    included; versions by their first number; types and models share a word other than "study" and "trial"; anything else as lower-case words.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    words, text = lambda c: tokens(F.coalesce(c, F.lit(""))), lambda c: norm_words(F.coalesce(c, F.lit("")))
+    alike = jaccard(words(got), words(want))
+
+    def numbers(c: Column) -> Column:
+        digits = F.regexp_extract_all(low(c), F.lit("([1-4])"), F.lit(1))
+        roman = F.regexp_extract_all(low(c), F.lit(r"\b(iii|ii|iv|i)\b"), F.lit(1))
+        return F.when(F.size(digits) > 0, digits).otherwise(F.transform(roman, lambda x: F.when(x == "iv", "4").otherwise(F.char_length(x).cast("string"))))
+
+    first = lambda c: F.regexp_extract(low(c), "([0-9]+)", 1).try_cast("long")
+    named = F.array_except(words(want), F.array(F.lit("study"), F.lit("trial")))
+    return (
+        F.when(field == "title", alike >= 0.8)
+        .when(field == "sponsor", (alike >= 0.5) | F.contains(text(got), text(want)))
+        .when(field == "protocol_id", F.trim(low(got)) == F.trim(low(want)))
+        .when(field == "phase", (F.size(numbers(got)) > 0) & (numbers(got) == numbers(want)))
+        .when(field == "version", F.coalesce(first(got) == first(want), F.lit(False)))
+        .when(field.isin("study_type", "model"), F.arrays_overlap(words(got), named))
+        .otherwise(text(got) == text(want))
+    )
+
+
+def scalar_counts(delivered: DataFrame, reference: DataFrame, by: str = "study") -> DataFrame:
+    """Rows for rubric: category "scalars" of (by, field, value) tables. Only fields of the reference count; blank values are not delivered."""
+    full = lambda df, name: df.filter(F.coalesce("value", F.lit("")) != "").select(by, "field", F.col("value").alias(name))
+    both = full(reference, "_want").join(full(delivered, "_got"), [by, "field"], "left")
+    hit = F.col("_got").isNotNull() & scalar_equal(F.col("field"), F.col("_got"), F.col("_want"))
+    return both.groupBy(by).agg(F.count("*").alias("n_reference"), F.count("_got").alias("n_delivered"), F.count_if(hit).alias("n_matched")).withColumn("category", F.lit("scalars"))
+
+
+def category_counts(delivered: DataFrame, reference: DataFrame, by: str = "study", thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Rows for rubric: the categories of (by, category, ord, text) tables, matched greedily at each category's threshold; identifiers as equal words. Marks are matched by their two texts, joined by a line break: both have to be alike."""
+    thresholds = thresholds or CATEGORY_THRESHOLDS
+    keys, out = [by, "category"], None
+    have = reference.groupBy(*keys).agg(F.count("*").alias("n_reference")).join(delivered.groupBy(*keys).agg(F.count("*").alias("n_delivered")), keys, "left")
+    for name, threshold in thresholds.items():
+        side = lambda df, tag: df.filter(F.col("category") == name).select(*keys, F.col("ord").alias(tag), F.array(norm_words(F.col("text"))).alias("tokens") if name == "identifiers" else tokens(F.col("text")).alias("tokens"), F.col("text").alias("_text"))  # noqa: E731, B023
+        if name == "marks":
+            got = greedy_match(mark_pairs(side(reference, "ref"), side(delivered, "item"), keys), keys, threshold)
+        else:
+            got = greedy_match_sets(side(reference, "ref").drop("_text"), side(delivered, "item").drop("_text"), keys, threshold)
+        out = got.select(*keys) if out is None else out.unionByName(got.select(*keys))
+    hits = out.groupBy(*keys).agg(F.count("*").alias("n_matched"))
+    return have.filter(F.col("category").isin(*thresholds)).join(hits, keys, "left").select(*keys, "n_reference", F.coalesce("n_delivered", F.lit(0)).alias("n_delivered"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
+
+
+def mark_pairs(refs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ref, item, similarity) of marks (visit, line break, activity) that share a word of the visit and one of the activity: the smaller similarity of the two."""
+    part = lambda k: tokens(F.element_at(F.split("_text", "\n"), k))
+    side = lambda df, name, tag: df.select(*keys, name, part(1).alias(f"_v{tag}"), F.coalesce(part(2), F.array()).alias(f"_a{tag}"))
+    a, b = side(refs, "ref", 1).withColumn("_w", F.explode("_v1")), side(items, "item", 2).withColumn("_w", F.explode("_v2"))
+    met = a.join(b, [*keys, "_w"]).filter(F.arrays_overlap("_a1", "_a2")).select(*keys, "ref", "item", F.least(jaccard(F.col("_v1"), F.col("_v2")), jaccard(F.col("_a1"), F.col("_a2"))).alias("similarity"))
+    return met.distinct()
+
+
 def rubric(counts: DataFrame, by: str = "study") -> DataFrame:
     """accuracy = matched / (reference + spurious), recall = matched / reference, overall and by study; 1 over nothing. counts: by, category, n_reference, n_delivered, n_matched. Categories without a reference are not scored."""
     rows = counts.filter("n_reference > 0")
@@ -127,9 +192,9 @@ def risk_coverage(rows: DataFrame, by: list[str], score: str, correct: str, orde
 
 
 def aurc(rows: DataFrame, by: list[str], score: str, correct: str, order: str) -> DataFrame:
-    """Mean over all prefixes, best first, of their error rate."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_risk", F.avg((~F.col(correct)).cast("double")).over(w)).groupBy(*by).agg(F.avg("_risk").alias("aurc"))
+    """Mean over all prefixes, best first, of their error rate. Groups of any size: the prefixes are running sums over sorted partitions."""
+    sums = running_sums(rows, by, [F.desc(score), F.asc(order)], {"_n": F.lit(1), "_bad": (~F.col(correct)).cast("int")})
+    return sums.groupBy(*by).agg(F.avg(F.col("_bad") / F.col("_n")).alias("aurc"))
 
 
 def brier(rows: DataFrame, by: list[str], probability: str, correct: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -9,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold
+from .folds import by_generation, fold
 
 #: points that a block may stand above its section's heading
 TOLERANCE = 0.5
+#: levels of headings that documents may have
+MOST_LEVELS = 64
 
 
 def section_of(blocks: DataFrame, sections: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,24 +35,21 @@ def section_of(blocks: DataFrame, sections: DataFrame, columns: list[str]) -> Da
 def nest(sections: DataFrame) -> DataFrame:
     """Adds parent_ord (the last earlier section of a lower level) and page_end. sections: doc_id, ord, page, y0, level.
 
-    A document's sections are few; those before a section are gathered in a window and searched from the end.
+    A window for each level carries its last section forward; the driver gets the levels that occur, a handful.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
-    before = F.collect_list(F.struct("ord", "level")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    out = sections.withColumn("_before", before)
-    lower = F.filter("_before", lambda x: x["level"] < F.col("level"))
-    out = out.withColumn("parent_ord", F.when(F.size(lower) > 0, F.element_at(lower, -1)["ord"]))
+    levels = sorted(r["level"] for r in sections.select("level").distinct().limit(MOST_LEVELS + 1).collect() if r["level"] is not None)
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels of headings")
+    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))) for k in levels]
     after, top = F.lead("page").over(order), F.lead("y0").over(order)
-    return out.withColumn("page_end", F.when(after.isNull(), F.col("page")).when(top > 120, after).otherwise(F.greatest(F.col("page"), after - 1))).drop("_before")
+    parent = F.greatest(*last) if len(last) > 1 else F.lit(None).cast(sections.schema["ord"].dataType)
+    return sections.withColumns({"parent_ord": parent, "page_end": F.when(after.isNull(), F.col("page")).when(top > 120, after).otherwise(F.greatest(F.col("page"), after - 1))})
 
 
-def inherit(nested: DataFrame, label: str, depth: int = 5) -> DataFrame:
-    """Fills a missing label from the nearest ancestor that has one, down to `depth` levels: one join a level."""
-    out = nested.withColumns({"_own": F.col(label), "_up": F.col("parent_ord")})
-    above = nested.select("doc_id", F.col("ord").alias("_up"), F.col(label).alias("_label"), F.col("parent_ord").alias("_next"))
-    for _ in range(depth):
-        out = out.join(above, ["doc_id", "_up"], "left").withColumn("_own", F.coalesce("_own", "_label")).withColumn("_up", F.col("_next")).drop("_label", "_next")
-    return out.withColumn(label, F.col("_own")).drop("_own", "_up").select(*nested.columns)
+def inherit(nested: DataFrame, label: str) -> DataFrame:
+    """Fills a missing label from the nearest ancestor that has one, however far up."""
+    return by_generation(nested, ["doc_id", "ord"], "parent_ord", label, lambda own, above: F.coalesce(own, above))
 
 
 def scope_matches(section: dict[str, Column], scope: dict[str, Column]) -> Column:
@@ -104,19 +104,6 @@ def graph_summary(sections: DataFrame) -> DataFrame:
     return out.withColumn("typed_share", F.col("n_typed") / F.col("n_sections")).join(maps, "doc_id", "left")
 
 
-#: rules for section titles, first match first
-TITLE_RULES = (("amendment", r"amendment|summary of changes"), ("eligibility", r"eligib|inclusion|exclusion"), ("objectives", r"objective|endpoint"), ("schedule", r"schedule of (activities|assessments)"), ("safety", r"safety|adverse"), ("statistics", r"statistic|analysis|sample size"))
-
-
-def classify_title(title: Column) -> Column:
-    """A type for a section title, null for none; annexes are appendices whatever they are about."""
-    low = F.lower(title)
-    out = F.when(low.rlike(r"^\s*(appendix|attachment|annex)([^\p{L}]|$)"), "appendix")
-    for name, pattern in TITLE_RULES:
-        out = out.when(low.rlike(pattern), name)
-    return out
-
-
 def title_shaped(title: Column) -> Column:
     """Whether a line can be a heading."""
     words = F.size(F.split(F.trim(title), r"\s+"))
@@ -124,10 +111,10 @@ def title_shaped(title: Column) -> Column:
     return title.rlike(r"^\p{Lu}") & ~title.rlike(r"[.;,:]$") & (words <= 14) & title.rlike(r"\p{L}{3}") & (digits <= F.floor(F.char_length(title) / 4))
 
 
-def position_bookmarks(marks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Adds y0 to (doc_id, ord, page, title): the top of the first block of the page that starts like the title, else 0; never above an earlier mark of the page."""
+def position_bookmarks(marks: DataFrame, blocks: DataFrame, start: int | None = 25) -> DataFrame:
+    """Adds y0 to (doc_id, ord, page, title): the top of the first block of the page that starts like the title, else 0; never above an earlier mark of the page. start: characters of the title that a block has to have; None: all."""
     tops = marks.join(blocks.select("doc_id", "page", F.col("y0").alias("_y"), F.lower("text").alias("_t"), F.col("ord").alias("_o")), ["doc_id", "page"], "left")
-    hit = F.startswith(F.col("_t"), F.lower(F.substring("title", 1, 25)))
+    hit = F.startswith(F.col("_t"), F.lower(F.col("title") if start is None else F.substring("title", 1, start)))
     at = tops.groupBy("doc_id", "ord", "page", "title").agg(F.min_by(F.when(hit, F.col("_y")), F.when(hit, F.col("_o"))).alias("_y"))
     w = Window.partitionBy("doc_id", "page").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     return at.withColumn("y0", F.max(F.coalesce("_y", F.lit(0.0))).over(w)).drop("_y")
@@ -143,14 +130,14 @@ def heading_sequence(candidates: DataFrame) -> DataFrame:
     """Headings whose number advances over the last one kept; pages with six or more candidates are tables of contents.
 
     candidates: doc_id, ord, page, number (like "3.1"), font (whether set as a heading). Each step depends on the last row that was kept, so
-    a document's few candidates are walked in order.
+    a document's few candidates are walked in order. What is no number in a number is passed over ("3." is 3); without any it is before all others.
     """
 
     def walk(rows: list[dict]) -> list[tuple]:
         on_page = Counter(r["page"] for r in rows)
         kept, last = [], ()
         for r in rows:
-            number = tuple(int(x) for x in r["number"].split("."))
+            number = tuple(int(x) for x in re.findall(r"[0-9]+", r["number"] or ""))
             if on_page[r["page"]] < 6 and (r["font"] or number > last):
                 kept.append((r["ord"], r["page"], r["number"], r["font"]))
                 last = number
@@ -185,8 +172,6 @@ def best_pages(entries: DataFrame, most: int) -> DataFrame:
 
 def split_numbered(regions: DataFrame) -> DataFrame:
     """(doc_id, n, item) of numbered lists: item n starts at the first "n." after item n - 1. regions: doc_id, text."""
-    import re
-
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []

@@ -28,7 +28,7 @@ def parse_candidates(replies: DataFrame, keys: list[str], fields: DataFrame) ->
     """(keys, field, value, quote) of replies that hold a JSON array between the outermost brackets; unknown fields and empty values go; so does what does not parse."""
     inner = F.regexp_extract("reply", r"(?s)(\[.*\])", 1)
     rows = replies.filter(F.col("reply").isNotNull()).select(*keys, F.explode(F.from_json(inner, "array<struct<field:string,value:string,quote:string>>")).alias("_c")).select(*keys, "_c.*")
-    return rows.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(F.broadcast(fields.select("field")), "field", "left_semi").select(*keys, "field", "value", F.nullif(F.trim("quote"), F.lit("")).alias("quote"))
+    return rows.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(fields.select("field"), "field", "left_semi").select(*keys, "field", "value", F.nullif(F.trim("quote"), F.lit("")).alias("quote"))
 
 
 #: a page as a vision model describes it

@@ -83,7 +83,11 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.parse_candidates(A.complete(p, lambda prompts: prompts), ["p_partkey"], fields)
 
 
-PARSED_REPLIES = "SELECT p_partkey, 'name' AS field, p_name AS value, NULL::VARCHAR AS quote FROM part"
+PARSED_REPLIES = r"""
+WITH r AS (SELECT p_partkey, 'Sure: [{"field": "name", "value": "' || p_name || '", "quote": ""}, {"field": "other", "value": "x"}, {"field": "kind", "value": " "}] done' AS reply FROM part),
+c AS (SELECT p_partkey, unnest(from_json(regexp_extract(reply, '(\[.*\])', 1), '[{"field": "VARCHAR", "value": "VARCHAR", "quote": "VARCHAR"}]')) AS c FROM r)
+SELECT p_partkey, c.field AS field, c.value AS value, nullif(trim(c.quote), '') AS quote FROM c WHERE trim(c.value) <> '' AND c.field IN ('name', 'kind')
+"""
 
 
 def reply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,9 @@ def reply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", A.parse_verdict(reply).alias("verdict"))
 
 
-REPLY_VERDICTS = "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'supported' END AS verdict FROM part"
+REPLY_VERDICTS = r"""
+WITH r AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Unsupported.' WHEN 1 THEN 'it is SUPPORTED' ELSE 'no idea' END AS reply FROM part) SELECT p_partkey, nullif(regexp_extract(lower(reply), '(^|[^a-z])(unsupported|supported|partial)([^a-z]|$)', 2), '') AS verdict FROM r
+"""
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,13 @@ def field_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", X.sanity(field, value, F.lit("A phase 2 trial")).alias("sanity"))
 
 
-FIELD_SANITY = "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN CASE WHEN p_partkey % 3 = 1 THEN 'confirmed' ELSE 'failed' END WHEN 1 THEN 'failed' ELSE 'confirmed' END AS sanity FROM part"
+FIELD_SANITY = r"""
+WITH t AS (SELECT p_partkey, p_size % 5 AS k, CASE p_size % 5 WHEN 0 THEN 'Phase ' || (p_partkey % 3 + 1) WHEN 1 THEN p_name || ' Road' WHEN 2 THEN p_brand WHEN 3 THEN p_type ELSE p_name || ' and more words' END AS v FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN CASE WHEN regexp_extract(lower(v), 'phase\s+([1-4])', 1) = regexp_extract(lower('A phase 2 trial'), 'phase\s+([1-4])', 1) THEN 'confirmed' ELSE 'failed' END WHEN 1 THEN CASE WHEN length(v) > 80 OR regexp_matches(lower(v), '[0-9]{4,}|street|road|avenue') THEN 'failed' ELSE 'neutral' END
+  WHEN 2 THEN CASE WHEN length(v) BETWEEN 3 AND 40 AND len(string_split(v, ' ')) <= 6 AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(lower(v), 'template|xxx') THEN 'confirmed' ELSE 'failed' END
+  WHEN 3 THEN CASE WHEN length(v) BETWEEN 2 AND 60 AND length(regexp_replace(v, '[^\p{L}]', '', 'g')) >= 3 AND NOT regexp_matches(lower(v), '^[0-9.,]+\s*(mg|ml|g|µg)$') THEN 'confirmed' ELSE 'failed' END
+  ELSE CASE WHEN length(v) >= 15 AND length(regexp_replace(v, '[^\p{L}]', '', 'g')) >= 10 AND len(regexp_split_to_array(v, '\s+')) >= 3 AND NOT regexp_matches(v, '\.{4,}') THEN 'confirmed' ELSE 'failed' END END AS sanity FROM t
+"""
 
 
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:

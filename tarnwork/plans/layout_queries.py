@@ -10,6 +10,7 @@ from ..operators import grids as G
 from ..operators import matching as M
 from ..operators import sections as S
 from ..operators import stitching
+from ..operators import titles as T
 from .inputs import LINES_SQL, SECTIONS_SQL, blocks, sections, table
 
 
@@ -74,10 +75,16 @@ def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of labelled lines; each document gets three such lines in front."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Sponsor: Firm "), F.col("source"), F.lit("\nPhase: n/a\nPHASE: 2\nSite: "), F.col("lang"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
     labels = spark.createDataFrame([("sponsor", "^sponsor"), ("phase", "^phase"), ("site", "^site")], "field string, pattern string")
-    return B.label_values(B.text_blocks(rows), F.broadcast(labels))
+    return B.label_values(B.text_blocks(rows), labels)
 
 
-LABEL_VALUES = "SELECT doc_id, unnest(['sponsor', 'phase', 'site']) AS field, unnest(['Firm ' || source, '2', lang]) AS value FROM documents"
+LABEL_VALUES = r"""
+WITH t AS (SELECT doc_id, string_split('Sponsor: Firm ' || source || chr(10) || 'Phase: n/a' || chr(10) || 'PHASE: 2' || chr(10) || 'Site: ' || lang || chr(10) || coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS ord, trim(regexp_replace(unnest(ls), '\s+', ' ', 'g')) AS line FROM t),
+v AS (SELECT doc_id, ord, lower(line) AS low, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS value FROM l WHERE line <> '' AND contains(line, ':') AND ord // 8 < 3),
+f AS (SELECT *, unnest(list_filter(['sponsor', 'phase', 'site'], lambda x: starts_with(low, x))) AS field FROM v WHERE value <> '' AND length(value) <= 300 AND trim(value, ' .') <> '' AND lower(trim(value, ' .')) NOT IN ('not available', 'not applicable', 'n/a', 'na', 'tbd', 'unknown', 'none', 'not known', 'not app'))
+SELECT doc_id, field, arg_min(value, ord) AS value FROM f GROUP BY doc_id, field
+"""
 
 
 def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,18 +118,19 @@ SELECT doc_id, ord, max(type) AS type FROM up GROUP BY doc_id, ord
 
 def evidence_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = spark.createDataFrame([("history",)], "section string")
-    return S.evidence_window(blocks(spark, sf_dir), sections(spark, sf_dir).withColumn("section", F.col("type")), F.broadcast(bad))[1]
+    kept, counts = S.evidence_window(blocks(spark, sf_dir), sections(spark, sf_dir).withColumn("section", F.col("type")), bad)
+    return kept.select("doc_id", "ord", "section").join(counts, "doc_id")
 
 
 EVIDENCE_WINDOW = f"""
-WITH {SECTIONS_SQL}, p AS (SELECT b.doc_id, s.type FROM blocks b ASOF LEFT JOIN sections s ON b.doc_id = s.doc_id AND b.page * 100000 + b.y0 + 0.5 >= s.page * 100000 + s.y0)
-SELECT doc_id, count(*) FILTER (type IS DISTINCT FROM 'history') AS kept, count(*) FILTER (type = 'history') AS dropped FROM p GROUP BY doc_id
+WITH {SECTIONS_SQL}, p AS (SELECT b.doc_id, b.ord, s.type FROM blocks b ASOF LEFT JOIN sections s ON b.doc_id = s.doc_id AND b.page * 100000 + b.y0 + 0.5 >= s.page * 100000 + s.y0)
+SELECT doc_id, ord, type AS section, count(*) FILTER (type IS DISTINCT FROM 'history') OVER w AS kept, count(*) FILTER (type = 'history') OVER w AS dropped FROM p WINDOW w AS (PARTITION BY doc_id) QUALIFY type IS DISTINCT FROM 'history'
 """
 
 
 def dropped_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = spark.createDataFrame([("history",), ("objectives",)], "section string")
-    return S.dropped_findings(blocks(spark, sf_dir), sections(spark, sf_dir).withColumn("section", F.col("type")), F.broadcast(bad))
+    return S.dropped_findings(blocks(spark, sf_dir), sections(spark, sf_dir).withColumn("section", F.col("type")), bad)
 
 
 DROPPED_SECTIONS = f"""
@@ -149,19 +157,26 @@ TOP_TITLES = f"WITH {SECTIONS_SQL} SELECT doc_id, ord, last_value(CASE WHEN leve
 
 
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.graph_summary(sections(spark, sf_dir)).drop("by_type").withColumn("typed_share", F.round("typed_share", 9))
+    return S.graph_summary(sections(spark, sf_dir)).withColumn("typed_share", F.round("typed_share", 9))
 
 
-GRAPH_SUMMARY = f"WITH {SECTIONS_SQL} SELECT doc_id, count(*) AS n_sections, count(type) AS n_typed, round(count(type)::DOUBLE / count(*), 9) AS typed_share FROM sections GROUP BY doc_id"
+GRAPH_SUMMARY = f"""
+WITH {SECTIONS_SQL}, t AS (SELECT doc_id, type, count(*) AS n FROM sections WHERE type IS NOT NULL GROUP BY ALL), j AS (SELECT doc_id, '{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}}' AS by_type FROM t GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_sections, count(type) AS n_typed, round(count(type)::DOUBLE / count(*), 9) AS typed_share, any_value(by_type) AS by_type FROM sections LEFT JOIN j USING (doc_id) GROUP BY doc_id
+"""
 
 
 def title_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    title = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Annex "), F.col("p_name"), F.lit(" eligibility"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Inclusion and "), F.col("p_name"))).otherwise(F.concat(F.col("p_name"), F.lit(".")))
-    return p.select("p_partkey", S.classify_title(title).alias("type"), S.title_shaped(title).alias("shaped"))
+    title = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Annex "), F.col("p_name"), F.lit(" eligibility"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Inclusion criteria and "), F.col("p_name"))).otherwise(F.concat(F.col("p_name"), F.lit(".")))
+    return p.select("p_partkey", T.title_labels(title)["type"].alias("type"), S.title_shaped(title).alias("shaped"))
 
 
-TITLE_TYPES = "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'appendix' WHEN 1 THEN 'eligibility' END AS type, p_size % 3 <> 2 AS shaped FROM part"
+TITLE_TYPES = r"""
+WITH t AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Annex ' || p_name || ' eligibility' WHEN 1 THEN 'Inclusion criteria and ' || p_name ELSE p_name || '.' END AS t FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(lower(t), '\b(inclusion|exclusion|eligibility) criteria') THEN 'population' WHEN regexp_matches(lower(t), '\bannex') THEN 'appendix' END AS type,
+  regexp_matches(t, '^\p{Lu}') AND NOT regexp_matches(t, '[.;,:]$') AND len(string_split(trim(t), ' ')) <= 14 AND regexp_matches(t, '\p{L}{3}') AND length(regexp_replace(t, '[^0-9]', '', 'g')) <= length(t) // 4 AS shaped FROM t
+"""
 
 
 def page_families(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +221,10 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", S.scope_matches({"brand": F.col("p_brand"), "type": F.col("p_type")}, scope).alias("inside"))
 
 
-SCOPES = "SELECT p_partkey, (p_size % 3 <> 0 OR p_type = 'ECONOMY') AND (p_size % 2 = 0 OR p_size % 3 = 0) AS inside FROM part"
+SCOPES = """
+WITH t AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN [p_brand, 'x'] ELSE []::VARCHAR[] END AS b, CASE WHEN p_size % 3 = 0 THEN ['ECONOMY'] ELSE []::VARCHAR[] END AS t FROM part)
+SELECT p_partkey, len(b || t) > 0 AND (len(b) = 0 OR list_contains(b, p_brand)) AND (len(t) = 0 OR list_contains(t, p_type)) AS inside FROM t
+"""
 
 
 def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +239,16 @@ def heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.heading_sequence(li.select("doc_id", "ord", (F.col("ord") % 3).cast("int").alias("page"), F.concat_ws(".", F.col("q").cast("string"), F.lit("1")).alias("number"), (F.col("q") == 50).alias("font")))
 
 
+#: the last number kept travels along the lines of a document; a table of contents has six or more on a page
+HEADING_NUMBERS = """
+WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, max(l_quantity)::INT AS q FROM lineitem GROUP BY ALL),
+n AS (SELECT *, (ord % 3)::INT AS page, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i, count(*) OVER (PARTITION BY doc_id, ord % 3) AS c FROM l),
+w AS (SELECT doc_id, i, ord, page, q, c < 6 AS kept, CASE WHEN c < 6 THEN [q, 1] ELSE []::INT[] END AS last FROM n WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.i, n.ord, n.page, n.q, n.c < 6 AND (n.q = 50 OR [n.q, 1] > w.last), CASE WHEN n.c < 6 AND (n.q = 50 OR [n.q, 1] > w.last) THEN [n.q, 1] ELSE w.last END FROM w JOIN n ON n.doc_id = w.doc_id AND n.i = w.i + 1)
+SELECT doc_id, ord, page, q || '.1' AS number, q = 50 AS font FROM w WHERE kept
+"""
+
+
 def grid_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tables: a row for each line number, columns for flag, status and quantity."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("a"), F.max("l_linestatus").alias("b"), F.max("l_quantity").cast("int").cast("string").alias("c"))
@@ -355,26 +383,29 @@ FROM o FULL JOIN w ON o.conv_id = w.conv_id AND o.role = w.role AND o.n = w.n
 
 def word_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text_old"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"))).alias("text_new"))
-    return M.word_changes(p).select("p_partkey", "similarity")
+    return M.word_changes(p).select("p_partkey", "similarity", "changes")
 
 
 WORD_CHANGES = r"""
-WITH t AS (SELECT p_partkey, p_size, len(regexp_split_to_array(p_name, '\s+')) AS n, len(regexp_split_to_array(p_type, '\s+')) AS m FROM part) SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE round(2.0 * n / (2 * n + m), 4) END::DOUBLE AS similarity FROM t
+WITH t AS (SELECT p_partkey, p_size, regexp_split_to_array(lower(p_name), '\s+') AS x, regexp_split_to_array(lower(p_type), '\s+') AS y FROM part)
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE round(2.0 * len(x) / (2 * len(x) + len(y)), 4) END::DOUBLE AS similarity, CASE WHEN p_size % 2 = 0 THEN '' ELSE array_to_string(list_slice(x, greatest(1, len(x) - 3), len(x)), ' ') || ' -> ' || array_to_string(y, ' ') END AS changes FROM t
 """
 
 
 def token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large parts linked to small ones of their brand and hundred of keys."""
-    p = table(spark, sf_dir, "part").withColumn("hundred", F.floor(F.col("p_partkey") / 100))
-    left = p.filter("p_size > 25").select("p_brand", "hundred", F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    right = p.filter("p_size <= 25").select("p_brand", "hundred", F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.col("p_type")).alias("text"))
-    return M.link_by_tokens(left, right, ["p_brand", "hundred"]).withColumn("similarity", F.round("similarity", 9))
+    """Large parts linked to small ones of their brand."""
+    p = table(spark, sf_dir, "part")
+    left = p.filter("p_size > 25").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    right = p.filter("p_size <= 25").select("p_brand", F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), F.col("p_type")).alias("text"))
+    return M.link_by_tokens(left, right, ["p_brand"]).withColumn("similarity", F.round("similarity", 9))
 
 
 TOKEN_LINKS = r"""
-WITH t AS (SELECT p_brand, p_partkey // 100 AS hundred, p_partkey AS id, p_size, list_distinct(regexp_extract_all(lower(CASE WHEN p_size > 25 THEN p_name ELSE p_name || ' ' || p_type END), '[\p{L}\p{N}_]+')) AS t FROM part),
-s AS (SELECT a.p_brand, a.hundred, a.id AS left_id, b.id AS right_id, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) AS similarity FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.hundred = b.hundred AND a.p_size > 25 AND b.p_size <= 25)
-SELECT p_brand, hundred, left_id, right_id, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) = 1
+WITH t AS (SELECT p_brand, p_partkey AS id, p_size, list_sort(list_distinct(regexp_extract_all(lower(CASE WHEN p_size > 25 THEN p_name ELSE p_name || ' ' || p_type END), '[\p{L}\p{N}_]+'))) AS t FROM part),
+a AS (SELECT DISTINCT p_brand, t FROM t WHERE p_size > 25), b AS (SELECT p_brand, t, min(id) AS id FROM t WHERE p_size <= 25 GROUP BY ALL),
+s AS (SELECT a.p_brand, a.t, b.id AS right_id, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) AS similarity FROM a JOIN b ON a.p_brand = b.p_brand),
+m AS (SELECT * FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY p_brand, t ORDER BY similarity DESC, right_id) = 1)
+SELECT t.p_brand, t.id AS left_id, right_id, round(similarity, 9) AS similarity FROM t JOIN m ON t.p_brand = m.p_brand AND t.t = m.t AND t.p_size > 25
 """
 
 
@@ -404,6 +435,54 @@ def merged_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitching.accumulate_visits(v.withColumn("visit", F.concat(F.lit("Day "), F.col("col").cast("string"))))
 
 
+#: each candidate goes to the last best slot without one of its member; the slots so far travel along
+ALIGNED_CANDIDATES = r"""
+WITH RECURSIVE e AS (SELECT p_partkey // 50 AS doc_id, p_size % 3 AS member, p_partkey AS ord, p_name AS text, list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS t, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_size % 3, p_partkey) AS i FROM part),
+w AS (SELECT doc_id, i, [[struct_pack(m := member, t := t)]] AS slots, 1::BIGINT AS spot FROM e WHERE i = 1
+  UNION ALL SELECT doc_id, i, CASE WHEN found IS NULL THEN slots || [[me]] ELSE list_transform(slots, lambda s, k: CASE WHEN k = found THEN s || [me] ELSE s END) END, coalesce(found, len(slots) + 1)
+  FROM (SELECT *, CASE WHEN list_max(scores) >= 0.4 THEN list_max(list_filter(range(1, len(scores) + 1), lambda k: scores[k] = list_max(scores))) END AS found
+    FROM (SELECT e.doc_id, e.i, struct_pack(m := e.member, t := e.t) AS me, w.slots, list_transform(w.slots, lambda s: CASE WHEN list_contains(list_transform(s, lambda x: x.m), e.member) THEN -1.0 ELSE list_max(list_transform(s, lambda x: len(list_intersect(x.t, e.t))::DOUBLE / len(list_distinct(x.t || e.t)))) END) AS scores
+      FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i + 1)))
+SELECT e.doc_id, member, ord, text, (spot - 1)::INT AS slot FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i
+"""
+#: events join the first cluster whose first text is like theirs; the first texts so far travel along
+RECONCILED_EVENTS = r"""
+WITH RECURSIVE e AS (SELECT p_partkey // 50 AS doc_id, p_size % 5 AS slot, p_name AS text, list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS t, p_type AS strategy, p_size > 10 AS ok, row_number() OVER (PARTITION BY p_partkey // 50, p_size % 5 ORDER BY p_partkey) AS i FROM part),
+w AS (SELECT doc_id, slot, i, [t] AS firsts, 1::BIGINT AS home FROM e WHERE i = 1
+  UNION ALL SELECT doc_id, slot, i, CASE WHEN found IS NULL THEN firsts || [t] ELSE firsts END, coalesce(found, len(firsts) + 1)
+  FROM (SELECT e.doc_id, e.slot, e.i, e.t, w.firsts, list_filter(range(1, len(w.firsts) + 1), lambda k: len(list_intersect(w.firsts[k], e.t))::DOUBLE / len(list_distinct(w.firsts[k] || e.t)) >= 0.5)[1] AS found FROM w JOIN e ON e.doc_id = w.doc_id AND e.slot = w.slot AND e.i = w.i + 1)),
+c AS (SELECT e.*, home FROM w JOIN e ON e.doc_id = w.doc_id AND e.slot = w.slot AND e.i = w.i),
+g AS (SELECT doc_id, slot, home, strategy, count(*) AS n, min(i) AS f FROM c GROUP BY ALL), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, slot, home ORDER BY n DESC, f) = 1)
+SELECT doc_id, slot, arg_min(text, i) AS text, any_value(b.strategy) AS strategy, count(*)::INT AS support FROM c JOIN b USING (doc_id, slot, home) GROUP BY doc_id, slot, home HAVING bool_or(ok)
+"""
+#: lines are linked where they meet once widened; boxes are what links lead to
+RULED_BOXES = """
+WITH RECURSIVE s AS (SELECT row_number() OVER () AS id, l_orderkey AS doc_id, l_quantity AS x0, l_linenumber::DOUBLE AS y0, l_quantity + 6 AS x1 FROM lineitem),
+e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.x0 <= b.x1 + 1.6 AND b.x0 <= a.x1 + 1.6 AND abs(a.y0 - b.y0) <= 1.6),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS id, min(b) AS box FROM r GROUP BY a),
+g AS (SELECT doc_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y0) AS y1, count(*) AS n FROM s JOIN c ON s.id = c.id GROUP BY doc_id, box)
+SELECT doc_id, 1 AS page, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, x0, y0) - 1)::INT AS box, x0, y0, x1, y1, n::INT AS n FROM g
+"""
+#: visits are placed one after the other into the list of keys and epochs so far
+MERGED_VISITS = """
+WITH RECURSIVE v AS (SELECT l_orderkey AS doc_id, l_linenumber AS t, l_suppkey % 4 AS c, max(l_linestatus) AS epoch FROM lineitem GROUP BY ALL), n AS (SELECT *, 'day' || c AS key, row_number() OVER (PARTITION BY doc_id ORDER BY t, c) AS i FROM v),
+w AS (SELECT doc_id, i, [key] AS keys, [epoch] AS epochs FROM n WHERE i = 1
+  UNION ALL SELECT doc_id, i, CASE WHEN known THEN keys ELSE list_slice(keys, 1, spot) || [key] || list_slice(keys, spot + 1, len(keys)) END, CASE WHEN known THEN epochs ELSE list_slice(epochs, 1, spot) || [epoch] || list_slice(epochs, spot + 1, len(epochs)) END
+  FROM (SELECT n.doc_id, n.i, n.key, n.epoch, w.keys, w.epochs, list_contains(w.keys, n.key) AS known, coalesce(list_max(list_filter(range(1, len(w.epochs) + 1), lambda k: w.epochs[k] = n.epoch)), len(w.epochs)) AS spot FROM w JOIN n ON n.doc_id = w.doc_id AND n.i = w.i + 1))
+SELECT doc_id, unnest(keys) AS visit_key, unnest(epochs) AS epoch, (generate_subscripts(keys, 1) - 1)::INT AS pos FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+"""
+#: the state of a document's walk over its tables: header and number of columns of the chain, its number, the header rows that it has repeated
+STITCHED_TABLES = """
+WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, lower(max(l_returnflag)) AS h, max(l_partkey) AS p FROM lineitem GROUP BY ALL),
+n AS (SELECT *, CASE WHEN p % 4 = 0 THEN 1 ELSE 2 END AS cols, p % 5 = 0 AS caption, p % 3 = 0 AS cue, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM l),
+w AS (SELECT doc_id, i, page, h AS head, cols AS head_cols, 0 AS chain, 'SEPARATE' AS verdict FROM n WHERE i = 1
+  UNION ALL SELECT doc_id, i, page, CASE WHEN verdict = 'CONTINUATION' THEN head ELSE h END, CASE WHEN verdict = 'CONTINUATION' THEN head_cols ELSE cols END, CASE WHEN verdict = 'CONTINUATION' THEN chain ELSE chain + 1 END, verdict
+  FROM (SELECT n.doc_id, n.i, n.page, n.h, n.cols, w.head, w.head_cols, w.chain, CASE WHEN n.page <> w.page + 1 THEN 'SEPARATE'
+      WHEN n.h <> w.head AND NOT n.cue THEN CASE WHEN n.cols = w.head_cols THEN 'AMBIGUOUS' ELSE 'SEPARATE' END
+      WHEN n.caption OR n.cols <> w.head_cols THEN 'AMBIGUOUS' ELSE 'CONTINUATION' END AS verdict FROM w JOIN n ON n.doc_id = w.doc_id AND n.i = w.i + 1))
+SELECT doc_id, page AS table_ix, chain, verdict FROM w
+"""
+
 QUERIES = {
     "text_blocks": text_blocks, "thin_documents": thin_documents, "block_kinds": block_kinds, "head_text": head_text, "running_headers": running_headers, "repeated_lines": repeated_lines, "label_values": label_values, "section_lookup": section_lookup, "section_nesting": section_nesting, "inherited_types": inherited_types,
     "evidence_window": evidence_window, "dropped_sections": dropped_sections, "slot_blocks": slot_blocks, "top_titles": top_titles, "graph_summary": graph_summary, "title_types": title_types, "page_families": page_families, "page_clusters": page_clusters, "best_pages": best_pages, "scopes": scopes, "numbered_items": numbered_items,
@@ -414,5 +493,5 @@ SQL = {
     "text_blocks": TEXT_BLOCKS, "thin_documents": THIN_DOCUMENTS, "block_kinds": BLOCK_KINDS, "head_text": HEAD_TEXT, "running_headers": RUNNING_HEADERS, "repeated_lines": REPEATED_LINES, "label_values": LABEL_VALUES, "section_lookup": SECTION_LOOKUP, "section_nesting": SECTION_NESTING, "inherited_types": INHERITED_TYPES,
     "evidence_window": EVIDENCE_WINDOW, "dropped_sections": DROPPED_SECTIONS, "slot_blocks": SLOT_BLOCKS, "top_titles": TOP_TITLES, "graph_summary": GRAPH_SUMMARY, "title_types": TITLE_TYPES, "page_families": PAGE_FAMILIES, "page_clusters": PAGE_CLUSTERS, "best_pages": BEST_PAGES, "scopes": SCOPES, "numbered_items": NUMBERED_ITEMS,
     "grid_agreement": GRID_AGREEMENT, "grid_disagreements": GRID_DISAGREEMENTS, "schedule_votes": SCHEDULE_VOTES, "filled_headers": FILLED_HEADERS, "full_columns": FULL_COLUMNS, "paired_tables": PAIRED_TABLES, "uncovered_pairs": UNCOVERED_PAIRS, "demoted_fields": DEMOTED_FIELDS, "box_unions": BOX_UNIONS,
-    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS,
+    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "stitched_tables": STITCHED_TABLES,
 }

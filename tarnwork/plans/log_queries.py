@@ -193,6 +193,17 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.greedy_match_sets(refs, items, ["p_brand"], 0.3)
 
 
+#: references of a brand go in order and carry the items taken so far; each has its partners sorted by likeness, then id
+GREEDY_MATCH = r"""
+WITH RECURSIVE t AS (SELECT p_brand, p_partkey AS id, p_size > 25 AS ref, list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS t FROM part),
+s AS (SELECT a.p_brand, a.id AS ref, b.id AS item, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)) AS similarity FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.ref AND NOT b.ref),
+r AS (SELECT p_brand, ref, list(struct_pack(item, similarity) ORDER BY similarity DESC, item) AS ways FROM s WHERE similarity >= 0.3 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY ref) AS i FROM r),
+w AS (SELECT p_brand, i, ref, ways[1] AS got, [ways[1].item] AS used FROM n WHERE i = 1
+  UNION ALL SELECT p_brand, i, ref, got, CASE WHEN got IS NULL THEN used ELSE used || [got.item] END FROM (SELECT n.p_brand, n.i, n.ref, list_filter(n.ways, lambda x: NOT list_contains(w.used, x.item))[1] AS got, w.used FROM w JOIN n ON n.p_brand = w.p_brand AND n.i = w.i + 1))
+SELECT p_brand, ref, got.item AS item, got.similarity AS similarity FROM w WHERE got IS NOT NULL
+"""
+
+
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= "2000-09-02")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -229,5 +240,5 @@ QUERIES = {
 }
 SQL = {
     "latest_by_key": LATEST_BY_KEY, "certified_state": CERTIFIED_STATE, "edit_summary": EDIT_SUMMARY, "edit_labels": EDIT_LABELS, "decision_counts": DECISION_COUNTS, "risk_order": RISK_ORDER, "append_new": APPEND_NEW, "scoreboard": SCOREBOARD, "field_diff": FIELD_DIFF, "training_pairs": TRAINING_PAIRS, "risk_coverage": RISK_COVERAGE,
-    "prefix_risk": PREFIX_RISK, "brier": BRIER, "rubric": RUBRIC, "pricing_summary": PRICING_SUMMARY, "region_revenue": REGION_REVENUE, "idle_customers": IDLE_CUSTOMERS,
+    "prefix_risk": PREFIX_RISK, "brier": BRIER, "rubric": RUBRIC, "greedy_match": GREEDY_MATCH, "pricing_summary": PRICING_SUMMARY, "region_revenue": REGION_REVENUE, "idle_customers": IDLE_CUSTOMERS,
 }

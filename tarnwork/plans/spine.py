@@ -19,7 +19,7 @@ def metadata(docs: DataFrame, labels: DataFrame, others: DataFrame | None = None
     """
     blocks = text_blocks(docs)
     heads = head_text(blocks, pages)
-    own = label_values(blocks, F.broadcast(labels), pages).select("doc_id", "field", "value", F.lit("label").alias("method"), F.lit(False).alias("is_model"), F.lit(0).alias("ord"))
+    own = label_values(blocks, labels, pages).select("doc_id", "field", "value", F.lit("label").alias("method"), F.lit(False).alias("is_model"), F.lit(0).alias("ord"))
     all_ = own.unionByName(others) if others is not None else own
     checked = all_.join(heads, "doc_id", "left").withColumn("sanity", sanity(F.col("field"), F.col("value"), F.col("head"))).drop("head")
     keys = ["doc_id", "field"]

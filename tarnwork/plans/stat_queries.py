@@ -60,10 +60,30 @@ def binomial_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_upper_bound(C.with_p_value(threshold_counts(spark, sf_dir), "k", "m", 0.1), "k", "m", C.DELTA).withColumns({c: F.round(c, 6) for c in ("p_value", "upper")})
 
 
+#: the binomial sum from logarithms; the bound is halved 40 times, which tells six digits
+BINOMIAL_BOUNDS = f"""
+WITH RECURSIVE {SCORED_SQL}, c AS (SELECT seq::INT AS seq, t, count(score) AS m, count(score) FILTER (NOT correct) AS k FROM (SELECT i AS seq, round(0.99 - 0.01 * i, 2)::DOUBLE AS t FROM range(0, 99) r(i)) LEFT JOIN sc ON score >= t GROUP BY seq, t),
+d AS (SELECT DISTINCT m, k, list_transform(range(0, k + 1), lambda i: lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1)) AS ways FROM c WHERE k < m),
+b AS (SELECT m, k, ways, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM d
+  UNION ALL SELECT m, k, ways, i + 1, CASE WHEN s > 0.1 THEN mid ELSE lo END, CASE WHEN s > 0.1 THEN hi ELSE mid END
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(ways, lambda x, j: exp(x + (j - 1) * ln((lo + hi) / 2) + (m - j + 1) * ln(1 - (lo + hi) / 2)))) AS s FROM b WHERE i < 40)),
+u AS (SELECT m, k, (lo + hi) / 2 AS upper, list_sum(list_transform(ways, lambda x, j: exp(x + (j - 1) * ln(0.1::DOUBLE) + (m - j + 1) * ln(0.9::DOUBLE)))) AS p FROM b WHERE i = 40)
+SELECT c.seq, c.t, c.m, c.k, round(coalesce(least(p, 1), 1), 6) AS p_value, round(coalesce(upper, 1), 6) AS upper FROM c LEFT JOIN u ON c.m = u.m AND c.k = u.k
+"""
+
+
 def calibrated_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.calibrate(_scored(spark, sf_dir), "score", "correct", alpha=0.15)
 
 
+CALIBRATED_THRESHOLD = f"""
+WITH {SCORED_SQL}, c AS (SELECT seq::INT AS seq, t, count(score) AS m, count(score) FILTER (NOT correct) AS k FROM (SELECT i AS seq, round(0.99 - 0.01 * i, 2)::DOUBLE AS t FROM range(0, 99) r(i)) LEFT JOIN sc ON score >= t GROUP BY seq, t),
+p AS (SELECT *, CASE WHEN m > 0 AND k < m THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + i * ln(0.15::DOUBLE) + (m - i) * ln(0.85::DOUBLE)))) ELSE 1 END AS v FROM c),
+r AS (SELECT *, min((v <= 0.1 AND m > 0)::INT) OVER (ORDER BY seq) = 1 AS ok FROM p), best AS (SELECT t, m, k FROM r WHERE ok ORDER BY m DESC, seq LIMIT 1), n AS (SELECT count(*) AS n FROM sc)
+SELECT n, CASE WHEN n >= 47 THEN t END AS threshold, CASE WHEN n >= 47 THEN m END AS m, CASE WHEN n >= 47 THEN k END AS k, m IS NOT NULL AND n >= 47 AS emitted FROM n LEFT JOIN best ON true
+"""
+
+
 def gated_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = spark.createDataFrame([(0.9, True)], "threshold double, emitted boolean")
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 > 0, F.col("o_orderstatus")).alias("value"), F.when(F.col("o_orderstatus") == "P", "BLOCK").otherwise("REVIEW").alias("decision"), F.lit(0.0).alias("confidence"), (F.col("o_custkey") % 100 / 100).alias("probability"))
@@ -82,4 +102,4 @@ def hashed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 HASHED_ROWS = """SELECT n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS hash FROM nation"""
 
 QUERIES = {"encoded_features": encoded_features, "fitted_probabilities": fitted_probabilities, "threshold_counts": threshold_counts, "binomial_bounds": binomial_bounds, "calibrated_threshold": calibrated_threshold, "gated_fields": gated_fields, "hashed_rows": hashed_rows}
-SQL = {"encoded_features": ENCODED_FEATURES, "threshold_counts": THRESHOLD_COUNTS, "gated_fields": GATED_FIELDS, "hashed_rows": HASHED_ROWS}
+SQL = {"encoded_features": ENCODED_FEATURES, "threshold_counts": THRESHOLD_COUNTS, "binomial_bounds": BINOMIAL_BOUNDS, "calibrated_threshold": CALIBRATED_THRESHOLD, "gated_fields": GATED_FIELDS, "hashed_rows": HASHED_ROWS}

@@ -277,7 +277,11 @@ def listed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(T.list_items(s), "|").alias("items"))
 
 
-LISTED_ITEMS = "SELECT p_partkey, 'Subjects with ' || p_name || '.|No ' || p_type || ' before visit.' AS items FROM part"
+LISTED_ITEMS = r"""
+WITH t AS (SELECT p_partkey, regexp_replace('1. Subjects with ' || p_name || chr(10) || '2) short' || chr(10) || '3. No ' || p_type || ' before visit.' || chr(10) || '4. Exclusion criteria:', '\s+', ' ', 'g') AS t FROM part),
+i AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(t, '(^|\s)[0-9]{1,2}[.)]\s'), lambda x: trim(x)), lambda x: length(x) >= 8 AND NOT regexp_matches(lower(x), 'criteria:?$')) AS items FROM t)
+SELECT p_partkey, array_to_string(list_transform(items, lambda x: CASE WHEN x LIKE '%.' THEN x ELSE x || '.' END), '|') AS items FROM i
+"""
 
 QUERIES = {
     "text_normalise": text_normalise, "token_jaccard": token_jaccard, "edit_distance": edit_distance, "typed_scores": typed_scores, "score_summary": score_summary, "resolve_quotes": resolve_quotes, "verify_values": verify_values, "ensemble_vote": ensemble_vote, "grounding": grounding,
