@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,10 @@ ANCHOR = 5
 HOT = 5_000
 #: words of the segments that one index holds, if no anchor has more
 SHARD_WORDS = 250_000
+#: suffixes whose smallest document is stored together
+RUN = 64
+#: bytes of segments in a batch
+PIECE_BYTES = 1 << 27
 
 
 class FMIndex:
@@ -44,11 +49,17 @@ class FMIndex:
         count = np.bincount(text, minlength=int(symbols.max()) + 1 if len(symbols) else 1)
         self.below = np.cumsum(count) - count
         self.base = self._step(np.arange(len(count)), np.zeros(len(count), np.int64))
-        self.minima = [np.repeat(weights, lens + 1)[order]]
-        while (half := 1 << (len(self.minima) - 1)) * 2 <= len(text):
+        self.names, ranks = np.unique(weights, return_inverse=True)
+        self.low = np.repeat(ranks.astype(np.int32), lens + 1)[order]
+        self.minima = [np.minimum.reduceat(self.low, np.arange(0, len(self.low), RUN))]
+        while (half := 1 << (len(self.minima) - 1)) * 2 <= len(self.minima[0]):
             last = self.minima[-1]
             self.minima.append(np.minimum(last[:-half], last[half:]))
 
+    def nbytes(self) -> int:
+        """Bytes that the index takes: planes with their ranks, numbers of weights, and minima of runs."""
+        return sum(p.nbytes for p in self.matrix.planes) + sum(o.nbytes for o in self.matrix.ones) + self.low.nbytes + sum(m.nbytes for m in self.minima) + self.names.nbytes + self.below.nbytes + self.base.nbytes
+
     @staticmethod
     def _suffixes(text: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Suffix array by doubling; every end of a segment is a symbol of its own, so ranks part after the longest segment."""
@@ -78,13 +89,29 @@ class FMIndex:
         both = self._step(np.concatenate([symbols, symbols]), np.concatenate([lo, hi]))
         return base + both[: len(symbols)], base + both[len(symbols) :]
 
+    def _scanned(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The smallest number between two places, which are less than two runs apart; beyond all numbers where there is none."""
+        out = np.full(len(lo), len(self.names), np.int64)
+        some = np.flatnonzero(hi > lo)
+        if len(some):
+            lens = hi[some] - lo[some]
+            out[some] = np.minimum.reduceat(self.low[ragged(lo[some], lens)], np.cumsum(lens) - lens)
+        return out
+
     def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The smallest weight in each interval, none of them empty."""
-        level = np.int64(np.floor(np.log2(hi - lo)))
+        """The smallest weight in each interval, none of them empty: of the whole runs in it by their minima, of its ends by looking at each place."""
         out = np.empty(len(lo), np.int64)
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.minima[k][lo[at]], self.minima[k][hi[at] - (1 << int(k))])
+        for at in range(0, len(lo), 1 << 15):
+            a, b = lo[at : at + (1 << 15)], hi[at : at + (1 << 15)]
+            first, last = -(-a // RUN), b // RUN
+            whole = first < last
+            best = np.minimum(self._scanned(a, np.where(whole, first * RUN, b)), self._scanned(np.where(whole, last * RUN, b), b))
+            level = np.zeros(len(a), np.int64)
+            level[whole] = np.int64(np.floor(np.log2((last - first)[whole])))
+            for k in np.unique(level[whole]):
+                own = np.flatnonzero(whole & (level == k))
+                best[own] = np.minimum(best[own], np.minimum(self.minima[k][first[own]], self.minima[k][last[own] - (1 << int(k))]))
+            out[at : at + len(a)] = self.names[best]
         return out
 
     def matches(self, symbols: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,19 +181,20 @@ def _cut(docs: DataFrame, span: int) -> DataFrame:
             s_anchor = np.concatenate([anchor[own], alone])
             s_hot = np.arange(len(s_row)) >= own.sum()
             lo, hi = at[s_at], at[s_at + s_n - 1] + lens[s_at + s_n - 1] if len(s_at) else at[s_at]
-            data = line[ragged(lo, hi - lo)]
-            h1 = hash_spans(data, hi - lo)
             word_sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(77)) * (np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
             plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(77)), dtype=np.uint64)])
             with np.errstate(over="ignore"):  # a sum of words times their odd places from the segment's start
                 h2 = mix(word_sums[s_at + s_n] - word_sums[s_at] - (plain[s_at + s_n] - plain[s_at]) * (s_at.astype(np.uint64) * np.uint64(2)))
-            edge = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
-            blobs = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data.tobytes())])
-            at_row = pa.array(s_row)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").take(at_row), rows.column("_key").take(at_row), pa.array((s_at - first[s_row]).astype(np.int32)), pa.array(s_anchor.view(np.int64)), pa.array(s_hot), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), blobs],
-                ["doc_id", "_key", "start", "anchor", "hot", "h1", "h2", "words"],
-            )
+            size = np.cumsum(hi - lo)
+            cuts = np.unique(np.concatenate([[0], np.searchsorted(size, np.arange(PIECE_BYTES, int(size[-1]) if len(size) else 0, PIECE_BYTES)) + 1, [len(lo)]]))
+            for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # one very long text makes several batches
+                lens = hi[p:q] - lo[p:q]
+                data = line[ragged(lo[p:q], lens)]
+                edge = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), q - p, [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data.tobytes())])
+                at_row = pa.array(s_row[p:q])
+                columns = [pa.array((s_at - first[s_row])[p:q].astype(np.int32)), pa.array(s_anchor[p:q].view(np.int64)), pa.array(s_hot[p:q]), pa.array(hash_spans(data, lens).view(np.int64)), pa.array(h2[p:q].view(np.int64)), blobs]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at_row), rows.column("_key").take(at_row), *columns], ["doc_id", "_key", "start", "anchor", "hot", "h1", "h2", "words"])
 
     return docs.mapInArrow(scan, "doc_id long, _key long, start int, anchor long, hot boolean, h1 long, h2 long, words binary")
 
@@ -266,7 +294,8 @@ def _without(cut: DataFrame, span: int) -> DataFrame:
                 line[ragged(np.cumsum(lens + 1) - (lens + 1), lens)] = buf[ragged(starts[keep], lens)]
                 removed.append(b - a - len(keep))
                 digest.append(hashlib.sha256(line[:-1].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            named = pc.if_else(rows.column("_anonymous"), pa.nulls(rows.num_rows, pa.int64()), rows.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([named, pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return cut.mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -275,10 +304,10 @@ def drop_repeats(docs: DataFrame, span: int = 13) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by one blank).
 
     Words are removed that lie in a window of `span` words which also starts in a document with a smaller doc_id; all windows are judged on
-    the input. Null text and text with fewer words than span lose nothing. A null doc_id is smaller than all others. Repeated rows
+    the input. Null text and text with fewer words than span lose nothing. A null doc_id is smaller than all others, and judged as equal to the least long. Repeated rows
     are each judged, and never against one another. An empty table gives no rows. Other columns are ignored.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("_anonymous"))
     w = Window.partitionBy("anchor")  # one shuffle of two numbers a row, and one sort, which spills
     anchors = _anchors(docs, span).withColumns({"_x": F.min("doc_id").over(w), "_y": F.max("doc_id").over(w), "_hot": F.count("*").over(w) > HOT})
     hits = checkpointed(anchors.filter("_x <> _y").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("_hot"), F.col("anchor"))).alias("hot")))
@@ -288,4 +317,4 @@ def drop_repeats(docs: DataFrame, span: int = 13) -> DataFrame:
     if not hits.filter(F.size("hot") > 0).isEmpty():
         gone = gone.unionByName(_gone_hot(rows.filter("hot"), span))
     lost = gone.groupBy("doc_id").agg(F.collect_list(F.struct("_key", "gone")).alias("lost"))
-    return _without(keyed.join(lost, "doc_id", "left"), span).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return _without(keyed.join(lost, "doc_id", "left"), span)
