@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, find_words, hash_words
+from .common import Slots, blocks, find_words, hash_words
 
 # Kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -27,10 +27,11 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 
 #: states of the field: none, an address spelled out, a number without a plus sign, a password or key
 STATES = ("none", "email", "phone", "secret")
-CUES = (
+AROUND = ".,;:!?\"'`<>"
+CUES = frozenset((
     "at", "dot", "(at)", "(dot)", "[at]", "[dot]", "{at}", "{dot}", "phone", "tel", "telephone", "mobile", "cell", "fax", "call", "ring", "dial", "email", "mail", "ext", "contact", "reach", "write",
     "token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "=", ":=", "isbn", "order", "page", "pages", "version", "commit", "on", "from", "until", "id",
-)
+))
 
 Span = tuple[str, int, int]
 
@@ -98,9 +99,9 @@ def shape(word: str) -> str:
     return re.sub(r"[0-9]+", lambda m: "0" * min(5, len(m[0])), out)[:24]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=5_000)
 def word_features(word: str) -> tuple[str, ...]:
-    core = word.strip(".,;:!?\"'`<>")
+    core = word.strip(AROUND)
     bare = core.lower()
     out = [f"shape={shape(core)}", f"digits={min(12, sum(c.isdigit() for c in core))}", f"length={min(10, len(core) // 4)}"]
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
@@ -163,11 +164,19 @@ class Field:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """[word][before, own, after][state]: what a word adds to the states of the next word, of itself and of the word before."""
-        out = np.zeros((len(words), 3, self.steps.shape[1]))
+        out, known = np.zeros((len(words), 3, self.steps.shape[1])), {}
         for i, w in enumerate(words):
+            core = w.strip(AROUND)
+            # words of letters alone, other than cues, differ in case and length only
+            plain = (core.islower(), core.isupper(), core.istitle(), core.isascii(), len(core) // 4) if core.isalpha() and w[-1] not in "=:" and core.lower() not in CUES else None
+            if plain is not None and core.isascii() and (plain[0] or plain[1] or plain[2]) and plain in known:
+                out[i] = known[plain]
+                continue
             for f in word_features(w):
                 if (k := self.names.get(f)) is not None:
                     out[i] += self.weights[:, k]
+            if plain is not None:
+                known[plain] = out[i]
         return out
 
 
@@ -277,22 +286,24 @@ class Finder:
     """Spans of the rows of a block; what a distinct word adds is kept from block to block."""
 
     def __init__(self, field: Field, limit: int = 300_000) -> None:
-        self.field, self.limit, self.seen, self.table = field, limit, {}, np.zeros((1 << 12, 3, len(STATES)), np.float32)
+        self.field, self.limit, self.seen, self.table = field, limit, Slots(), np.zeros((1 << 12, 3, len(STATES)), np.float32)
 
     def _word_scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, where, back = np.unique(hash_words(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.seen) > self.limit:
-            self.seen = {}
-        known, raw = keys.tolist(), None
-        new = [i for i, k in enumerate(known) if k not in self.seen]
-        if new:
+            self.seen = Slots()
+        slots = self.seen.find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
             raw, n = buf.tobytes(), len(self.seen)
-            add = self.field.scores([raw[starts[j] : ends[j]].decode() for j in where[new].tolist()])
             if n + len(new) > len(self.table):
-                self.table = np.concatenate([self.table[:n], np.zeros((n + 2 * len(new), 3, len(STATES)), np.float32)])
-            self.table[n : n + len(new)] = add
-            self.seen.update(zip((known[i] for i in new), range(n, n + len(new)), strict=True))
-        return self.table, np.fromiter(map(self.seen.__getitem__, known), np.int64, len(known))[back]
+                self.table = np.concatenate([self.table[:n], np.zeros((n // 2 + len(new), 3, len(STATES)), np.float32)])
+            for at in range(0, len(new), 20_000):
+                part = where[new[at : at + 20_000]]
+                self.table[n + at : n + at + len(part)] = self.field.scores([raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
+            slots[new] = np.arange(n, n + len(new))
+            self.seen.add(keys[new], slots[new])
+        return self.table, slots[back]
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[list[Span], list[Span]]]:
         """For each row, the base spans and all spans."""
