@@ -18,6 +18,8 @@ WS = np.zeros(256, bool)
 WS[[32, 9, 10, 11, 12, 13]] = True
 #: text bytes handled at once by a kernel; bounds its temporary arrays
 BLOCK_BYTES = 4 << 20
+#: bytes that are hashed at once
+SPAN_BYTES = 1 << 17
 #: stands for a missing doc_id, so that it orders before all others
 NO_ID = -(2**63)
 
@@ -49,10 +51,15 @@ def new_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: tables written for results that are still to be read
+_HELD: list[str] = []
+
+
 def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and the table's path, for deleted()."""
+    """df as a Parquet table in the shared folder, and the table's path, for deleted(). A table that the result itself reads stays until released()."""
     path = new_dir(df.sparkSession, kind)
     df.write.parquet(path)
+    _HELD.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -61,6 +68,13 @@ def deleted(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _HELD:
+            _HELD.remove(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Removes all written tables: for a caller that has stored the results of the operators so far."""
+    deleted(spark, *list(_HELD))
 
 
 def few(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -122,9 +136,18 @@ def find_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hash_spans(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """64-bit hashes of consecutive spans of data, none of them empty."""
-    if not len(lens):
-        return np.zeros(0, np.uint64)
+    """64-bit hashes of consecutive spans of data, none of them empty; some at a time, so that what is needed for each byte stays small."""
+    ends = np.cumsum(lens)
+    out, at = np.zeros(len(lens), np.uint64), 0
+    while at < len(lens):
+        begin = int(ends[at] - lens[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + SPAN_BYTES, "right")))
+        out[at:to] = _hash_few(data[begin : int(ends[to - 1])], lens[at:to])
+        at = to
+    return out
+
+
+def _hash_few(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     first = np.cumsum(lens) - lens
     place = np.arange(len(data)) - np.repeat(first, lens)
     with np.errstate(over="ignore"):
@@ -164,45 +187,70 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
 
 
+class Slots:
+    """Numbers of 64-bit keys, as two sorted arrays: 16 bytes a key."""
+
+    def __init__(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those that have none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], -1)
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """keys: sorted, and new."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+
+
 class ChunkEncoder:
     """Ids of chunks of text; each distinct chunk is encoded once while it is cached."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 700_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known = Slots()
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used, self.start, self.len = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used, self.start, self.len = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
-    def _add(self, keys: list[int], chunks: list[str]) -> None:
+    def _add(self, n: int, chunks: list[str]) -> None:
+        """Ids of chunks under the numbers from n."""
         ids = self.encode(chunks)
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
-        n, need = len(self.slot), self.used + len(flat)
+        need = self.used + len(flat)
         if need > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(need, np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need // 2, need - self.used), np.uint32)])
         if n + len(ids) > len(self.start):
-            more = np.zeros(n + 2 * len(ids), np.int64)
-            self.start, self.len = np.concatenate([self.start[:n], more]), np.concatenate([self.len[:n], more])
+            more = np.zeros(n // 2 + len(ids), np.int64)
+            self.start, self.len = np.concatenate([self.start[:n], more]), np.concatenate([self.len[:n], more.astype(np.int32)])
         self.pool[self.used : need] = flat
         self.start[n : n + len(ids)] = self.used + np.cumsum(lens) - lens
         self.len[n : n + len(ids)] = lens
-        self.slot.update(zip(keys, range(n, n + len(ids)), strict=True))
         self.used = need
 
     def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after the other, and how many each has."""
-        if len(self.slot) > self.limit:
+        if len(self.known) > self.limit:
             self._clear()
         keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in self.slot]
-        raw = buf.tobytes()
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self._add([known[i] for i in part], [raw[starts[j] : ends[j]].decode() for j in where[part].tolist()])
-        slots = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))[back]
-        lens = self.len[slots]
+        slots = self.known.find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            raw, n = buf.tobytes(), len(self.known)
+            for at in range(0, len(new), 20_000):
+                part = where[new[at : at + 20_000]]
+                self._add(n + at, [raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)])
+            slots[new] = np.arange(n, n + len(new))
+            self.known.add(keys[new], slots[new])
+        slots = slots[back]
+        lens = self.len[slots].astype(np.int64)
         return self.pool[ragged(self.start[slots], lens)], lens

@@ -2,13 +2,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwork.llm import ngram_jaccard
+from tarnwork.llm import graphs, ngram_jaccard, substring_dedup
 from tarnwork.llm.exact_dedup import ascii_lower, drop_duplicates, duplicate_groups
 from tarnwork.llm.ngram_jaccard import jaccard_components, one_of_each_group
-from tarnwork.llm.substring_dedup import drop_repeats
+from tarnwork.llm.substring_dedup import FMIndex, drop_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, _text string, _row int, n_words int"
@@ -94,6 +95,22 @@ def test_jaccard_keeps_one(spark):
     assert sorted(low(r.doc_id) for r in got.collect()) == sorted(i for i, _, c in brute_components(odd_docs(), 5, 80) if i == c)
 
 
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graphs, "SMALL", small)
+    rng = random.Random(small)
+    edges = [(i, i + 1) for i in range(-40, 60)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(2000, 2000 + k) for k in range(50)] + [(9, 9)]
+    up = {x: x for e in edges for x in e}
+    for _ in range(len(up)):
+        new = {x: min([up[x], *(up[b] for a, b in edges if a == x), *(up[a] for a, b in edges if b == x)]) for x in up}
+        if new == up:
+            break
+        up = new
+    got = graphs.components(spark.createDataFrame(edges, "a long, b long").repartition(3))
+    assert {r.node: r.component for r in got.collect()} == up
+    assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_jaccard_with_colliding_names(spark, monkeypatch):
     """With names of five bits nearly all sets collide at first; all get other names."""
     prepared = ngram_jaccard._prepared
@@ -132,3 +149,29 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for got in (duplicate_groups(none), drop_duplicates(none), jaccard_components(none), one_of_each_group(none), drop_repeats(none)):
         assert got.count() == 0
+
+
+def test_index_finds_the_least_document():
+    rng = np.random.default_rng(3)
+    lens = rng.integers(13, 60, 300)
+    symbols = rng.integers(1, 6, int(lens.sum()))
+    weights = rng.integers(-(2**60), 2**60, len(lens))
+    index = FMIndex(symbols, lens, weights)
+    ends = np.cumsum(lens)
+    for size in (1, 2, 3, 7):
+        for _ in range(12):
+            s = int(rng.integers(0, len(lens)))
+            at = int(ends[s] - lens[s] + rng.integers(size, lens[s]))
+            length, lo, hi = index.matches(symbols, np.array([at]), size)
+            got = symbols[at - size : at].tolist()
+            holders = [int(w) for k, w in enumerate(weights) if any(symbols[i : i + size].tolist() == got for i in range(int(ends[k] - lens[k]), int(ends[k]) - size + 1))]
+            assert length[0] == size and int(index.least(lo, hi)[0]) == min(holders)
+    big = FMIndex(rng.integers(1, 30_000, 100_000), np.full(1000, 100), np.arange(1000))
+    assert big.nbytes() / 100_000 < 14  # planes, ranks, a number for each suffix, symbols' counts
+
+
+def test_segments_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 300)
+    rows = [(1, " ".join(f"w{i}" for i in range(400))), (2, "x " + " ".join(f"w{i}" for i in range(100, 300)))]
+    got = {r.doc_id: r.n_removed for r in drop_repeats(table(spark, rows), 13).collect()}
+    assert got == {1: 0, 2: 200}

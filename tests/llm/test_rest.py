@@ -316,3 +316,12 @@ def test_pipeline(spark, tmp_path):
             assert row.text.endswith("mail <email>") and row.n_chars == len(row.text)
     assert seen[0] == {*range(60), 100, 101, 102, 105} and seen[1] == seen[0] - {101} and seen[2] == seen[3] == seen[4] == seen[1] - {102}
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()} == seen[4]
+
+
+def test_plain_words_score_as_by_their_features():
+    field, rng = pii.trained(), random.Random(2)
+    words = ["".join(rng.choice("aBcé1.-=") for _ in range(rng.randrange(1, 12))) for _ in range(3000)] + ["token", "Token:", "x", "Abc", "ABC", "abC,", "at", "(at)"]
+    got = field.scores(words)
+    for w, own in zip(words, got, strict=True):
+        want = sum((field.weights[:, field.names[f]] for f in pii.word_features(w) if f in field.names), np.zeros_like(own))
+        assert np.allclose(own, want), w
