@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import blocks, few, find_words, hash_words, mix, ragged, written
 
 #: symbols of the network, in so many classes of equal size; the last symbol stands for all rarer words
-CLASSES, CLASS_SIZE = 64, 64
+CLASSES, CLASS_SIZE = 32, 64
 SYMBOLS = CLASSES * CLASS_SIZE
 RARE = SYMBOLS - 1
 #: as neighbours, rarer words are one of so many buckets by hash
@@ -31,7 +31,7 @@ BUCKETS = 1024
 #: a place beyond either end of a text
 EDGE = RARE + BUCKETS
 #: words on either side, numbers of an embedding and of the hidden layer
-SIDE, EMBED, HIDDEN = 2, 24, 48
+SIDE, EMBED, HIDDEN = 2, 16, 32
 #: rounds of training; a word is masked in one of them
 ROUNDS = 2
 #: words of a step of training: fewer in the first steps of a task
@@ -79,9 +79,30 @@ def unflat(values: np.ndarray) -> Params:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """log of softmax(x)[i, column[i]]."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), column]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
+
+
+def _minus_softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= -x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Class, places and symbols inside the class, of all targets."""
+    group = (target // CLASS_SIZE).astype(np.uint8)
+    order = np.argsort(group, kind="stable")  # by radix
+    bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        own = order[bounds[c] : bounds[c + 1]]
+        if len(own):
+            yield c, own, target[own] - c * CLASS_SIZE
 
 
 def log_probs(params: Params, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -94,14 +115,9 @@ def log_probs(params: Params, context: np.ndarray, target: np.ndarray) -> np.nda
         for k in range(1, 2 * SIDE):
             hidden += tables[k][part[:, k]]
         np.tanh(hidden, out=hidden)
-        group, word = want // CLASS_SIZE, want % CLASS_SIZE
-        value = _log_softmax(hidden @ params["class"] + params["class_bias"])[np.arange(len(want)), group]
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                value[own] += _log_softmax(hidden[own] @ params["word"][c] + params["word_bias"][c])[np.arange(len(own)), word[own]]
+        value = _log_softmax_at(hidden @ params["class"] + params["class_bias"], want // CLASS_SIZE)
+        for c, own, word in _by_class(want):
+            value[own] += _log_softmax_at(hidden[own] @ params["word"][c] + params["word_bias"][c], word)
         out[at : at + len(part)] = value
     return out
 
@@ -110,27 +126,25 @@ def gradients(params: Params, context: np.ndarray, target: np.ndarray) -> Params
     """Gradients of the summed log-probabilities."""
     seen = params["embed"][context].reshape(len(target), -1)
     hidden = np.tanh(seen @ params["mix"] + params["bias"])
-    group, word = target // CLASS_SIZE, target % CLASS_SIZE
-    d_class = -np.exp(_log_softmax(hidden @ params["class"] + params["class_bias"]))
-    d_class[np.arange(len(target)), group] += 1
+    d_class = _minus_softmax(hidden @ params["class"] + params["class_bias"])
+    d_class[np.arange(len(target)), target // CLASS_SIZE] += 1
     out: Params = {"class": hidden.T @ d_class, "class_bias": d_class.sum(axis=0), "word": np.zeros_like(params["word"]), "word_bias": np.zeros_like(params["word_bias"])}
     d_hidden = d_class @ params["class"].T
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = order[bounds[c] : bounds[c + 1]]
-        if len(own):
-            d = -np.exp(_log_softmax(hidden[own] @ params["word"][c] + params["word_bias"][c]))
-            d[np.arange(len(own)), word[own]] += 1
-            out["word"][c], out["word_bias"][c] = hidden[own].T @ d, d.sum(axis=0)
-            d_hidden[own] += d @ params["word"][c].T
+    for c, own, word in _by_class(target):
+        seen_by = hidden[own]
+        d = _minus_softmax(seen_by @ params["word"][c] + params["word_bias"][c])
+        d[np.arange(len(own)), word] += 1
+        out["word"][c], out["word_bias"][c] = seen_by.T @ d, d.sum(axis=0)
+        d_hidden[own] += d @ params["word"][c].T
     d_hidden *= 1 - hidden**2
     out["mix"], out["bias"] = seen.T @ d_hidden, d_hidden.sum(axis=0)
     d_seen = (d_hidden @ params["mix"].T).reshape(-1, EMBED)
     out["embed"] = np.zeros_like(params["embed"])
-    order = np.argsort(context.ravel(), kind="stable")
-    ids, first = np.unique(context.ravel()[order], return_index=True)
-    out["embed"][ids] = np.add.reduceat(d_seen[order], first, axis=0)
+    flat_context = context.ravel().astype(np.uint16)  # EDGE is less than 2^16, and 16 bits are sorted by radix
+    order = np.argsort(flat_context, kind="stable")
+    ordered = flat_context[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out["embed"][ordered[first]] = np.add.reduceat(d_seen[order], first, axis=0)
     return out
 
 
