@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.llm.common import new_dir
+from tarnwork.llm.common import deleted, new_dir, released
 from tarnwork.llm.exact_dedup import drop_duplicates
 from tarnwork.llm.ngram_jaccard import one_of_each_group
 from tarnwork.llm.packing import pack_documents
@@ -49,10 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents. Each is stored before the next, and what it needed is removed then."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        released(spark)
+        if before:
+            deleted(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
