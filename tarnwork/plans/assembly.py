@@ -31,6 +31,35 @@ def parse_candidates(replies: DataFrame, keys: list[str], fields: DataFrame) ->
     return rows.filter(F.trim(F.coalesce("value", F.lit(""))) != "").join(fields.select("field"), "field", "left_semi").select(*keys, "field", "value", F.nullif(F.trim("quote"), F.lit("")).alias("quote"))
 
 
+#: fields that one call may ask for; characters of a document that a prompt holds, if not told otherwise
+MOST_FIELDS, MOST_CHARACTERS = 40, 40_000
+
+
+def shards(spark, table: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """(shard, domain, field, ord) of {shard: (domain, fields)}: what one call asks for. More than MOST_FIELDS, or none, is refused."""
+    for name, (_, fields) in table.items():
+        if not 0 < len(fields) <= MOST_FIELDS:
+            raise ValueError(f"shard {name} has {len(fields)} fields")
+    return spark.createDataFrame([(name, domain, field, i) for name, (domain, fields) in table.items() for i, field in enumerate(fields)], "shard string, domain string, field string, ord int")
+
+
+def two_pass(texts: DataFrame, parts: DataFrame, model: Model | None, most_characters: int | None = MOST_CHARACTERS) -> DataFrame:
+    """(doc_id, shard, domain, field, value, quote): candidates of a model that first reasons about a document and then answers as a JSON array.
+
+    texts: doc_id, text; parts: shards. A prompt holds most_characters of a text (None: all). Blank replies of either pass, what does not parse,
+    fields that the shard lacks and empty values give nothing; without a model there are no candidates.
+    """
+    asked = parts.groupBy("shard", "domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "field"))), lambda x: x["field"]), ", ").alias("fields"))
+    text = F.coalesce("text", F.lit(""))
+    rows = texts.select("doc_id", (text if most_characters is None else F.substring(text, 1, most_characters)).alias("text")).filter("text <> ''").crossJoin(asked)  # a row for each shard, of which there are a few
+    first = rows.withColumn("prompt", F.concat(F.lit("Find what the document says about: "), "fields", F.lit("\nQuote it word for word.\n\n"), "text"))
+    notes = complete(first, model).filter(F.trim(F.coalesce("reply", F.lit(""))) != "").withColumnRenamed("reply", "notes")
+    second = notes.withColumn("prompt", F.concat(F.lit("Answer with a JSON array of {field, value, quote} for: "), "fields", F.lit("\n\n"), "notes", F.lit("\n\n"), "text"))
+    replies = complete(second, model).select("doc_id", "shard", "domain", "reply")
+    got = parse_candidates(replies, ["doc_id", "shard", "domain"], parts.select("field").distinct())
+    return got.join(parts.select("shard", "field"), ["shard", "field"], "left_semi").select("doc_id", "shard", "domain", "field", "value", "quote")
+
+
 #: a page as a vision model describes it
 PAGE = "struct<is_schedule:boolean,columns:array<struct<visit:string,epoch:string>>,rows:array<struct<activity:string,marks:array<int>>>>"
 

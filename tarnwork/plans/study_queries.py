@@ -10,6 +10,7 @@ from ..operators import features as V
 from ..operators import fields as X
 from ..operators import grids as G
 from ..operators import matching as M
+from ..operators import schedules as Z
 from ..operators import scoring
 from ..operators import sections as S
 from ..operators import titles as T
@@ -389,12 +390,106 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LABEL_ROWS = "SELECT 'metadata' AS domain, n_name AS field, n_nationkey::VARCHAR AS label FROM nation"
 
+def visit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers that lines stand for: names, times, footnotes and windows by numbers."""
+    li, k = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct(), F.col("l_suppkey") % 6
+    n = F.col("l_linenumber").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("Cycle 2 Day "), n, F.lit(" 0.5 h post dose"))).when(k == 1, F.concat(F.lit("Day -"), n)).when(k == 2, F.concat(F.lit("Day "), n, F.lit(" b, c"))).when(k == 3, F.concat(F.lit("EOT / Withdrawal a"))).when(k == 4, F.lit("follow up**")).otherwise(F.concat(F.lit("Day "), n, F.lit(" 5 - 7")))
+    parts = F.array(F.lit("Screen"), F.when(k < 3, F.lit("ing")).otherwise(F.lit("and")), F.concat(F.lit("±"), n, F.lit(" days")), F.lit("3 days"))
+    split = Z.split_label(Z.merge_wrapped(parts))
+    return li.select("l_orderkey", "l_linenumber", "l_suppkey", Z.visit_identity(name).alias("identity"), Z.without_footnote(name).alias("bare"), Z.epoch_name(name).alias("epoch"), split["name"].alias("name"), split["window"].alias("window"), Z.visit_name(F.when(k == 2, F.concat(n, F.lit("a b"))).otherwise(F.lit("x")), name).alias("visit"))
+
+
+VISIT_LABELS = r"""
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_suppkey % 6 AS k, l_linenumber::VARCHAR AS n FROM lineitem),
+t AS (SELECT *, CASE k WHEN 0 THEN 'Cycle 2 Day ' || n || ' 0.5 h post dose' WHEN 1 THEN 'Day -' || n WHEN 2 THEN 'Day ' || n || ' b, c' WHEN 3 THEN 'EOT / Withdrawal a' WHEN 4 THEN 'follow up**' ELSE 'Day ' || n || ' 5 - 7' END AS name FROM l),
+i AS (SELECT *, regexp_replace(name, '\s+\d+(\.\d+)?\s*(h|hrs?|hours?)\b.*$', '', 'i') AS a, regexp_replace(regexp_replace(name, '(\s+[a-z](\s*,\s*[a-z])*)+$', ''), '\s*\*+$', '') AS bare FROM t)
+SELECT l_orderkey, l_linenumber, l_suppkey, regexp_replace(lower(regexp_replace(regexp_replace(a, '(\bday\s*-?\d+)\s+\d+\s*-\s*\d+$', '\1', 'i'), '(^|\W)-(\d)', '\1neg\2')), '[^\w]+', '', 'g') AS identity, bare,
+  CASE WHEN regexp_matches(lower(name), '^screen') THEN 'Screening Period' WHEN regexp_matches(lower(name), '^(f/?u|follow)') THEN 'Follow-up Period' ELSE name END AS epoch, CASE WHEN k < 3 THEN 'Screening' ELSE 'Screen and' END AS name, '±' || n || ' days' AS window, CASE WHEN k = 2 THEN 'Visit ' || n || 'a' ELSE bare END AS visit FROM i
+"""
+
+
+def title_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pages of documents, with a line in front of every other one."""
+    d = table(spark, sf_dir, "documents")
+    front = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("A Phase 2/3 study of ABC-12"), (F.col("doc_id") % 90 + 10).cast("string"), F.lit("\n"))).otherwise(F.lit(""))
+    return Z.title_page(B.classify_blocks(B.text_blocks(d.select("doc_id", F.concat(front, F.coalesce("text", F.lit(""))).alias("text")))))
+
+
+TITLE_PAGES = r"""
+WITH t AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN 'A Phase 2/3 study of ABC-12' || (doc_id % 90 + 10) || chr(10) ELSE '' END || coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS ord, trim(regexp_replace(unnest(ls), '\s+', ' ', 'g')) AS t FROM t), b AS (SELECT *, CASE WHEN length(t) < 60 AND NOT regexp_matches(t, '[.,;:]$') THEN 14.0 ELSE 10.0 END AS size FROM l WHERE t <> '' AND ord < 8),
+m AS (SELECT doc_id, list_sort(list(size))[len(list(size)) // 2 + 1] AS med, string_agg(t, chr(10) ORDER BY ord) AS page FROM b GROUP BY doc_id), h AS (SELECT b.doc_id, t, ord FROM b JOIN m ON m.doc_id = b.doc_id WHERE size >= 1.25 * med AND length(t) > 12 AND length(t) < 120)
+SELECT doc_id, 'studyTitle' AS field, t AS value FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(t) DESC, ord) = 1 UNION ALL SELECT doc_id, 'studyPhase', v FROM (SELECT doc_id, regexp_extract(page, '(?i)\bphase\s*(?:0|i{1,3}v?|iv|[1-4])(?:\s*[/-]\s*(?:i{1,3}v?|[1-4]))?\b') AS v FROM m) WHERE v <> ''
+UNION ALL SELECT doc_id, 'protocolIdentifier', v FROM (SELECT doc_id, regexp_extract(page, '\b[A-Z]{2,}[A-Z0-9]*-?\d{2,}(?:-[A-Z0-9]+)*\b') AS v FROM m) WHERE v <> ''
+"""
+
+
+def current_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.exclude_under(S.top_level_parent(_titles(spark, sf_dir)), "amendment|changes").select("doc_id", "ord")
+
+
+CURRENT_SECTIONS = f"""
+WITH {TITLES_SQL}, p AS (SELECT doc_id, ord, last_value(CASE WHEN level = 1 THEN lower(title) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ts)
+SELECT doc_id, ord FROM p WHERE top IS NULL OR NOT regexp_matches(top, 'amendment|changes')
+"""
+
+
+def organization_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("study_id"), F.when(F.col("s_nationkey") % 3 == 0, "croName").when(F.col("s_nationkey") % 3 == 1, "centralLaboratoryName").otherwise("other").alias("field"), F.when(F.col("s_suppkey") % 5 > 0, F.col("s_name")).otherwise(F.lit(" ")).alias("value"))
+    kinds = spark.createDataFrame([("croName", "cro", "C54148"), ("centralLaboratoryName", "lab", "C37984")], "field string, kind string, org_code string")
+    rows, findings = Z.with_roles(s, kinds, spark.createDataFrame([("lab", "C37984")], "kind string, role_code string"))
+    return rows.join(findings.select("study_id", "severity"), "study_id", "left")
+
+
+ORGANIZATION_ROLES = """
+WITH s AS (SELECT s_suppkey AS study_id, CASE s_nationkey % 3 WHEN 0 THEN 'croName' WHEN 1 THEN 'centralLaboratoryName' END AS field, CASE WHEN s_suppkey % 5 > 0 THEN s_name END AS value FROM supplier)
+SELECT study_id, field, value, CASE field WHEN 'croName' THEN 'C54148' ELSE 'C37984' END AS org_code, CASE WHEN field <> 'croName' THEN 'C37984' END AS role_code, CASE WHEN field = 'croName' THEN 'INFO' END AS severity FROM s WHERE field IS NOT NULL AND value IS NOT NULL
+"""
+
+
+def study_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as studies: schedules, footnotes and objectives from their lines, all findings in one table."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey").alias("study_id")
+    schedules = o.select(F.col("o_orderkey").alias("study_id"), (F.col("o_custkey") % 5).alias("n_activities"), (F.col("o_orderkey") % 4).alias("n_visits"), (F.col("o_orderstatus") == "O").alias("has_design"))
+    marks = li.join(schedules, F.col("l_orderkey") == F.col("study_id")).filter((F.col("l_linenumber") - 1 < F.col("n_activities")) & (F.col("l_suppkey") % 4 < F.col("n_visits"))).select("study_id", F.col("l_linenumber").alias("activity"), (F.col("l_suppkey") % 4).alias("visit"))
+    marked = li.filter("l_returnflag = 'R'").select(key, F.col("l_linenumber").alias("activity"))
+    texts = li.select(key, F.when(F.col("l_tax") > 0.05, F.lit("intro\n a. Taken before")).otherwise(F.lit("no notes")).alias("text"))
+    aims = li.select(key, F.when(F.col("l_linenumber") == 1, "Primary").otherwise("secondary").alias("level"), F.lit("o").alias("objective"), F.when(F.col("l_quantity") > 20, F.lit("e")).alias("endpoint"))
+    own = Z.schedule_findings(schedules, marks)
+    return Z.all_findings(own, Z.footnote_findings(marked, texts), Z.objective_findings(aims), own.limit(0).select("study_id", "kind"))
+
+
+STUDY_FINDINGS = r"""
+WITH s AS (SELECT o_orderkey AS k, o_custkey % 5 AS na, o_orderkey % 4 AS nv, o_orderstatus = 'O' AS d FROM orders), m AS (SELECT DISTINCT k, l_linenumber AS a, l_suppkey % 4 AS v FROM lineitem JOIN s ON l_orderkey = k WHERE l_linenumber - 1 < na AND l_suppkey % 4 < nv),
+u AS (SELECT s.*, (SELECT count(DISTINCT a) FROM m WHERE m.k = s.k) AS ua, (SELECT count(DISTINCT v) FROM m WHERE m.k = s.k) AS uv FROM s),
+f AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) FILTER (l_returnflag = 'R') AS n, bool_or(l_tax > 0.05) AS defined, count(*) FILTER (l_linenumber = 1) AS p, count(*) FILTER (l_linenumber = 1 AND l_quantity > 20) AS e, count(*) FILTER (l_linenumber <> 1 AND l_quantity <= 20) AS o FROM lineitem GROUP BY 1)
+SELECT k AS study_id, 'no_matrix' AS kind, CASE WHEN d THEN 'ERROR' ELSE 'WARNING' END AS severity, 0::BIGINT AS n FROM u WHERE na = 0 OR nv = 0 UNION ALL SELECT k, 'activities_at_no_visit', 'WARNING', na - ua FROM u WHERE na > 0 AND nv > 0 AND na > ua UNION ALL SELECT k, 'visits_without_activity', 'WARNING', nv - uv FROM u WHERE na > 0 AND nv > 0 AND nv > uv
+UNION ALL SELECT k, 'footnotes_not_defined', 'WARNING', n FROM f WHERE n > 0 AND NOT defined UNION ALL SELECT k, 'no_primary_objective', 'ERROR', 0 FROM f WHERE p = 0 UNION ALL SELECT k, 'primary_without_endpoint', 'ERROR', p FROM f WHERE p > 0 AND e = 0 UNION ALL SELECT k, 'objectives_without_endpoint', 'WARNING', o FROM f WHERE p > 0 AND o > 0
+"""
+
+
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.dayofyear("ts").alias("page"), F.lit(1).alias("weight"), (F.col("event_type") == "error").alias("is_historic"), (F.col("event_type") == "purchase").alias("is_current"))
+    return Z.page_manifest(e, 4)
+
+
+RANKED_PAGES = """
+WITH p AS (SELECT user_id AS doc_id, dayofyear(ts)::INT AS page, count(*) + CASE WHEN bool_or(event_type = 'error') THEN -36 ELSE 0 END + CASE WHEN bool_or(event_type = 'purchase') THEN 4 ELSE 0 END AS score FROM events GROUP BY ALL),
+t AS (SELECT doc_id, page, sum(score)::BIGINT AS score FROM (SELECT * FROM p UNION ALL SELECT doc_id, page + 1, 1 FROM p WHERE score > 0) GROUP BY ALL HAVING sum(score) > 0)
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page)::INT AS rank FROM t QUALIFY rank <= 4
+"""
+
+
 QUERIES = {
+    "visit_labels": visit_labels, "title_pages": title_pages, "current_sections": current_sections, "organization_roles": organization_roles, "study_findings": study_findings, "ranked_pages": ranked_pages,
     "title_axes": title_axes, "labelled_sections": labelled_sections, "deep_types": deep_types, "fingerprints": fingerprints, "feature_rows": feature_rows, "missing_visits": missing_visits, "domains_touched": domains_touched, "all_cells": all_cells, "live_jobs": live_jobs, "scalar_agreement": scalar_agreement, "study_scores": study_scores,
     "first_tables": first_tables, "first_writes": first_writes, "permitted_candidates": permitted_candidates, "table_data": table_data, "reviewer_rows": reviewer_rows, "training_studies": training_studies, "change_rationales": change_rationales, "placed_bookmarks": placed_bookmarks, "chosen_graphs": chosen_graphs,
     "bounding_tables": bounding_tables, "merged_windows": merged_windows, "table_edges": table_edges, "amendment_counts": amendment_counts, "nested_inputs": nested_inputs, "label_rows": label_rows,
 }
 SQL = {
+    "visit_labels": VISIT_LABELS, "title_pages": TITLE_PAGES, "current_sections": CURRENT_SECTIONS, "organization_roles": ORGANIZATION_ROLES, "study_findings": STUDY_FINDINGS, "ranked_pages": RANKED_PAGES,
     "title_axes": TITLE_AXES_SQL, "labelled_sections": LABELLED_SECTIONS, "deep_types": DEEP_TYPES, "fingerprints": FINGERPRINTS, "feature_rows": FEATURE_ROWS, "missing_visits": MISSING_VISITS, "domains_touched": DOMAINS_TOUCHED, "all_cells": ALL_CELLS, "live_jobs": LIVE_JOBS, "scalar_agreement": SCALAR_AGREEMENT,
     "first_tables": FIRST_TABLES, "first_writes": FIRST_WRITES, "permitted_candidates": PERMITTED_CANDIDATES, "table_data": TABLE_DATA, "reviewer_rows": REVIEWER_ROWS, "training_studies": TRAINING_STUDIES, "change_rationales": CHANGE_RATIONALES, "placed_bookmarks": PLACED_BOOKMARKS, "chosen_graphs": CHOSEN_GRAPHS,
     "bounding_tables": BOUNDING_TABLES, "merged_windows": MERGED_WINDOWS, "table_edges": TABLE_EDGES, "amendment_counts": AMENDMENT_COUNTS, "nested_inputs": NESTED_INPUTS, "label_rows": LABEL_ROWS,

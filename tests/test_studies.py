@@ -1,14 +1,15 @@
 """Titles, features, rubrics and the whole loop on small cases; sinks that no query reads."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwork import schemas
-from tarnwork.operators import calibration, features, folds, scoring, sections, titles
+from tarnwork.operators import calibration, features, folds, schedules, scoring, sections, titles
 from tarnwork.plans import assembly, full
-from tarnwork.sources import files
+from tarnwork.sources import files, runs
 
 
 def values(df):
@@ -109,6 +110,70 @@ def test_residue_and_plans(spark):
     assert sorted(plan) == sorted(t for t, (m, _) in counts.items() if m) and counts[plan[0]][1] / counts[plan[0]][0] < 0.2
 
 
+def test_runs(spark, tmp_path):
+    studies = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id long, produced double")
+    some = spark.createDataFrame([("a", 1)], "field string, n int")
+    runs.write_run(studies, some, some, f"{tmp_path}/run")
+    assert values(spark.read.json(f"{tmp_path}/run/studies").select("doc_id")) == [(1,)] and spark.read.json(f"{tmp_path}/run/scoreboard").count() == 1
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_bytes(b"abc")
+    assert [r.sha256 for r in runs.source_identities(spark, f"{tmp_path}/in").collect()] == [hashlib.sha256(b"abc").hexdigest()]
+    log = spark.createDataFrame([(["t1"], "det", 0.4), (["t1", "h1"], "det", 0.5)], "studies array<string>, mode string, accuracy double")
+    for _ in range(2):
+        runs.log_heldout(log, ["h1", "h2"], f"{tmp_path}/log")
+    assert [r.accuracy for r in spark.read.json(f"{tmp_path}/log").collect()] == [0.5, 0.5]
+    assert values(runs.dimension(spark, f"{tmp_path}/none", "key string, n int", [("a", 1)])) == [("a", 1)]
+    some.withColumnRenamed("field", "key").write.json(f"{tmp_path}/dim")
+    assert values(runs.dimension(spark, f"{tmp_path}/dim", "key string, n int", [])) == [("a", 1)]
+    rules = spark.createDataFrame([("type", "design"), ("type", "odd"), ("subtype", None)], "axis string, value string")
+    assert values(runs.unknown_labels(rules, spark.createDataFrame([("type", "design")], "axis string, value string"))) == [("type", "odd")]
+
+
+def test_models_by_role(spark):
+    prompts = spark.createDataFrame([("extract", "a"), ("verify", "b"), (None, "c")], "role string, prompt string")
+    up = lambda ps: [p.upper() for p in ps]
+    assert values(runs.by_role(prompts, {"extract": up})) == [("extract", "a", "A"), ("verify", "b", None), (None, "c", None)]
+    assert values(runs.by_role(prompts, {}, up)) == [("extract", "a", "A"), ("verify", "b", "B"), (None, "c", "C")]
+    with pytest.raises(ValueError):
+        runs.by_role(prompts, {"extract": up}, required=("verify",))
+    rows = spark.createDataFrame([(1, "v", "q", "partial"), (2, "v", "q", "supported"), (3, "w", None, "partial"), (4, "v", "q", None)], "k int, value string, quote string, verifier string")
+    model = lambda ps: ["Unsupported" if "Value: v" in p else "who knows" for p in ps]
+    assert [r[3] for r in values(runs.escalate(rows, model))] == ["unsupported", "supported", "partial", None]
+    assert values(runs.escalate(rows, None)) == values(rows)
+    got = runs.isolated(rows, lambda r: (r["k"], 10 // (r["k"] - 2)), "k int, n int").collect()
+    assert sorted((r.n, (r.error or "")[:17]) for r in got if r.n is not None) == [(-10, ""), (5, ""), (10, "")] and [r.error[:17] for r in got if r.error] == ["ZeroDivisionError"]
+
+
+def test_schedule_labels(spark):
+    names = ["Cycle 2 Day 1 0 h (within 2.5 h prior to dose)", "Cycle 2 Day 1 5-7", "Cycle 2 Day 1", "Day -1", "Day 1", None]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(schedules.visit_identity(F.col("n"))).collect()]
+    assert got[0] == got[1] == got[2] == "cycle2day1" and got[3] == "dayneg1" and got[4] == "day1" and got[5] == ""
+    labels = ["EOT / Withdrawal a", "Day 1 b, c", "±2d*", "0 h", "Phase b (1 Cycle)"]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in labels], "n string").select(schedules.without_footnote(F.col("n"))).collect()] == ["EOT / Withdrawal", "Day 1", "±2d", "0 h", "Phase (1 Cycle)"]
+    parts = spark.createDataFrame([(["Screen", "ing", "and", "Base", "line", "x1"],), (None,), ([],)], "p array<string>")
+    assert [r[0] for r in parts.select(schedules.merge_wrapped(F.col("p"))).collect()] == [["Screening", "and", "Baseline", "x1"], [], []]
+
+
+def test_two_passes(spark):
+    def model(prompts):
+        out = []
+        for p in prompts:
+            if not p.startswith("Answer"):
+                out.append("" if "silent" in p else "notes")
+            elif "broken" in p:
+                out.append("[{not json")
+            else:
+                out.append('Here: [{"field": "phase", "value": "2", "quote": " "}, {"field": "sponsor", "value": "x", "quote": "by x"}, {"field": "odd", "value": "y"}, {"field": "phase", "value": ""}]')
+        return out
+
+    parts = assembly.shards(spark, {"c1": ("metadata", ["sponsor", "title"]), "c2": ("design", ["phase"])})
+    texts = spark.createDataFrame([(1, "a text"), (2, "silent"), (3, "broken"), (4, None)], "doc_id long, text string")
+    assert values(assembly.two_pass(texts, parts, model)) == [(1, "c1", "metadata", "sponsor", "x", "by x"), (1, "c2", "design", "phase", "2", None)]
+    assert assembly.two_pass(texts, parts, None).count() == 0
+    with pytest.raises(ValueError):
+        assembly.shards(spark, {"c": ("d", [f"f{i}" for i in range(41)])})
+
+
 TEXT = """Acme study of things
 This is prose on the first page of the study.
 And more of it.
