@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 # Fixed values of the calibration.
 LEAST_N, DELTA = 47, 0.1
 FOLDS, LEAST_FOLDED = 5, 10
@@ -65,7 +67,7 @@ def predict(features: list[str], weights: np.ndarray, platt: tuple[float, float]
 
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds _i, the place in the order from 0; rows stay in their partitions, and the driver gets a count of each."""
-    placed = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    placed = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).transform(checkpointed)
     part = F.shiftright("_id", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
     before, starts = 0, []
@@ -81,10 +83,10 @@ def folds(rows: DataFrame, order: list[str], group: str | None = None) -> tuple[
     if group is not None:
         names = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
         if len(names) >= 2:
-            return "groups", rows.withColumn("_fold", F.col(group)).checkpoint(), names
+            return "groups", rows.withColumn("_fold", F.col(group)).transform(checkpointed), names
     if rows.count() >= LEAST_FOLDED:
-        return "kfold", _numbered(rows, order).withColumn("_fold", F.col("_i") % FOLDS).drop("_i").checkpoint(), list(range(FOLDS))
-    return "in_sample", rows.withColumn("_fold", F.lit(None).cast("int")).checkpoint(), []
+        return "kfold", _numbered(rows, order).withColumn("_fold", F.col("_i") % FOLDS).drop("_i").transform(checkpointed), list(range(FOLDS))
+    return "in_sample", rows.withColumn("_fold", F.lit(None).cast("int")).transform(checkpointed), []
 
 
 def fit_calibrated(rows: DataFrame, features: list[str], label: str, order: list[str], group: str | None = None, l2: float = 1.0) -> tuple[np.ndarray, tuple[float, float], str]:

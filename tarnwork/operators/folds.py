@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], walk: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
     """walk gets the rows of a key as dicts, in order, and gives tuples of the schema that follow the key's columns.
@@ -38,7 +40,7 @@ def running_sums(rows: DataFrame, by: list[str], order: list[Column], values: di
     Rows are sorted over all partitions at once, so a group that holds a third of them spreads over many tasks; sums run inside a partition, and
     what comes before it is added from a table with a row for each partition and group. Needs the session's checkpoint folder.
     """
-    placed = rows.withColumns({f"_v_{k}": v for k, v in values.items()}).orderBy(*by, *order).withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_pos", 33)).checkpoint()
+    placed = rows.withColumns({f"_v_{k}": v for k, v in values.items()}).orderBy(*by, *order).withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_pos", 33)).transform(checkpointed)
     parts = placed.groupBy(*by, "_part").agg(*(F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_part").alias("_by_part"), *(F.coalesce(F.sum(f"_s_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in values))
@@ -57,11 +59,11 @@ def by_generation(rows: DataFrame, key: list[str], parent: str, own: str, step:
     """
     tree, number = key
     up = rows.select(F.col(tree).alias("_t"), F.col(number).alias("_n"))
-    settled = rows.join(up, (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n")), "left_anti").checkpoint()
+    settled = rows.join(up, (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n")), "left_anti").transform(checkpointed)
     out = settled
     while True:
         above = settled.select(F.col(tree).alias("_t"), F.col(number).alias("_n"), F.col(own).alias("_above"))
-        settled = rows.join(above, (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n"))).withColumn(own, step(F.col(own), F.col("_above"))).select(*rows.columns).checkpoint()
+        settled = rows.join(above, (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n"))).withColumn(own, step(F.col(own), F.col("_above"))).select(*rows.columns).transform(checkpointed)
         if settled.isEmpty():
             return out
         out = out.unionByName(settled)

@@ -136,3 +136,25 @@ def page_bounds(tables: DataFrame) -> DataFrame:
     """Adds first_on_page and last_on_page to (doc_id, page, y0)."""
     w = Window.partitionBy("doc_id").orderBy("page", "y0")
     return tables.withColumns({"first_on_page": F.coalesce(F.lag("page").over(w) != F.col("page"), F.lit(True)), "last_on_page": F.coalesce(F.lead("page").over(w) != F.col("page"), F.lit(True))})
+
+
+def read_ruled(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, activity_row, activity, visit_col, epoch, visit) for each mark of ruled schedules. cells: keys, row, col, x0, x1, text.
+
+    The row with most cells, the first of equals, gives the columns. Rows above the first one with a mark are the header: the first names epochs, the
+    last visits, and a header cell or a mark that spans several columns is that of each whose centre it covers. The first column holds activities.
+    """
+    from ..functions.text import mark_first
+
+    text = F.trim(F.coalesce("text", F.lit("")))
+    rows = cells.withColumns({"_t": text, "_mark": (F.col("col") > 0) & mark_first(text)})
+    widest = rows.groupBy(*keys, "row").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.max(F.struct("_n", (-F.col("row")).alias("_o")))["_o"].alias("_o"))
+    columns = rows.filter("col > 0").join(widest, keys).filter("row = -_o").select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("x0")).alias("visit_col"), ((F.col("x0") + F.col("x1")) / 2).alias("_c"))
+    body = rows.filter("_mark").groupBy(*keys).agg(F.min("row").alias("_first"))
+    placed = rows.join(body, keys)
+    over = placed.filter("col > 0").join(columns, keys).filter((F.col("_c") >= F.col("x0")) & (F.col("_c") <= F.col("x1")))
+    head = over.filter((F.col("row") < F.col("_first")) & (F.col("_t") != "")).groupBy(*keys, "visit_col").agg(F.min_by("_t", F.when(F.col("row") == 0, 0)).alias("_e"), F.max_by("_t", F.when(F.col("row") == F.col("_first") - 1, 1)).alias("_v"))
+    names = placed.filter("col = 0 and row >= _first and _t <> ''").select(*keys, "row", F.col("_t").alias("activity"))
+    marks = over.filter("_mark and row >= _first").select(*keys, "row", "visit_col").distinct()
+    out = marks.join(names, [*keys, "row"]).join(head, [*keys, "visit_col"], "left")
+    return out.select(*keys, F.col("row").alias("activity_row"), "activity", "visit_col", F.coalesce("_e", F.lit("")).alias("epoch"), F.coalesce("_v", F.lit("")).alias("visit"))

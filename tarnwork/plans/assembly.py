@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 #: a model: prompts in, replies out, in order; None stands for no model
 Model = Callable[[list[str]], list[str]]
 
@@ -164,7 +166,7 @@ def repair(state: DataFrame, keys: list[str], validate: Callable[[DataFrame], Da
             break
         new = reextract(failed).select(*keys, F.col("value").alias("_new"))
         better = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("value"))
-        merged = state.join(new, keys, "left").withColumn("_better", F.coalesce(better, F.lit(False))).checkpoint()
+        merged = state.join(new, keys, "left").withColumn("_better", F.coalesce(better, F.lit(False))).transform(checkpointed)
         if merged.filter("_better").isEmpty():
             break
         state = merged.withColumn("value", F.when(F.col("_better"), F.col("_new")).otherwise(F.col("value"))).drop("_new", "_better")

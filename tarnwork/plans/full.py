@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
 from ..operators import features as V
 from ..operators import fields as X
 from ..operators.blocks import classify_blocks, strip_furniture, text_blocks
@@ -58,10 +59,10 @@ def full_loop(docs: DataFrame, labels: DataFrame, others: DataFrame | None = Non
     accepted at a confidence of `threshold`, or reviewed; fields of a domain with an ERROR are reviewed in any case. Documents without text have a
     study without parts. One pass over the texts makes the blocks; everything else joins by document.
     """
-    blocks = strip_furniture(text_blocks(docs)).checkpoint()
-    sections = label_sections(nest(headings(blocks))).checkpoint()
+    blocks = strip_furniture(text_blocks(docs)).transform(checkpointed)
+    sections = label_sections(nest(headings(blocks))).transform(checkpointed)
     rows, windows = domain_windows(blocks, sections)
-    rows = rows.checkpoint()
+    rows = rows.transform(checkpointed)
 
     decided = metadata(docs, labels, others)
     design = _texts(rows, "design").withColumn("_a", X.arm_names(F.col("text")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
 from ..operators import blocks as B
 from ..operators import grids as G
 from ..operators import matching as M
@@ -425,11 +426,50 @@ def stitched_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitching.stitch(li.select("doc_id", F.col("page").alias("table_ix"), "page", F.lit(0.0).alias("y0"), edges.alias("edges"), "header", F.when(F.col("p") % 5 == 0, F.lit("Table 1")).alias("caption"), (F.col("p") % 3 == 0).alias("cue"))).select("doc_id", "table_ix", "chain", "verdict")
 
 
+def stitched_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as tables with a header row, which a page after another repeats, a value and an empty column; findings beside the cells."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.max("l_returnflag").alias("h"), F.max("l_partkey").alias("p"))
+    edges = F.when(F.col("p") % 4 > 0, F.array(F.lit(10.0), F.lit(50.0), F.lit(90.0)))
+    chains = stitching.stitch(li.select("doc_id", F.col("page").alias("table_ix"), "page", F.lit(0.0).alias("y0"), edges.alias("edges"), F.array(F.array(F.lit("Visit"), F.col("h"))).alias("header"), F.lit(None).cast("string").alias("caption"), F.lit(False).alias("cue"))).transform(checkpointed)
+    rows = F.array(F.array(F.lit("Visit"), F.lit(" "), F.col("h")), F.array(F.lit("v"), F.lit(None).cast("string"), F.col("p").cast("string")))
+    cells = li.select("doc_id", F.col("page").alias("table_ix"), F.posexplode(rows).alias("row", "_c")).select("doc_id", "table_ix", "row", F.posexplode("_c").alias("col", "text"))
+    return stitching.stitched_cells(cells, chains).join(stitching.stitching_findings(chains), ["doc_id", "table_ix"], "left")
+
+
+STITCHED_CELLS = """
+WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, max(l_returnflag) AS h, max(l_partkey) AS p FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM l),
+w AS (SELECT doc_id, i, page, h, p, h AS head, p % 4 > 0 AS known, 0 AS chain, 'SEPARATE' AS verdict FROM n WHERE i = 1
+  UNION ALL SELECT doc_id, i, page, h, p, CASE WHEN verdict = 'CONTINUATION' THEN head ELSE h END, CASE WHEN verdict = 'CONTINUATION' THEN known ELSE p % 4 > 0 END, CASE WHEN verdict = 'CONTINUATION' THEN chain ELSE chain + 1 END, verdict
+  FROM (SELECT n.doc_id, n.i, n.page, n.h, n.p, w.head, w.known, w.chain, CASE WHEN n.page <> w.page + 1 THEN 'SEPARATE' WHEN n.h = w.head THEN 'CONTINUATION' WHEN w.known AND n.p % 4 > 0 THEN 'AMBIGUOUS' ELSE 'SEPARATE' END AS verdict FROM w JOIN n ON n.doc_id = w.doc_id AND n.i = w.i + 1)),
+r AS (SELECT doc_id, chain, page, verdict, 0 AS r, ['Visit', h] AS c FROM w WHERE verdict <> 'CONTINUATION' UNION ALL SELECT doc_id, chain, page, verdict, 1, ['v', p::VARCHAR] FROM w), k AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, chain ORDER BY page, r) - 1)::INT AS row FROM r)
+SELECT doc_id, page AS table_ix, chain, row, generate_subscripts(c, 1)::INT - 1 AS col, unnest(c) AS text, CASE WHEN verdict = 'AMBIGUOUS' THEN 'ambiguous_continuation' END AS kind, CASE WHEN verdict = 'AMBIGUOUS' THEN 'WARNING' END AS severity FROM k
+"""
+
+
 def ruled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_quantity").alias("x0"), F.col("l_linenumber").cast("double").alias("y0"), (F.col("l_quantity") + 6).alias("x1"), F.col("l_linenumber").cast("double").alias("y1"))
     return stitching.ruled_boxes(s)
 
 
+def ruled_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ruled schedules of three visits under two epochs; each line is an activity whose mark may span two columns."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.max("l_suppkey").alias("s"))
+    cell = lambda col, x0, x1, t: F.struct(F.lit(col).alias("col"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), (t if not isinstance(t, str) else F.lit(t)).alias("text"))
+    k, row = F.col("s") % 4, lambda n, *c: F.struct((n if not isinstance(n, int) else F.lit(n)).cast("int").alias("row"), F.array(*c).alias("cells"))
+    head = li.select("doc_id").distinct().select("doc_id", F.explode(F.array(row(0, cell(0, 0.0, 10.0, ""), cell(1, 10.0, 30.0, "Treatment"), cell(2, 30.0, 40.0, "Follow-up")), row(1, cell(0, 0.0, 10.0, ""), cell(1, 10.0, 20.0, "Day 1"), cell(2, 20.0, 30.0, "Day 2"), cell(3, 30.0, 40.0, "End")))).alias("r"))
+    name = cell(0, 0.0, 10.0, F.concat(F.lit("a"), F.col("n").cast("string")))
+    one = row(F.col("n") + 1, name, cell(1, 10.0, 20.0, F.when(k == 0, "X").otherwise("")), cell(2, 20.0, 30.0, F.when(k == 1, "x").otherwise("Exam")), cell(3, 30.0, 40.0, F.when(k < 2, "✓").otherwise("")))
+    wide = row(F.col("n") + 1, name, cell(1, 10.0, 30.0, "X"), cell(2, 30.0, 40.0, ""))
+    rows = head.unionByName(li.select("doc_id", F.when(k < 3, one).otherwise(wide).alias("r")))
+    return G.read_ruled(rows.select("doc_id", "r.row", F.explode("r.cells").alias("c")).select("doc_id", "row", "c.*"), ["doc_id"])
+
+
+RULED_SCHEDULES = """
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(l_suppkey) % 4 AS k FROM lineitem GROUP BY ALL), m AS (SELECT *, min(n) FILTER (k <> 2) OVER (PARTITION BY doc_id) AS first, unnest(CASE k WHEN 0 THEN [1, 3] WHEN 1 THEN [2, 3] WHEN 3 THEN [1, 2] ELSE [] END) AS v FROM l)
+SELECT doc_id, (n + 1)::INT AS activity_row, 'a' || n AS activity, v::INT AS visit_col, CASE WHEN v < 3 THEN 'Treatment' ELSE 'Follow-up' END AS epoch, CASE WHEN first > 1 AND (SELECT count(*) FROM l x WHERE x.doc_id = m.doc_id AND x.n = first - 1) > 0 THEN CASE WHEN v = 2 THEN 'Exam' ELSE '' END WHEN first > 1 THEN '' ELSE ['Day 1', 'Day 2', 'End'][v] END AS visit FROM m
+"""
+
+
 def merged_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("table_ix"), (F.col("l_suppkey") % 4).alias("col")).agg(F.max("l_linestatus").alias("epoch"))
     return stitching.accumulate_visits(v.withColumn("visit", F.concat(F.lit("Day "), F.col("col").cast("string"))))
@@ -487,11 +527,11 @@ QUERIES = {
     "text_blocks": text_blocks, "thin_documents": thin_documents, "block_kinds": block_kinds, "head_text": head_text, "running_headers": running_headers, "repeated_lines": repeated_lines, "label_values": label_values, "section_lookup": section_lookup, "section_nesting": section_nesting, "inherited_types": inherited_types,
     "evidence_window": evidence_window, "dropped_sections": dropped_sections, "slot_blocks": slot_blocks, "top_titles": top_titles, "graph_summary": graph_summary, "title_types": title_types, "page_families": page_families, "page_clusters": page_clusters, "best_pages": best_pages, "scopes": scopes, "numbered_items": numbered_items,
     "heading_numbers": heading_numbers, "grid_agreement": grid_agreement, "grid_disagreements": grid_disagreements, "schedule_votes": schedule_votes, "filled_headers": filled_headers, "full_columns": full_columns, "paired_tables": paired_tables, "uncovered_pairs": uncovered_pairs, "demoted_fields": demoted_fields, "box_unions": box_unions,
-    "glyphs_in_boxes": glyphs_in_boxes, "version_diff": version_diff, "word_changes": word_changes, "token_links": token_links, "aligned_candidates": aligned_candidates, "reconciled_events": reconciled_events, "stitched_tables": stitched_tables, "ruled_boxes": ruled_boxes, "merged_visits": merged_visits,
+    "glyphs_in_boxes": glyphs_in_boxes, "version_diff": version_diff, "word_changes": word_changes, "token_links": token_links, "aligned_candidates": aligned_candidates, "reconciled_events": reconciled_events, "stitched_tables": stitched_tables, "stitched_cells": stitched_cells, "ruled_boxes": ruled_boxes, "merged_visits": merged_visits, "ruled_schedules": ruled_schedules,
 }
 SQL = {
     "text_blocks": TEXT_BLOCKS, "thin_documents": THIN_DOCUMENTS, "block_kinds": BLOCK_KINDS, "head_text": HEAD_TEXT, "running_headers": RUNNING_HEADERS, "repeated_lines": REPEATED_LINES, "label_values": LABEL_VALUES, "section_lookup": SECTION_LOOKUP, "section_nesting": SECTION_NESTING, "inherited_types": INHERITED_TYPES,
     "evidence_window": EVIDENCE_WINDOW, "dropped_sections": DROPPED_SECTIONS, "slot_blocks": SLOT_BLOCKS, "top_titles": TOP_TITLES, "graph_summary": GRAPH_SUMMARY, "title_types": TITLE_TYPES, "page_families": PAGE_FAMILIES, "page_clusters": PAGE_CLUSTERS, "best_pages": BEST_PAGES, "scopes": SCOPES, "numbered_items": NUMBERED_ITEMS,
     "grid_agreement": GRID_AGREEMENT, "grid_disagreements": GRID_DISAGREEMENTS, "schedule_votes": SCHEDULE_VOTES, "filled_headers": FILLED_HEADERS, "full_columns": FULL_COLUMNS, "paired_tables": PAIRED_TABLES, "uncovered_pairs": UNCOVERED_PAIRS, "demoted_fields": DEMOTED_FIELDS, "box_unions": BOX_UNIONS,
-    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "stitched_tables": STITCHED_TABLES,
+    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "ruled_schedules": RULED_SCHEDULES, "stitched_tables": STITCHED_TABLES, "stitched_cells": STITCHED_CELLS,
 }
