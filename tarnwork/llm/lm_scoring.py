@@ -31,7 +31,7 @@ BUCKETS = 1024
 #: a place beyond either end of a text
 EDGE = RARE + BUCKETS
 #: words on either side, numbers of an embedding and of the hidden layer
-SIDE, EMBED, HIDDEN = 2, 16, 32
+SIDE, EMBED, HIDDEN = 2, 12, 32
 #: rounds of training; a word is masked in one of them
 ROUNDS = 2
 #: words of a step of training: fewer in the first steps of a task
@@ -79,18 +79,21 @@ def unflat(values: np.ndarray) -> Params:
     return out
 
 
+def _exponents(x: np.ndarray) -> np.ndarray:
+    """exp of logits, in place. The hidden layer lies in [-1, 1] and weights stay small, so logits need no shift; 60 and more count as 60."""
+    np.minimum(x, x.dtype.type(60), out=x)
+    return np.exp(x, out=x)
+
+
 def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """log of softmax(x)[i, column[i]]."""
-    x -= x.max(axis=1, keepdims=True)
+    """log of softmax(x)[i, column[i]]. Sums of rows are products with ones, which is faster than sums along short rows."""
     own = x[np.arange(len(x)), column]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return np.minimum(own, 60) - np.log(_exponents(x) @ np.ones(x.shape[1], x.dtype))
 
 
 def _minus_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= -x.sum(axis=1, keepdims=True)
+    _exponents(x)
+    x *= (-1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
@@ -155,14 +158,19 @@ class Symbols:
         keys = np.array(hashes, np.int64).view(np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
+        # where the keys of each value of the highest 16 bits begin, and how many one has at most
+        self.begin = np.searchsorted(self.keys >> np.uint64(48), np.arange(1 << 16, dtype=np.uint64)).astype(np.int32)
+        self.run = int(np.bincount((self.keys >> np.uint64(48)).astype(np.int64), minlength=1).max()) if len(keys) else 0
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
         """Words as neighbours: their symbol, or RARE + bucket. As targets, all of the latter are RARE."""
-        rare = (RARE + (mix(words) % np.uint64(BUCKETS))).astype(np.int64)
-        if not len(self.keys):
-            return rare
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        return np.where(self.keys[at] == words, self.order[at], rare)
+        out = (RARE + (mix(words) % np.uint64(BUCKETS))).astype(np.int64)
+        at = self.begin[(words >> np.uint64(48)).astype(np.int32)]
+        for k in range(self.run):
+            own = np.minimum(at + k, len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[own] == words)
+            out[hit] = self.order[own[hit]]
+        return out
 
 
 class Model(NamedTuple):
