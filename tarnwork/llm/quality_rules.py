@@ -31,8 +31,8 @@ def base_columns(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumns({"_words": F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))})
     n = F.size("_words")
-    zipped = F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", 2, F.greatest(n, F.lit(1))).alias("b"), F.slice("_words", 3, F.greatest(n, F.lit(1))).alias("c"))
-    windows = F.transform(F.slice(zipped, 1, F.greatest(n - 2, F.lit(0))), lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
+    every = F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
+    windows = F.slice(every, 1, F.greatest(n - 2, F.lit(0)))
     out = out.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.char_length(F.regexp_replace(text, BLANKS, "")).cast("long"),
