@@ -36,11 +36,15 @@ def duplicate_groups(docs: DataFrame, normal: Callable[[Column], Column] = lambd
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """Rows of docs whose text has no copy with a smaller doc_id; of rows with equal doc_id and text the least by its other columns stays.
 
-    Columns stay as they are. Null text counts as empty, after a text that is empty; a null doc_id stays only without any other.
+    Columns stay as they are; maps, which have no order, are compared as JSON. Null text counts as empty, after a text that is empty; a null doc_id
+    stays only without any other.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text").isNull().alias("null_text"), F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`") for c in extra)).alias("rest"))
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), order.alias("_row"))
-    one = rows.groupBy(F.md5("_text").alias("_hash"), "_text").agg(F.min("_row").alias("_row"))
-    got = {c: F.col(f"_row.rest.`{c}`") for c in extra} | {"doc_id": F.col("_row.id"), "text": F.when(~F.col("_row.null_text"), F.col("_text"))}
+    maps = [c for c in extra if "map<" in docs.schema[c].dataType.simpleString()]
+    rest = [F.to_json(F.struct(F.col(f"`{c}`"))).alias(c) if c in maps else F.col(f"`{c}`") for c in extra]
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text").isNull().alias("null_text"), F.struct(F.lit(0).alias("0"), *rest).alias("rest"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), order.alias("_row"), F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`") for c in maps)).alias("_maps"))
+    best = [F.min("_row").alias("_row")] + ([F.min_by("_maps", "_row").alias("_maps")] if maps else [])
+    one = rows.groupBy(F.md5("_text").alias("_hash"), "_text").agg(*best)
+    got = {c: F.col(f"_maps.`{c}`") if c in maps else F.col(f"_row.rest.`{c}`") for c in extra} | {"doc_id": F.col("_row.id"), "text": F.when(~F.col("_row.null_text"), F.col("_text"))}
     return one.select(*(got[c].alias(c) for c in docs.columns))
