@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +11,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, shared_dir  # noqa: F401  operators take both from here
+
 #: 0x20 and 0x09-0x0D, the separators of a word
 WS = np.zeros(256, bool)
 WS[[32, 9, 10, 11, 12, 13]] = True
@@ -30,23 +30,6 @@ _FAR = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64
 _GRAM = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; a cluster has to name one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='tarnwork-')}"
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
@@ -187,6 +170,47 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
 
 
+def states_in_block(keys: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """For distinct pairs of a key and a member: 0 for a key with one member in this block, else 1 for its least member and 2 for the others."""
+    order = np.argsort(keys)
+    start = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    count = np.diff(np.append(start, len(keys)))
+    least = np.repeat(np.minimum.reduceat(members[order], start), count)
+    state = np.zeros(len(keys), np.int8)
+    state[order] = np.where(np.repeat(count, count) == 1, 0, np.where(members[order] == least, 1, 2))
+    return state
+
+
+def shared_members(rows: DataFrame) -> DataFrame:
+    """(key, member), two longs, of all keys with two members or more; pairs may come twice. rows: key, member, state (states_in_block).
+
+    Members that share a key inside a block of rows are known to share it, and only the least of them has to meet those of other blocks. So a key that
+    a third of all rows have deals one row for each block to its task, and its other rows anywhere. Rows meet in sorted order and stream by.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row so far, and whether its key had one before
+        last: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, bool)]
+        for batch in batches:
+            key, member, state = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(last[:3]))
+            if not len(key):
+                continue
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])])
+            key, member, state = key[new], member[new], state[new]
+            same = key[1:] == key[:-1]
+            before = np.concatenate([last[3] if len(last[3]) else [False], same])
+            shared = before | np.append(same, False) | (state > 0)
+            shared[-1] = False
+            last = [key[-1:], member[-1:], state[-1:], before[-1:]]
+            if shared.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(member[shared])], ["key", "member"])
+        if len(last[0]) and (last[3][0] or last[2][0] > 0):
+            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["key", "member"])
+
+    place = F.when(F.col("state") < 2, F.col("key")).otherwise(F.xxhash64("key", "member"))
+    return rows.repartition(place).sortWithinPartitions("key", "member", F.desc("state")).mapInArrow(meet, "key long, member long")
+
+
 class Slots:
     """Numbers of 64-bit keys, as two sorted arrays: 16 bytes a key."""
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, deleted, few, find_words, hash_grams, hash_words, mix, ragged, text_bytes, written
+from .common import blocks, checkpointed, deleted, few, find_words, hash_grams, hash_words, mix, ragged, shared_members, states_in_block, text_bytes, written
 from .graphs import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -28,7 +28,7 @@ _LOWER[65:91] += 32
 #: nodes of a light signature; of a heavier one only those take part that it can be needed for
 LIGHT = 16
 #: nodes of a block, where a signature has more
-BLOCK = 2048
+BLOCK = 1024
 #: rounds in which a signature with many likely pairs gives only those of a few of its nodes
 ROUNDS = 6
 #: nodes of which a task remembers that their signatures are out
@@ -146,11 +146,7 @@ def _keys(docs: DataFrame, n: int, percent: int, names: Names) -> DataFrame:
 
 
 def _members(docs: DataFrame, n: int, percent: int, names: Names) -> DataFrame:
-    """(signature, node) for all signatures of two nodes or more.
-
-    Nodes that share a signature inside a block of rows are members already, and only the least of them has to meet those of other blocks. So a
-    signature that a third of all rows have deals one row for each block to its task, and its other rows anywhere.
-    """
+    """(signature, node) for all signatures of two nodes or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # nodes whose signatures this task has given; copies need none, and repeated ones do no harm
@@ -167,34 +163,9 @@ def _members(docs: DataFrame, n: int, percent: int, names: Names) -> DataFrame:
             if not signs:
                 continue
             flat, node = np.concatenate(signs), np.repeat(np.array(nodes, np.int64), [len(x) for x in signs])
-            order = np.argsort(flat)
-            start = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-            count = np.diff(np.append(start, len(flat)))
-            least = np.repeat(np.minimum.reduceat(node[order], start), count)
-            state = np.zeros(len(flat), np.int8)  # 0: alone in its block; 1: the least of several; 2: another of several
-            state[order] = np.where(np.repeat(count, count) == 1, 0, np.where(node[order] == least, 1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(node), pa.array(state)], ["signature", "node", "state"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, bool)]  # the last row so far, and whether its signature had one before
-        last: list[np.ndarray] = held
-        for batch in batches:
-            sign, node, state = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(last[:3]))
-            old = np.concatenate([[True], (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])])
-            sign, node, state = sign[old], node[old], state[old]
-            same = sign[1:] == sign[:-1]
-            before = np.concatenate([last[3] if len(last[3]) else [False], same])
-            shared = before | np.append(same, False) | (state > 0)
-            shared[-1] = False
-            last = [sign[-1:], node[-1:], state[-1:], before[-1:]]
-            if shared.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sign[shared]), pa.array(node[shared])], ["signature", "node"])
-        if len(last[0]) and (last[3][0] or last[2][0] > 0):
-            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["signature", "node"])
-
-    rows = docs.select("text").mapInArrow(scan, "signature long, node long, state byte")
-    key = F.when(F.col("state") < 2, F.col("signature")).otherwise(F.xxhash64("signature", "node"))
-    return rows.repartition(key).sortWithinPartitions("signature", "node", F.desc("state")).mapInArrow(meet, "signature long, node long")
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(node), pa.array(states_in_block(flat, node))], ["key", "member", "state"])
+
+    return shared_members(docs.select("text").mapInArrow(scan, "key long, member long, state byte")).select(F.col("key").alias("signature"), F.col("member").alias("node"))
 
 
 def _active(members: DataFrame, nodes: DataFrame) -> DataFrame:

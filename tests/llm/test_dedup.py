@@ -54,6 +54,14 @@ def test_exact_drop(spark):
     assert sorted((i, t or "") for i, t in rows) == sorted((i, k) for k, i in first.items())
 
 
+def test_exact_drop_with_maps(spark):
+    rows = [(2, "t", {"b": 1}), (1, "t", {"c": 2}), (1, "t", {"a": 9}), (3, None, None), (4, "", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `m.x` map<string,int>")
+    got = drop_duplicates(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "t", {"a": 9}), (3, None, None)]
+
+
 def brute_components(docs, n, percent):
     sets = []
     for i, t in docs:
@@ -78,7 +86,7 @@ def brute_components(docs, n, percent):
     return sorted((low(i), len(s), least[root(x)]) for x, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize(("n", "percent", "light", "block"), [(3, 90, 16, 2048), (5, 80, 1, 4), (2, 60, 2, 8), (1, 50, 3, 30)])
+@pytest.mark.parametrize(("n", "percent", "light", "block"), [(3, 90, 16, 1024), (5, 80, 1, 4), (2, 60, 2, 8), (1, 50, 3, 30)])
 def test_jaccard(spark, monkeypatch, n, percent, light, block):
     monkeypatch.setattr(ngram_jaccard, "LIGHT", light)
     monkeypatch.setattr(ngram_jaccard, "BLOCK", block)

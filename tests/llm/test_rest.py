@@ -325,3 +325,18 @@ def test_plain_words_score_as_by_their_features():
     for w, own in zip(words, got, strict=True):
         want = sum((field.weights[:, field.names[f]] for f in pii.word_features(w) if f in field.names), np.zeros_like(own))
         assert np.allclose(own, want), w
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table; null and repeated ids, null texts and languages, a table without anything that stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(4)
+    text = lambda k: " ".join(f"w{rng.randrange(500)}x{k}" for _ in range(70))
+    same, other = text(1), text(2)
+    odd = [(None, same, None, None, 0), (None, same + " zz", "en", "s", 0), (5, other, "en", None, 0), (5, text(3), "en", "s", 0), (6, other, "en", "s", None), (7, None, None, None, None), (7, "", "en", "s", 0)]
+    for name, rows in (("none", []), ("odd", odd), ("junk", [(1, None, "en", "s", 0), (2, "a a a", "en", "s", 0)])):
+        path = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        got = corpus_pipeline.run(spark, path).collect()
+        assert sorted({str(r.doc_id) for r in got}) == (["5", "None"] if name == "odd" else [])
+        assert len([r for r in got if r.piece == 0]) == (3 if name == "odd" else 0)

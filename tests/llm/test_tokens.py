@@ -7,7 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from tarnwork.llm import sentencepiece_codec
-from tarnwork.llm.packing import pack_documents, sum_of_squares
+from tarnwork.llm.common import checkpointed
+from tarnwork.llm.packing import pack, pack_documents, sum_of_squares
 from tarnwork.llm.sentencepiece_codec import Codec, round_trip
 from tarnwork.llm.token_binary import ShardFile, WaveletMatrix, dump_shard, token_shards
 from tarnwork.llm.tokens import encode_block, public_tokenizer
@@ -92,6 +93,21 @@ def test_packing(spark):
     assert pack_documents(docs(spark, []), public_tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_equal_pieces_spread_over_tasks(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 1, 7)] * 4000, "doc_id long, piece int, start long, length long, ids_crc32 long").transform(checkpointed)
+    got = pack(rows, 64, items_per_task=500).toPandas()
+    tasks = (got.sequence_id >> 40).value_counts()
+    assert len(got) == 4000 and len(tasks) == 8 and tasks.max() < 800
+    for _, own in got.groupby("sequence_id"):
+        assert sorted(own.offset) == list(range(len(own))) and len(own) <= 64
+
+
+def test_packing_of_odd_rows(spark):
+    rows = spark.createDataFrame([(None, None, 1), (None, None, 2), (3, "same text", 3), (3, "same text", 4), (-(2**63), "", 5)], "doc_id long, text string, sequence_id int")
+    got = pack_documents(rows, public_tokenizer("byte_bpe_50k.json"), 0, 16).collect()
+    assert sorted(((r.doc_id, r.length) for r in got), key=str) == sorted([(None, 1), (None, 1), (3, 3), (3, 3), (-(2**63), 1)], key=str)
+
+
 def test_sum_of_squares_takes_the_least_sum():
     rng = np.random.default_rng(2)
     lens, size = rng.integers(1, 13, 300), 12
@@ -154,3 +170,5 @@ def test_round_trip(spark):
     rows = {r.doc_id: r for r in round_trip(docs(spark, TEXTS), public_tokenizer("piece_bpe_32k.model")).collect()}
     assert all(r.round_trip for r in rows.values()) and rows[2].n_pieces == 0 and rows[1].n_pieces == 0
     assert round_trip(docs(spark, []), public_tokenizer("piece_bpe_32k.model")).count() == 0
+    twice = round_trip(docs(spark, TEXTS).union(docs(spark, TEXTS)), public_tokenizer("piece_bpe_32k.model")).collect()
+    assert len(twice) == 2 * len(TEXTS) and all(r == rows[r.doc_id] for r in twice)
