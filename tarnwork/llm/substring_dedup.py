@@ -47,7 +47,7 @@ class FMIndex:
         order = self._suffixes(text, inside)
         self.matrix = WaveletMatrix.build(text[order - 1])
         count = np.bincount(text, minlength=int(symbols.max()) + 1 if len(symbols) else 1)
-        self.below = np.cumsum(count) - count
+        self.below = np.concatenate([[0], np.cumsum(count)])
         self.base = self._step(np.arange(len(count)), np.zeros(len(count), np.int64))
         self.names, ranks = np.unique(weights, return_inverse=True)
         self.low = np.repeat(ranks.astype(np.int32), lens + 1)[order]
@@ -64,15 +64,15 @@ class FMIndex:
     def _suffixes(text: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Suffix array by doubling; every end of a segment is a symbol of its own, so ranks part after the longest segment."""
         rank = np.where(inside, text + len(text), np.cumsum(~inside))
-        step = 1
+        step, most = 1, int(rank.max()) + 2 if len(rank) else 2
         while True:
-            after = np.zeros(len(text), np.int64)
-            after[:-step] = rank[step:] + 1
-            order = np.lexsort((after, rank))
-            new = (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0)
+            key = rank * most  # both ranks in one number, which sorts faster than two
+            key[:-step] += rank[step:] + 1
+            order = np.argsort(key)
+            new = np.diff(key[order]) != 0
             rank = np.empty(len(text), np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(new)])
-            step *= 2
+            step, most = step * 2, len(text) + 2
             if new.all() or step >= len(text):
                 return order
 
@@ -115,10 +115,12 @@ class FMIndex:
         return out
 
     def matches(self, symbols: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each end (exclusive) in a stream of symbols: the length, up to span, of the longest match that ends there, and its interval."""
-        lo, hi, length = np.zeros(len(ends), np.int64), np.full(len(ends), self.matrix.n), np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        for k in range(1, span + 1):
+        """For each end (exclusive, 1 at least) in a stream of symbols: the length, up to span, of the longest match that ends there, and its interval."""
+        last = symbols[ends - 1]
+        lo, hi = self.below[last], self.below[last + 1]  # all suffixes that begin with the last symbol
+        length = np.minimum(hi - lo, 1)
+        live = np.flatnonzero(length)
+        for k in range(2, span + 1):
             live = live[(ends[live] >= k)]
             down, up = self.extend(symbols[ends[live] - k], lo[live], hi[live])
             live = live[found := up > down]
@@ -155,8 +157,8 @@ def _anchors(docs: DataFrame, span: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "anchor long, doc_id long")
 
 
-def _cut(docs: DataFrame, span: int) -> DataFrame:
-    """A row for each segment with a shared anchor of each row of docs (doc_id, _key, text, shared, hot)."""
+def _cut(docs: DataFrame, span: int, of_hot: bool) -> DataFrame:
+    """A row for each segment of each row of docs (doc_id, _key, text, shared, hot) whose anchor is shared, and hot or not; those of hot anchors are single windows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in blocks(batches):
@@ -172,14 +174,14 @@ def _cut(docs: DataFrame, span: int) -> DataFrame:
             at = np.cumsum(lens + 1) - (lens + 1)
             line = np.full(int((lens + 1).sum()), 32, np.uint8)
             line[ragged(at, lens)] = buf[ragged(starts, lens)]
-            own = keep & ~many
-            one = ragged(place[keep & many], windows[keep & many])
+            own = np.zeros(len(row), bool) if of_hot else keep & ~many
+            alone_at = keep & many if of_hot else np.zeros(len(row), bool)
+            one = ragged(place[alone_at], windows[alone_at])
             alone = mix(hash_grams(words, span)[one]) if len(one) else np.zeros(0, np.uint64)
-            s_row = np.concatenate([row[own], np.repeat(row[keep & many], windows[keep & many])])
+            s_row = np.concatenate([row[own], np.repeat(row[alone_at], windows[alone_at])])
             s_at = np.concatenate([place[own], one])
             s_n = np.concatenate([windows[own], np.ones(len(one), np.int64)]) + span - 1
             s_anchor = np.concatenate([anchor[own], alone])
-            s_hot = np.arange(len(s_row)) >= own.sum()
             lo, hi = at[s_at], at[s_at + s_n - 1] + lens[s_at + s_n - 1] if len(s_at) else at[s_at]
             word_sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(77)) * (np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
             plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(77)), dtype=np.uint64)])
@@ -193,10 +195,10 @@ def _cut(docs: DataFrame, span: int) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), q - p, [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data.tobytes())])
                 at_row = pa.array(s_row[p:q])
-                columns = [pa.array((s_at - first[s_row])[p:q].astype(np.int32)), pa.array(s_anchor[p:q].view(np.int64)), pa.array(s_hot[p:q]), pa.array(hash_spans(data, lens).view(np.int64)), pa.array(h2[p:q].view(np.int64)), blobs]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at_row), rows.column("_key").take(at_row), *columns], ["doc_id", "_key", "start", "anchor", "hot", "h1", "h2", "words"])
+                columns = [pa.array((s_at - first[s_row])[p:q].astype(np.int32)), pa.array(s_anchor[p:q].view(np.int64)), pa.array(hash_spans(data, lens).view(np.int64)), pa.array(h2[p:q].view(np.int64)), blobs]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at_row), rows.column("_key").take(at_row), *columns], ["doc_id", "_key", "start", "anchor", "h1", "h2", "words"])
 
-    return docs.mapInArrow(scan, "doc_id long, _key long, start int, anchor long, hot boolean, h1 long, h2 long, words binary")
+    return docs.mapInArrow(scan, "doc_id long, _key long, start int, anchor long, h1 long, h2 long, words binary")
 
 
 def _answers(segments: list[bytes], first: list[int], span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,12 +210,21 @@ def _answers(segments: list[bytes], first: list[int], span: int) -> tuple[np.nda
     index = FMIndex(symbols, lens, np.array(first, np.int64))
     windows = lens - span + 1
     ends = ragged(np.cumsum(lens) - lens, windows) + span
-    least = np.full(len(ends), np.iinfo(np.int64).max)
-    for at in range(0, len(ends), 1 << 17):
-        part = ends[at : at + (1 << 17)]
+    # windows of equal words stream as one: by a hash, and looked at word by word
+    _, where, back = np.unique(hash_grams(mix(symbols.astype(np.uint64)), span)[ends - span], return_index=True, return_inverse=True)
+    same, first_of = np.ones(len(ends), bool), where[back]
+    for k in range(1, span + 1):
+        same &= symbols[ends - k] == symbols[ends[first_of] - k]
+    other = np.flatnonzero(~same)
+    asked = np.concatenate([where, other])
+    found = np.full(len(asked), np.iinfo(np.int64).max)
+    for at in range(0, len(asked), 1 << 17):
+        part = ends[asked[at : at + (1 << 17)]]
         length, lo, hi = index.matches(symbols, part, span)
         hit = length == span
-        least[at : at + len(part)][hit] = index.least(lo[hit], hi[hit])
+        found[at : at + len(part)][hit] = index.least(lo[hit], hi[hit])
+    least = found[back]
+    least[other] = found[len(where) :]
     return least, windows
 
 
@@ -312,9 +323,9 @@ def drop_repeats(docs: DataFrame, span: int = 13) -> DataFrame:
     anchors = _anchors(docs, span).withColumns({"_x": F.min("doc_id").over(w), "_y": F.max("doc_id").over(w), "_hot": F.count("*").over(w) > HOT})
     hits = checkpointed(anchors.filter("_x <> _y").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("_hot"), F.col("anchor"))).alias("hot")))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    rows = _cut(keyed.join(hits, "doc_id"), span)
-    gone = _gone(rows.filter("not hot"), span)
-    if not hits.filter(F.size("hot") > 0).isEmpty():
-        gone = gone.unionByName(_gone_hot(rows.filter("hot"), span))
+    gone = _gone(_cut(keyed.join(hits, "doc_id"), span, of_hot=False), span)
+    holders = hits.filter(F.size("hot") > 0)
+    if not holders.isEmpty():
+        gone = gone.unionByName(_gone_hot(_cut(keyed.join(holders, "doc_id"), span, of_hot=True), span))
     lost = gone.groupBy("doc_id").agg(F.collect_list(F.struct("_key", "gone")).alias("lost"))
     return _without(keyed.join(lost, "doc_id", "left"), span)
