@@ -233,10 +233,16 @@ class Slots:
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
 
 
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists, one after the other, and how many each has."""
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens
+
+
 class ChunkEncoder:
-    """Ids of chunks of text; each distinct chunk is encoded once while it is cached."""
+    """Ids of chunks of text; each distinct chunk is encoded once while it is cached. encode: of chunks, all ids one after the other and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 700_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -247,18 +253,16 @@ class ChunkEncoder:
 
     def _add(self, n: int, chunks: list[str]) -> None:
         """Ids of chunks under the numbers from n."""
-        ids = self.encode(chunks)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+        flat, lens = self.encode(chunks)
         need = self.used + len(flat)
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need // 2, need - self.used), np.uint32)])
-        if n + len(ids) > len(self.start):
-            more = np.zeros(n // 2 + len(ids), np.int64)
+        if n + len(lens) > len(self.start):
+            more = np.zeros(n // 2 + len(lens), np.int64)
             self.start, self.len = np.concatenate([self.start[:n], more]), np.concatenate([self.len[:n], more.astype(np.int32)])
         self.pool[self.used : need] = flat
-        self.start[n : n + len(ids)] = self.used + np.cumsum(lens) - lens
-        self.len[n : n + len(ids)] = lens
+        self.start[n : n + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.len[n : n + len(lens)] = lens
         self.used = need
 
     def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

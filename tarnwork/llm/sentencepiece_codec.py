@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkEncoder, blocks, hash_spans, ragged
+from .common import ChunkEncoder, blocks, flattened, hash_spans, ragged
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -78,7 +78,7 @@ class Codec:
         raw = [self._raw(i) for i in range(len(self.pieces))]
         self.size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.start, self.pool = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
-        self.encoder = ChunkEncoder(lambda chunks: [self.segment(c.replace(" ", BLANK)) for c in chunks], limit=250_000)
+        self.encoder = ChunkEncoder(lambda chunks: flattened([self.segment(c.replace(" ", BLANK)) for c in chunks]), limit=250_000)
 
     def _raw(self, i: int) -> bytes:
         if self.kinds[i] == BYTE:

@@ -96,7 +96,7 @@ def test_packing(spark):
 def test_equal_pieces_spread_over_tasks(spark):
     rows = spark.createDataFrame([(None, 0, 0, 1, 7)] * 4000, "doc_id long, piece int, start long, length long, ids_crc32 long").transform(checkpointed)
     got = pack(rows, 64, items_per_task=500).toPandas()
-    tasks = (got.sequence_id >> 40).value_counts()
+    tasks = (got.sequence_id // 2**40).value_counts()
     assert len(got) == 4000 and len(tasks) == 8 and tasks.max() < 800
     for _, own in got.groupby("sequence_id"):
         assert sorted(own.offset) == list(range(len(own))) and len(own) <= 64
