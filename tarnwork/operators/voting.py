@@ -9,25 +9,28 @@ from ..functions.text import fold_typography, jaccard, norm, tokens
 
 #: words of the anchor by which a quote finds the documents that may hold it
 ANCHOR_WORDS = 3
+#: runs of quotes that are sent to all tasks as a list
+FEW_ANCHORS = 2000
 
 
 def resolve_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, quote_id, verify_pass, start) of every quote that a document holds: exact, else after folding typography and white space.
 
     start is 0-based, in the text or in the folded text. A document that holds a quote also holds its inner words as whole words, so both
-    meet in an equi-join on a run of inner words; the whole quote is then looked up. Quotes with fewer than five words are joined by a
-    condition. docs: doc_id, text; quotes: quote_id, quote. Blank quotes match nothing.
+    meet in an equi-join on the hash of a run of inner words; the whole quote is then looked up. Up to FEW_ANCHORS runs of quotes leave only theirs
+    of each text before anything is shuffled. Quotes with fewer than five words are joined by a condition. docs: doc_id, text; quotes: quote_id, quote. Blank quotes match nothing.
     """
     both = quotes.filter(F.trim(F.coalesce("quote", F.lit(""))) != "").select("quote_id", "quote", fold_typography(F.col("quote")).alias("_fold"))
     both = both.withColumn("_words", F.split(F.trim("_fold"), " "))
-    long_ = both.filter(F.size("_words") >= ANCHOR_WORDS + 2).withColumn("_anchor", F.array_join(F.slice("_words", 2, ANCHOR_WORDS), " ")).drop("_words")
+    anchor = F.xxhash64(*(F.element_at("_words", k) for k in range(2, 2 + ANCHOR_WORDS)))
+    long_ = both.filter(F.size("_words") >= ANCHOR_WORDS + 2).withColumn("_anchor", anchor).drop("_words")
     short = both.filter(F.size("_words") < ANCHOR_WORDS + 2).drop("_words")
     texts = docs.select("doc_id", "text", fold_typography(F.coalesce("text", F.lit(""))).alias("_folded"))
-    words = F.split(F.trim(F.col("_folded")), " ")
-    runs = texts.withColumn("_w", words).select(
-        "doc_id", F.explode(F.array_distinct(F.transform(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.size("_w")).alias("b"), F.slice("_w", 3, F.size("_w")).alias("c")), lambda x: F.concat_ws(" ", x["a"], x["b"], x["c"])))).alias("_anchor")
-    )
-    near = runs.join(long_.select("quote_id", "_anchor"), "_anchor").select("doc_id", "quote_id").distinct()
+    runs = F.transform("_w", lambda w, i: F.xxhash64(w, *(F.get("_w", i + k) for k in range(1, ANCHOR_WORDS))))
+    hashed = texts.select("doc_id", F.split(F.trim(F.col("_folded")), " ").alias("_w")).select("doc_id", runs.alias("_runs"))
+    anchors = [r["_anchor"] for r in long_.select("_anchor").distinct().limit(FEW_ANCHORS + 1).collect()]
+    wanted = F.array_distinct("_runs") if len(anchors) > FEW_ANCHORS else F.array_intersect("_runs", F.array(*map(F.lit, anchors)).cast("array<bigint>"))
+    near = hashed.select("doc_id", F.explode(wanted).alias("_anchor")).join(long_.select("quote_id", "_anchor"), "_anchor").select("doc_id", "quote_id").distinct()
     found = near.join(long_.drop("_anchor"), "quote_id").join(texts, "doc_id")
     found = found.unionByName(texts.join(short, F.contains(F.col("_folded"), F.col("_fold"))).select(*found.columns))
     exact, folded = F.expr("instr(text, quote)"), F.expr("instr(_folded, _fold)")

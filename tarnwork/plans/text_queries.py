@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
 from ..functions import text as T
 from ..operators import voting
 from ..operators.audit import risk_rank
@@ -208,7 +209,7 @@ SELECT n.study, n_values, round(m, 6) AS fuzzy_agreement FROM n LEFT JOIN p ON n
 def assured_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: which benchmark passages a document holds, found by which pass, how sure, and what to do with it."""
     found = resolve_quotes(spark, sf_dir)
-    candidates = found.select("doc_id", "quote_id", F.col("quote_id").cast("string").alias("value"), F.lit("quote").alias("method"), F.lit(False).alias("is_model"), F.when(F.col("verify_pass") == "exact", "confirmed").otherwise("neutral").alias("sanity"), F.col("start").alias("ord"), F.col("verify_pass").alias("quote"), F.lit(True).alias("quote_ok"))
+    candidates = found.select("doc_id", "quote_id", F.col("quote_id").cast("string").alias("value"), F.lit("quote").alias("method"), F.lit(False).alias("is_model"), F.when(F.col("verify_pass") == "exact", "confirmed").otherwise("neutral").alias("sanity"), F.col("start").alias("ord"), F.col("verify_pass").alias("quote"), F.lit(True).alias("quote_ok")).transform(checkpointed)  # read twice
     keys = ["doc_id", "quote_id"]
     rows = voting.vote(candidates, keys).join(voting.resolve_grounding(candidates, keys), keys).withColumn("verifier", F.when(F.col("quote") == "exact", "supported").otherwise("partial"))
     return voting.assure(rows, keys).select(*keys, F.col("quote").alias("verify_pass"), "confidence", "decision", risk_rank(F.col("decision")).alias("risk"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork import schemas
-from tarnwork.operators import calibration, features, folds, schedules, scoring, sections, titles
+from tarnwork.operators import calibration, features, folds, schedules, scoring, sections, titles, voting
 from tarnwork.plans import assembly, full
 from tarnwork.sources import files, runs
 
@@ -154,6 +154,24 @@ def test_schedule_labels(spark):
     assert [r[0] for r in parts.select(schedules.merge_wrapped(F.col("p"))).collect()] == [["Screening", "and", "Baseline", "x1"], [], []]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from tarnwork.__main__ import main
+
+    assert main(["list"]) == 0 and "hashed_rows" in capsys.readouterr().out.split()
+    assert main(["no_such_query", "x"]) == 2
+    assert main(["hashed_rows", "/root/testdata/sf0.001", f"{tmp_path}/out"]) == 0 and spark.read.parquet(f"{tmp_path}/out").count() == 25
+
+
+def test_quotes_by_lists_and_by_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"start {' '.join(f'w{(i * k) % 17}' for i in range(60))} end") for k in range(1, 40)], "doc_id long, text string")
+    quotes = spark.createDataFrame([(k, " ".join(f"w{(i * k) % 17}" for i in range(5, 14))) for k in range(1, 17)] + [(90, "w1 w2"), (91, "start w0 w3 w6 w9"), (92, "a b c d e f g")], "quote_id long, quote string")
+    want = values(voting.resolve_quotes(docs, quotes))
+    monkeypatch.setattr(voting, "FEW_ANCHORS", 3)
+    assert values(voting.resolve_quotes(docs, quotes)) == want and len(want) > 40
+    rows = [(d.doc_id, q.quote_id, "exact", d.text.find(q.quote)) for d in docs.collect() for q in quotes.collect() if q.quote in d.text]
+    assert want == sorted(rows, key=str)
+
+
 def test_two_passes(spark):
     def model(prompts):
         out = []
