@@ -104,7 +104,10 @@ def test_stitching(spark):
     e, f = [10.0, 50.0, 90.0], [10.0, 90.0]
     rows = [(1, 0, 1, 5.0, e, "h", "Table 1", False), (1, 1, 2, 5.0, [12.0, 52.0, 92.0], "h", None, False), (1, 2, 3, 5.0, f, "h", None, True), (1, 3, 9, 5.0, e, "h", None, True)]
     got = stitching.stitch(spark.createDataFrame(rows, "doc_id long, table_ix int, page int, y0 double, edges array<double>, header string, caption string, cue boolean"))
-    assert values(got) == [(1, 0, 0, "SEPARATE"), (1, 1, 0, "CONTINUATION"), (1, 2, 1, "AMBIGUOUS"), (1, 3, 2, "SEPARATE")]
+    assert values(got) == [(1, 0, 0, "SEPARATE", 0), (1, 1, 0, "CONTINUATION", 1), (1, 2, 1, "AMBIGUOUS", 0), (1, 3, 2, "SEPARATE", 0)]
+    cells = spark.createDataFrame([(1, t, r, c, v) for t in range(2) for r, row in enumerate((["h", "", "v"], [f"a{t}", None, "x"])) for c, v in enumerate(row)], "doc_id long, table_ix int, row int, col int, text string")
+    assert [tuple(r)[2:] for r in stitching.stitched_cells(cells, got).orderBy("row", "col").collect()] == [(0, 0, "h", 0), (0, 1, "v", 0), (1, 0, "a0", 0), (1, 1, "x", 0), (2, 0, "a1", 1), (2, 1, "x", 1)]
+    assert values(stitching.stitching_findings(got)) == [(1, 2, "ambiguous_continuation", "WARNING")]
     lines = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 0.0), (1, 1, 10.0, 0.0, 10.0, 9.0), (1, 1, 50.0, 0.0, 60.0, 0.0)], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
     assert values(stitching.ruled_boxes(lines)) == [(1, 1, 0, 0.0, 0.0, 10.0, 9.0, 2), (1, 1, 1, 50.0, 0.0, 60.0, 0.0, 1)]
 
