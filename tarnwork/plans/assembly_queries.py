@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import files
 from ..streaming.log import windowed_counts
 from . import assembly as A
+from .full import full_loop, produced
 from .inputs import table
 from .spine import metadata
 
@@ -136,8 +137,20 @@ def metadata_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 METADATA_SPINE = "SELECT doc_id, unnest(['sponsor', 'phase']) AS field, unnest(['Firm ' || source, NULL]) AS value, unnest([1.0, 0.0])::DOUBLE AS confidence, unnest(['AUTO_ACCEPT', 'BLOCK']) AS decision FROM documents"
 
+def full_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole loop over documents, with a title page and a few sections in front of each text: which parts its study has, how its fields were decided, and its findings."""
+    d = table(spark, sf_dir, "documents")
+    front = F.concat(F.lit("Sponsor: Firm "), F.col("source"), F.lit("\nPhase: Phase 2\nSTUDY DESIGN\nThis is how it is done.\nSubjects are randomized to drug A 5 mg or placebo.\nOBJECTIVES AND ENDPOINTS\nPrimary objective: to see it work.\nAnd more of it.\n"))
+    labels = spark.createDataFrame([("sponsor", "^sponsor"), ("phase", "^phase")], "field string, pattern string")
+    got = full_loop(d.select("doc_id", F.concat(front, F.coalesce("text", F.lit(""))).alias("text")), labels)
+    fields = got["fields"].groupBy("doc_id").agg(F.count_if(F.col("decision") == "AUTO_ACCEPT").alias("n_auto"), F.count_if(F.col("decision") == "REVIEW").alias("n_review"), F.count_if(F.col("decision") == "BLOCK").alias("n_block"))
+    findings = got["findings"].groupBy("doc_id").agg(F.count("*").alias("n_findings"))
+    studies = got["studies"].select("doc_id", F.array_join(produced(got["studies"]), ",").alias("parts"), "produced")
+    return studies.join(fields, "doc_id", "left").join(findings, "doc_id", "left")
+
+
 QUERIES = {
-    "vision_pages": vision_pages, "gate_rules": gate_rules, "metadata_spine": metadata_spine,
+    "full_studies": full_studies, "vision_pages": vision_pages, "gate_rules": gate_rules, "metadata_spine": metadata_spine,
     "sanitized_parts": sanitized_parts, "sanitizer_findings": sanitizer_findings, "unique_names": unique_names, "activity_links": activity_links, "assembled_orders": assembled_orders, "failed_rules": failed_rules, "cached_replies": cached_replies, "parsed_replies": parsed_replies, "reply_verdicts": reply_verdicts, "hourly_events": hourly_events,
 }
 SQL = {
