@@ -208,7 +208,7 @@ class _Rows:
         got = self.flat[self.start[row][:, None] + np.arange(wide)].astype(np.int16)
         return np.minimum(got.reshape(len(row), width, wide // width).sum(axis=2), 255) if wide > width else got
 
-    def near(self, percent: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, percent: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows of a group and of two components that their sizes and histograms don't tell apart."""
         partners = np.repeat(self.first + self.count, self.count) - np.arange(len(self.node)) - 1
         bounds = np.unique(np.append(np.searchsorted(np.cumsum(partners), np.arange(0, int(partners.sum()), step), "right"), len(partners)))
@@ -225,7 +225,7 @@ class _Rows:
             for k in np.unique(kind):
                 own = np.flatnonzero(kind == k)
                 width = int(min(k >> 32, k & 0xFFFFFFFF))
-                most = max(1, (1 << 22) // int(max(k >> 32, k & 0xFFFFFFFF)))
+                most = max(1, (1 << 19) // int(max(k >> 32, k & 0xFFFFFFFF)))
                 for at in range(0, len(own), most):
                     one = own[at : at + most]
                     apart = np.abs(self._cells(left[one], width) - self._cells(right[one], width)).sum(axis=1, dtype=np.int64)
@@ -318,7 +318,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     """Pairs (a, b) of nodes whose sets reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             sets: dict[int, np.ndarray] = {}
             for side in ("a", "b"):
                 nodes, where = np.unique(batch.column(side).to_numpy(), return_index=True)
