@@ -242,7 +242,7 @@ def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class ChunkEncoder:
     """Ids of chunks of text; each distinct chunk is encoded once while it is cached. encode: of chunks, all ids one after the other and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
