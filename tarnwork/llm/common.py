@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,40 @@ _FAR = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64
 _GRAM = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def new_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+class Held:
+    """The files that results made inside `with Held(spark)` still read; they stay until released(). Other results keep theirs."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Held:
+        self._token = _OPEN.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _OPEN.reset(self._token)
+
+    def released(self) -> None:
+        """Removes the files: for a caller that has stored these results."""
+        deleted(self.spark, *self.paths)
+        self.paths.clear()
 
 
-#: tables written for results that are still to be read
-_HELD: list[str] = []
+_OPEN: ContextVar[Held | None] = ContextVar("open", default=None)
+
+
+def new_dir(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder. Outside of any Held, what is put there stays for the caller to remove."""
+    path, held = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}", _OPEN.get()
+    if held:
+        held.paths.append(path)
+    return path
 
 
 def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and the table's path, for deleted(). A table that the result itself reads stays until released()."""
+    """df as a Parquet table in the shared folder, and the table's path, for deleted()."""
     path = new_dir(df.sparkSession, kind)
     df.write.parquet(path)
-    _HELD.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -51,13 +73,6 @@ def deleted(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if path in _HELD:
-            _HELD.remove(path)
-
-
-def released(spark: SparkSession) -> None:
-    """Removes all written tables: for a caller that has stored the results of the operators so far."""
-    deleted(spark, *list(_HELD))
 
 
 def few(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -106,18 +121,54 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
 
 def find_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words, and the n + 1 word offsets of the rows."""
-    word = ~WS[buf]
-    begin, last = word.copy(), word.copy()
-    begin[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    edge = off[off < len(buf)]
-    begin[edge] = word[edge]
+    return find_runs(~WS[buf], off)
+
+
+def find_runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked bytes, which end at the end of a row, and the n + 1 offsets of the rows in them."""
+    begin, last = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = off[off < len(inside)]
+    begin[edge] = inside[edge]
     edge = off[off > 0] - 1
-    last[edge] = word[edge]
+    last[edge] = inside[edge]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, off)
 
 
+def distinct_spans(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive spans of data, none of them empty: one of each distinct span, and for every span its place among those.
+
+    Spans are found equal by a 64-bit hash and then compared byte by byte; should two that differ share a hash, all get another hash.
+    """
+    starts = np.cumsum(lens) - lens
+    for salt in range(256):
+        _, where, back = np.unique(hash_spans(data ^ np.uint8(salt), lens), return_index=True, return_inverse=True)
+        like = where[back]
+        if (lens[like] == lens).all() and _same_bytes(data, starts, starts[like], lens):
+            return where, back
+    raise RuntimeError("no hash tells the spans apart")
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray) -> bool:
+    """Whether each span from a equals the span from b; some at a time."""
+    ends, at = np.cumsum(lens), 0
+    while at < len(lens):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SPAN_BYTES * 4, "right")))
+        if (data[ragged(a[at:to], lens[at:to])] != data[ragged(b[at:to], lens[at:to])]).any():
+            return False
+        at = to
+    return True
+
+
+def string_array(data: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Consecutive spans of UTF-8 as a string column."""
+    off = np.zeros(len(lens) + 1, np.int64)
+    np.cumsum(lens, out=off[1:])
+    return pa.LargeStringArray.from_buffers(len(lens), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+
+
 def hash_spans(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """64-bit hashes of consecutive spans of data, none of them empty; some at a time, so that what is needed for each byte stays small."""
     ends = np.cumsum(lens)

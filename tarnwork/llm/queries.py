@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import near_vectors
 from .exact_dedup import ascii_lower, duplicate_groups
 from .lm_scoring import score_documents
 from .ngram_jaccard import jaccard_components
@@ -13,6 +14,8 @@ from .packing import pack_documents
 from .pii import personal_spans
 from .quality_rules import MARGINS, PRIOR, REACH, judged
 from .sentencepiece_codec import round_trip
+from .source_divergence import divergence
+from .spelling_variants import spelling_groups
 from .substring_dedup import drop_repeats
 from .token_binary import token_shards
 from .tokens import public_tokenizer
@@ -130,6 +133,72 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, least) AS component_id, vec_id = least(vec_id, least) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents"), least_points=7, least_n=2, factor=10, noise=31)
+
+
+#: crc32 goes byte by byte over its table of 256 numbers; near words are those that lose one code point to the same rest, at the same place or at one end only.
+OP12_SQL = r"""
+WITH RECURSIVE bit AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS tab FROM bit WHERE k = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+g AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM r WHERE length(w) >= 7 GROUP BY ALL),
+x AS (SELECT doc_id, w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS b FROM g),
+h AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(b), 2), lambda i: ('0x' || substr(b, i::INTEGER, 2))::BIGINT)), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM x, t),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT DISTINCT word, n, p, substr(word, 1, p::INTEGER) || substr(word, p::INTEGER + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS p FROM v)),
+e AS (
+  SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+s AS (SELECT word, count(*) AS n_near, min({'n': -n, 'w': other}) AS best FROM e GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.n >= 10 * v.n THEN best.w END AS form, CASE WHEN -best.n >= 10 * v.n THEN -best.n END::BIGINT AS form_n FROM v LEFT JOIN s ON v.word = s.word),
+o AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT o.word, f.word, f.form FROM o JOIN f ON o.up = f.word)
+SELECT f.*, root FROM f JOIN o ON f.word = o.word AND o.up IS NULL
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+z AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p FROM z JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)::HUGEINT) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q FROM p GROUP BY lang, term, v),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM o) WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -142,8 +211,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_pii": op10_pii,
+        "op11_embedding_dedup": op11_embedding_dedup,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_quality_rules": OP8_SQL, "op11_embedding_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_source_divergence": OP13_SQL}
