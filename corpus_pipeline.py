@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.llm.common import deleted, new_dir, released
+from tarnwork.llm.common import Held, deleted, new_dir
 from tarnwork.llm.exact_dedup import drop_duplicates
 from tarnwork.llm.ngram_jaccard import one_of_each_group
 from tarnwork.llm.packing import pack_documents
@@ -53,8 +53,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        released(spark)
+        with Held(spark) as held:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        held.released()
         if before:
             deleted(spark, before)
         docs, before = spark.read.parquet(path), path
