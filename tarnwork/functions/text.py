@@ -100,9 +100,17 @@ def mark_first(s: Column) -> Column:
     return F.coalesce(F.trim(s), F.lit("")).rlike(r"^([✓✔●•]|[xX]([^\p{L}\p{N}]|$))")
 
 
+# Fixed value: how a table says that it goes on from the page before.
+CONTINUED = r"(?i)\(?\s*\bcont(?:inued|['’]d|d\b|\.)\s*\)?"
+
+
 def continued(s: Column) -> Column:
     """A cue that a table goes on from the page before."""
-    return F.lower(F.coalesce(s, F.lit(""))).rlike(r"(^|[^\p{L}])(continued|cont'd|cont\.)")
+    return F.coalesce(s, F.lit("")).rlike(CONTINUED)
+
+
+def without_cue(s: Column) -> Column:
+    return F.regexp_replace(s, CONTINUED, " ")
 
 
 def caption(s: Column) -> Column:

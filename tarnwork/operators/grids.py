@@ -115,10 +115,21 @@ def bbox_union(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Glyphs whose centre lies in a box (edges count); keys, such as document and page, are equal on both sides."""
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    named = boxes.select(*keys, "box_id", *(F.col(c).alias(f"_b{c}") for c in ("x0", "y0", "x1", "y1")))
-    return points.join(named, keys).filter(cx.between(F.col("_bx0"), F.col("_bx1")) & cy.between(F.col("_by0"), F.col("_by1"))).select(*points.columns, "box_id")
+    """Glyphs whose centre lies in a box (edges count), a row for each such box; keys, such as document and page, are equal on both sides.
+
+    Both sides meet by the cells of a grid, and the exact test comes after. A box lies in the grid whose cells are as wide as the power of two
+    above its longer side, so in four of them at most; a glyph looks up its cell in each grid that has boxes of its page. Work follows the
+    glyphs and what they are near to, however many boxes a page has and however their sizes differ.
+    """
+    x0, y0, x1, y1 = (F.col(f"_b{c}") for c in ("x0", "y0", "x1", "y1"))
+    named = boxes.select(*keys, "box_id", *(F.col(c).cast("double").alias(f"_b{c}") for c in ("x0", "y0", "x1", "y1"))).filter((x0 <= x1) & (y0 <= y1))
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), "_grid"))
+    gridded = named.withColumn("_grid", F.ceil(F.log2(F.greatest(x1 - x0, y1 - y0, F.lit(1.0)))).cast("int"))
+    grids = gridded.groupBy(*keys).agg(F.collect_set("_grid").alias("_grids"))
+    placed = gridded.withColumn("_cx", F.explode(F.sequence(cell(x0), cell(x1)))).withColumn("_cy", F.explode(F.sequence(cell(y0), cell(y1))))
+    centred = points.withColumns({"_x": (F.col("x0") + F.col("x1")) / 2, "_y": (F.col("y0") + F.col("y1")) / 2}).join(grids, keys).withColumn("_grid", F.explode("_grids"))
+    met = centred.withColumns({"_cx": cell(F.col("_x")), "_cy": cell(F.col("_y"))}).join(placed, [*keys, "_grid", "_cx", "_cy"])
+    return met.filter(F.col("_x").between(x0, x1) & F.col("_y").between(y0, y1)).select(*points.columns, "box_id")
 
 
 def aligned(a: Column, b: Column, tolerance: float = 3.0) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import checkpointed
@@ -10,7 +10,7 @@ from ..operators import blocks as B
 from ..operators import grids as G
 from ..operators import matching as M
 from ..operators import sections as S
-from ..operators import stitching
+from ..operators import ruled, stitching
 from ..operators import titles as T
 from .inputs import LINES_SQL, SECTIONS_SQL, blocks, sections, table
 
@@ -464,6 +464,38 @@ def ruled_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.read_ruled(rows.select("doc_id", "r.row", F.explode("r.cells").alias("c")).select("doc_id", "row", "c.*"), ["doc_id"])
 
 
+def ruled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as drawn tables: two rows of header and one for each line. The first header spans two columns, and so does the mark of every fourth supplier; rules come in pieces."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg((F.max("l_suppkey") % 4).alias("k"))
+    rows = li.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) + 1).select("doc_id", "n", "k", F.col("r").cast("int").alias("r"))
+    head = rows.filter("r = 2").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("r")).select("doc_id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("k"), "r")
+    rows = rows.unionByName(head).withColumn("y", 20.0 * F.col("r"))
+    at = lambda x0, y0, x1, y1: F.struct(F.lit(x0).cast("double").alias("x0"), (F.col("y") + y0).alias("y0"), F.lit(x1).cast("double").alias("x1"), (F.col("y") + y1).alias("y1"))
+    level = [at(0, y, 100, y) for y in (0, 20)] + [at(98, y + 0.5, 180, y + 0.5) for y in (0, 20)]
+    posts = [at(x, 0.5, x + 0.2, 19.5) for x in (0, 60, 140, 180)]
+    split = F.when((F.col("r") > 0) & (F.coalesce("k", F.lit(0)) != 3), at(100, 0, 100, 20))
+    segments = rows.select("doc_id", F.explode(F.filter(F.array(*level, *posts, split), lambda s: s.isNotNull())).alias("s")).select("doc_id", "s.*")
+    word = lambda x, y, t: F.struct(F.lit(x).cast("double").alias("x0"), (F.col("y") + y).alias("y0"), F.lit(x + 8).cast("double").alias("x1"), (F.col("y") + y + 6).alias("y1"), (F.lit(t) if isinstance(t, str) else t).alias("text"))
+    line = F.array(word(20, 2.0, F.col("n").cast("string")), word(10, 2.5, "item"), word(10, 11.0, "of order"), word(65, 2.0, F.when(F.col("k") < 3, "x").otherwise("X")), word(105, 2.0, F.when(F.col("k") == 1, "✓")))
+    first, second = F.array(word(80, 2.0, "Period"), word(65, 2.0, "Treatment"), word(150, 2.0, "End")), F.array(word(62, 2.0, "Screen"), word(62, 11.0, "ing"), word(110, 2.0, "Day"), word(110, 11.0, "2"))
+    words = rows.select("doc_id", F.explode(F.when(F.col("r") == 0, first).when(F.col("r") == 1, second).otherwise(line)).alias("w")).select("doc_id", "w.*").withColumn("turn", F.lit(0))
+    return ruled.ruled_cells(segments, words, ["doc_id"]).select("doc_id", "row", "col", F.round("x0").alias("x0"), F.round("x1").alias("x1"), "text", "open_below")
+
+
+RULED_CELLS = """
+WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(l_suppkey) % 4 AS k FROM lineitem GROUP BY ALL),
+r AS (SELECT *, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM l UNION ALL SELECT DISTINCT doc_id, NULL, NULL, unnest([0, 1]) FROM l),
+s AS (SELECT *, r > 0 AND coalesce(k, 0) <> 3 AS drawn, count(*) FILTER (r > 0 AND coalesce(k, 0) <> 3) OVER (PARTITION BY doc_id) * 20.0 >= 0.3 * (count(*) OVER (PARTITION BY doc_id) * 20.0 + 0.25) AS kept FROM r),
+c AS (
+  SELECT doc_id, r, 0 AS col, 0.0 AS x0, 60.0 AS x1, CASE WHEN r < 2 THEN '' ELSE 'item ' || n || ' of order' END AS text FROM s
+  UNION ALL SELECT doc_id, r, 1, 60.0, 100.0, CASE WHEN r = 1 THEN 'Screening' WHEN k < 3 THEN 'x' ELSE 'X' END FROM s WHERE drawn AND kept
+  UNION ALL SELECT doc_id, r, 2, 100.0, 140.0, CASE WHEN r = 1 THEN 'Day 2' WHEN k = 1 THEN '✓' ELSE '' END FROM s WHERE drawn AND kept
+  UNION ALL SELECT doc_id, r, 1, 60.0, 140.0, CASE WHEN r = 0 THEN 'Treatment Period' WHEN r = 1 THEN 'Screen Day ing 2' WHEN k < 3 THEN 'x' || CASE WHEN k = 1 THEN ' ✓' ELSE '' END ELSE 'X' END FROM s WHERE NOT (drawn AND kept)
+  UNION ALL SELECT doc_id, r, CASE WHEN drawn AND kept THEN 3 ELSE 2 END, 140.0, 180.0, CASE WHEN r = 0 THEN 'End' ELSE '' END FROM s)
+SELECT doc_id, r::INTEGER AS row, col, x0::DOUBLE AS x0, x1::DOUBLE AS x1, text, false AS open_below FROM c
+"""
+
+
 RULED_SCHEDULES = """
 WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(l_suppkey) % 4 AS k FROM lineitem GROUP BY ALL), m AS (SELECT *, min(n) FILTER (k <> 2) OVER (PARTITION BY doc_id) AS first, unnest(CASE k WHEN 0 THEN [1, 3] WHEN 1 THEN [2, 3] WHEN 3 THEN [1, 2] ELSE [] END) AS v FROM l)
 SELECT doc_id, (n + 1)::INT AS activity_row, 'a' || n AS activity, v::INT AS visit_col, CASE WHEN v < 3 THEN 'Treatment' ELSE 'Follow-up' END AS epoch, CASE WHEN first > 1 AND (SELECT count(*) FROM l x WHERE x.doc_id = m.doc_id AND x.n = first - 1) > 0 THEN CASE WHEN v = 2 THEN 'Exam' ELSE '' END WHEN first > 1 THEN '' ELSE ['Day 1', 'Day 2', 'End'][v] END AS visit FROM m
@@ -472,7 +504,7 @@ SELECT doc_id, (n + 1)::INT AS activity_row, 'a' || n AS activity, v::INT AS vis
 
 def merged_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("table_ix"), (F.col("l_suppkey") % 4).alias("col")).agg(F.max("l_linestatus").alias("epoch"))
-    return stitching.accumulate_visits(v.withColumn("visit", F.concat(F.lit("Day "), F.col("col").cast("string"))))
+    return stitching.accumulate_visits(v.withColumn("visit", F.concat(F.lit("Day "), F.col("col").cast("string"), F.when(F.col("table_ix") % 2 == 0, F.lit(" 0.5 h (before dose)")).otherwise(F.lit("")))))
 
 
 #: each candidate goes to the last best slot without one of its member; the slots so far travel along
@@ -527,11 +559,11 @@ QUERIES = {
     "text_blocks": text_blocks, "thin_documents": thin_documents, "block_kinds": block_kinds, "head_text": head_text, "running_headers": running_headers, "repeated_lines": repeated_lines, "label_values": label_values, "section_lookup": section_lookup, "section_nesting": section_nesting, "inherited_types": inherited_types,
     "evidence_window": evidence_window, "dropped_sections": dropped_sections, "slot_blocks": slot_blocks, "top_titles": top_titles, "graph_summary": graph_summary, "title_types": title_types, "page_families": page_families, "page_clusters": page_clusters, "best_pages": best_pages, "scopes": scopes, "numbered_items": numbered_items,
     "heading_numbers": heading_numbers, "grid_agreement": grid_agreement, "grid_disagreements": grid_disagreements, "schedule_votes": schedule_votes, "filled_headers": filled_headers, "full_columns": full_columns, "paired_tables": paired_tables, "uncovered_pairs": uncovered_pairs, "demoted_fields": demoted_fields, "box_unions": box_unions,
-    "glyphs_in_boxes": glyphs_in_boxes, "version_diff": version_diff, "word_changes": word_changes, "token_links": token_links, "aligned_candidates": aligned_candidates, "reconciled_events": reconciled_events, "stitched_tables": stitched_tables, "stitched_cells": stitched_cells, "ruled_boxes": ruled_boxes, "merged_visits": merged_visits, "ruled_schedules": ruled_schedules,
+    "glyphs_in_boxes": glyphs_in_boxes, "version_diff": version_diff, "word_changes": word_changes, "token_links": token_links, "aligned_candidates": aligned_candidates, "reconciled_events": reconciled_events, "stitched_tables": stitched_tables, "stitched_cells": stitched_cells, "ruled_boxes": ruled_boxes, "merged_visits": merged_visits, "ruled_schedules": ruled_schedules, "ruled_cells": ruled_cells,
 }
 SQL = {
     "text_blocks": TEXT_BLOCKS, "thin_documents": THIN_DOCUMENTS, "block_kinds": BLOCK_KINDS, "head_text": HEAD_TEXT, "running_headers": RUNNING_HEADERS, "repeated_lines": REPEATED_LINES, "label_values": LABEL_VALUES, "section_lookup": SECTION_LOOKUP, "section_nesting": SECTION_NESTING, "inherited_types": INHERITED_TYPES,
     "evidence_window": EVIDENCE_WINDOW, "dropped_sections": DROPPED_SECTIONS, "slot_blocks": SLOT_BLOCKS, "top_titles": TOP_TITLES, "graph_summary": GRAPH_SUMMARY, "title_types": TITLE_TYPES, "page_families": PAGE_FAMILIES, "page_clusters": PAGE_CLUSTERS, "best_pages": BEST_PAGES, "scopes": SCOPES, "numbered_items": NUMBERED_ITEMS,
     "grid_agreement": GRID_AGREEMENT, "grid_disagreements": GRID_DISAGREEMENTS, "schedule_votes": SCHEDULE_VOTES, "filled_headers": FILLED_HEADERS, "full_columns": FULL_COLUMNS, "paired_tables": PAIRED_TABLES, "uncovered_pairs": UNCOVERED_PAIRS, "demoted_fields": DEMOTED_FIELDS, "box_unions": BOX_UNIONS,
-    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "ruled_schedules": RULED_SCHEDULES, "stitched_tables": STITCHED_TABLES, "stitched_cells": STITCHED_CELLS,
+    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "ruled_schedules": RULED_SCHEDULES, "ruled_cells": RULED_CELLS, "stitched_tables": STITCHED_TABLES, "stitched_cells": STITCHED_CELLS,
 }
