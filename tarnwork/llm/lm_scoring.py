@@ -1,12 +1,10 @@
 """Pseudo-likelihood of documents under a bidirectional window network, trained on the corpus.
 
-The most frequent words of the corpus are symbols; all rarer ones share a symbol, and which of them it is follows from a model of their
-spelling. The network sees the two words on either side of a masked word and predicts it: first its class of frequency, then the symbol in the
-class, then the bytes of a rarer word. So every word has a probability of its own, and a document's score is the sum of the log-probabilities
-of all its words, each given its neighbours.
-
-Texts are also cut into chunks where two neighbouring words say so, about 16 words each, and a written table counts every chunk of the corpus.
-A chunk that the corpus has m times elsewhere is predicted by a mixture of the network, which weighs as one occurrence, and these m.
+The most frequent words of the corpus are symbols, more of them for a larger corpus; all rarer ones share a symbol, and which of them it is follows
+from a model of their spelling. The network sees the two words on either side of a masked word and predicts it: first its class of frequency, then
+the symbol in the class, then the bytes of a rarer word. So every word has a probability of its own, those of all words that could stand in a
+place add up to one, and a document's score is the sum of the log-probabilities of all its words, each given its neighbours. How often a text
+comes in the corpus has no say in it but by training: copies of junk stay junk.
 """
 
 from __future__ import annotations
@@ -20,16 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, few, find_words, hash_words, mix, ragged, written
+from .common import blocks, deleted, find_words, hash_words, mix, ragged, written
 
-#: symbols of the network, in so many classes of equal size; the last symbol stands for all rarer words
-CLASSES, CLASS_SIZE = 32, 64
-SYMBOLS = CLASSES * CLASS_SIZE
-RARE = SYMBOLS - 1
-#: as neighbours, rarer words are one of so many buckets by hash
+#: symbols of the network are in classes of this size; there are as many classes as the fourth root of the words of the corpus, this many at least.
+#: The last symbol, RARE, stands for all rarer words
+CLASS_SIZE, LEAST_CLASSES = 64, 32
+#: as neighbours, rarer words are one of so many buckets by hash, numbered from RARE on; the next number is a place beyond either end of a text
 BUCKETS = 1024
-#: a place beyond either end of a text
-EDGE = RARE + BUCKETS
 #: words on either side, numbers of an embedding and of the hidden layer
 SIDE, EMBED, HIDDEN = 2, 12, 32
 #: rounds of training; a word is masked in one of them
@@ -40,10 +35,6 @@ RATE, FIRST_STEPS, FIRST_BATCH, BATCH = 0.1, 256, 1024, 8192
 TASK_WORDS = 4_000_000
 #: places before a byte that its probability follows from are hashed to so many cells
 CELLS = 1024
-#: one place between words in so many ends a chunk; chunks of fewer words are left to the network
-CHUNK, LEAST_CHUNK = 16, 4
-#: occurrences that the network weighs as, beside those of a chunk elsewhere in the corpus
-NETWORK = 1.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -51,29 +42,33 @@ _LOWER[65:91] += 32
 Params = dict[str, np.ndarray]
 
 
-def shapes() -> dict[str, tuple[int, ...]]:
+def classes_for(words: int) -> int:
+    return max(LEAST_CLASSES, round(words**0.25))
+
+
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
     """Parameters of the network."""
-    return {"embed": (EDGE + 1, EMBED), "mix": (2 * SIDE * EMBED, HIDDEN), "bias": (HIDDEN,), "class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "word": (CLASSES, HIDDEN, CLASS_SIZE), "word_bias": (CLASSES, CLASS_SIZE)}
+    return {"embed": (classes * CLASS_SIZE + BUCKETS, EMBED), "mix": (2 * SIDE * EMBED, HIDDEN), "bias": (HIDDEN,), "class": (HIDDEN, classes), "class_bias": (classes,), "word": (classes, HIDDEN, CLASS_SIZE), "word_bias": (classes, CLASS_SIZE)}
 
 
-def initial(counts: np.ndarray | None = None) -> Params:
+def initial(classes: int, counts: np.ndarray | None = None) -> Params:
     """The network before training. counts: occurrences of each symbol, which it predicts in proportion, whatever the neighbours."""
     rng = np.random.default_rng(7)
-    out = {k: (rng.normal(0, 0.1, s) if len(s) > 1 and "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in shapes().items()}
+    out = {k: (rng.normal(0, 0.1, s) if len(s) > 1 and "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in shapes(classes).items()}
     if counts is not None:
-        share = (counts + 0.5).reshape(CLASSES, CLASS_SIZE)
+        share = (counts + 0.5).reshape(classes, CLASS_SIZE)
         out["class_bias"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
         out["word_bias"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
     return out
 
 
 def flat(params: Params) -> np.ndarray:
-    return np.concatenate([params[k].ravel() for k in shapes()])
+    return np.concatenate([params[k].ravel() for k in shapes(len(params["class_bias"]))])
 
 
-def unflat(values: np.ndarray) -> Params:
+def unflat(values: np.ndarray, classes: int) -> Params:
     out, at = {}, 0
-    for k, s in shapes().items():
+    for k, s in shapes(classes).items():
         n = int(np.prod(s))
         out[k], at = values[at : at + n].reshape(s).astype(np.float32), at + n
     return out
@@ -97,12 +92,17 @@ def _minus_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers as 16 bits if they fit, which are sorted by radix."""
+    return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x
+
+
 def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Class, places and symbols inside the class, of all targets."""
-    group = (target // CLASS_SIZE).astype(np.uint8)
-    order = np.argsort(group, kind="stable")  # by radix
-    bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    group = _small(target // CLASS_SIZE)
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(int(group.max()) + 2)) if len(group) else [0]
+    for c in range(len(bounds) - 1):
         own = order[bounds[c] : bounds[c + 1]]
         if len(own):
             yield c, own, target[own] - c * CLASS_SIZE
@@ -143,7 +143,7 @@ def gradients(params: Params, context: np.ndarray, target: np.ndarray) -> Params
     out["mix"], out["bias"] = seen.T @ d_hidden, d_hidden.sum(axis=0)
     d_seen = (d_hidden @ params["mix"].T).reshape(-1, EMBED)
     out["embed"] = np.zeros_like(params["embed"])
-    flat_context = context.ravel().astype(np.uint16)  # EDGE is less than 2^16, and 16 bits are sorted by radix
+    flat_context = _small(context.ravel())
     order = np.argsort(flat_context, kind="stable")
     ordered = flat_context[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -152,9 +152,11 @@ def gradients(params: Params, context: np.ndarray, target: np.ndarray) -> Params
 
 
 class Symbols:
-    """The corpus vocabulary: hashes of its most frequent words, most frequent first."""
+    """The corpus vocabulary: hashes of its most frequent words, most frequent first, for a network of so many classes."""
 
-    def __init__(self, hashes: list[int]) -> None:
+    def __init__(self, hashes: list[int], classes: int) -> None:
+        self.classes, self.rare = classes, classes * CLASS_SIZE - 1
+        self.edge = self.rare + BUCKETS
         keys = np.array(hashes, np.int64).view(np.uint64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
@@ -164,7 +166,7 @@ class Symbols:
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
         """Words as neighbours: their symbol, or RARE + bucket. As targets, all of the latter are RARE."""
-        out = (RARE + (mix(words) % np.uint64(BUCKETS))).astype(np.int64)
+        out = (self.rare + (mix(words) % np.uint64(BUCKETS))).astype(np.int64)
         at = self.begin[(words >> np.uint64(48)).astype(np.int32)]
         for k in range(self.run):
             own = np.minimum(at + k, len(self.keys) - 1)
@@ -178,8 +180,6 @@ class Model(NamedTuple):
     params: Params
     #: [cell][byte] occurrences in rarer words; 0x20 ends a word
     spelling: np.ndarray
-    #: where the counts of all words (kind 0) and chunks (kind 1) of the corpus are written: kind, key, n
-    counts: str
 
 
 class Words(NamedTuple):
@@ -199,26 +199,12 @@ def block_words(buf: np.ndarray, off: np.ndarray) -> Words:
     return Words(low, starts, ends, first, hash_words(low, starts, ends))
 
 
-def chunks(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each chunk of a block; a chunk's borders depend on the words beside them alone, so copies have equal chunks."""
-    h, n = words.hashes, len(words.hashes)
-    if not n:
-        return np.zeros(0, np.int64), h
-    new = np.zeros(n, bool)
-    with np.errstate(over="ignore"):
-        new[1:] = mix(h[1:] * np.uint64(3) + h[:-1]) % np.uint64(CHUNK) == 0
-        new[words.first[words.first < n]] = True
-        at = np.flatnonzero(new)
-        place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-        return at, mix(np.add.reduceat(mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at))
-
-
-def _contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _contexts(ids: np.ndarray, first: np.ndarray, edge: int) -> np.ndarray:
     """[word][2 * SIDE] neighbours, left to right, of all words of a block of texts."""
     pad = SIDE + len(first) * SIDE
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     place = np.arange(len(ids)) + SIDE * (row + 1)
-    wide = np.full(len(ids) + pad, EDGE, np.int32)
+    wide = np.full(len(ids) + pad, edge, np.int32)
     wide[place] = ids
     return np.stack([wide[place + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
@@ -237,32 +223,25 @@ def _letters(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((one * 31 + two * 257) * 0x9E3779B1 >> 7) % CELLS * 256 + data[2:], first
 
 
-def rare_words(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def rare_words(words: Words, ids: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the rarer words of a block: their places, the first of each distinct one, which distinct one each is, and how often each comes."""
-    at = np.flatnonzero(ids >= RARE)
+    at = np.flatnonzero(ids >= rare)
     _, where, back, n = np.unique(words.hashes[at], return_index=True, return_inverse=True, return_counts=True)
     return at, at[where], back, n
 
 
-def counted(docs: DataFrame) -> str:
-    """Writes the counts of all words and chunks of all documents; returns where."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(key, n): the counts of all words of all documents, by the hash of a word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, off in blocks(batches):
-            words = block_words(buf, off)
-            for kind, keys in enumerate((words.hashes, chunks(words)[1])):
-                key, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "kind byte, key long, n long")
-    return written(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")[1]
-
+            key, n = np.unique(block_words(buf, off).hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
-def _counts(docs: DataFrame, path: str, kind: int) -> DataFrame:
-    return docs.sparkSession.read.schema("kind byte, key long, n long").parquet(path).filter(F.col("kind") == kind).select("key", "n")
+    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _merged(rows: DataFrame, tasks: int) -> tuple[Params | None, np.ndarray]:
+def _merged(rows: DataFrame, tasks: int, classes: int) -> tuple[Params | None, np.ndarray]:
     """The weighted mean of the networks and the sum of the spellings of rows (words, params, spelling), 16 at a time."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +259,7 @@ def _merged(rows: DataFrame, tasks: int) -> tuple[Params | None, np.ndarray]:
         if tasks == 1:
             break
     got = rows.collect()
-    return (unflat(np.frombuffer(got[0]["params"], np.float32)), np.frombuffer(zlib.decompress(got[0]["spelling"]), np.int64)) if got else (None, np.zeros(CELLS * 256, np.int64))
+    return (unflat(np.frombuffer(got[0]["params"], np.float32), classes), np.frombuffer(zlib.decompress(got[0]["spelling"]), np.int64)) if got else (None, np.zeros(CELLS * 256, np.int64))
 
 
 def _network_row(words: int, params: np.ndarray, spelling: np.ndarray) -> pa.RecordBatch:
@@ -298,12 +277,12 @@ def _round(docs: DataFrame, tasks: int, symbols: Symbols, params: Params, number
             words = block_words(buf, off)
             ids = symbols(words.hashes)
             if number == 0 and len(ids):
-                _, which, _, n = rare_words(words, ids)
+                _, which, _, n = rare_words(words, ids, symbols.rare)
                 cells, first = _letters(words, which)
                 spelling += np.bincount(cells, np.repeat(n, np.diff(np.append(first, len(cells)))), CELLS * 256).astype(np.int64)
             place = np.arange(len(ids)) - np.repeat(words.first[:-1], np.diff(words.first))
             masked = np.flatnonzero(mix(words.hashes + mix(place.astype(np.uint64))) % np.uint64(ROUNDS) == number)
-            context, target, at = _contexts(ids, words.first)[masked], np.minimum(ids[masked], RARE), 0
+            context, target, at = _contexts(ids, words.first, symbols.edge)[masked], np.minimum(ids[masked], symbols.rare), 0
             while at < len(masked):
                 n = min(FIRST_BATCH if steps < FIRST_STEPS else BATCH, len(masked) - at)
                 for k, g in gradients(own, context[at : at + n], target[at : at + n]).items():
@@ -315,82 +294,65 @@ def _round(docs: DataFrame, tasks: int, symbols: Symbols, params: Params, number
         if n_words:
             yield _network_row(n_words, flat(own), spelling)
 
-    new, spelling = _merged(docs.select("text").coalesce(tasks).mapInArrow(train, "words long, params binary, spelling binary"), tasks)
+    new, spelling = _merged(docs.select("text").coalesce(tasks).mapInArrow(train, "words long, params binary, spelling binary"), tasks, symbols.classes)
     return new or params, spelling
 
 
 def trained(docs: DataFrame) -> Model:
-    """The model of a corpus. The counts of words and chunks grow with it; the network and the spelling are of fixed size, and every word of every text trains them.
+    """The model of a corpus. Its symbols grow with the corpus, by the fourth root of its words for each class of 64; every word of every text trains the
+    network and, if it is a rarer one, the spelling.
 
     A round has a task for each TASK_WORDS words, so that how rows are dealt has little weight in small corpora; copies start from the same network,
     which predicts words in proportion to their counts.
     """
-    path = counted(docs)
-    words = _counts(docs, path, 0)
-    top = words.orderBy(F.desc("n"), "key").limit(RARE).collect()
+    words, path = written(counted(docs), "counts")
     total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    symbols, known = Symbols([x["key"] for x in top]), np.zeros(SYMBOLS)
+    classes = classes_for(total)
+    top = words.orderBy(F.desc("n"), "key").limit(classes * CLASS_SIZE - 1).collect()
+    deleted(docs.sparkSession, path)
+    symbols, known = Symbols([x["key"] for x in top], classes), np.zeros(classes * CLASS_SIZE)
     known[: len(top)] = [x["n"] for x in top]
-    known[RARE] = total - known.sum()
-    params, spelling = initial(known), np.zeros(CELLS * 256, np.int64)
+    known[symbols.rare] = total - known.sum()
+    params, spelling = initial(classes, known), np.zeros(CELLS * 256, np.int64)
     tasks = max(1, -(-total // TASK_WORDS))
     for number in range(ROUNDS):
         params, letters = _round(docs, tasks, symbols, params, number)
         spelling = spelling + letters
-    return Model(symbols, params, spelling, path)
+    return Model(symbols, params, spelling)
 
 
 def word_log_probs(model: Model, words: Words) -> np.ndarray:
     """log P(word | neighbours) of all words of a block."""
     ids = model.symbols(words.hashes)
-    out = log_probs(model.params, _contexts(ids, words.first), np.minimum(ids, RARE)).astype(np.float64)
+    out = log_probs(model.params, _contexts(ids, words.first, model.symbols.edge), np.minimum(ids, model.symbols.rare)).astype(np.float64)
     if len(ids):
         cell = model.spelling.reshape(CELLS, 256) + 0.05
         letter = np.log(cell / cell.sum(axis=1, keepdims=True)).ravel()
-        at, which, back, _ = rare_words(words, ids)
+        at, which, back, _ = rare_words(words, ids, model.symbols.rare)
         if len(at):
             cells, first = _letters(words, which)
             out[at] += np.add.reduceat(letter[cells], first)[back]
     return out
 
 
-def scored(docs: DataFrame, model: Model, own: bool = False) -> DataFrame:
-    """doc_id, n_words, log_likelihood (sum over all words), mean_log_likelihood (null without words), n_seen (words of chunks that the corpus has elsewhere).
-
-    own: docs are the corpus, so that one occurrence of each chunk is the document's own. Tasks give a row for each chunk and for what is in none;
-    these meet the counts in a join and come together by document.
-    """
-    names = ["_row", "doc_id", "n_words", "value", "key"]
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, log_likelihood (sum over all words), mean_log_likelihood (null without words). Tasks hold the model, which is of bounded size, and shuffle nothing."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in blocks(batches):
             words = block_words(buf, off)
             total = np.concatenate([[0.0], np.cumsum(word_log_probs(model, words))])
-            at, key = chunks(words)
-            size = np.diff(np.append(at, len(words.hashes)))
-            long = size >= LEAST_CHUNK
-            at, key, size = at[long], key[long], size[long]
-            row, value = np.searchsorted(words.first, at, "right") - 1, total[at + size] - total[at]
-            n, number = np.diff(words.first), rows.column("_row").to_numpy()
-            rest = total[words.first[1:]] - total[words.first[:-1]] - np.bincount(row, value, len(n))
-            left = n - np.bincount(row, size, len(n)).astype(np.int64)
-            # a document's own row has a key that no chunk has, or if one has it, no words to weigh
-            yield pa.RecordBatch.from_arrays([rows.column("_row"), rows.column("doc_id"), pa.array(left), pa.array(rest), pa.array(mix(number.astype(np.uint64)).view(np.int64))], names)
-            yield pa.RecordBatch.from_arrays([pa.array(number[row]), pa.nulls(len(row), pa.int64()), pa.array(-size), pa.array(value), pa.array(key.view(np.int64))], names)
-
-    parts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "_row long, doc_id long, n_words long, value double, key long")
-    elsewhere = _counts(docs, model.counts, 1).select("key", (F.col("n") - int(own)).alias("m")).filter("m > 0")
-    seen = (F.col("n_words") < 0) & F.col("m").isNotNull()  # rows of chunks have their words as a negative number
-    value = F.when(seen, F.log(F.col("m") + NETWORK * F.exp("value")) - F.log(F.col("m") + NETWORK)).otherwise(F.col("value"))
-    out = parts.join(few(elsewhere), "key", "left").groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.abs("n_words")).alias("n_words"), F.sum(value).alias("log_likelihood"), F.sum(F.when(seen, -F.col("n_words")).otherwise(0)).alias("n_seen")).drop("_row")
-    return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"), "n_seen")
+            n, value = np.diff(words.first), np.diff(total[words.first])
+            mean = pa.array(value / np.maximum(n, 1), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(value), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Trains on docs and scores them: one row per row of docs.
 
-    Null, empty and blank text has no words and scores 0. Null doc_ids and repeated rows are scored like others; a repeated row sees its copies
-    as elsewhere. An empty table trains nothing and gives no rows. Other columns are ignored. The network follows the order of rows and, beyond
-    TASK_WORDS words, the partitions of docs.
+    Null, empty and blank text has no words and scores 0. Null doc_ids and repeated rows are scored like others. An empty table trains nothing and
+    gives no rows. Other columns are ignored. The network follows the order of rows and, beyond TASK_WORDS words, the partitions of docs.
     """
-    return scored(docs, trained(docs), own=True)
+    return scored(docs, trained(docs))

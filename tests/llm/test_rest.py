@@ -169,9 +169,9 @@ def test_personal_spans_of_odd_rows(spark):
 
 
 def test_network_gradients():
-    params, rng = lm.initial(), np.random.default_rng(1)
+    params, rng = lm.initial(3), np.random.default_rng(1)
     params = {k: v.astype(np.float64) for k, v in params.items()}
-    context, target = rng.integers(0, lm.EDGE + 1, (40, 4)), rng.integers(0, lm.SYMBOLS, 40)
+    context, target = rng.integers(0, 3 * lm.CLASS_SIZE + lm.BUCKETS, (40, 4)), rng.integers(0, 3 * lm.CLASS_SIZE, 40)
 
     def value():
         return float(np.float64(lm.log_probs(params, context, target)).sum())
@@ -186,8 +186,8 @@ def test_network_gradients():
         down = value()
         params[k][at] = old
         assert got[k][at] == pytest.approx((up - down) / 2e-2, abs=2e-3)
-    every = np.arange(lm.SYMBOLS)
-    assert np.exp(np.float64(lm.log_probs(params, np.repeat(context[:1], lm.SYMBOLS, axis=0), every))).sum() == pytest.approx(1, abs=1e-4)
+    every = np.arange(3 * lm.CLASS_SIZE)
+    assert np.exp(np.float64(lm.log_probs(params, np.repeat(context[:1], len(every), axis=0), every))).sum() == pytest.approx(1, abs=1e-4)
 
 
 def prose(n, seed):
@@ -209,45 +209,24 @@ def word_key(word):
     return int(lm.block_words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())])).hashes[0])
 
 
-def plain_scores(docs, model, corpus):
-    """Every word of every document by itself: its neighbours, the network's layers, its letters; then chunks word by word."""
-    p, low = model.params, lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", low(t))
+def plain_scores(docs, model):
+    """Every word of every document by itself: its neighbours, the network's layers, its letters."""
+    p, rare, low = model.params, model.symbols.rare, lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
     spelling = model.spelling.reshape(lm.CELLS, 256) + 0.05
-
-    def chunked(words):
-        out, keys = [], [word_key(w) for w in words]
-        for i, k in enumerate(keys):
-            if i == 0 or int(lm.mix(np.array([(3 * k + keys[i - 1]) % 2**64], np.uint64))[0]) % lm.CHUNK == 0:
-                out.append([])
-            out[-1].append(i)
-        return out
-
-    seen = {}
-    for _, t in corpus:
-        words = split(t)
-        for c in chunked(words):
-            key = tuple(words[i] for i in c)
-            seen[key] = seen.get(key, 0) + 1
     for i, t in docs:
-        words, logs = split(t), []
+        words, total = re.findall(r"[^\x20\x09-\x0D]+", low(t)), 0.0
         ids = [int(model.symbols(np.array([word_key(w)], np.uint64))[0]) for w in words]
         for k, w in enumerate(words):
-            near = [ids[k + d] if 0 <= k + d < len(ids) else lm.EDGE for d in (-2, -1, 1, 2)]
+            near = [ids[k + d] if 0 <= k + d < len(ids) else model.symbols.edge for d in (-2, -1, 1, 2)]
             hidden = np.tanh(np.concatenate([p["embed"][x] for x in near]) @ p["mix"] + p["bias"])
-            group, inner = divmod(min(ids[k], lm.RARE), lm.CLASS_SIZE)
-            value = soft(hidden @ p["class"] + p["class_bias"])[group] + soft(hidden @ p["word"][group] + p["word_bias"][group])[inner]
-            if ids[k] >= lm.RARE:
+            group, inner = divmod(min(ids[k], rare), lm.CLASS_SIZE)
+            total += float(soft(hidden @ p["class"] + p["class_bias"])[group] + soft(hidden @ p["word"][group] + p["word_bias"][group])[inner])
+            if ids[k] >= rare:
                 data = [32, 32, *w.encode(), 32]
                 for a, b, c in zip(data, data[1:], data[2:]):
                     cell = spelling[((b * 31 + a * 257) * 0x9E3779B1 >> 7) % lm.CELLS]
-                    value += math.log(cell[c] / cell.sum())
-            logs.append(float(value))
-        total = 0.0
-        for c in chunked(words):
-            own, m = sum(logs[k] for k in c), seen[tuple(words[k] for k in c)] - 1
-            total += math.log((math.exp(own) * lm.NETWORK + m) / (lm.NETWORK + m)) if m and len(c) >= lm.LEAST_CHUNK else own
+                    total += math.log(cell[c] / cell.sum())
         yield i, len(words), total
 
 
@@ -256,11 +235,11 @@ def test_scores_equal_a_plain_loop(spark):
     rows = lm_table(spark, docs)
     model = lm.trained(rows)
     # so few symbols that many words are rarer ones
-    known = lm.Symbols(model.symbols.keys[np.argsort(model.symbols.order)][:12].view(np.int64).tolist())
+    known = lm.Symbols(model.symbols.keys[np.argsort(model.symbols.order)][:12].view(np.int64).tolist(), model.symbols.classes)
     model = model._replace(symbols=known, spelling=lm._round(rows, 1, known, model.params, 0)[1])
     assert model.spelling.sum() > 1000
-    got = sorted(((r.doc_id, r.n_words, r.log_likelihood) for r in lm.scored(rows, model, own=True).collect()), key=str)
-    want = sorted(plain_scores(docs, model, docs), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.log_likelihood) for r in lm.scored(rows, model).collect()), key=str)
+    want = sorted(plain_scores(docs, model), key=str)
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-4, abs=1e-3)
     raw = [(t or "").encode() for _, t in docs]
@@ -289,12 +268,22 @@ def test_scores_hardly_follow_partitions(spark):
     assert max(abs(one[i] - many[i]) for i in one) < 0.1
 
 
-def test_documents_that_occur_twice_score_apart(spark):
-    docs = [(i, prose(40, i)) for i in range(80)] + [(100 + i, prose(40, i)) for i in range(8)]
-    got = {r.doc_id: r for r in lm.score_documents(lm_table(spark, docs).repartition(3)).collect()}
-    twice = {*range(8), *range(100, 108)}
-    assert min(got[i].mean_log_likelihood for i in twice) > max(r.mean_log_likelihood for i, r in got.items() if i not in twice)
-    assert all(got[i].n_seen > 0.5 * got[i].n_words for i in twice)
+def test_copies_of_junk_stay_below_text(spark):
+    rng = random.Random(3)
+    junk = lambda: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(4, 9))) for _ in range(200))
+    copied = junk()
+    docs = [(i, prose(40, i)) for i in range(120)] + [(200 + i, copied) for i in range(5)] + [(300 + i, junk()) for i in range(5)]
+    got = {r.doc_id: r.mean_log_likelihood for r in lm.score_documents(lm_table(spark, docs).repartition(3)).collect()}
+    assert max(v for i, v in got.items() if i >= 200) < min(v for i, v in got.items() if i < 200)
+
+
+def test_symbols_grow_with_the_corpus():
+    assert [lm.classes_for(n) for n in (0, 10**6, 10**8, 10**13)] == [32, 32, 100, 1778]
+    for classes in (32, 1500):
+        context, target = np.full((3, 4), classes * lm.CLASS_SIZE + lm.BUCKETS - 1), np.array([0, 70, classes * lm.CLASS_SIZE - 1])
+        params = lm.initial(classes)
+        assert np.isfinite(lm.log_probs(params, context, target)).all() and lm.gradients(params, context, target)["embed"][context[0, 0]].any()
+        assert all((v == params[k]).all() for k, v in lm.unflat(lm.flat(params), classes).items())
 
 
 def test_pipeline(spark, tmp_path):
