@@ -11,12 +11,14 @@ from .common import checkpointed, few, written
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: metric -> least distance of its fence from the median; a metric ending in _low has a fence below
-MARGINS = {"symbols": 20, "dup_lines": 300, "word_length": 400, "word_length_low": 300}
+#: ranks of the quantiles of symbols in which a break is looked for
+GRID = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.97, 0.98, 0.99]
+#: between two neighbouring quantiles is a break if, counted from 1, one is so many times the other
+BREAK = 8
+#: fences of the length of words stand at so many of the lesser of the distances from the median to the quartiles
+REACH = 10
 #: documents that the quantiles of a language weigh as in those of its sources, and those of the corpus in those of its languages
 PRIOR = 100
-#: fences stand at so many distances between median and lower quartile
-REACH = 6
 #: relative rank error of the sketches is one in so many
 ACCURACY = 10_000
 #: groups whose fences are sent to every task; with more of them they are joined by a shuffle
@@ -56,35 +58,46 @@ def _covered(windows: Column) -> Column:
 
 
 def _metrics(based: DataFrame) -> DataFrame:
-    """Whole numbers, so that they compare alike everywhere: thousandths, and hundredths of a character."""
+    """Whole numbers, so that they compare alike everywhere: symbols for a thousand characters of words, and hundredths of a character for a word."""
     return based.withColumns({
         "symbols": F.expr("(1000 * n_symbols) div greatest(word_chars, 1)"),
-        "dup_lines": F.expr("(1000 * n_dup_lines) div greatest(n_lines, 1)"),
         "word_length": F.expr("(100 * word_chars) div greatest(n_words, 1)"),
+        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     })
 
 
+def break_in(quantiles: Column) -> Column:
+    """Where ordered values part most: the geometric middle of the two neighbours, counted from 1, of which one is the largest multiple of the other; null if that is under BREAK."""
+    steps = F.transform(F.sequence(F.lit(0), F.size(quantiles) - 2), lambda i: F.struct(((quantiles[i + 1] + 1) / (quantiles[i] + 1)).alias("ratio"), (-i).alias("first"), F.sqrt((quantiles[i] + 1.0) * (quantiles[i + 1] + 1.0)).alias("middle")))
+    most = F.array_max(steps)
+    return F.when(most["ratio"] >= BREAK, most["middle"] - 1)
+
+
 def fences(measured: DataFrame) -> DataFrame:
-    """lang, source, and for each metric the value beyond which a document is rejected.
+    """_lang, _source, _most_symbols, _least_word_length, _most_word_length: the values beyond which a document of the group is rejected.
+
+    One mergeable quantile sketch per metric and group, of the documents that pass the base rules; sketches of a group are built in every task and
+    merged after the shuffle, so that a source with a third of all rows sends one sketch per task. All fences are quantiles or made of them:
+
+    * symbols: most texts have about as many as others of their source, junk has many times that. The fence lies in the largest break between
+      neighbouring quantiles of GRID. A group without a break takes that of its language, or else of the corpus; without any, symbols reject nothing.
+    * length of words: REACH times the lesser distance between median and quartiles on both sides of the median, and as far more as that was drawn.
 
-    One mergeable quantile sketch per metric and group; sketches of a group are built in every task and merged after the shuffle, so that a
-    source with a third of all rows sends one sketch per task. The quantiles of n documents of a source are drawn to those of its language, as
-    if these came from PRIOR documents more, and those of a language to those of the corpus: one rule for groups of any size. Only the lower
-    half of a distribution sets its fences, so junk may make up to half of a group. Documents without words take no part. Null languages and
-    sources are groups of their own. The driver gets the quantiles of the whole corpus, one row.
+    The quantiles of length and the break of n documents of a source are drawn to those of its language, as if these came from PRIOR documents more, and
+    those of a language to those of the corpus: one rule for groups of any size. Null languages and sources are groups of their own. The
+    driver gets the quantiles of the whole corpus, one row.
     """
-    metrics = ["symbols", "dup_lines", "word_length"]
-    quantiles = [F.percentile_approx(m, [0.25, 0.5], ACCURACY).alias(m) for m in metrics]
-    cube = checkpointed(measured.filter("n_words > 0").rollup("lang", "source").agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), *quantiles))
+    lengths = F.percentile_approx("word_length", [0.25, 0.5, 0.75], ACCURACY)
+    cube = measured.filter(~F.col("base_failed")).rollup("lang", "source").agg(F.grouping_id().alias("_level"), F.count("*").alias("_n"), lengths.alias("_w"), break_in(F.percentile_approx("symbols", GRID, ACCURACY)).alias("_b"))
+    cube = checkpointed(cube.select("lang", "source", "_level", "_n", *(F.col("_w")[k].cast("double").alias(f"_w{k}") for k in range(3)), "_b"))
     by_source, by_lang = (cube.filter(F.col("_level") == k).drop("_level") for k in (0, 1))
-    whole = cube.filter(F.col("_level") == 3).select(*metrics).first() or {m: [0, 0] for m in metrics}
-    drawn = lambda n, own, parent: (F.col(n) * own + F.lit(float(PRIOR)) * parent) / (F.col(n) + F.lit(float(PRIOR)))
-    by_lang = by_lang.select(F.col("lang").alias("lang_l"), *(drawn("_n", F.col(m)[k], F.lit(float(whole[m][k]))).alias(f"{m}_{k}") for m in metrics for k in (0, 1)))
-    out = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_l")))
-    low, mid = ({m: drawn("_n", F.col(m)[k], F.col(f"{m}_{k}")) for m in metrics} for k in (0, 1))
-    most = [(mid[m] + F.greatest(REACH * (mid[m] - low[m]), F.lit(float(MARGINS[m])))).alias(f"_most_{m}") for m in metrics]
-    least = mid["word_length"] - F.greatest(REACH * (mid["word_length"] - low["word_length"]), F.lit(float(MARGINS["word_length_low"])))
-    return out.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *most, least.alias("_least_word_length"))
+    whole = cube.filter(F.col("_level") == 3).select("_w0", "_w1", "_w2", "_b").first()
+    names, prior = ["_w0", "_w1", "_w2", "_b"], F.lit(float(PRIOR))
+    drawn = lambda own, parent: F.coalesce((F.col("_n") * own + prior * parent) / (F.col("_n") + prior), own, parent)  # noqa: E731  a missing one has no say
+    by_lang = by_lang.select(F.col("lang").alias("_lang"), *(drawn(F.col(m), F.lit(whole[m] if whole else None).cast("double")).alias(f"{m}_lang") for m in names))
+    out = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "source", F.col("_w1").alias("_own"), *(drawn(F.col(m), F.col(f"{m}_lang")).alias(m) for m in names))
+    reach = REACH * F.least(F.col("_w1") - F.col("_w0"), F.col("_w2") - F.col("_w1")) + F.abs(F.col("_own") - F.col("_w1"))
+    return out.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("_b").alias("_most_symbols"), (F.col("_w1") - reach).alias("_least_word_length"), (F.col("_w1") + reach).alias("_most_word_length"))
 
 
 def _judged(docs: DataFrame, carried: list[Column]) -> DataFrame:
@@ -92,9 +105,8 @@ def _judged(docs: DataFrame, carried: list[Column]) -> DataFrame:
     measured, _ = written(_metrics(base_columns(docs.select("text", "lang", "source", *carried))).drop("text"), "measured")
     limits = few(checkpointed(fences(measured)), MOST_SENT)
     out = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = (F.col("symbols") <= F.col("_most_symbols")) & (F.col("dup_lines") <= F.col("_most_dup_lines")) & (F.col("word_length") <= F.col("_most_word_length")) & (F.col("word_length") >= F.col("_least_word_length"))
-    return out.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(inside, F.lit(False))})
+    inside = F.coalesce(F.col("symbols") <= F.col("_most_symbols"), F.lit(True)) & F.col("word_length").between(F.col("_least_word_length"), F.col("_most_word_length"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from .lm_scoring import score_documents
 from .ngram_jaccard import jaccard_components
 from .packing import pack_documents
 from .pii import personal_spans
-from .quality_rules import MARGINS, PRIOR, REACH, judged
+from .quality_rules import BREAK, GRID, PRIOR, REACH, judged
 from .sentencepiece_codec import round_trip
 from .source_divergence import divergence
 from .spelling_variants import spelling_groups
@@ -97,31 +97,23 @@ cov AS (SELECT r, count(DISTINCT i + k) AS n FROM dup, (VALUES (0), (1), (2)) AS
 b AS (SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON w.r = cov.r),
-m AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS v1, 1000 * n_dup_lines // greatest(n_lines, 1) AS v2, 100 * word_chars // greatest(n_words, 1) AS v3 FROM b),
-v AS (SELECT lang, source, unnest([1, 2, 3]) AS k, unnest([v1, v2, v3]) AS x FROM m WHERE n_words > 0),
-q AS (
-  SELECT 0 AS level, lang, source, k, max(n) AS n, min(x) FILTER (i >= ceil(0.25 * n)) AS lo, min(x) FILTER (i >= ceil(0.5 * n)) AS mid
-  FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, k ORDER BY x) AS i, count(*) OVER (PARTITION BY lang, source, k) AS n FROM v) GROUP BY lang, source, k
-  UNION ALL
-  SELECT 1, lang, NULL, k, max(n), min(x) FILTER (i >= ceil(0.25 * n)), min(x) FILTER (i >= ceil(0.5 * n))
-  FROM (SELECT *, row_number() OVER (PARTITION BY lang, k ORDER BY x) AS i, count(*) OVER (PARTITION BY lang, k) AS n FROM v) GROUP BY lang, k
-  UNION ALL
-  SELECT 2, NULL, NULL, k, max(n), min(x) FILTER (i >= ceil(0.25 * n)), min(x) FILTER (i >= ceil(0.5 * n))
-  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x) AS i, count(*) OVER (PARTITION BY k) AS n FROM v) GROUP BY k),
+m AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS v1, 100 * word_chars // greatest(n_words, 1) AS v2, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+u AS (SELECT 0 AS level, lang, source, v1, v2 FROM m WHERE NOT base_failed UNION ALL SELECT 1, lang, NULL, v1, v2 FROM m WHERE NOT base_failed UNION ALL SELECT 2, NULL, NULL, v1, v2 FROM m WHERE NOT base_failed),
+o AS (SELECT level, lang, source, list(v1 ORDER BY v1) AS s, list(v2 ORDER BY v2) AS w, count(*) AS n FROM u GROUP BY level, lang, source),
+q AS (SELECT *, list_transform({GRID}, lambda p: s[ceil(p * n)::BIGINT]) AS g FROM o),
+x AS (SELECT *, list_transform(range(1, len(g)), lambda i: (g[i + 1] + 1)::DOUBLE / (g[i] + 1)) AS r FROM q),
+k AS (
+  SELECT level, lang, source, n, w[ceil(0.25 * n)::BIGINT]::DOUBLE AS w0, w[ceil(0.5 * n)::BIGINT]::DOUBLE AS w1, w[ceil(0.75 * n)::BIGINT]::DOUBLE AS w2,
+    CASE WHEN list_max(r) >= {BREAK} THEN sqrt((g[list_position(r, list_max(r))] + 1.0::DOUBLE) * (g[list_position(r, list_max(r)) + 1] + 1.0::DOUBLE)) - 1 END AS b FROM x),
 l AS (
-  SELECT l.lang, l.k, (l.n * l.lo + {PRIOR}::DOUBLE * a.lo) / (l.n + {PRIOR}::DOUBLE) AS lo, (l.n * l.mid + {PRIOR}::DOUBLE * a.mid) / (l.n + {PRIOR}::DOUBLE) AS mid
-  FROM q l JOIN q a ON l.level = 1 AND a.level = 2 AND l.k = a.k),
+  SELECT l.lang, l.n, (l.n * l.w0 + {PRIOR}::DOUBLE * a.w0) / (l.n + {PRIOR}::DOUBLE) AS w0, (l.n * l.w1 + {PRIOR}::DOUBLE * a.w1) / (l.n + {PRIOR}::DOUBLE) AS w1,
+    (l.n * l.w2 + {PRIOR}::DOUBLE * a.w2) / (l.n + {PRIOR}::DOUBLE) AS w2, coalesce((l.n * l.b + {PRIOR}::DOUBLE * a.b) / (l.n + {PRIOR}::DOUBLE), l.b, a.b) AS b FROM k l JOIN k a ON l.level = 1 AND a.level = 2),
 e AS (
-  SELECT s.lang, s.source, s.k, (s.n * s.lo + {PRIOR}::DOUBLE * l.lo) / (s.n + {PRIOR}::DOUBLE) AS lo, (s.n * s.mid + {PRIOR}::DOUBLE * l.mid) / (s.n + {PRIOR}::DOUBLE) AS mid
-  FROM q s JOIN l ON s.level = 0 AND s.lang IS NOT DISTINCT FROM l.lang AND s.k = l.k),
-f AS (SELECT lang, source, k, mid, {REACH} * (mid - lo) AS reach FROM e),
-j AS (
-  SELECT r, bool_and(CASE k WHEN 1 THEN v1 <= mid + greatest(reach, {MARGINS["symbols"]}) WHEN 2 THEN v2 <= mid + greatest(reach, {MARGINS["dup_lines"]})
-    ELSE v3 <= mid + greatest(reach, {MARGINS["word_length"]}) AND v3 >= mid - greatest(reach, {MARGINS["word_length_low"]}) END) AS inside
-  FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source GROUP BY r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(inside, false) AS kept
-FROM m LEFT JOIN j ON m.r = j.r
+  SELECT s.lang, s.source, s.w1 AS own, (s.n * s.w0 + {PRIOR}::DOUBLE * l.w0) / (s.n + {PRIOR}::DOUBLE) AS w0, (s.n * s.w1 + {PRIOR}::DOUBLE * l.w1) / (s.n + {PRIOR}::DOUBLE) AS w1,
+    (s.n * s.w2 + {PRIOR}::DOUBLE * l.w2) / (s.n + {PRIOR}::DOUBLE) AS w2, coalesce((s.n * s.b + {PRIOR}::DOUBLE * l.b) / (s.n + {PRIOR}::DOUBLE), s.b, l.b) AS b FROM k s JOIN l ON s.level = 0 AND s.lang IS NOT DISTINCT FROM l.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(coalesce(v1 <= b, true) AND v2 BETWEEN w1 - ({REACH} * least(w1 - w0, w2 - w1) + abs(own - w1)) AND w1 + ({REACH} * least(w1 - w0, w2 - w1) + abs(own - w1)), false) AS kept
+FROM m LEFT JOIN e ON m.lang IS NOT DISTINCT FROM e.lang AND m.source IS NOT DISTINCT FROM e.source
 """
 
 

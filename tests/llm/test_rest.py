@@ -72,6 +72,49 @@ def test_quality_rules_equal_sql(spark):
     assert not low.loc[905, "kept"] and not low.loc[905, "base_failed"] and low.loc[5, "kept"].all() and low.loc[904, "base_failed"]
 
 
+def symbol_docs(usual, junk, source, first):
+    """Texts with `usual` symbols for a thousand characters, and one in twelve with `junk`."""
+    rng, out = random.Random(first), []
+    for i in range(1200):
+        share = junk if i % 12 == 5 else usual
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100)]
+        for k in rng.sample(range(100), min(100, share * 500 // 1000)):
+            words[k] = "|" + words[k][1:]
+        out.append((first + i, " ".join(words), "en", source))
+    return out
+
+
+def test_quantiles_decide(spark):
+    """Tables are usual in one source and junk in another: no constant judges both, and moving a source's texts moves its verdicts."""
+    schema = "doc_id long, text string, lang string, source string"
+    kept = lambda docs: {r.doc_id: r.kept for r in judged(spark.createDataFrame(docs, schema)).collect()}
+    plain, tables = symbol_docs(0, 15, "prose", 0), symbol_docs(20, 190, "tables", 10_000)
+    got = kept(plain + tables)
+    junk = {i for i in got if i % 10_000 % 12 == 5}
+    assert all(v != (i in junk) for i, v in got.items())
+    share = {i: 1000 * t.count("|") // sum(map(len, t.split())) for i, t, *_ in plain + tables}
+    # a constant that rejects all junk of the one rejects the other whole
+    assert max(share[i] for i in junk if i < 10_000) < min(share[i] for i in share if i >= 10_000)
+    text = next(t for i, t, *_ in plain if i == 5)
+    moved = kept(symbol_docs(15, 190, "prose", 0) + tables + [(50_000, text, "en", "prose")])
+    assert moved[50_000] and not got[5] and not any(moved[i] for i in junk)
+
+
+def test_lengths_of_words_by_source(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(n + rng.randrange(2))) for _ in range(60))
+    docs = [(i, text(5), "en", "a") for i in range(1000)] + [(1000 + i, text(12), "en", "b") for i in range(1000)] + [(5000, text(12), "en", "a"), (5001, text(5), "en", "b"), (5002, text(12), "en", "new"), (5003, text(40), "en", "new")]
+    got = {r.doc_id: r.kept for r in judged(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[5000] and not got[5001] and got[5002] and not got[5003] and all(v for i, v in got.items() if i < 5000)
+
+
+def test_a_corpus_without_breaks_keeps_its_symbols(spark):
+    rng = random.Random(1)
+    docs = [(i, " ".join(f"{rng.choice('|<>#') if rng.random() < 0.05 else 'x'}{rng.choice('abcdef') * 4}{k % 9}" for k in range(80)), "en", f"s{i % 3}") for i in range(300)]
+    got = judged(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).filter("not base_failed")
+    assert got.count() > 200 and got.filter("not kept").count() <= 6
+
+
 def test_quality_filter_keeps_columns(spark):
     docs = spark.createDataFrame([(*d, 1, "y") for d in quality_docs()], "doc_id long, text string, lang string, source string, kept int, _row string")
     got = quality_filter(docs)
