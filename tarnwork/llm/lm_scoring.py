@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, deleted, find_words, hash_words, mix, ragged, written
 
-#: symbols of the network are in classes of this size; there are as many classes as the fourth root of the words of the corpus, this many at least.
+#: symbols of the network are in classes of this size; there are as many classes as the fifth root of the words of the corpus, this many at least.
 #: The last symbol, RARE, stands for all rarer words
 CLASS_SIZE, LEAST_CLASSES = 64, 32
 #: as neighbours, rarer words are one of so many buckets by hash, numbered from RARE on; the next number is a place beyond either end of a text
@@ -43,7 +43,7 @@ Params = dict[str, np.ndarray]
 
 
 def classes_for(words: int) -> int:
-    return max(LEAST_CLASSES, round(words**0.25))
+    return max(LEAST_CLASSES, round(words**0.2))
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
@@ -299,7 +299,7 @@ def _round(docs: DataFrame, tasks: int, symbols: Symbols, params: Params, number
 
 
 def trained(docs: DataFrame) -> Model:
-    """The model of a corpus. Its symbols grow with the corpus, by the fourth root of its words for each class of 64; every word of every text trains the
+    """The model of a corpus. Its symbols grow with the corpus, by the fifth root of its words for each class of 64; every word of every text trains the
     network and, if it is a rarer one, the spelling.
 
     A round has a task for each TASK_WORDS words, so that how rows are dealt has little weight in small corpora; copies start from the same network,
