@@ -212,7 +212,7 @@ def plan_sequence(scored: DataFrame, score: str, correct: str, n_calibration: in
     out = []
     for r in rows.itertuples():
         if r.m and total:
-            risk, m = (r.k + 1) / (r.m + 2), max(1, round(n_calibration * r.m / total))
+            risk, m = (r.k + 0.5) / (r.m + 1), max(1, round(n_calibration * r.m / total))
             most = max((k for k in range(m + 1) if binom_cdf(k, m, alpha) <= delta), default=-1)
             out.append((-(binom_cdf(most, m, risk) if most >= 0 else 0.0), -r.m, r.t))
     return [t for _, _, t in sorted(out)]

@@ -86,33 +86,38 @@ def _alike(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-def align(candidates: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """Adds slot to (doc_id, member, ord, text): members in order, each candidate to the best slot without one of its member; the later of equals; else a new slot."""
+def align(candidates: DataFrame, attributes: tuple[str, ...] = ("variable", "summary_measure", "population"), threshold: float = 0.4) -> DataFrame:
+    """Adds slot to (doc_id, member, ord, attributes): members in order, each candidate to the best slot without one of its member; the later of equals; else a new slot.
+
+    Two candidates are as alike as the most alike of the attributes that both have; null is no attribute.
+    """
 
     def walk(rows: list[dict]) -> list[tuple]:
         slots: list[list[tuple]] = []
         out = []
         for r in rows:
-            own, best, at = _set(r["text"]), threshold, None
+            own = [None if r[a] is None else _set(r[a]) for a in attributes]
+            best, at = threshold, None
             for k, slot in enumerate(slots):
-                score = max(_alike(own, s) for _, s in slot)
+                score = max((_alike(x, y) for _, other in slot for x, y in zip(own, other, strict=True) if x is not None and y is not None), default=0.0)
                 if score >= best and all(m != r["member"] for m, _ in slot):
                     best, at = score, k
             if at is None:
                 at = len(slots)
                 slots.append([])
             slots[at].append((r["member"], own))
-            out.append((r["member"], r["ord"], r["text"], at))
+            out.append((r["member"], r["ord"], *(r[a] for a in attributes), at))
         return out
 
     kinds = dict(candidates.dtypes)
-    return fold(candidates.select("doc_id", "member", "ord", "text"), ["doc_id"], ["member", "ord"], walk, f"member {kinds['member']}, ord {kinds['ord']}, text string, slot int")
+    return fold(candidates.select("doc_id", "member", "ord", *attributes), ["doc_id"], ["member", "ord"], walk, f"member {kinds['member']}, ord {kinds['ord']}, {', '.join(f'{a} string' for a in attributes)}, slot int")
 
 
-def reconcile(events: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, slot, text, strategy, support): events clustered by likeness to a cluster's first text; clusters without a good quote drop; the most frequent strategy, first seen among equals.
+def clustered_events(events: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, slot, text, strategy, support, grounded): events clustered by likeness to a cluster's first text.
 
-    events: doc_id, slot, ord, text, strategy, quote_ok.
+    text is that of the first event with a good quote, or of the first; strategy the most frequent one that is given, first seen among equals, null if
+    none is. events: doc_id, slot, ord, text, strategy, quote_ok.
     """
 
     def walk(rows: list[dict]) -> list[tuple]:
@@ -125,9 +130,20 @@ def reconcile(events: DataFrame, threshold: float = 0.5) -> DataFrame:
             home.append((own, r))
         out = []
         for g in groups:
-            if any(r["quote_ok"] for _, r in g):
-                names = [r["strategy"] for _, r in g]
-                out.append((g[0][1]["text"], max(dict.fromkeys(names), key=names.count), len(g)))
+            good = [r["text"] for _, r in g if r["quote_ok"]]
+            names = [r["strategy"] for _, r in g if r["strategy"]]
+            out.append(((good or [g[0][1]["text"]])[0], max(dict.fromkeys(names), key=names.count, default=None), len(g), bool(good)))
         return out
 
-    return fold(events.select("doc_id", "slot", "ord", "text", "strategy", "quote_ok"), ["doc_id", "slot"], ["ord"], walk, "text string, strategy string, support int")
+    return fold(events.select("doc_id", "slot", "ord", "text", "strategy", "quote_ok"), ["doc_id", "slot"], ["ord"], walk, "text string, strategy string, support int, grounded boolean")
+
+
+def reconcile(events: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, slot, text, strategy, support) of clustered_events that have a good quote."""
+    return clustered_events(events, threshold).filter("grounded").drop("grounded")
+
+
+def event_findings(clusters: DataFrame) -> DataFrame:
+    """(doc_id, slot, text, kind, severity) of clustered_events: those dropped for want of a good quote, and those kept without a strategy."""
+    kind = F.when(~F.col("grounded"), "GROUNDING").when(F.coalesce("strategy", F.lit("")) == "", "COMPLETENESS")
+    return clusters.select("doc_id", "slot", "text", kind.alias("kind"), F.lit("WARNING").alias("severity")).filter(F.col("kind").isNotNull())

@@ -170,18 +170,30 @@ def best_pages(entries: DataFrame, most: int) -> DataFrame:
     return totals.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "page"))).filter(F.col("rank") <= most)
 
 
+# What may stand before the number of an item, and a heading that ends it.
+ITEM_NUMBER = r"(?<![\w.,/<>=+≥-])([0-9]+)\.(?=\s)"
+NEXT_HEADING = r"\s*\n[^\n]{3,60}:\s*$"
+
+
 def split_numbered(regions: DataFrame) -> DataFrame:
-    """(doc_id, n, item) of numbered lists: item n starts at the first "n." after item n - 1. regions: doc_id, text."""
+    """(doc_id, n, item) of numbered lists: item n starts at an "n." after item n - 1, one at the start of a line or behind a wide gap rather than one
+    in running text ("as in 3. below"), and of equals the first. A heading at the end of an item is none of it, and items without text go. regions: doc_id, text."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"].fillna(""), strict=True):
-                n, at, starts = 1, 0, []
-                while (m := re.compile(rf"(?<![\w.]){n}\.(?=\s)").search(text, at)) is not None:
-                    starts.append((m.start(), m.end()))
-                    n, at = n + 1, m.end()
-                for k, (_, a) in enumerate(starts):
-                    out.append((doc_id, k + 1, " ".join(text[a : starts[k + 1][0] if k + 1 < len(starts) else len(text)].split())))
+                places: dict[str, list[tuple[bool, int, int]]] = {}
+                for m in re.finditer(ITEM_NUMBER, text):
+                    before = text[: m.start()][-2:]
+                    places.setdefault(m[1], []).append((before not in ("", "  ") and not before.endswith("\n"), m.start(), m.end()))
+                starts, at = [], 0
+                while later := [x for x in places.get(str(len(starts) + 1), ()) if x[1] >= at]:
+                    _, start, at = min(later)
+                    starts.append((start, at))
+                ends = [start for start, _ in starts[1:]] + [len(text)]
+                items = (" ".join(re.sub(NEXT_HEADING, "", text[own:end].rstrip()).split()) for (_, own), end in zip(starts, ends[: len(starts)], strict=True))
+                out += [(doc_id, k + 1, item) for k, item in enumerate(filter(None, items))]
             yield pd.DataFrame(out, columns=["doc_id", "n", "item"])
 
     return regions.select("doc_id", "text").mapInPandas(scan, "doc_id long, n int, item string")

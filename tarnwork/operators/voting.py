@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_typography, jaccard, norm, tokens
 
 #: words of the anchor by which a quote finds the documents that may hold it
 ANCHOR_WORDS = 3
+#: letters by which a short quote finds words
+GRAM = 3
 #: runs of quotes that are sent to all tasks as a list
 FEW_ANCHORS = 2000
 
@@ -18,13 +20,13 @@ def resolve_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 
     start is 0-based, in the text or in the folded text. A document that holds a quote also holds its inner words as whole words, so both
     meet in an equi-join on the hash of a run of inner words; the whole quote is then looked up. Up to FEW_ANCHORS runs of quotes leave only theirs
-    of each text before anything is shuffled. Quotes with fewer than five words are joined by a condition. docs: doc_id, text; quotes: quote_id, quote. Blank quotes match nothing.
+    of each text before anything is shuffled. Shorter quotes find their documents by _short_quotes. docs: doc_id, text; quotes: quote_id, quote. Blank quotes match nothing.
     """
     both = quotes.filter(F.trim(F.coalesce("quote", F.lit(""))) != "").select("quote_id", "quote", fold_typography(F.col("quote")).alias("_fold"))
     both = both.withColumn("_words", F.split(F.trim("_fold"), " "))
     anchor = F.xxhash64(*(F.element_at("_words", k) for k in range(2, 2 + ANCHOR_WORDS)))
     long_ = both.filter(F.size("_words") >= ANCHOR_WORDS + 2).withColumn("_anchor", anchor).drop("_words")
-    short = both.filter(F.size("_words") < ANCHOR_WORDS + 2).drop("_words")
+    short = both.filter(F.size("_words") < ANCHOR_WORDS + 2).withColumn("_piece", F.array_max(F.transform("_words", lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]).drop("_words")
     texts = docs.select("doc_id", "text", fold_typography(F.coalesce("text", F.lit(""))).alias("_folded"))
     runs = F.transform("_w", lambda w, i: F.xxhash64(w, *(F.get("_w", i + k) for k in range(1, ANCHOR_WORDS))))
     hashed = texts.select("doc_id", F.split(F.trim(F.col("_folded")), " ").alias("_w")).select("doc_id", runs.alias("_runs"))
@@ -32,13 +34,34 @@ def resolve_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     wanted = F.array_distinct("_runs") if len(anchors) > FEW_ANCHORS else F.array_intersect("_runs", F.array(*map(F.lit, anchors)).cast("array<bigint>"))
     near = hashed.select("doc_id", F.explode(wanted).alias("_anchor")).join(long_.select("quote_id", "_anchor"), "_anchor").select("doc_id", "quote_id").distinct()
     found = near.join(long_.drop("_anchor"), "quote_id").join(texts, "doc_id")
-    found = found.unionByName(texts.join(short, F.contains(F.col("_folded"), F.col("_fold"))).select(*found.columns))
+    few = _short_quotes(texts, short).join(short, "quote_id").join(texts, "doc_id").filter(F.contains(F.col("_folded"), F.col("_fold")))
+    found = found.unionByName(few.select(*found.columns))
     exact, folded = F.expr("instr(text, quote)"), F.expr("instr(_folded, _fold)")
     return found.select(
         "doc_id", "quote_id", F.when(exact > 0, "exact").when(folded > 0, "normalized").alias("verify_pass"), (F.when(exact > 0, exact).otherwise(folded) - 1).alias("start")
     ).filter(F.col("verify_pass").isNotNull())
 
 
+def _short_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, quote_id) that may match: a text with a word that holds the quote's longest one, _piece, which may be cut at either end of the quote.
+
+    Pieces meet the distinct words of all texts by their first GRAM letters, or all if they have fewer; the words found meet the texts as whole words.
+    """
+
+    def letters(n: int) -> Column:
+        chars = F.split("_word", "")
+        return F.transform(F.slice(chars, 1, F.size(chars) - n + 1), lambda c, i: F.concat(c, *(F.get(F.split("_word", ""), i + k) for k in range(1, n))))
+
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("_folded", " "))).alias("_word")).filter("_word <> ''")
+    gram = F.left("_piece", F.lit(GRAM))
+    pieces = quotes.select("quote_id", "_piece", gram.alias("_gram"), F.char_length(gram).alias("_n"))
+    none = F.array().cast("array<string>")
+    own = F.array_distinct(F.flatten(F.array(*(F.when(F.char_length("_word") >= n, letters(n)).otherwise(none) for n in range(1, GRAM + 1)))))
+    known = words.select("_word").distinct().select("_word", F.explode(own).alias("_gram"))
+    hits = known.join(pieces, "_gram").filter(F.contains(F.col("_word"), F.col("_piece"))).select("_word", "quote_id")
+    return words.join(hits, "_word").select("doc_id", "quote_id").distinct()
+
+
 def vote(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """The winning value of each key.
 

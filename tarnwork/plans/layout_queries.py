@@ -229,10 +229,10 @@ SELECT p_partkey, len(b || t) > 0 AND (len(b) = 0 OR list_contains(b, p_brand))
 
 
 def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.split_numbered(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("1. a "), F.col("p_name"), F.lit(" 3. not yet 2. "), F.col("p_type"), F.lit("\n3. last")).alias("text")))
+    return S.split_numbered(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("1. a "), F.col("p_name"), F.lit(" 3. not yet 2. "), F.col("p_type"), F.lit(" as in 3. below,4. and >3. more\n3. last\nNext part:")).alias("text")))
 
 
-NUMBERED_ITEMS = "SELECT p_partkey AS doc_id, unnest([1, 2, 3])::INT AS n, unnest(['a ' || p_name || ' 3. not yet', p_type, 'last']) AS item FROM part"
+NUMBERED_ITEMS = "SELECT p_partkey AS doc_id, unnest([1, 2, 3])::INT AS n, unnest(['a ' || p_name || ' 3. not yet', p_type || ' as in 3. below,4. and >3. more', 'last']) AS item FROM part"
 
 
 def heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,15 +411,21 @@ SELECT t.p_brand, t.id AS left_id, right_id, round(similarity, 9) AS similarity
 
 
 def aligned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("doc_id"), (F.col("p_size") % 3).alias("member"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"))
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("doc_id"), (F.col("p_size") % 3).alias("member"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("variable"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("summary_measure"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).alias("population"))
     return M.align(p)
 
 
 def reconciled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("doc_id"), (F.col("p_size") % 5).alias("slot"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), F.col("p_type").alias("strategy"), (F.col("p_size") > 10).alias("quote_ok"))
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("doc_id"), (F.col("p_size") % 5).alias("slot"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).when(F.col("p_partkey") % 2 > 0, "").alias("strategy"), (F.col("p_size") > 10).alias("quote_ok"))
     return M.reconcile(p)
 
 
+def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of a brand and size as events, every other of them without a strategy: what is dropped and what lacks one."""
+    p = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("slot"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"), F.when(F.col("p_size") % 2 > 0, F.col("p_type")).otherwise("").alias("strategy"), (F.col("p_partkey") % 3 == 0).alias("quote_ok"))
+    return M.event_findings(M.clustered_events(p.withColumnRenamed("p_brand", "doc_id"), threshold=1.0))
+
+
 def stitched_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.max("l_returnflag").alias("header"), F.max("l_partkey").alias("p"))
     edges = F.when(F.col("p") % 4 == 0, F.array(F.lit(10.0), F.lit(90.0))).otherwise(F.array(F.lit(10.0), F.lit(50.0), F.lit(90.0)))
@@ -509,23 +515,29 @@ def merged_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: each candidate goes to the last best slot without one of its member; the slots so far travel along
 ALIGNED_CANDIDATES = r"""
-WITH RECURSIVE e AS (SELECT p_partkey // 50 AS doc_id, p_size % 3 AS member, p_partkey AS ord, p_name AS text, list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS t, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_size % 3, p_partkey) AS i FROM part),
+WITH RECURSIVE p AS (SELECT *, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS s, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS o FROM part),
+e AS (SELECT p_partkey // 50 AS doc_id, p_size % 3 AS member, p_partkey AS ord, p_name AS variable, s AS summary_measure, o AS population, [list_distinct(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')) FOR x IN [p_name, s, o]] AS t, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_size % 3, p_partkey) AS i FROM p),
 w AS (SELECT doc_id, i, [[struct_pack(m := member, t := t)]] AS slots, 1::BIGINT AS spot FROM e WHERE i = 1
   UNION ALL SELECT doc_id, i, CASE WHEN found IS NULL THEN slots || [[me]] ELSE list_transform(slots, lambda s, k: CASE WHEN k = found THEN s || [me] ELSE s END) END, coalesce(found, len(slots) + 1)
   FROM (SELECT *, CASE WHEN list_max(scores) >= 0.4 THEN list_max(list_filter(range(1, len(scores) + 1), lambda k: scores[k] = list_max(scores))) END AS found
-    FROM (SELECT e.doc_id, e.i, struct_pack(m := e.member, t := e.t) AS me, w.slots, list_transform(w.slots, lambda s: CASE WHEN list_contains(list_transform(s, lambda x: x.m), e.member) THEN -1.0 ELSE list_max(list_transform(s, lambda x: len(list_intersect(x.t, e.t))::DOUBLE / len(list_distinct(x.t || e.t)))) END) AS scores
+    FROM (SELECT e.doc_id, e.i, struct_pack(m := e.member, t := e.t) AS me, w.slots, list_transform(w.slots, lambda s: CASE WHEN list_contains(list_transform(s, lambda x: x.m), e.member) THEN -1.0 ELSE list_max(list_transform(s, lambda x: list_max(list_transform([1, 2, 3], lambda a: coalesce(len(list_intersect(x.t[a], e.t[a]))::DOUBLE / len(list_distinct(x.t[a] || e.t[a])), 0))))) END) AS scores
       FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i + 1)))
-SELECT e.doc_id, member, ord, text, (spot - 1)::INT AS slot FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i
+SELECT e.doc_id, member, ord, variable, summary_measure, population, (spot - 1)::INT AS slot FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i
 """
 #: events join the first cluster whose first text is like theirs; the first texts so far travel along
 RECONCILED_EVENTS = r"""
-WITH RECURSIVE e AS (SELECT p_partkey // 50 AS doc_id, p_size % 5 AS slot, p_name AS text, list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS t, p_type AS strategy, p_size > 10 AS ok, row_number() OVER (PARTITION BY p_partkey // 50, p_size % 5 ORDER BY p_partkey) AS i FROM part),
+WITH RECURSIVE e AS (SELECT p_partkey // 50 AS doc_id, p_size % 5 AS slot, p_name AS text, list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS t, CASE WHEN p_partkey % 3 > 0 THEN p_type WHEN p_partkey % 2 > 0 THEN '' END AS strategy, p_size > 10 AS ok, row_number() OVER (PARTITION BY p_partkey // 50, p_size % 5 ORDER BY p_partkey) AS i FROM part),
 w AS (SELECT doc_id, slot, i, [t] AS firsts, 1::BIGINT AS home FROM e WHERE i = 1
   UNION ALL SELECT doc_id, slot, i, CASE WHEN found IS NULL THEN firsts || [t] ELSE firsts END, coalesce(found, len(firsts) + 1)
   FROM (SELECT e.doc_id, e.slot, e.i, e.t, w.firsts, list_filter(range(1, len(w.firsts) + 1), lambda k: len(list_intersect(w.firsts[k], e.t))::DOUBLE / len(list_distinct(w.firsts[k] || e.t)) >= 0.5)[1] AS found FROM w JOIN e ON e.doc_id = w.doc_id AND e.slot = w.slot AND e.i = w.i + 1)),
 c AS (SELECT e.*, home FROM w JOIN e ON e.doc_id = w.doc_id AND e.slot = w.slot AND e.i = w.i),
-g AS (SELECT doc_id, slot, home, strategy, count(*) AS n, min(i) AS f FROM c GROUP BY ALL), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, slot, home ORDER BY n DESC, f) = 1)
-SELECT doc_id, slot, arg_min(text, i) AS text, any_value(b.strategy) AS strategy, count(*)::INT AS support FROM c JOIN b USING (doc_id, slot, home) GROUP BY doc_id, slot, home HAVING bool_or(ok)
+g AS (SELECT doc_id, slot, home, strategy, count(*) AS n, min(i) AS f FROM c WHERE strategy <> '' GROUP BY ALL), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, slot, home ORDER BY n DESC, f) = 1)
+SELECT doc_id, slot, arg_min(text, i) FILTER (ok) AS text, any_value(b.strategy) AS strategy, count(*)::INT AS support FROM c LEFT JOIN b USING (doc_id, slot, home) GROUP BY doc_id, slot, home HAVING bool_or(ok)
+"""
+EVENT_FINDINGS = r"""
+WITH t AS (SELECT p_brand AS doc_id, p_size AS slot, p_partkey AS i, p_name AS text, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+'))), ' ') AS k, CASE WHEN p_size % 2 > 0 THEN p_type END AS strategy, p_partkey % 3 = 0 AS ok FROM part),
+c AS (SELECT doc_id, slot, coalesce(arg_min(text, i) FILTER (ok), arg_min(text, i)) AS text, bool_or(ok) AS ok, count(strategy) > 0 AS given FROM t GROUP BY doc_id, slot, k)
+SELECT doc_id, slot, text, CASE WHEN NOT ok THEN 'GROUNDING' ELSE 'COMPLETENESS' END AS kind, 'WARNING' AS severity FROM c WHERE NOT (ok AND given)
 """
 #: lines are linked where they meet once widened; boxes are what links lead to
 RULED_BOXES = """
@@ -559,11 +571,11 @@ QUERIES = {
     "text_blocks": text_blocks, "thin_documents": thin_documents, "block_kinds": block_kinds, "head_text": head_text, "running_headers": running_headers, "repeated_lines": repeated_lines, "label_values": label_values, "section_lookup": section_lookup, "section_nesting": section_nesting, "inherited_types": inherited_types,
     "evidence_window": evidence_window, "dropped_sections": dropped_sections, "slot_blocks": slot_blocks, "top_titles": top_titles, "graph_summary": graph_summary, "title_types": title_types, "page_families": page_families, "page_clusters": page_clusters, "best_pages": best_pages, "scopes": scopes, "numbered_items": numbered_items,
     "heading_numbers": heading_numbers, "grid_agreement": grid_agreement, "grid_disagreements": grid_disagreements, "schedule_votes": schedule_votes, "filled_headers": filled_headers, "full_columns": full_columns, "paired_tables": paired_tables, "uncovered_pairs": uncovered_pairs, "demoted_fields": demoted_fields, "box_unions": box_unions,
-    "glyphs_in_boxes": glyphs_in_boxes, "version_diff": version_diff, "word_changes": word_changes, "token_links": token_links, "aligned_candidates": aligned_candidates, "reconciled_events": reconciled_events, "stitched_tables": stitched_tables, "stitched_cells": stitched_cells, "ruled_boxes": ruled_boxes, "merged_visits": merged_visits, "ruled_schedules": ruled_schedules, "ruled_cells": ruled_cells,
+    "glyphs_in_boxes": glyphs_in_boxes, "version_diff": version_diff, "word_changes": word_changes, "token_links": token_links, "aligned_candidates": aligned_candidates, "reconciled_events": reconciled_events, "event_findings": event_findings, "stitched_tables": stitched_tables, "stitched_cells": stitched_cells, "ruled_boxes": ruled_boxes, "merged_visits": merged_visits, "ruled_schedules": ruled_schedules, "ruled_cells": ruled_cells,
 }
 SQL = {
     "text_blocks": TEXT_BLOCKS, "thin_documents": THIN_DOCUMENTS, "block_kinds": BLOCK_KINDS, "head_text": HEAD_TEXT, "running_headers": RUNNING_HEADERS, "repeated_lines": REPEATED_LINES, "label_values": LABEL_VALUES, "section_lookup": SECTION_LOOKUP, "section_nesting": SECTION_NESTING, "inherited_types": INHERITED_TYPES,
     "evidence_window": EVIDENCE_WINDOW, "dropped_sections": DROPPED_SECTIONS, "slot_blocks": SLOT_BLOCKS, "top_titles": TOP_TITLES, "graph_summary": GRAPH_SUMMARY, "title_types": TITLE_TYPES, "page_families": PAGE_FAMILIES, "page_clusters": PAGE_CLUSTERS, "best_pages": BEST_PAGES, "scopes": SCOPES, "numbered_items": NUMBERED_ITEMS,
     "grid_agreement": GRID_AGREEMENT, "grid_disagreements": GRID_DISAGREEMENTS, "schedule_votes": SCHEDULE_VOTES, "filled_headers": FILLED_HEADERS, "full_columns": FULL_COLUMNS, "paired_tables": PAIRED_TABLES, "uncovered_pairs": UNCOVERED_PAIRS, "demoted_fields": DEMOTED_FIELDS, "box_unions": BOX_UNIONS,
-    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "ruled_schedules": RULED_SCHEDULES, "ruled_cells": RULED_CELLS, "stitched_tables": STITCHED_TABLES, "stitched_cells": STITCHED_CELLS,
+    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "event_findings": EVENT_FINDINGS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "ruled_schedules": RULED_SCHEDULES, "ruled_cells": RULED_CELLS, "stitched_tables": STITCHED_TABLES, "stitched_cells": STITCHED_CELLS,
 }

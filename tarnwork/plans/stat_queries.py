@@ -84,6 +84,23 @@ SELECT n, CASE WHEN n >= 47 THEN t END AS threshold, CASE WHEN n >= 47 THEN m EN
 """
 
 
+def tested_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which thresholds should be tested on 40 rows, by the scores of all lines."""
+    order = C.plan_sequence(_scored(spark, sf_dir), "score", "correct", n_calibration=40, alpha=0.2)
+    return spark.createDataFrame(list(enumerate(order, 1)), "place int, t double")
+
+
+#: chances from logarithms, to 12 digits, so that equal ones are equal; most is the largest number of errors that still certifies
+TESTED_ORDER = f"""
+WITH {SCORED_SQL}, c AS (SELECT t, count(score) AS m, count(score) FILTER (NOT correct) AS k FROM (SELECT round(0.99 - 0.01 * i, 2)::DOUBLE AS t FROM range(0, 99) r(i)) JOIN sc ON score >= t GROUP BY t),
+e AS (SELECT *, (k + 0.5) / (m + 1) AS risk, greatest(1, round_even(40.0 * m / (SELECT count(*) FROM sc), 0))::BIGINT AS n FROM c),
+x AS (SELECT *, list_transform(range(0, n + 1), lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) AS ways FROM e),
+y AS (SELECT *, list_max(list_filter(range(0, n + 1), lambda q: list_sum(list_transform(ways[1:q + 1], lambda v, i: exp(v + (i - 1) * ln(0.2::DOUBLE) + (n - i + 1) * ln(0.8::DOUBLE)))) <= 0.1)) AS most FROM x),
+z AS (SELECT *, coalesce(list_sum(list_transform(ways[1:most + 1], lambda v, i: exp(v + (i - 1) * ln(risk) + (n - i + 1) * ln(1 - risk)))), 0) AS p FROM y)
+SELECT row_number() OVER (ORDER BY round(p, 10) DESC, m DESC, t)::INT AS place, t FROM z
+"""
+
+
 def gated_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = spark.createDataFrame([(0.9, True)], "threshold double, emitted boolean")
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 7 > 0, F.col("o_orderstatus")).alias("value"), F.when(F.col("o_orderstatus") == "P", "BLOCK").otherwise("REVIEW").alias("decision"), F.lit(0.0).alias("confidence"), (F.col("o_custkey") % 100 / 100).alias("probability"))
@@ -101,5 +118,5 @@ def hashed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HASHED_ROWS = """SELECT n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS hash FROM nation"""
 
-QUERIES = {"encoded_features": encoded_features, "fitted_probabilities": fitted_probabilities, "threshold_counts": threshold_counts, "binomial_bounds": binomial_bounds, "calibrated_threshold": calibrated_threshold, "gated_fields": gated_fields, "hashed_rows": hashed_rows}
-SQL = {"encoded_features": ENCODED_FEATURES, "threshold_counts": THRESHOLD_COUNTS, "binomial_bounds": BINOMIAL_BOUNDS, "calibrated_threshold": CALIBRATED_THRESHOLD, "gated_fields": GATED_FIELDS, "hashed_rows": HASHED_ROWS}
+QUERIES = {"encoded_features": encoded_features, "fitted_probabilities": fitted_probabilities, "threshold_counts": threshold_counts, "binomial_bounds": binomial_bounds, "calibrated_threshold": calibrated_threshold, "tested_order": tested_order, "gated_fields": gated_fields, "hashed_rows": hashed_rows}
+SQL = {"encoded_features": ENCODED_FEATURES, "threshold_counts": THRESHOLD_COUNTS, "binomial_bounds": BINOMIAL_BOUNDS, "calibrated_threshold": CALIBRATED_THRESHOLD, "tested_order": TESTED_ORDER, "gated_fields": GATED_FIELDS, "hashed_rows": HASHED_ROWS}

@@ -194,9 +194,27 @@ def test_calibration_is_out_of_fold(spark):
 
 def test_matching(spark):
     c = spark.createDataFrame([(1, 0, 0, "time to first event"), (1, 1, 0, "first event time to"), (1, 1, 1, "other thing")], "doc_id long, member int, ord int, text string")
-    assert values(matching.align(c).select("member", "ord", "slot")) == [(0, 0, 0), (1, 0, 0), (1, 1, 1)]
-    e = spark.createDataFrame([(1, 0, 0, "stop of drug", "a", False), (1, 0, 1, "stop of the drug", "b", True), (1, 0, 2, "death", "b", False)], "doc_id long, slot int, ord int, text string, strategy string, quote_ok boolean")
-    assert values(matching.reconcile(e)) == [(1, 0, "stop of drug", "a", 2)]
+    assert values(matching.align(c, attributes=("text",)).select("member", "ord", "slot")) == [(0, 0, 0), (1, 0, 0), (1, 1, 1)]
+    c = spark.createDataFrame([(1, 0, 0, "time to event", "hazard ratio", None), (1, 1, 0, "survival", "hazard ratio", "all"), (1, 1, 1, "pain", None, "safety set"), (1, 2, 0, "sleep", None, "safety set"), (1, 2, 1, None, "mean", "all")], "doc_id long, member int, ord int, variable string, summary_measure string, population string")
+    assert values(matching.align(c).select("member", "ord", "slot")) == [(0, 0, 0), (1, 0, 0), (1, 1, 1), (2, 0, 1), (2, 1, 0)]
+    e = spark.createDataFrame([(1, 0, 0, "stop of drug", "a", False), (1, 0, 1, "stop of the drug", "b", True), (1, 0, 2, "death", "b", False), *((2, 0, k, "same", s, True) for k, s in enumerate([None, None, "composite"])), (3, 0, 0, "rescue", "", True)], "doc_id long, slot int, ord int, text string, strategy string, quote_ok boolean")
+    assert values(matching.reconcile(e)) == [(1, 0, "stop of the drug", "a", 2), (2, 0, "same", "composite", 3), (3, 0, "rescue", None, 1)]
+    assert values(matching.event_findings(matching.clustered_events(e))) == [(1, 0, "death", "GROUNDING", "WARNING"), (3, 0, "rescue", "COMPLETENESS", "WARNING")]
+
+
+def test_numbers_in_running_text_start_no_item(spark):
+    texts = ["1. Age over 18\n2. Dose as in 3. below\n3. Real third\nNext part:", "1. a  2. b 3. c", "5.1. Title\n1. one (>2. 5)\n2. two", "2. no first", "1. one\n3. skipped", None, "", "1. \n2. x"]
+    got = sections.split_numbered(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert values(got) == [(0, 1, "Age over 18"), (0, 2, "Dose as in 3. below"), (0, 3, "Real third"), (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "one (>2. 5)"), (2, 2, "two"), (4, 1, "one 3. skipped"), (7, 1, "x")]
+
+
+def test_short_quotes_meet_texts_by_words(spark):
+    docs = spark.createDataFrame([(1, "A xab cdy z"), (2, "ab\n cd"), (3, "cab"), (4, None), (5, "ab-cd é"), (6, "one two three four")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "ab cd"), (2, "b"), (3, "é"), (4, "two three"), (5, "zzz"), (6, " "), (7, "wo three fou"), (8, "ab"), (9, None)], "quote_id long, quote string")
+    got = voting.resolve_quotes(docs, quotes)
+    assert values(got.select("doc_id", "quote_id", "verify_pass")) == [(1, 1, "exact"), (1, 2, "exact"), (1, 8, "exact"), (2, 1, "normalized"), (2, 2, "exact"), (2, 8, "exact"), (3, 2, "exact"), (3, 8, "exact"), (5, 2, "exact"), (5, 3, "exact"), (5, 8, "exact"), (6, 4, "exact"), (6, 7, "exact")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_files(spark, tmp_path):
