@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..shared import checkpointed
 from .grids import in_boxes
 from .schedules import merge_wrapped
 from .stitching import ruled_boxes
@@ -86,9 +87,9 @@ def ruled_cells(segments: DataFrame, words: DataFrame, keys: list[str]) -> DataF
     segments: keys, x0, y0, x1, y1; words: keys, x0, y0, x1, y1, text, turn, with turn 0 for upright words, 1 for those that read upwards, -1 for those that read
     downwards. A word belongs to the cell that holds its centre. Upright words make lines from top to bottom, turned ones follow, side by side as
     they read; in cells narrower than NARROW words that break over lines are rejoined. Cells without words have an empty text. Null words count as
-    empty. A page whose lines make no table gives nothing; so do empty inputs.
+    empty. A page whose lines make no table gives nothing; so do empty inputs. The lattices are checkpointed.
     """
-    pages = lattice(segments, keys)
+    pages = checkpointed(lattice(segments, keys))  # a row for each page, read several times
     cells = lattice_cells(pages, keys)
     rows = cells.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "col"))).alias("_cells"))
     tops = pages.select(*keys, F.transform("rows", lambda e: e["pos"]).alias("_tops"))

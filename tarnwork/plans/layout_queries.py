@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed
+from ..shared import checkpointed, shared_dir
 from ..operators import blocks as B
 from ..operators import grids as G
 from ..operators import matching as M
 from ..operators import sections as S
 from ..operators import ruled, stitching
 from ..operators import titles as T
+from ..sources import layout
 from .inputs import LINES_SQL, SECTIONS_SQL, blocks, sections, table
 
 
@@ -22,6 +25,19 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_BLOCKS = f"WITH {LINES_SQL} SELECT * FROM blocks"
 
 
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts written as a layout export, a line a page, and read again through its source."""
+    b = blocks(spark, sf_dir)
+    bbox = F.array(F.lit(0.0), F.col("y0"), F.lit(500.0), F.col("y0") + F.col("size"))
+    block = F.struct(F.col("ord").alias("ord"), bbox.alias("bbox"), F.array(F.struct(F.array(F.lit(1.0), F.lit(0.0)).alias("dir"), F.array(F.struct("text", "size", bbox.alias("bbox"))).alias("spans"))).alias("lines"))
+    path = f"{shared_dir(spark)}/layout-{uuid.uuid4().hex}"
+    layout.write_layout(b.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).alias("blocks")), path)
+    return layout.read_layout(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "page", "y0", "size", "text")
+
+
+LAYOUT_BLOCKS = f"WITH {LINES_SQL} SELECT doc_id, page, y0, size, text FROM blocks"
+
+
 def thin_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.refuse_scanned(blocks(spark, sf_dir), least_chars=60)
 
@@ -568,13 +584,13 @@ SELECT doc_id, page AS table_ix, chain, verdict FROM w
 """
 
 QUERIES = {
-    "text_blocks": text_blocks, "thin_documents": thin_documents, "block_kinds": block_kinds, "head_text": head_text, "running_headers": running_headers, "repeated_lines": repeated_lines, "label_values": label_values, "section_lookup": section_lookup, "section_nesting": section_nesting, "inherited_types": inherited_types,
+    "text_blocks": text_blocks, "layout_blocks": layout_blocks, "thin_documents": thin_documents, "block_kinds": block_kinds, "head_text": head_text, "running_headers": running_headers, "repeated_lines": repeated_lines, "label_values": label_values, "section_lookup": section_lookup, "section_nesting": section_nesting, "inherited_types": inherited_types,
     "evidence_window": evidence_window, "dropped_sections": dropped_sections, "slot_blocks": slot_blocks, "top_titles": top_titles, "graph_summary": graph_summary, "title_types": title_types, "page_families": page_families, "page_clusters": page_clusters, "best_pages": best_pages, "scopes": scopes, "numbered_items": numbered_items,
     "heading_numbers": heading_numbers, "grid_agreement": grid_agreement, "grid_disagreements": grid_disagreements, "schedule_votes": schedule_votes, "filled_headers": filled_headers, "full_columns": full_columns, "paired_tables": paired_tables, "uncovered_pairs": uncovered_pairs, "demoted_fields": demoted_fields, "box_unions": box_unions,
     "glyphs_in_boxes": glyphs_in_boxes, "version_diff": version_diff, "word_changes": word_changes, "token_links": token_links, "aligned_candidates": aligned_candidates, "reconciled_events": reconciled_events, "event_findings": event_findings, "stitched_tables": stitched_tables, "stitched_cells": stitched_cells, "ruled_boxes": ruled_boxes, "merged_visits": merged_visits, "ruled_schedules": ruled_schedules, "ruled_cells": ruled_cells,
 }
 SQL = {
-    "text_blocks": TEXT_BLOCKS, "thin_documents": THIN_DOCUMENTS, "block_kinds": BLOCK_KINDS, "head_text": HEAD_TEXT, "running_headers": RUNNING_HEADERS, "repeated_lines": REPEATED_LINES, "label_values": LABEL_VALUES, "section_lookup": SECTION_LOOKUP, "section_nesting": SECTION_NESTING, "inherited_types": INHERITED_TYPES,
+    "text_blocks": TEXT_BLOCKS, "layout_blocks": LAYOUT_BLOCKS, "thin_documents": THIN_DOCUMENTS, "block_kinds": BLOCK_KINDS, "head_text": HEAD_TEXT, "running_headers": RUNNING_HEADERS, "repeated_lines": REPEATED_LINES, "label_values": LABEL_VALUES, "section_lookup": SECTION_LOOKUP, "section_nesting": SECTION_NESTING, "inherited_types": INHERITED_TYPES,
     "evidence_window": EVIDENCE_WINDOW, "dropped_sections": DROPPED_SECTIONS, "slot_blocks": SLOT_BLOCKS, "top_titles": TOP_TITLES, "graph_summary": GRAPH_SUMMARY, "title_types": TITLE_TYPES, "page_families": PAGE_FAMILIES, "page_clusters": PAGE_CLUSTERS, "best_pages": BEST_PAGES, "scopes": SCOPES, "numbered_items": NUMBERED_ITEMS,
     "grid_agreement": GRID_AGREEMENT, "grid_disagreements": GRID_DISAGREEMENTS, "schedule_votes": SCHEDULE_VOTES, "filled_headers": FILLED_HEADERS, "full_columns": FULL_COLUMNS, "paired_tables": PAIRED_TABLES, "uncovered_pairs": UNCOVERED_PAIRS, "demoted_fields": DEMOTED_FIELDS, "box_unions": BOX_UNIONS,
     "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "event_findings": EVENT_FINDINGS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "ruled_schedules": RULED_SCHEDULES, "ruled_cells": RULED_CELLS, "stitched_tables": STITCHED_TABLES, "stitched_cells": STITCHED_CELLS,
