@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..sources import files
 from ..streaming.log import windowed_counts
 from . import assembly as A
+from . import nested as N
+from . import routes as R
 from .full import full_loop, produced
 from .inputs import table
 from .spine import metadata
@@ -36,6 +38,108 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNIQUE_NAMES = "WITH n AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS i FROM part) SELECT p_brand, p_partkey, CASE WHEN i > 1 THEN p_name || ' (' || i || ')' ELSE p_name END AS name FROM n"
 
 
+def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested studies: a title, identifiers with a scope, criteria; some of them blank at each depth."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("s"), F.max("l_partkey").alias("p"), F.max("l_quantity").cast("int").alias("q"))
+    name = F.when(F.col("p") % 5 > 0, F.concat(F.lit(" n  "), (F.col("p") % 3).cast("string")))
+    one = F.struct("l_linenumber", F.struct(F.when(F.col("s") % 3 > 0, F.concat(F.lit("L"), F.col("l_linenumber").cast("string"))).otherwise(" ").alias("id"), name.alias("name"), F.struct(F.col("q").alias("size"), F.array(F.lit("a"), F.when(F.col("q") > 25, F.lit("\tb"))).alias("labels")).alias("scope")).alias("x"))
+    many = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda e: e["x"]).alias("identifiers"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 4 == 1, "  A\t study ").when(F.col("o_custkey") % 4 > 1, F.concat(F.lit("Study "), F.col("o_custkey").cast("string"))).alias("title"), F.when(F.col("o_orderstatus") == "F", F.lit(True)).alias("healthy"))
+    return o.join(many, "o_orderkey", "left")
+
+
+def nested_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = {"title": ("", "ERROR"), "identifiers": (None, "ERROR"), "identifiers[].id": ("", "WARNING"), "healthy": (False, "WARNING")}
+    return N.sanitize_nested(_nested_orders(spark, sf_dir), "o_orderkey", gaps, unique=("identifiers[].name",))[1]
+
+
+NESTED_SQL = """l AS (SELECT l_orderkey AS o_orderkey, l_linenumber, max(l_suppkey) % 3 = 0 AS no_id, max(l_partkey) AS p, max(l_quantity)::INT AS q FROM lineitem GROUP BY ALL),
+e AS (SELECT *, CASE WHEN p % 5 > 0 THEN 'n ' || p % 3 END AS name, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) - 1 AS i, 'identifiers[' || (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) - 1) || ']' AS loc FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, name ORDER BY i) AS nth FROM e WHERE name IS NOT NULL)"""
+NESTED_FINDINGS = f"""
+WITH {NESTED_SQL}
+SELECT o_orderkey, 'title' AS path, 'missing' AS kind, 'ERROR' AS severity FROM orders WHERE o_custkey % 4 = 0 UNION ALL SELECT o_orderkey, 'title', 'trimmed', 'INFO' FROM orders WHERE o_custkey % 4 = 1
+UNION ALL SELECT o_orderkey, 'healthy', 'missing', 'WARNING' FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'identifiers', 'missing', 'ERROR' FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM e)
+UNION ALL SELECT o_orderkey, loc || '.id', 'missing', 'WARNING' FROM e WHERE no_id UNION ALL SELECT o_orderkey, loc || '.name', CASE WHEN name IS NULL THEN 'missing' ELSE 'trimmed' END, 'INFO' FROM e
+UNION ALL SELECT o_orderkey, loc || '.name', 'renamed', 'INFO' FROM n WHERE nth > 1
+UNION ALL SELECT o_orderkey, loc || '.scope.labels[1]', CASE WHEN q > 25 THEN 'trimmed' ELSE 'dropped' END, 'INFO' FROM e
+"""
+
+
+def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = N.sanitize_nested(_nested_orders(spark, sf_dir), "o_orderkey", {"healthy": (False, "WARNING")}, unique=("identifiers[].name",))[0]
+    return clean.select("o_orderkey", "title", "healthy", F.explode_outer("identifiers").alias("x")).select("o_orderkey", "title", "healthy", "x.id", "x.name", F.col("x.scope.size").alias("size"), F.array_join("x.scope.labels", ",").alias("labels"))
+
+
+NESTED_VALUES = f"""
+WITH {NESTED_SQL}
+SELECT o.o_orderkey, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'A study' ELSE 'Study ' || o_custkey END AS title, o_orderstatus = 'F' AS healthy, CASE WHEN e.i IS NULL THEN NULL WHEN e.no_id THEN '' ELSE 'L' || e.l_linenumber END AS id,
+  CASE WHEN e.i IS NOT NULL THEN coalesce(e.name || CASE WHEN nth > 1 THEN ' (' || nth || ')' ELSE '' END, '') END AS name, e.q AS size, CASE WHEN e.i IS NOT NULL THEN 'a' || CASE WHEN e.q > 25 THEN ',b' ELSE '' END END AS labels
+FROM orders o LEFT JOIN e ON o.o_orderkey = e.o_orderkey LEFT JOIN n ON n.o_orderkey = e.o_orderkey AND n.i = e.i
+"""
+#: rules over the nested orders, as rows of a table
+NESTED_RULES = [
+    ("has_title", "title", "all", "trim(x) <> ''", "ERROR"),
+    ("has_identifiers", "identifiers[]", "some", "x is not null", "ERROR"),
+    ("ids_are_given", "identifiers[].id", "all", "trim(x) <> ''", "WARNING"),
+    ("names_differ", "identifiers[].name", "unique", "lower(x)", "WARNING"),
+    ("no_large_scope", "identifiers[].scope.size", "none", "x > 45", "INFO"),
+    ("some_second_label", "identifiers[].scope.labels[]", "some", "x like '%b'", "INFO"),
+    ("named_if_large", "identifiers[]", "all", "x.scope.size <= 40 or x.name is not null", "ERROR"),
+    ("small_in_open_orders", "identifiers[].scope.size", "all", "healthy or x < 49", "INFO"),
+]
+
+
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(NESTED_RULES, "rule string, path string, quantifier string, predicate string, severity string")
+    return N.broken_rules(_nested_orders(spark, sf_dir), "o_orderkey", rules)
+
+
+BROKEN_RULES = f"""
+WITH {NESTED_SQL}, o AS (SELECT o_orderkey, o_custkey, o_orderstatus = 'F' AS f FROM orders),
+r AS (
+  SELECT o_orderkey, 'has_title' AS rule, 'ERROR' AS severity, (o_custkey % 4 = 0)::INT AS n FROM o UNION ALL SELECT o.o_orderkey, 'has_identifiers', 'ERROR', (count(e.i) = 0)::INT FROM o LEFT JOIN e ON o.o_orderkey = e.o_orderkey GROUP BY 1
+  UNION ALL SELECT o_orderkey, 'ids_are_given', 'WARNING', count(*) FILTER (no_id) FROM e GROUP BY 1 UNION ALL SELECT o_orderkey, 'names_differ', 'WARNING', count(name) - count(DISTINCT name) FROM e GROUP BY 1
+  UNION ALL SELECT o_orderkey, 'no_large_scope', 'INFO', count(*) FILTER (q > 45) FROM e GROUP BY 1 UNION ALL SELECT o.o_orderkey, 'some_second_label', 'INFO', (count(*) FILTER (q > 25) = 0)::INT FROM o LEFT JOIN e ON o.o_orderkey = e.o_orderkey GROUP BY 1
+  UNION ALL SELECT o_orderkey, 'named_if_large', 'ERROR', count(*) FILTER (q > 40 AND name IS NULL) FROM e GROUP BY 1 UNION ALL SELECT e.o_orderkey, 'small_in_open_orders', 'INFO', count(*) FILTER (NOT f AND q >= 49) FROM e JOIN o ON o.o_orderkey = e.o_orderkey GROUP BY 1)
+SELECT o_orderkey, rule, severity, n::INT AS n FROM r WHERE n > 0
+"""
+#: rules for fields of customers; families are their market segments, phases the last digits of their nations
+ROUTE_RULES = [
+    (1, "title", "primary", None, None, ["header"], None, None), (2, "title", "primary", "BUILDING", None, ["summary"], None, None), (3, "title", "primary", None, "1", ["design"], None, None), (4, "title", "primary", "BUILDING", "1", ["population"], ["main"], None),
+    (5, "title", "prohibited", None, None, None, ["history"], None), (6, "arms", "supporting", "MACHINERY", None, ["design", "summary"], None, ["part a"]), (7, "arms", "supporting", "MACHINERY", None, ["header"], None, None), (8, "title", "supporting", None, None, ["summary", "design"], None, None),
+]
+
+
+def route_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _route_plans(spark, sf_dir).select("doc_id", "field", *(F.col(f"{r}.rule").alias(r) for r in R.ROLES))
+
+
+def _route_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("family"), F.when(F.col("c_nationkey") % 10 > 0, (F.col("c_nationkey") % 10).cast("string")).alias("phase"))
+    return R.study_plans(c, spark.createDataFrame(ROUTE_RULES, R.RULE))
+
+
+ROUTE_PLANS_SQL = """c AS (SELECT c_custkey AS doc_id, c_mktsegment AS f, c_nationkey % 10 = 1 AS one FROM customer),
+p AS (SELECT doc_id, 'title' AS field, 5 AS prohibited, CASE WHEN f = 'BUILDING' AND one THEN 4 WHEN f = 'BUILDING' THEN 2 WHEN one THEN 3 ELSE 1 END AS "primary", 8 AS supporting FROM c UNION ALL SELECT doc_id, 'arms', NULL, NULL, 6 FROM c WHERE f = 'MACHINERY')"""
+ROUTE_PLANS = f"WITH {ROUTE_PLANS_SQL} SELECT * FROM p"
+
+
+def routed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as sections, typed by their priority, and what they are to each field."""
+    kind = F.element_at(F.array(*map(F.lit, ("header", "summary", "design", "population", "other"))), F.left("o_orderpriority", F.lit(1)).cast("int"))
+    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), kind.alias("type"), F.when(F.col("o_orderstatus") == "P", "history").when(F.col("o_orderstatus") == "F", "main").alias("subtype"), F.when(F.col("o_orderkey") % 2 == 0, "part a").alias("scope"))
+    return R.routed(_route_plans(spark, sf_dir), s)
+
+
+ROUTED_SECTIONS = f"""
+WITH {ROUTE_PLANS_SQL}, s AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, ['header', 'summary', 'design', 'population', 'other'][left(o_orderpriority, 1)::INT] AS t, o_orderstatus AS u, o_orderkey % 2 = 0 AS a FROM orders),
+m AS (SELECT doc_id, ord, field, CASE WHEN prohibited = 5 AND u = 'P' THEN 'prohibited' WHEN ("primary" = 1 AND t = 'header') OR ("primary" = 2 AND t = 'summary') OR ("primary" = 3 AND t = 'design') OR ("primary" = 4 AND t = 'population' AND u = 'F') THEN 'primary'
+  WHEN (supporting = 8 AND t IN ('summary', 'design')) OR (supporting = 6 AND t IN ('summary', 'design') AND a) THEN 'supporting' END AS role FROM s JOIN p USING (doc_id))
+SELECT * FROM m WHERE role IS NOT NULL
+"""
+
+
 def activity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("activity_ord"), F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("activity"), F.col("l_suppkey").alias("visit"), (F.col("l_quantity") > 25).alias("marked"))
     return A.timeline(li, ["l_orderkey"]).withColumn("visits", F.array_join(F.transform("visits", lambda v: v.cast("string")), ","))
@@ -150,10 +254,12 @@ def full_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "nested_findings": nested_findings, "nested_values": nested_values, "broken_rules": broken_rules, "route_plans": route_plans, "routed_sections": routed_sections,
     "full_studies": full_studies, "vision_pages": vision_pages, "gate_rules": gate_rules, "metadata_spine": metadata_spine,
     "sanitized_parts": sanitized_parts, "sanitizer_findings": sanitizer_findings, "unique_names": unique_names, "activity_links": activity_links, "assembled_orders": assembled_orders, "failed_rules": failed_rules, "cached_replies": cached_replies, "parsed_replies": parsed_replies, "reply_verdicts": reply_verdicts, "hourly_events": hourly_events,
 }
 SQL = {
+    "nested_findings": NESTED_FINDINGS, "nested_values": NESTED_VALUES, "broken_rules": BROKEN_RULES, "route_plans": ROUTE_PLANS, "routed_sections": ROUTED_SECTIONS,
     "vision_pages": VISION_PAGES, "gate_rules": GATE_RULES, "metadata_spine": METADATA_SPINE,
     "sanitized_parts": SANITIZED_PARTS, "sanitizer_findings": SANITIZER_FINDINGS, "unique_names": UNIQUE_NAMES, "activity_links": ACTIVITY_LINKS, "assembled_orders": ASSEMBLED_ORDERS, "failed_rules": FAILED_RULES, "cached_replies": CACHED_REPLIES, "parsed_replies": PARSED_REPLIES, "reply_verdicts": REPLY_VERDICTS, "hourly_events": HOURLY_EVENTS,
 }
