@@ -27,6 +27,8 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 
 #: states of the field: none, an address spelled out, a number without a plus sign, a password or key
 STATES = ("none", "email", "phone", "secret")
+#: signs and markup that stand before and behind a span, and are none of it
+BEFORE, AFTER = "\"'`<>#*|[{", ".,;:!?\"'`#*|<>&%$~^()[]{}\\@"
 AROUND = ".,;:!?\"'`<>"
 CUES = frozenset((
     "at", "dot", "(at)", "(dot)", "[at]", "[dot]", "{at}", "{dot}", "phone", "tel", "telephone", "mobile", "cell", "fax", "call", "ring", "dial", "email", "mail", "ext", "contact", "reach", "write",
@@ -342,8 +344,8 @@ class Finder:
                     j += 1
                 a, b = int(starts[own[k]] - off[i]), int(ends[own[j]] - off[i])
                 words, kind = raw[a:b].decode(), STATES[states[own[k]]]
-                short = words.rstrip(".,;:!?\"'`")
-                lead = len(short) - len(short.lstrip("\"'`<"))
+                short = words.rstrip(AFTER)
+                lead = len(short) - len(short.lstrip(BEFORE))
                 short, lo = short[lead:], int(points[off[i] + a] - points[off[i]]) + lead
                 if short and _plausible(kind, short) and not any(x < lo + len(short) and lo < y for _, x, y in base):
                     more.append((kind, lo, lo + len(short)))

@@ -211,6 +211,17 @@ def test_personal_spans_of_odd_rows(spark):
     assert pii.personal_spans(empty).count() == 0 and pii.redact(empty).count() == 0
 
 
+def test_spans_hold_no_markup(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'x token = "{secret}"### y', f"x token = {secret}}}</b> y", f"my api key is **{secret}** now", f"token: {secret}= end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.personal_spans(rows).collect()}
+    cut = lambda i: [texts[i][int(a) : int(b)] for _, a, b in (s.split(":") for s in found[i].split(",") if s)]
+    assert [cut(i) for i in range(3)] == [[secret]] * 3 and cut(3) in ([secret], [f"{secret}="])
+    kept = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert kept[0].startswith('x token = "') and kept[0].endswith('"### y') and secret not in kept[0]
+
+
 def test_network_gradients():
     params, rng = lm.initial(3), np.random.default_rng(1)
     params = {k: v.astype(np.float64) for k, v in params.items()}
