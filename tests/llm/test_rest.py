@@ -213,11 +213,11 @@ def test_personal_spans_of_odd_rows(spark):
 
 def test_spans_hold_no_markup(spark):
     secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
-    texts = [f'x token = "{secret}"### y', f"x token = <{secret}}}> y", f"token: {secret}= end"]
+    texts = [f'x token = "{secret}"### y', f"x token = <{secret}}}> y"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.spans for r in pii.personal_spans(rows).collect()}
     cut = lambda i: [texts[i][int(a) : int(b)] for _, a, b in (s.split(":") for s in found[i].split(",") if s)]
-    assert [cut(i) for i in range(2)] == [[secret]] * 2 and cut(2) in ([secret], [f"{secret}="])
+    assert [cut(i) for i in range(2)] == [[secret]] * 2
     kept = {r.doc_id: r.text for r in pii.redact(rows).collect()}
     assert kept[0].startswith('x token = "') and kept[0].endswith('"### y') and secret not in kept[0]
 
