@@ -15,6 +15,8 @@ from ..shared import checkpointed
 # Fixed values of the calibration.
 LEAST_N, DELTA = 47, 0.1
 FOLDS, LEAST_FOLDED = 5, 10
+#: probabilities, rows by fits, that a task of a fit holds at once
+FIT_CELLS = 1 << 20
 GRID = tuple(round(0.99 - 0.01 * k, 2) for k in range(99))
 
 
@@ -78,15 +80,69 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_i", F.col("_start") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_start")
 
 
-def folds(rows: DataFrame, order: list[str], group: str | None = None) -> tuple[str, DataFrame, list]:
-    """How rows are held out, rows with _fold, and the folds: each group of two or more ("groups"); else the place in the order modulo FOLDS ("kfold"); else, under LEAST_FOLDED rows, none ("in_sample")."""
+def folds(rows: DataFrame, order: list[str], group: str | None = None) -> tuple[str, DataFrame, int]:
+    """How rows are held out, rows with _fold from 0, and how many folds: each group of two or more ("groups"); else the place in the order modulo FOLDS ("kfold"); else, under LEAST_FOLDED rows, none ("in_sample")."""
     if group is not None:
-        names = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
-        if len(names) >= 2:
-            return "groups", rows.withColumn("_fold", F.col(group)).transform(checkpointed), names
+        names = _numbered(rows.select(F.col(group).alias("_g")).distinct(), ["_g"]).select("_g", F.col("_i").cast("int").alias("_fold")).transform(checkpointed)
+        n = names.count()
+        if n >= 2:
+            return "groups", rows.join(names, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").transform(checkpointed), n
     if rows.count() >= LEAST_FOLDED:
-        return "kfold", _numbered(rows, order).withColumn("_fold", F.col("_i") % FOLDS).drop("_i").transform(checkpointed), list(range(FOLDS))
-    return "in_sample", rows.withColumn("_fold", F.lit(None).cast("int")).transform(checkpointed), []
+        return "kfold", _numbered(rows, order).withColumn("_fold", (F.col("_i") % FOLDS).cast("int")).drop("_i").transform(checkpointed), FOLDS
+    return "in_sample", rows.withColumn("_fold", F.lit(None).cast("int")).transform(checkpointed), 0
+
+
+def _columns(batch: pd.DataFrame, features: list[str]) -> np.ndarray:
+    return np.column_stack([np.ones(len(batch)), batch[features].to_numpy(np.float64)])
+
+
+def _sums(features: list[str], label: str, weights: np.ndarray):
+    """Of a task's rows, for each fit the gradient and the upper half of the Hessian, over the rows that the fit may see: fit k does without fold k, the last sees all.
+
+    Probabilities of a batch under all fits are one matrix product, and so are the sums.
+    """
+    upper = np.triu_indices(weights.shape[1])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(weights), weights.shape[1] + len(upper[0])))
+        for whole in batches:
+            for at in range(0, len(whole), max(1, FIT_CELLS // len(weights))):
+                batch = whole.iloc[at : at + max(1, FIT_CELLS // len(weights))]
+                x, y, fold = _columns(batch, features), batch[label].to_numpy(np.float64), batch["_fold"].to_numpy(np.float64)
+                p = 1 / (1 + np.exp(-(x @ weights.T)))
+                seen = np.ones(p.shape, bool)
+                own = np.flatnonzero(~np.isnan(fold))
+                seen[own, fold[own].astype(np.int64)] = False
+                total[:, : x.shape[1]] += ((y[:, None] - p) * seen).T @ x
+                total[:, x.shape[1] :] += (p * (1 - p) * seen).T @ (x[:, upper[0]] * x[:, upper[1]])
+        yield pd.DataFrame({"fit": np.arange(len(total), dtype=np.int32), "sums": list(total)})
+
+    return add
+
+
+def fit_folds(placed: DataFrame, features: list[str], label: str, n: int, l2: float = 1.0, rounds: int = 100, tolerance: float = 1e-10) -> np.ndarray:
+    """Weights of n + 1 fits as fit_logistic gives them: row k without the rows of fold k, the last with all. placed: features, label, _fold (0 to n - 1, or null).
+
+    Every Newton step of all fits is one job, in which each row is read once; tasks send sums for each fit and no rows. The driver holds and solves a small
+    system for each fit.
+    """
+    size = len(features) + 1
+    weights, penalty = np.zeros((n + 1, size)), np.diag([0.0] + [l2] * len(features))
+    upper = np.triu_indices(size)
+    rows = placed.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias(label), "_fold")
+    for _ in range(rounds):
+        parts = rows.mapInPandas(_sums(features, label, weights), "fit int, sums array<double>")
+        totals = parts.select("fit", F.posexplode("sums").alias("k", "v")).groupBy("fit", "k").agg(F.sum("v").alias("v")).groupBy("fit").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
+        got = np.zeros((n + 1, size + len(upper[0])))
+        for r in totals.select("fit", F.transform("s", lambda e: e["v"]).alias("s")).toLocalIterator():
+            got[r["fit"]] = r["s"]
+        hessian = np.zeros((n + 1, size, size))
+        hessian[:, upper[0], upper[1]] = hessian[:, upper[1], upper[0]] = got[:, size:]
+        step = np.linalg.solve(hessian + penalty + 1e-12 * np.eye(size), (got[:, :size] - weights @ penalty)[:, :, None])[:, :, 0]
+        weights = weights + step
+        if np.abs(step).max() < tolerance:
+            break
+    return weights
 
 
 def fit_calibrated(rows: DataFrame, features: list[str], label: str, order: list[str], group: str | None = None, l2: float = 1.0) -> tuple[np.ndarray, tuple[float, float], str]:
@@ -95,19 +151,20 @@ def fit_calibrated(rows: DataFrame, features: list[str], label: str, order: list
     Each row's logit comes from a fit without its fold; slope and intercept are fitted on these logits against Platt's smoothed targets. Needs the
     session's checkpoint folder. Rows without a label are for the caller to leave out.
     """
-    mode, placed, held = folds(rows.select(*dict.fromkeys([*features, label, *order, *([group] if group else [])])), order, group)
-    weights = fit_logistic(placed, features, label, l2)
-    z = logit(features, weights)
-    if held:
-        z = F.lit(None).cast("double")
-        for fold in held:
-            own = F.col("_fold").eqNullSafe(F.lit(fold))
-            z = F.when(own, logit(features, fit_logistic(placed.filter(~own), features, label, l2))).otherwise(z)
+    mode, placed, n = folds(rows.select(*dict.fromkeys([*features, label, *order, *([group] if group else [])])), order, group)
+    weights = fit_folds(placed, features, label, n, l2)
+
+    def held_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = batch["_fold"].fillna(n).to_numpy(np.int64)
+            yield pd.DataFrame({"_z": (_columns(batch, features) * weights[own]).sum(axis=1), "_good": batch["_good"]})
+
     good = F.col(label).cast("double") > 0.5
+    z = placed.select(*(F.col(f).cast("double").alias(f) for f in features), "_fold", good.alias("_good")).mapInPandas(held_out, "_z double, _good boolean")
     n_good, n_bad = placed.agg(F.count_if(good), F.count_if(~good)).first()
-    target = F.when(good, (n_good + 1) / (n_good + 2)).otherwise(1 / (n_bad + 2))
-    intercept, slope = fit_logistic(placed.select(z.alias("_z"), target.alias("_t")), ["_z"], "_t", l2=1e-6)
-    return weights, (float(slope), float(intercept)), mode
+    target = F.when(F.col("_good"), (n_good + 1) / (n_good + 2)).otherwise(1 / (n_bad + 2))
+    intercept, slope = fit_logistic(z.select("_z", target.alias("_t")).transform(checkpointed), ["_z"], "_t", l2=1e-6)
+    return weights[-1], (float(slope), float(intercept)), mode
 
 
 def _beta_share(x: float, a: float, b: float) -> float:

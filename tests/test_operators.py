@@ -192,6 +192,29 @@ def test_calibration_is_out_of_fold(spark):
     assert calibration.fit_calibrated(df.filter("i < 9"), ["x"], "y", ["i"])[2] == "in_sample"
 
 
+def test_a_thousand_groups_are_fitted_side_by_side(spark):
+    rng = np.random.default_rng(4)
+    n, groups = 4000, 1000
+    x, g = rng.normal(0, 1, (n, 2)), np.arange(n) % groups
+    y = (rng.random(n) < 1 / (1 + np.exp(0.3 - x @ [1.5, -0.5]))).astype(float)
+    rows = [(int(i), f"g{k}" if k else None, float(a), float(b), bool(c)) for i, (k, (a, b), c) in enumerate(zip(g, x, y, strict=True))]
+    df = spark.createDataFrame(rows, "i int, g string, a double, b double, y boolean").repartition(4)
+    seen = spark.sparkContext.statusTracker()
+    mode, placed, k = calibration.folds(df, ["i"], "g")
+    spark.sparkContext.setJobGroup("folds", "folds")
+    weights = calibration.fit_folds(placed, ["a", "b"], "y", k)
+    jobs = len(seen.getJobIdsForGroup("folds"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert mode == "groups" and k == groups and weights.shape == (groups + 1, 3) and jobs < 60
+    full = np.column_stack([np.ones(n), x])
+    fold = {r.g: r._fold for r in placed.select("g", "_fold").distinct().collect()}
+    for name, out in ((None, 0), ("g7", 7), ("g999", 999)):
+        rest = g != out
+        gradient = full[rest].T @ (y[rest] - 1 / (1 + np.exp(-full[rest] @ weights[fold[name]]))) - np.array([0, 1, 1]) * weights[fold[name]]
+        assert np.abs(gradient).max() < 1e-6
+    assert weights[-1] == pytest.approx(calibration.fit_logistic(df, ["a", "b"], "y"), abs=1e-8)
+
+
 def test_matching(spark):
     c = spark.createDataFrame([(1, 0, 0, "time to first event"), (1, 1, 0, "first event time to"), (1, 1, 1, "other thing")], "doc_id long, member int, ord int, text string")
     assert values(matching.align(c, attributes=("text",)).select("member", "ord", "slot")) == [(0, 0, 0), (1, 0, 0), (1, 1, 1)]
