@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_words, tokens
+from ..functions.text import jaccard, norm_words, tokens
+from ..shared import checkpointed
 from .folds import fold
+from .graphs import rare_tokens
 
 
 def title_key(title: Column) -> Column:
@@ -54,17 +56,18 @@ def link_by_tokens(left: DataFrame, right: DataFrame, keys: list[str], threshold
     """(keys, left_id, right_id, similarity): for each left text the most similar right one of its key that reaches the threshold, the first of equals.
 
     Texts with equal words are one on either side (the right one with its first id), so a key with many repeated texts compares only its distinct
-    ones. Candidates share a token, so both sides meet in an equi-join on (key, token); shared tokens are counted, not compared pair by pair.
-    left, right: keys, id, text.
+    ones. Those meet in an equi-join on their rarest words, of which two that are alike share one: a word that all texts have brings none together. What
+    meets is then compared by all words. left, right: keys, id, text.
     """
-    sets = lambda df: df.select(*keys, "id", F.array_sort(tokens(F.col("text"))).alias("_t"))
-    own, other = sets(left), sets(right).groupBy(*keys, "_t").agg(F.min("id").alias("right_id"))
-    spread = lambda df, tag, *more: df.select(*keys, *more, F.col("_t").alias(f"_t_{tag}"), F.size("_t").alias(f"_n_{tag}"), F.explode("_t").alias("_token"))
-    shared = spread(own.select(*keys, "_t").distinct(), "left").join(spread(other, "right", "right_id"), [*keys, "_token"])
-    counted = shared.groupBy(*keys, "_t_left", "_n_left", "right_id", "_n_right").agg(F.count("*").alias("_c"))
-    scored = counted.withColumn("similarity", F.col("_c") / (F.col("_n_left") + F.col("_n_right") - F.col("_c"))).filter(F.col("similarity") >= threshold)
-    best = scored.groupBy(*keys, F.col("_t_left").alias("_t")).agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("_o"))).alias("_m"))
-    return own.join(best, [*keys, "_t"]).select(*keys, F.col("id").alias("left_id"), (-F.col("_m._o")).alias("right_id"), F.col("_m.similarity").alias("similarity"))
+    sets = lambda df: df.select(*keys, "id", F.array_sort(tokens(F.col("text"))).alias("tokens"))
+    own, other = sets(left).transform(checkpointed), sets(right).groupBy(*keys, "tokens").agg(F.min("id").alias("right_id")).transform(checkpointed)
+    rare = rare_tokens(own.select(*keys, "tokens").union(other.select(*keys, "tokens")), keys, threshold).transform(checkpointed)
+    mine = rare.join(own.select(*keys, "tokens").distinct(), [*keys, "tokens"], "left_semi").withColumnRenamed("tokens", "_t")
+    yours = rare.join(other, [*keys, "tokens"]).withColumnRenamed("tokens", "_t_right")
+    met = mine.join(yours, [*keys, "token"]).select(*keys, "_t", "_t_right", "right_id").distinct()
+    scored = met.withColumn("similarity", jaccard(F.col("_t"), F.col("_t_right"))).filter(F.col("similarity") >= threshold)
+    best = scored.groupBy(*keys, "_t").agg(F.max(F.struct("similarity", (-F.col("right_id")).alias("_o"))).alias("_m"))
+    return own.withColumnRenamed("tokens", "_t").join(best, [*keys, "_t"]).select(*keys, F.col("id").alias("left_id"), (-F.col("_m._o")).alias("right_id"), F.col("_m.similarity").alias("similarity"))
 
 
 def rationales(sections: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:

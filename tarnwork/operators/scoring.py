@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, norm_words, score_value, tokens
+from ..shared import checkpointed
 from .folds import fold, running_sums
+from .graphs import components, rare_tokens
 
 CORRECT = ("exact", "normalized", "fuzzy")
 
@@ -79,8 +81,10 @@ def greedy_match_sets(refs: DataFrame, items: DataFrame, keys: list[str], thresh
     """greedy_match by the Jaccard similarity of token sets, without a table of pairs; pairs that share no token never match.
 
     refs: keys, ref, tokens; items: keys, item, tokens; the ids of a key differ. Items with equal sets wait in one queue, and each distinct set of a
-    reference is compared once with the distinct sets that share a token with it, so the work grows with the rows and the distinct sets. All rows
-    of a key are walked in one task.
+    reference is compared once with the distinct sets that share a token with it, so the work grows with the rows and the distinct sets.
+
+    A choice depends on all earlier ones that compete with it, but on no others: sets that can be alike share one of their rarest tokens, and what
+    these tokens do not tie together, over any number of sets, never competes. So a key is cut into such components, which are walked side by side.
     """
 
     def walk(rows: list[dict]) -> list[tuple]:
@@ -109,7 +113,12 @@ def greedy_match_sets(refs: DataFrame, items: DataFrame, keys: list[str], thresh
         return kept
 
     side = lambda df, name, tag: df.select(*keys, F.lit(tag).alias("_side"), F.col(name).alias("_id"), F.col("tokens").alias("_tokens"))
-    return fold(side(refs, "ref", 0).unionByName(side(items, "item", 1)), keys, ["_side", "_id"], walk, f"ref {dict(refs.dtypes)['ref']}, item {dict(items.dtypes)['item']}, similarity double")
+    both = side(refs, "ref", 0).unionByName(side(items, "item", 1)).withColumn("_tokens", F.array_sort(F.array_distinct(F.coalesce("_tokens", F.array().cast("array<string>"))))).transform(checkpointed)
+    ties = rare_tokens(both.withColumnRenamed("_tokens", "tokens"), keys, threshold).withColumnRenamed("tokens", "_tokens")
+    node = F.xxhash64(*keys, "_tokens")
+    tied = components(ties.select(node.alias("a"), F.xxhash64(*keys, "token", F.lit("token")).alias("b")))
+    rows = both.withColumn("node", node).join(tied, "node").withColumnRenamed("component", "_component").drop("node")
+    return fold(rows, [*keys, "_component"], ["_side", "_id"], walk, f"ref {dict(refs.dtypes)['ref']}, item {dict(items.dtypes)['item']}, similarity double").drop("_component")
 
 
 # The similarity that a match of each category of a study takes.

@@ -1,5 +1,6 @@
 """Small cases of single operators, with ties, nulls and empty groups."""
 
+import itertools
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text as T
-from tarnwork.operators import audit, calibration, grids, matching, scoring, sections, stitching, voting
+from tarnwork.operators import audit, calibration, graphs, grids, matching, scoring, sections, stitching, voting
 from tarnwork.plans import assembly, log_queries
 from tarnwork.sources import files
 from tarnwork.streaming import log
@@ -69,6 +70,49 @@ def test_greedy_matches_the_whole_key(spark):
     assert values(scoring.greedy_match_sets(refs, items, ["k"], 0.3)) == values(scoring.greedy_match(pairs, ["k"], 0.3))
 
 
+def test_rare_tokens_lose_no_pair(spark):
+    rng = random.Random(8)
+    sets = [(rng.randrange(2), sorted({"the", *rng.choices([f"w{k}" for k in range(30)], k=rng.randrange(7))} if rng.random() < 0.9 else set())) for _ in range(150)]
+    for t in (0.3, 0.5, 0.8, 1.0):
+        rows = graphs.rare_tokens(spark.createDataFrame(sets, "k int, tokens array<string>"), ["k"], t).collect()
+        rare = {}
+        for r in rows:
+            rare.setdefault((r.k, tuple(r.tokens)), set()).add(r.token)
+        met = 0
+        for (k, x), (j, y) in itertools.combinations({(k, tuple(s)) for k, s in sets if s}, 2):
+            share = bool(rare[k, x] & rare[j, y])
+            met += share and k == j
+            assert k != j or share or len({*x} & {*y}) / len({*x} | {*y}) < t
+        assert t < 0.8 or met < 1500  # a word that all have brings few together
+
+
+def test_components_of_long_paths(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (200, 200)]
+    got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 102), 100), 200: 200}
+
+
+def test_greedy_walks_parts_of_a_key_by_themselves(spark, monkeypatch):
+    """A third of all rows in one key: the walks see its components, and no pair is lost."""
+    rng, seen = random.Random(6), []
+    text = lambda key: [f"{rng.randrange(40)}-{k}" for k in range(3)] if key else sorted({f"t{c}-{rng.randrange(4)}" for c in [rng.randrange(60)] * 3})
+    refs = [(0 if i % 3 == 0 else 1 + i % 50, i, text(i % 3)) for i in range(600)]
+    items = [(0 if i % 3 == 0 else 1 + i % 50, i, text(i % 3)) for i in range(600)]
+    tables = [spark.createDataFrame(rows, f"k int, {name} int, tokens array<string>") for rows, name in ((refs, "ref"), (items, "item"))]
+    got = scoring.greedy_match_sets(*tables, ["k"], 0.4)
+    want, used = [], set()
+    for k, r, t in sorted(refs):
+        best = max(((len({*t} & {*u}) / len({*t} | {*u}), -i) for j, i, u in items if j == k and (k, i) not in used), default=(0, 0))
+        if best[0] >= 0.4:
+            used.add((k, -best[1]))
+            want.append((k, r, -best[1], best[0]))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len([w for w in want if w[0] == 0]) > 100
+    real = scoring.fold
+    monkeypatch.setattr(scoring, "fold", lambda rows, keys, *a: (seen.append(rows.groupBy(*keys).count().agg(F.max("count")).first()[0]), real(rows, keys, *a))[1])
+    scoring.greedy_match_sets(*tables, ["k"], 0.4)
+    assert seen[0] < 40
+
+
 def test_greedy_query_takes_all_parts_of_a_brand(spark):
     got = values(log_queries.greedy_match(spark, "/root/testdata/sf0.001").select("p_brand", "ref", "item", "similarity"))
     parts = [(r.p_brand, r.p_partkey, r.p_size, set(r.p_name.lower().split())) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").orderBy("p_partkey").collect()]
