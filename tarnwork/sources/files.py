@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import LABEL
+from .latest import append, current
 
 
 def studies(spark: SparkSession, root: str, suffix: str = ".pdf") -> DataFrame:
@@ -59,10 +60,36 @@ def upsert(cache: DataFrame, rows: DataFrame) -> DataFrame:
     return all_.groupBy("key").agg(F.max(F.struct("seq", "response")).alias("_r")).select("key", "_r.response", "_r.seq")
 
 
-def write_corrections(rows: DataFrame, path: str, checked: DataFrame) -> None:
-    """Corrections by document, over those of the documents checked; a document without any keeps an empty row, so that it counts as checked."""
-    marked = checked.select("doc_id").distinct().join(rows, "doc_id", "left")
-    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+def write_corrections(rows: DataFrame, path: str, checked: DataFrame, seq: int) -> None:
+    """Appends the corrections (doc_id and others) of the documents checked, over all earlier ones of these; one without any keeps an empty list, so that it counts
+    as checked. A file for each task, however many documents there are."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    own = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("corrections"))
+    marked = checked.select("doc_id").distinct().join(own, "doc_id", "left")
+    kind = own.schema["corrections"].dataType
+    append(marked.select("doc_id", F.lit(seq).cast("long").alias("seq"), F.coalesce("corrections", F.array().cast(kind)).alias("corrections")), path)
+
+
+def read_corrections(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(doc_id, corrections) of the documents checked. schema: that of a correction, such as "field string, value string"."""
+    return current(spark, path, ["doc_id"], f"doc_id long, seq long, corrections array<struct<{_struct(schema)}>>").drop("seq")
+
+
+#: of a cache of replies on disk, for append, current, compact and vacuum
+CACHE = "key string, seq long, response string"
+
+
+def write_cache(rows: DataFrame, path: str) -> None:
+    """Appends replies (CACHE), later ones over earlier ones; blank responses are not stored."""
+    append(rows.filter(F.trim(F.coalesce("response", F.lit(""))) != "").select("key", "seq", "response"), path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    return current(spark, path, ["key"], CACHE)
+
+
+def _struct(schema: str) -> str:
+    return ",".join(f"{part.split()[0]}:{part.split()[1]}" for part in schema.split(", "))
 
 
 def save_model(spark: SparkSession, path: str, payload: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import features, grids, ruled
 from tarnwork.shared import checkpointed
-from tarnwork.sources import layout
+from tarnwork.sources import files, latest, layout
 from tarnwork.streaming import jobs
 
 
@@ -132,3 +132,42 @@ def test_job_states_on_a_stream(spark, tmp_path):
     log = spark.createDataFrame([x for b in (first, second, third, fourth) for x in b], schema)
     batch = {r.job: r.state for r in features.live_jobs(log, F.lit(at(6000)), ttl_seconds=100_000).collect()}
     assert all(last[j].state == s for j, s in batch.items() if not last[j].by_timer)
+
+
+def test_newest_rows_through_compactions(spark, tmp_path):
+    """Late, repeated and equal rows; a reader sees the same before, during and after each compaction, and a dead one counts for nothing."""
+    rng, path, state = random.Random(2), str(tmp_path / "cache"), {}
+    assert files.read_cache(spark, path).count() == 0 and latest.vacuum(spark, path) == 0
+
+    def read():
+        return {r.key: (r.seq, r.response) for r in files.read_cache(spark, path).collect()}
+
+    seqs = rng.sample(range(1000), 240)
+    for k in range(4):
+        rows = [(f"k{rng.randrange(40)}", s, rng.choice(["a", "b", " ", None])) for s in seqs[60 * k : 60 * k + 60]]
+        files.write_cache(spark.createDataFrame(rows, files.CACHE), path)
+        for key, seq, text in rows:
+            if text and text.strip() and (seq, text) > state.get(key, (-1, "")):
+                state[key] = (seq, text)
+        assert read() == state
+        assert latest.compact(spark, path, ["key"], files.CACHE) == k + 1
+        assert read() == state
+        if k == 1:
+            assert latest.vacuum(spark, path) > 0 and read() == state
+    (tmp_path / "cache/state/gen=99").mkdir()  # begun, never finished
+    before = files.read_cache(spark, path)
+    files.write_cache(spark.createDataFrame([("new", 5000, "x")], files.CACHE), path)
+    assert latest.compact(spark, path, ["key"], files.CACHE) == 5
+    assert {r.key: (r.seq, r.response) for r in before.collect()} == state
+    latest.vacuum(spark, path)
+    assert read() == state | {"new": (5000, "x")}
+    assert {p.name for p in (tmp_path / "cache/state").iterdir()} == {"gen=5", "gen=99"} and not list((tmp_path / "cache/log").glob("part*"))
+
+
+def test_corrections_of_many_documents_are_few_files(spark, tmp_path):
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"))
+    fixes = docs.filter("doc_id % 10 = 0").select("doc_id", F.lit("f").alias("field"), F.col("doc_id").cast("string").alias("value"))
+    files.write_corrections(fixes, str(tmp_path / "c"), docs, seq=1)
+    got = files.read_corrections(spark, str(tmp_path / "c"), "field string, value string")
+    assert got.count() == 100_000 and got.filter("size(corrections) > 0").count() == 10_000
+    assert len(list((tmp_path / "c/log").iterdir())) < 50

@@ -87,10 +87,11 @@ def test_sinks(spark, tmp_path):
         features.write_features(rows, f"{tmp_path}/features")
     assert [(r.domain, r.span_length, r.page) for r in spark.read.parquet(f"{tmp_path}/features").collect()] == [("soa", 1, 2)]
     fixes, checked = spark.createDataFrame([(1, "a", "b")], "doc_id long, field string, value string"), spark.createDataFrame([(1,), (2,)], "doc_id long")
-    files.write_corrections(fixes, f"{tmp_path}/fixes", checked)
-    files.write_corrections(fixes.limit(0), f"{tmp_path}/fixes", checked.filter("doc_id = 1"))
-    got = spark.read.parquet(f"{tmp_path}/fixes")
-    assert values(got.select("doc_id", "field")) == [(1, None), (2, None)]
+    files.write_corrections(fixes, f"{tmp_path}/fixes", checked, seq=1)
+    read = lambda: {r.doc_id: [tuple(x) for x in r.corrections] for r in files.read_corrections(spark, f"{tmp_path}/fixes", "field string, value string").collect()}
+    assert read() == {1: [("a", "b")], 2: []}
+    files.write_corrections(fixes.limit(0), f"{tmp_path}/fixes", checked.filter("doc_id = 1"), seq=2)
+    assert read() == {1: [], 2: []}
     log = spark.createDataFrame([("h", 1, "extract")], "source_sha256 string, seq long, event string")
     files.append_log(log, f"{tmp_path}/log")
     files.append_log(log.withColumn("seq", F.lit(2)), f"{tmp_path}/log")
