@@ -28,6 +28,8 @@ MAGIC = b"TWM2"
 BLOCK_WORDS = 1024
 #: ids after which a task begins another file
 SHARD_TOKENS = 1 << 24
+#: encoded chunks that a worker keeps; it holds little else
+KEPT = 1_500_000
 
 
 class WaveletMatrix:
@@ -239,7 +241,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spac
             return pa.RecordBatch.from_pydict({"part": [task.partitionId()], "number": [number], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]}, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for rows, buf, off in (x for batch in batches for x in blocks(iter([batch]))):
-            got, at = encode_block(tokenizer, buf, off, spaced)
+            got, at = encode_block(tokenizer, buf, off, spaced, KEPT)
             for column, value in zip(held, (np.insert(got, at[1:], np.uint32(end_id)), np.diff(at) + 1, rows.column("doc_id").to_numpy(), rows.column("anonymous").to_numpy(zero_copy_only=False)), strict=True):
                 column.append(value)
             size += len(held[0][-1])

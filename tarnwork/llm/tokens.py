@@ -32,15 +32,15 @@ def vocabulary_size(path: str) -> int:
     return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=-1) + 1
 
 
-def _codec(path: str) -> ChunkEncoder:
-    """One for each worker process and file."""
+def _codec(path: str, kept: int) -> ChunkEncoder:
+    """One for each worker process and file, with at most about `kept` encoded chunks."""
     if path not in _CODECS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
         marks = [(i, t.content) for i, t in model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        _CODECS[path] = ChunkEncoder(lambda chunks: _encoded(model, marks, chunks))
+        _CODECS[path] = ChunkEncoder(lambda chunks: _encoded(model, marks, chunks), kept)
     return _CODECS[path]
 
 
@@ -83,7 +83,7 @@ def _spaced_chunks(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def encode_block(path: str, buf: np.ndarray, off: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+def encode_block(path: str, buf: np.ndarray, off: np.ndarray, spaced: bool, kept: int = 700_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the rows of a block and the n + 1 offsets of the rows in them. spaced: blanks belong to the words after them; else they are dropped."""
     if spaced:
         starts = _spaced_chunks(buf, off)
@@ -92,5 +92,5 @@ def encode_block(path: str, buf: np.ndarray, off: np.ndarray, spaced: bool) -> t
     else:
         starts, ends, first = find_words(buf, off)
         data = buf[~WS[buf]]
-    ids, lens = _codec(path)(buf, starts, ends, hash_spans(data, ends - starts))
+    ids, lens = _codec(path, kept)(buf, starts, ends, hash_spans(data, ends - starts))
     return ids, np.concatenate([[0], np.cumsum(lens)])[first]
