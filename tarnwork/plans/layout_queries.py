@@ -12,7 +12,7 @@ from ..operators import blocks as B
 from ..operators import grids as G
 from ..operators import matching as M
 from ..operators import sections as S
-from ..operators import ruled, stitching
+from ..operators import headings, ruled, stitching
 from ..operators import titles as T
 from ..sources import layout
 from .inputs import LINES_SQL, SECTIONS_SQL, blocks, sections, table
@@ -266,6 +266,25 @@ SELECT doc_id, ord, page, q || '.1' AS number, q = 50 AS font FROM w WHERE kept
 """
 
 
+def document_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as blocks, two a page: chapters, subsections, appendices, a title in capitals, sentences and chapters set as headings."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg((F.max("l_suppkey") % 6).alias("k"), (F.max("l_quantity").cast("int") % 12 + 1).cast("string").alias("q"))
+    text = F.when(F.col("k") == 0, F.concat("q", F.lit(" Design of parts"))).when(F.col("k") == 1, F.concat("q", F.lit(".2  Rules of parts"))).when(F.col("k") == 2, "Appendix B: Forms").when(F.col("k") == 3, "SYNOPSIS").when(F.col("k") == 4, "This line is a sentence.").otherwise(F.concat("q", F.lit(" DESIGN")))
+    return headings.document_headings(li.select("doc_id", "ord", F.floor((F.col("ord") - 1) / 2).cast("int").alias("page"), text.alias("text"), F.when(F.col("k") == 5, "heading").otherwise("prose").alias("kind")))
+
+
+#: the last number kept travels along the candidates of a document
+DOCUMENT_HEADINGS = """
+WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, ((l_linenumber - 1) // 2)::INT AS page, max(l_suppkey) % 6 AS k, max(l_quantity)::INT % 12 + 1 AS q FROM lineitem GROUP BY ALL),
+f AS (SELECT *, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 5 THEN 1 END AS own FROM l WHERE k IN (0, 1, 2, 5) OR (k = 3 AND (SELECT count(DISTINCT page) FROM l x WHERE x.doc_id = l.doc_id AND x.k = 3) < 3)),
+c AS (SELECT *, coalesce(own, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i,
+  list(CASE WHEN k = 1 THEN q END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead, CASE k WHEN 0 THEN [q] WHEN 1 THEN [q, 2] WHEN 5 THEN [q] END AS n FROM f),
+w AS (SELECT *, k <> 0 OR list_contains(ahead, q) AS kept, CASE WHEN n IS NOT NULL AND (k <> 0 OR list_contains(ahead, q)) THEN n ELSE []::INT[] END AS last FROM c WHERE i = 1
+  UNION ALL SELECT doc_id, ord, page, k, q, own, level, i, ahead, n, y, CASE WHEN y AND n IS NOT NULL THEN n ELSE last END FROM (SELECT c.*, CASE c.k WHEN 0 THEN c.n > w.last AND coalesce(list_contains(c.ahead, c.q), false) WHEN 1 THEN c.n > w.last ELSE true END AS y, w.last FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i + 1) z)
+SELECT doc_id, ord, page, CASE k WHEN 0 THEN q::VARCHAR WHEN 1 THEN q || '.2' WHEN 5 THEN q::VARCHAR ELSE '' END AS number, CASE k WHEN 0 THEN 'Design of parts' WHEN 1 THEN 'Rules of parts' WHEN 2 THEN 'Appendix B: Forms' WHEN 3 THEN 'SYNOPSIS' ELSE 'DESIGN' END AS title, level::INT AS level FROM w WHERE kept
+"""
+
+
 def grid_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tables: a row for each line number, columns for flag, status and quantity."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("a"), F.max("l_linestatus").alias("b"), F.max("l_quantity").cast("int").cast("string").alias("c"))
@@ -586,12 +605,12 @@ SELECT doc_id, page AS table_ix, chain, verdict FROM w
 QUERIES = {
     "text_blocks": text_blocks, "layout_blocks": layout_blocks, "thin_documents": thin_documents, "block_kinds": block_kinds, "head_text": head_text, "running_headers": running_headers, "repeated_lines": repeated_lines, "label_values": label_values, "section_lookup": section_lookup, "section_nesting": section_nesting, "inherited_types": inherited_types,
     "evidence_window": evidence_window, "dropped_sections": dropped_sections, "slot_blocks": slot_blocks, "top_titles": top_titles, "graph_summary": graph_summary, "title_types": title_types, "page_families": page_families, "page_clusters": page_clusters, "best_pages": best_pages, "scopes": scopes, "numbered_items": numbered_items,
-    "heading_numbers": heading_numbers, "grid_agreement": grid_agreement, "grid_disagreements": grid_disagreements, "schedule_votes": schedule_votes, "filled_headers": filled_headers, "full_columns": full_columns, "paired_tables": paired_tables, "uncovered_pairs": uncovered_pairs, "demoted_fields": demoted_fields, "box_unions": box_unions,
+    "heading_numbers": heading_numbers, "document_headings": document_headings, "grid_agreement": grid_agreement, "grid_disagreements": grid_disagreements, "schedule_votes": schedule_votes, "filled_headers": filled_headers, "full_columns": full_columns, "paired_tables": paired_tables, "uncovered_pairs": uncovered_pairs, "demoted_fields": demoted_fields, "box_unions": box_unions,
     "glyphs_in_boxes": glyphs_in_boxes, "version_diff": version_diff, "word_changes": word_changes, "token_links": token_links, "aligned_candidates": aligned_candidates, "reconciled_events": reconciled_events, "event_findings": event_findings, "stitched_tables": stitched_tables, "stitched_cells": stitched_cells, "ruled_boxes": ruled_boxes, "merged_visits": merged_visits, "ruled_schedules": ruled_schedules, "ruled_cells": ruled_cells,
 }
 SQL = {
     "text_blocks": TEXT_BLOCKS, "layout_blocks": LAYOUT_BLOCKS, "thin_documents": THIN_DOCUMENTS, "block_kinds": BLOCK_KINDS, "head_text": HEAD_TEXT, "running_headers": RUNNING_HEADERS, "repeated_lines": REPEATED_LINES, "label_values": LABEL_VALUES, "section_lookup": SECTION_LOOKUP, "section_nesting": SECTION_NESTING, "inherited_types": INHERITED_TYPES,
     "evidence_window": EVIDENCE_WINDOW, "dropped_sections": DROPPED_SECTIONS, "slot_blocks": SLOT_BLOCKS, "top_titles": TOP_TITLES, "graph_summary": GRAPH_SUMMARY, "title_types": TITLE_TYPES, "page_families": PAGE_FAMILIES, "page_clusters": PAGE_CLUSTERS, "best_pages": BEST_PAGES, "scopes": SCOPES, "numbered_items": NUMBERED_ITEMS,
     "grid_agreement": GRID_AGREEMENT, "grid_disagreements": GRID_DISAGREEMENTS, "schedule_votes": SCHEDULE_VOTES, "filled_headers": FILLED_HEADERS, "full_columns": FULL_COLUMNS, "paired_tables": PAIRED_TABLES, "uncovered_pairs": UNCOVERED_PAIRS, "demoted_fields": DEMOTED_FIELDS, "box_unions": BOX_UNIONS,
-    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "event_findings": EVENT_FINDINGS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "ruled_schedules": RULED_SCHEDULES, "ruled_cells": RULED_CELLS, "stitched_tables": STITCHED_TABLES, "stitched_cells": STITCHED_CELLS,
+    "glyphs_in_boxes": GLYPHS_IN_BOXES, "version_diff": VERSION_DIFF, "word_changes": WORD_CHANGES, "token_links": TOKEN_LINKS, "heading_numbers": HEADING_NUMBERS, "document_headings": DOCUMENT_HEADINGS, "aligned_candidates": ALIGNED_CANDIDATES, "reconciled_events": RECONCILED_EVENTS, "event_findings": EVENT_FINDINGS, "ruled_boxes": RULED_BOXES, "merged_visits": MERGED_VISITS, "ruled_schedules": RULED_SCHEDULES, "ruled_cells": RULED_CELLS, "stitched_tables": STITCHED_TABLES, "stitched_cells": STITCHED_CELLS,
 }

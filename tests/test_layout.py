@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwork.operators import grids, ruled, stitching
+from tarnwork.operators import grids, headings, ruled, stitching
 
 SEGMENT = "doc_id int, page int, x0 double, y0 double, x1 double, y1 double"
 WORD = f"{SEGMENT}, text string, turn int"
@@ -147,3 +147,15 @@ def test_a_chain_keeps_its_header(spark):
     table = spark.createDataFrame(rows, "doc_id int, table_ix int, page int, y0 double, edges array<double>, header array<array<string>>, caption string, cue boolean")
     got = [tuple(r)[2:] for r in stitching.stitch(table).orderBy("table_ix").collect()]
     assert got == [(0, "SEPARATE", 0), (0, "CONTINUATION", 2), (1, "AMBIGUOUS", 0), (1, "CONTINUATION", 3)]
+
+
+def test_headings_look_ahead(spark):
+    rows = [
+        (1, "Synopsis", "heading"), (1, "1 Introduction ............ 5", "prose"), (2, "1 Introduction", "prose"), (2, "1.1 Background", "prose"), (3, "2 Documented status of the disease", "prose"), (3, "as in 1.1 Background", "prose"), (3, "3.1 Objectives", "prose"),
+        (4, "1 Provision of consent", "heading"), (5, "4 STUDY DESIGN", "prose"), (5, "45 Milligrams of it", "prose"), (6, "5 Selection", "prose"), (6, "Some prose in between.", "prose"), (6, "STUDY POPULATION", "prose"), (6, "5.1 Inclusion Criteria", "prose"),
+        (7, "Study Protocol", "heading"), (8, "Study Protocol", "heading"), (9, "Study Protocol", "heading"), (10, "Appendix A: Abbreviations and Terms", "prose"), (10, "6 ends with a stop.", "prose"), *((11, f"7.{k} Contents Line", "prose") for k in range(1, 8)), (12, None, "heading"), (12, "7 Statistics", "heading"),
+    ]
+    table = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id long, ord int, page int, text string, kind string")
+    got = [(r.number, r.title, r.level) for r in headings.document_headings(table).orderBy("ord").collect()]
+    assert got == [("", "Synopsis", 1), ("1", "Introduction", 1), ("1.1", "Background", 2), ("3.1", "Objectives", 2), ("1", "Provision of consent", 1), ("4", "STUDY DESIGN", 1), ("5", "Selection", 1), ("", "STUDY POPULATION", 2), ("5.1", "Inclusion Criteria", 2), ("", "Appendix A: Abbreviations and Terms", 1), ("7", "Statistics", 1)]
+    assert headings.document_headings(table.limit(0)).count() == 0
