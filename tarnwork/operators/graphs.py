@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import checkpointed
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def rare_tokens(sets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def rare_tokens(sets: DataFrame, keys: list[str], threshold: float | Column) -> DataFrame:
     """(keys, tokens, token): of each distinct set of a key, so many of its rarest tokens that two sets with a Jaccard similarity of `threshold` or more share one.
 
     sets: keys, tokens (distinct), of all sides that are to be compared, as all have to rank tokens alike: by how many sets of the key have them, then by the

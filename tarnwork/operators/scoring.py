@@ -77,10 +77,10 @@ def greedy_match(pairs: DataFrame, keys: list[str], threshold: float) -> DataFra
     return fold(pairs.select(*keys, "ref", "item", "similarity"), keys, ["ref", "item"], walk, f"ref {kinds['ref']}, item {kinds['item']}, similarity double")
 
 
-def greedy_match_sets(refs: DataFrame, items: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def greedy_match_sets(refs: DataFrame, items: DataFrame, keys: list[str], threshold: float | Column) -> DataFrame:
     """greedy_match by the Jaccard similarity of token sets, without a table of pairs; pairs that share no token never match.
 
-    refs: keys, ref, tokens; items: keys, item, tokens; the ids of a key differ. Items with equal sets wait in one queue, and each distinct set of a
+    refs: keys, ref, tokens; items: keys, item, tokens; the ids of a key differ. threshold can follow from the keys. Items with equal sets wait in one queue, and each distinct set of a
     reference is compared once with the distinct sets that share a token with it, so the work grows with the rows and the distinct sets.
 
     A choice depends on all earlier ones that compete with it, but on no others: sets that can be alike share one of their rarest tokens, and what
@@ -104,7 +104,7 @@ def greedy_match_sets(refs: DataFrame, items: DataFrame, keys: list[str], thresh
             if own not in ways:
                 shared = Counter(other for token in own for other in holders.get(token, ()))
                 scores = ((n / (len(own) + len(other) - n), other) for other, n in shared.items())
-                ways[own] = sorted((x for x in scores if x[0] >= threshold), key=lambda x: -x[0])
+                ways[own] = sorted((x for x in scores if x[0] >= r["_least"]), key=lambda x: -x[0])
             ways[own] = [x for x in ways[own] if queues[x[1]]]
             if ways[own]:
                 top = ways[own][0][0]
@@ -112,9 +112,10 @@ def greedy_match_sets(refs: DataFrame, items: DataFrame, keys: list[str], thresh
                 kept.append((r["_id"], best.popleft(), top))
         return kept
 
-    side = lambda df, name, tag: df.select(*keys, F.lit(tag).alias("_side"), F.col(name).alias("_id"), F.col("tokens").alias("_tokens"))
+    least = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    side = lambda df, name, tag: df.select(*keys, F.lit(tag).alias("_side"), F.col(name).alias("_id"), F.col("tokens").alias("_tokens"), least.cast("double").alias("_least"))
     both = side(refs, "ref", 0).unionByName(side(items, "item", 1)).withColumn("_tokens", F.array_sort(F.array_distinct(F.coalesce("_tokens", F.array().cast("array<string>"))))).transform(checkpointed)
-    ties = rare_tokens(both.withColumnRenamed("_tokens", "tokens"), keys, threshold).withColumnRenamed("tokens", "_tokens")
+    ties = rare_tokens(both.withColumnRenamed("_tokens", "tokens"), [*keys, "_least"], F.col("_least")).withColumnRenamed("tokens", "_tokens")
     node = F.xxhash64(*keys, "_tokens")
     tied = components(ties.select(node.alias("a"), F.xxhash64(*keys, "token", F.lit("token")).alias("b")))
     rows = both.withColumn("node", node).join(tied, "node").withColumnRenamed("component", "_component").drop("node")
@@ -166,13 +167,18 @@ def category_counts(delivered: DataFrame, reference: DataFrame, by: str = "study
     thresholds = thresholds or CATEGORY_THRESHOLDS
     keys, out = [by, "category"], None
     have = reference.groupBy(*keys).agg(F.count("*").alias("n_reference")).join(delivered.groupBy(*keys).agg(F.count("*").alias("n_delivered")), keys, "left")
-    for name, threshold in thresholds.items():
-        side = lambda df, tag: df.filter(F.col("category") == name).select(*keys, F.col("ord").alias(tag), F.array(norm_words(F.col("text"))).alias("tokens") if name == "identifiers" else tokens(F.col("text")).alias("tokens"), F.col("text").alias("_text"))  # noqa: E731, B023
-        if name == "marks":
-            got = greedy_match(mark_pairs(side(reference, "ref"), side(delivered, "item"), keys), keys, threshold)
-        else:
-            got = greedy_match_sets(side(reference, "ref").drop("_text"), side(delivered, "item").drop("_text"), keys, threshold)
-        out = got.select(*keys) if out is None else out.unionByName(got.select(*keys))
+    words = F.when(F.col("category") == "identifiers", F.array(norm_words(F.col("text")))).otherwise(tokens(F.col("text")))
+    side = lambda df, tag: df.select(*keys, F.col("ord").alias(tag), words.alias("tokens"), F.col("text").alias("_text"))
+    refs, items = side(reference, "ref"), side(delivered, "item")
+    plain = [c for c in thresholds if c != "marks"]
+    if plain:
+        least = F.element_at(F.create_map(*(F.lit(x) for c in plain for x in (c, thresholds[c]))), F.col("category"))
+        known = F.col("category").isin(*plain)
+        out = greedy_match_sets(refs.filter(known).drop("_text"), items.filter(known).drop("_text"), keys, least).select(*keys)
+    if "marks" in thresholds:
+        mark = F.col("category") == "marks"
+        marks = greedy_match(mark_pairs(refs.filter(mark), items.filter(mark), keys), keys, thresholds["marks"]).select(*keys)
+        out = marks if out is None else out.unionByName(marks)
     hits = out.groupBy(*keys).agg(F.count("*").alias("n_matched"))
     return have.filter(F.col("category").isin(*thresholds)).join(hits, keys, "left").select(*keys, "n_reference", F.coalesce("n_delivered", F.lit(0)).alias("n_delivered"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
 

@@ -213,7 +213,7 @@ def study_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("study"), "n_name")
     names = lambda c: F.element_at(F.array(*map(F.lit, ("arms", "criteria", "identifiers", "marks"))), (c % 4 + 1).cast("int"))
     text = lambda c: F.concat(F.lit("item "), (c % 5).cast("string"), F.lit("\nrow "), (c % 3).cast("string"))
-    ref = table(spark, sf_dir, "customer").filter("c_custkey % 11 = 0").select(F.col("c_nationkey").alias("study"), names(F.col("c_custkey")).alias("category"), F.col("c_custkey").alias("ord"), text(F.col("c_custkey")).alias("text"))
+    ref = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("study"), names(F.col("c_custkey")).alias("category"), F.col("c_custkey").alias("ord"), text(F.col("c_custkey")).alias("text"))
     got = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("study"), names(F.col("s_suppkey")).alias("category"), F.col("s_suppkey").alias("ord"), text(F.col("s_suppkey")).alias("text"))
     scalars = scoring.scalar_counts(n.select("study", F.lit("region").alias("field"), F.lower("n_name").alias("value")), n.select("study", F.lit("region").alias("field"), F.col("n_name").alias("value")))
     counts = scoring.category_counts(got, ref).unionByName(scalars.select("study", "category", "n_reference", "n_delivered", "n_matched"))
@@ -241,14 +241,14 @@ FIRST_WRITES = "SELECT DISTINCT user_id FROM events WHERE event_type = 'error' E
 
 def permitted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks as candidates with the places of their quotes; those in sections of one type go."""
-    rows = blocks(spark, sf_dir).filter("ord % 3 = 0").select("doc_id", F.when(F.col("ord") % 2 == 0, F.col("page")).alias("page"), "y0", "ord")
+    rows = blocks(spark, sf_dir).select("doc_id", F.when(F.col("ord") % 2 == 0, F.col("page")).alias("page"), "y0", "ord")
     bad = spark.createDataFrame([("history",)], "section string")
     good, _ = X.drop_prohibited(rows, sections(spark, sf_dir).withColumn("section", F.col("type")), bad)
     return good.select("doc_id", "ord")
 
 
 PERMITTED_CANDIDATES = f"""
-WITH {SECTIONS_SQL}, c AS (SELECT * FROM blocks WHERE ord % 3 = 0),
+WITH {SECTIONS_SQL}, c AS (SELECT * FROM blocks),
 p AS (SELECT c.doc_id, c.ord, (SELECT arg_max(coalesce(s.type, '-'), (s.page, s.y0, s.ord)) FROM sections s WHERE s.doc_id = c.doc_id AND (s.page < c.page OR s.page = c.page AND s.y0 <= c.y0 + 0.5)) AS type FROM c)
 SELECT doc_id, ord FROM p WHERE ord % 2 = 1 OR type IS DISTINCT FROM 'history'
 """
@@ -304,12 +304,12 @@ SELECT l_orderkey, (s % 4)::INT AS ord, arg_min(text, i) AS rationale FROM w WHE
 def placed_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth block's first words as a bookmark of its page."""
     b = blocks(spark, sf_dir)
-    marks = b.filter("ord % 4 = 0").select("doc_id", "ord", "page", F.substring("text", 1, 12).alias("title"))
+    marks = b.select("doc_id", "ord", "page", F.substring("text", 1, 12).alias("title"))
     return S.position_bookmarks(marks, b).select("doc_id", "ord", "y0")
 
 
 PLACED_BOOKMARKS = f"""
-WITH {LINES_SQL}, m AS (SELECT doc_id, ord, page, lower(substr(text, 1, 12)) AS t FROM blocks WHERE ord % 4 = 0), h AS (SELECT m.doc_id, m.ord, m.page, arg_min(b.y0, b.ord) AS y FROM m LEFT JOIN blocks b ON b.doc_id = m.doc_id AND b.page = m.page AND starts_with(lower(b.text), m.t) GROUP BY ALL)
+WITH {LINES_SQL}, m AS (SELECT doc_id, ord, page, lower(substr(text, 1, 12)) AS t FROM blocks), h AS (SELECT m.doc_id, m.ord, m.page, arg_min(b.y0, b.ord) AS y FROM m LEFT JOIN blocks b ON b.doc_id = m.doc_id AND b.page = m.page AND starts_with(lower(b.text), m.t) GROUP BY ALL)
 SELECT doc_id, ord, max(coalesce(y, 0)) OVER (PARTITION BY doc_id, page ORDER BY ord) AS y0 FROM h
 """
 
@@ -338,10 +338,10 @@ SELECT *, y0 = min(y0) OVER w AS first_on_page, y0 = max(y0) OVER w AS last_on_p
 
 def merged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
-    return B.merge_windows(b.filter("page = 1"), b.filter("ord % 5 = 0")).select("doc_id", "ord", "pos")
+    return B.merge_windows(b.filter("page = 1"), b.filter("size > 12")).select("doc_id", "ord", "pos")
 
 
-MERGED_WINDOWS = f"WITH {LINES_SQL}, u AS (SELECT doc_id, ord, page, y0 FROM blocks WHERE page = 1 UNION ALL SELECT doc_id, ord, page, y0 FROM blocks WHERE ord % 5 = 0) SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, ord)::INT AS pos FROM u"
+MERGED_WINDOWS = f"WITH {LINES_SQL}, u AS (SELECT doc_id, ord, page, y0 FROM blocks WHERE page = 1 UNION ALL SELECT doc_id, ord, page, y0 FROM blocks WHERE size > 12) SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, ord)::INT AS pos FROM u"
 
 
 def table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,14 +371,14 @@ def nested_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     meta = c.select(F.col("c_custkey").alias("study_id"), F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("c_name").alias("value")), F.struct(F.lit("segment").alias("field"), F.col("c_mktsegment").alias("value")))).alias("f")).select("study_id", "f.*")
     arms = o.select(F.col("o_custkey").alias("study_id"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderstatus") == "P", F.lit("Placebo")).otherwise(F.col("o_orderpriority")).alias("name"))
-    aims = o.filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("study_id"), F.col("o_orderkey").alias("record"), F.lit("primary").alias("tier"), F.col("o_orderpriority").alias("objective"), F.lit("e").alias("endpoints"))
+    aims = o.select(F.col("o_custkey").alias("study_id"), F.col("o_orderkey").alias("record"), F.lit("primary").alias("tier"), F.col("o_orderpriority").alias("objective"), F.lit("e").alias("endpoints"))
     out = X.study_input(meta, arms, aims)
     return out.select("study_id", F.col("fields")["title"].alias("title"), F.col("fields")["segment"].alias("segment"), F.array_join(F.transform("arms", lambda a: F.concat(a["name"], F.lit("="), a["type"])), "|").alias("arms"), F.array_join(F.transform("objectives", lambda a: a["objective"]), "|").alias("objectives"))
 
 
 NESTED_INPUTS = """
 SELECT c_custkey AS study_id, c_name AS title, c_mktsegment AS segment, (SELECT string_agg(CASE WHEN o_orderstatus = 'P' THEN 'Placebo=placebo' ELSE o_orderpriority || '=experimental' END, '|' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS arms,
-  (SELECT string_agg(o_orderpriority, '|' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = 0) AS objectives FROM customer
+  (SELECT string_agg(o_orderpriority, '|' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS objectives FROM customer
 """
 
 
