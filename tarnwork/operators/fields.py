@@ -169,6 +169,57 @@ def invariants(marks: DataFrame, key: str) -> DataFrame:
     return per.unpivot([key], names, "invariant", "holds").withColumn("holds", F.col("holds") == 1)
 
 
+# Fixed values of the invariants: least visits and activities, the share of activities with a mark and of distinct visit names, and the letters of labels,
+# criteria and objectives; how many criteria a study has at most; what a name that stands for none looks like.
+FEWEST_VISITS, FEWEST_ACTIVITIES, SCHEDULED, DISTINCT_NAMES, LABEL_SIZE, CRITERION_SIZE, OBJECTIVE_SIZE, MOST_CRITERIA = 2, 5, 0.6, 0.8, (1, 300), (4, 3500), 15, {"inclusion": 60, "exclusion": 80}
+NO_NAME = r"^V\d+$"
+
+
+def study_invariants(studies: DataFrame, visits: DataFrame, activities: DataFrame, marks: DataFrame, criteria: DataFrame, objectives_: DataFrame, key: str = "study_id") -> DataFrame:
+    """(key, part, invariant, holds) of each study, without labels: 10 of its schedule, 4 of its criteria, 4 of its objectives.
+
+    studies: key, has_slot, has_grid; visits: key, visit (from 0), name, epoch; activities: key, activity (from 0), name; marks: key, activity, visit; criteria: key,
+    category, text; objectives: key, level, objective, n_endpoints. Without a grid only three invariants of the schedule are told. Each part is one aggregate; no
+    lists are gathered. Null texts count as empty.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    size = lambda c: F.char_length(F.coalesce(c, F.lit("")))
+    v = visits.groupBy(key).agg(F.count("*").alias("n_v"), F.min((text("name") != "") & ~text("name").rlike(NO_NAME)).alias("real"), F.min(text("epoch") != "").alias("epochs"), F.count_distinct(F.coalesce("name", F.lit(""))).alias("names"))
+    a = activities.groupBy(key).agg(F.count("*").alias("n_a"), F.min(size("name").between(*LABEL_SIZE)).alias("sized"))
+    known = studies.select(key, "has_slot", "has_grid").join(v, key, "left").join(a, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_v", "n_a", "names")})
+    inside = (F.col("activity") >= 0) & (F.col("activity") < F.col("n_a")) & (F.col("visit") >= 0) & (F.col("visit") < F.col("n_v"))
+    m = marks.join(known.select(key, "n_v", "n_a"), key).groupBy(key).agg(F.min(inside).alias("inside"), F.count_distinct("visit").alias("m_v"), F.count_distinct("activity").alias("m_a"))
+    is_ = lambda side: F.count_if(F.col("category") == side)
+    c = criteria.groupBy(key).agg(is_("inclusion").alias("inc"), is_("exclusion").alias("exc"), F.min(size("text").between(*CRITERION_SIZE)).alias("c_sized"))
+    o = objectives_.groupBy(key).agg(F.count("*").alias("rows"), F.max(F.coalesce(F.col("level") == "Primary", F.lit(False))).alias("primary"), F.min(F.coalesce(F.col("n_endpoints") > 0, F.lit(False))).alias("endpoints"), F.min(size("objective") >= OBJECTIVE_SIZE).alias("o_sized"))
+    every = known.join(m, key, "left").join(c, key, "left").join(o, key, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("m_v", "m_a", "inc", "exc", "rows")})
+    yes, no = (lambda name: F.coalesce(F.col(name), F.lit(True))), (lambda name: F.coalesce(F.col(name), F.lit(False)))  # noqa: E731  of what is not there, all holds and nothing is found
+    n_v, n_a = F.col("n_v"), F.col("n_a")
+    grid = lambda holds: F.when(F.col("has_grid"), holds)
+    told = [
+        ("schedule", "slot_found", F.col("has_slot")),
+        ("schedule", "grid_found", F.col("has_grid")),
+        ("schedule", "enough_visits_and_activities", F.col("has_grid") & (n_v >= FEWEST_VISITS) & (n_a >= FEWEST_ACTIVITIES)),
+        ("schedule", "marks_are_in_range", grid(yes("inside"))),
+        ("schedule", "every_visit_has_a_mark", grid((n_v > 0) & (F.col("m_v") == n_v))),
+        ("schedule", "most_activities_are_scheduled", grid((n_a > 0) & (F.col("m_a") >= SCHEDULED * n_a))),
+        ("schedule", "visit_names_are_real", grid(yes("real"))),
+        ("schedule", "every_visit_has_an_epoch", grid(yes("epochs"))),
+        ("schedule", "activity_names_are_label_sized", grid(yes("sized"))),
+        ("schedule", "visit_names_are_unique_enough", grid((n_v == 0) | (F.col("names") >= DISTINCT_NAMES * n_v))),
+        ("eligibility", "has_inclusion", F.col("inc") > 0),
+        ("eligibility", "has_exclusion", F.col("exc") > 0),
+        ("eligibility", "items_are_criterion_sized", no("c_sized")),
+        ("eligibility", "list_sizes_are_plausible", F.col("inc").between(1, MOST_CRITERIA["inclusion"]) & F.col("exc").between(1, MOST_CRITERIA["exclusion"])),
+        ("objectives", "table_found", F.col("rows") > 0),
+        ("objectives", "has_a_primary_objective", no("primary")),
+        ("objectives", "every_row_has_an_endpoint", no("endpoints")),
+        ("objectives", "objective_text_is_real", no("o_sized")),
+    ]
+    rows = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(name).alias("invariant"), holds.alias("holds")) for part, name, holds in told))
+    return every.select(key, F.inline(F.filter(rows, lambda r: r["holds"].isNotNull())))
+
+
 def study_split(studies: DataFrame, which: str, heldout: list[str], confirmed: bool = False) -> DataFrame:
     """Studies of a split: train, heldout or all; held-out ones only once confirmed."""
     if which not in ("train", "heldout", "all"):

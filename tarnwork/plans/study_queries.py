@@ -366,6 +366,38 @@ SELECT conv_id, count(*) FILTER (kind = 'added') AS n_added, count(*) FILTER (ki
 """
 
 
+def study_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as studies: their nations' numbers as visits of an order's lines, orders as criteria and objectives."""
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("study_id")), "l_orderkey")
+    grid = li.groupBy("study_id").agg((F.max("l_linenumber") > 2).alias("has_grid"), (F.max("l_suppkey") % 3 > 0).alias("has_slot"))
+    studies = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("study_id")).join(grid, "study_id", "left").fillna(False)
+    visits = li.groupBy("study_id", F.col("l_linenumber").alias("n")).agg((F.max("l_suppkey") % 6).alias("k")).select("study_id", (F.col("n") - 1).cast("int").alias("visit"), F.when(F.col("k") == 0, F.concat(F.lit("V"), F.col("n").cast("string"))).otherwise(F.concat(F.lit("Visit "), (F.col("n") % 5).cast("string"))).alias("name"), F.when(F.col("k") != 1, "Treatment").alias("epoch"))
+    activities = li.select("study_id", (F.col("l_partkey") % 9).cast("int").alias("activity")).distinct().withColumn("name", F.when(F.col("activity") == 8, "").otherwise(F.col("activity").cast("string")))
+    marks = li.select("study_id", (F.col("l_partkey") % 9).cast("int").alias("activity"), (F.col("l_linenumber") - 1).cast("int").alias("visit")).filter("visit < 5")
+    criteria = o.select(F.col("o_custkey").alias("study_id"), F.when(F.col("o_orderstatus") == "F", "inclusion").otherwise("exclusion").alias("category"), F.substring("o_orderpriority", 3, 9).alias("text"))
+    aims = o.select(F.col("o_custkey").alias("study_id"), F.when(F.col("o_orderpriority").startswith("1"), "Primary").alias("level"), F.concat(F.lit("objective "), "o_orderpriority").alias("objective"), F.when(F.col("o_orderkey") % 7 > 0, 1).alias("n_endpoints"))
+    return X.study_invariants(studies, visits, activities, marks, criteria, aims)
+
+
+STUDY_INVARIANTS = """
+WITH li AS (SELECT l.*, o_custkey AS s FROM lineitem l JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT c_custkey AS s, coalesce(max(l_linenumber) > 2, false) AS grid, coalesce(max(l_suppkey) % 3 > 0, false) AS slot FROM customer LEFT JOIN li ON s = c_custkey GROUP BY 1),
+v0 AS (SELECT s, l_linenumber AS n, max(l_suppkey) % 6 AS k FROM li GROUP BY ALL), v AS (SELECT s, count(*) AS n_v, bool_and(k <> 0) AS real, bool_and(k <> 1) AS epochs, count(DISTINCT CASE WHEN k = 0 THEN 'V' || n ELSE 'Visit ' || n % 5 END) AS names FROM v0 GROUP BY s),
+a AS (SELECT s, count(DISTINCT l_partkey % 9) AS n_a, bool_and(l_partkey % 9 < 8) AS sized FROM li GROUP BY s),
+m AS (SELECT li.s, bool_and(l_partkey % 9 < n_a AND l_linenumber <= n_v) AS inside, count(DISTINCT l_linenumber) AS m_v, count(DISTINCT l_partkey % 9) AS m_a FROM li JOIN v ON li.s = v.s JOIN a ON li.s = a.s WHERE l_linenumber < 6 GROUP BY li.s),
+c AS (SELECT o_custkey AS s, count(*) FILTER (o_orderstatus = 'F') AS inc, count(*) FILTER (o_orderstatus <> 'F') AS exc, bool_and(length(substr(o_orderpriority, 3, 9)) BETWEEN 4 AND 3500) AS cs, count(*) AS rows, bool_or(starts_with(o_orderpriority, '1')) AS pri, bool_and(o_orderkey % 7 > 0) AS ends, bool_and(length('objective ' || o_orderpriority) >= 15) AS os FROM orders GROUP BY 1),
+e AS (SELECT g.s, g.grid, g.slot, coalesce(n_v, 0) AS n_v, coalesce(n_a, 0) AS n_a, coalesce(real, true) AS real, coalesce(epochs, true) AS epochs, coalesce(names, 0) AS names, coalesce(sized, true) AS sized, coalesce(inside, true) AS inside, coalesce(m_v, 0) AS m_v, coalesce(m_a, 0) AS m_a, coalesce(inc, 0) AS inc, coalesce(exc, 0) AS exc, coalesce(cs, false) AS cs, coalesce(rows, 0) AS rows, coalesce(pri, false) AS pri, coalesce(ends, false) AS ends, coalesce(os, false) AS os
+  FROM g LEFT JOIN v ON g.s = v.s LEFT JOIN a ON g.s = a.s LEFT JOIN m ON g.s = m.s LEFT JOIN c ON g.s = c.s),
+r AS (SELECT s, unnest([struct_pack(p := 'schedule', i := 'slot_found', h := slot), struct_pack(p := 'schedule', i := 'grid_found', h := grid), struct_pack(p := 'schedule', i := 'enough_visits_and_activities', h := grid AND n_v >= 2 AND n_a >= 5),
+  struct_pack(p := 'schedule', i := 'marks_are_in_range', h := CASE WHEN grid THEN inside END), struct_pack(p := 'schedule', i := 'every_visit_has_a_mark', h := CASE WHEN grid THEN n_v > 0 AND m_v = n_v END), struct_pack(p := 'schedule', i := 'most_activities_are_scheduled', h := CASE WHEN grid THEN n_a > 0 AND m_a >= 0.6 * n_a END),
+  struct_pack(p := 'schedule', i := 'visit_names_are_real', h := CASE WHEN grid THEN real END), struct_pack(p := 'schedule', i := 'every_visit_has_an_epoch', h := CASE WHEN grid THEN epochs END), struct_pack(p := 'schedule', i := 'activity_names_are_label_sized', h := CASE WHEN grid THEN sized END),
+  struct_pack(p := 'schedule', i := 'visit_names_are_unique_enough', h := CASE WHEN grid THEN n_v = 0 OR names >= 0.8 * n_v END), struct_pack(p := 'eligibility', i := 'has_inclusion', h := inc > 0), struct_pack(p := 'eligibility', i := 'has_exclusion', h := exc > 0), struct_pack(p := 'eligibility', i := 'items_are_criterion_sized', h := cs),
+  struct_pack(p := 'eligibility', i := 'list_sizes_are_plausible', h := inc BETWEEN 1 AND 60 AND exc BETWEEN 1 AND 80), struct_pack(p := 'objectives', i := 'table_found', h := rows > 0), struct_pack(p := 'objectives', i := 'has_a_primary_objective', h := pri), struct_pack(p := 'objectives', i := 'every_row_has_an_endpoint', h := ends), struct_pack(p := 'objectives', i := 'objective_text_is_real', h := os)]) AS x FROM e)
+SELECT s AS study_id, x.p AS part, x.i AS invariant, x.h AS holds FROM r WHERE x.h IS NOT NULL
+"""
+
+
 def nested_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as studies with their fields, orders as arms, lines as objectives: one nested row for each, as JSON."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
@@ -483,12 +515,14 @@ SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page)::INT
 
 
 QUERIES = {
+    "study_invariants": study_invariants,
     "visit_labels": visit_labels, "title_pages": title_pages, "current_sections": current_sections, "organization_roles": organization_roles, "study_findings": study_findings, "ranked_pages": ranked_pages,
     "title_axes": title_axes, "labelled_sections": labelled_sections, "deep_types": deep_types, "fingerprints": fingerprints, "feature_rows": feature_rows, "missing_visits": missing_visits, "domains_touched": domains_touched, "all_cells": all_cells, "live_jobs": live_jobs, "scalar_agreement": scalar_agreement, "study_scores": study_scores,
     "first_tables": first_tables, "first_writes": first_writes, "permitted_candidates": permitted_candidates, "table_data": table_data, "reviewer_rows": reviewer_rows, "training_studies": training_studies, "change_rationales": change_rationales, "placed_bookmarks": placed_bookmarks, "chosen_graphs": chosen_graphs,
     "bounding_tables": bounding_tables, "merged_windows": merged_windows, "table_edges": table_edges, "amendment_counts": amendment_counts, "nested_inputs": nested_inputs, "label_rows": label_rows,
 }
 SQL = {
+    "study_invariants": STUDY_INVARIANTS,
     "visit_labels": VISIT_LABELS, "title_pages": TITLE_PAGES, "current_sections": CURRENT_SECTIONS, "organization_roles": ORGANIZATION_ROLES, "study_findings": STUDY_FINDINGS, "ranked_pages": RANKED_PAGES,
     "title_axes": TITLE_AXES_SQL, "labelled_sections": LABELLED_SECTIONS, "deep_types": DEEP_TYPES, "fingerprints": FINGERPRINTS, "feature_rows": FEATURE_ROWS, "missing_visits": MISSING_VISITS, "domains_touched": DOMAINS_TOUCHED, "all_cells": ALL_CELLS, "live_jobs": LIVE_JOBS, "scalar_agreement": SCALAR_AGREEMENT,
     "first_tables": FIRST_TABLES, "first_writes": FIRST_WRITES, "permitted_candidates": PERMITTED_CANDIDATES, "table_data": TABLE_DATA, "reviewer_rows": REVIEWER_ROWS, "training_studies": TRAINING_STUDIES, "change_rationales": CHANGE_RATIONALES, "placed_bookmarks": PLACED_BOOKMARKS, "chosen_graphs": CHOSEN_GRAPHS,
