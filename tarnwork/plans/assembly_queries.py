@@ -107,6 +107,19 @@ r AS (
   UNION ALL SELECT o_orderkey, 'named_if_large', 'ERROR', count(*) FILTER (q > 40 AND name IS NULL) FROM e GROUP BY 1 UNION ALL SELECT e.o_orderkey, 'small_in_open_orders', 'INFO', count(*) FILTER (NOT f AND q >= 49) FROM e JOIN o ON o.o_orderkey = e.o_orderkey GROUP BY 1)
 SELECT o_orderkey, rule, severity, n::INT AS n FROM r WHERE n > 0
 """
+def salvaged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([*NESTED_RULES, ("no_huge_scope", "identifiers[].scope.size", "none", "x > 46", "ERROR"), ("is_healthy", "healthy", "all", "x", "INFO")], "rule string, path string, quantifier string, predicate string, severity string")
+    kept = N.salvaged(_nested_orders(spark, sf_dir), "o_orderkey", rules, required=("title",), degrade={"identifiers": "scope"})
+    counts = {"n_identifiers": F.when(F.col("identifiers").isNotNull(), F.size("identifiers")), "n_scopes": F.when(F.col("identifiers").isNotNull(), F.size(F.filter("identifiers", lambda x: x["scope"].isNotNull())))}
+    return kept.withColumns(counts).select("o_orderkey", "title", "healthy", "n_identifiers", "n_scopes", "ok", F.col("statuses")["identifiers"].alias("identifiers"), F.round("reliance", 6).alias("reliance"))
+
+
+SALVAGED_ORDERS = f"""
+WITH {NESTED_SQL}, i AS (SELECT o_orderkey, count(*) AS n, count(*) FILTER (q > 40 AND name IS NULL) > 0 AS bad, count(*) FILTER (q > 46) > 0 AS huge FROM e GROUP BY 1),
+s AS (SELECT o.o_orderkey, CASE o_custkey % 4 WHEN 1 THEN '  A' || chr(9) || ' study ' WHEN 0 THEN NULL ELSE 'Study ' || o_custkey END AS t, CASE WHEN o_orderstatus = 'F' THEN true END AS h, n, CASE WHEN n IS NULL THEN NULL WHEN bad THEN 'dropped' WHEN huge THEN 'degraded' ELSE 'kept' END AS st FROM orders o LEFT JOIN i ON o.o_orderkey = i.o_orderkey)
+SELECT o_orderkey, t AS title, CASE WHEN t IS NOT NULL THEN h END AS healthy, CASE WHEN t IS NOT NULL AND st <> 'dropped' THEN n END::INT AS n_identifiers, CASE WHEN t IS NOT NULL AND st = 'kept' THEN n WHEN t IS NOT NULL AND st = 'degraded' THEN 0 END::INT AS n_scopes, t IS NOT NULL AS ok, st AS identifiers,
+  CASE WHEN t IS NULL AND h IS NULL AND st IS NULL THEN NULL WHEN t IS NULL THEN 0 ELSE round((1 + (h IS NOT NULL)::INT + coalesce((st <> 'dropped')::INT, 0)) / (1.0 + (h IS NOT NULL)::INT + (st IS NOT NULL)::INT), 6) END::DOUBLE AS reliance FROM s
+"""
 #: rules for fields of customers; families are their market segments, phases the last digits of their nations
 ROUTE_RULES = [
     (1, "title", "primary", None, None, ["header"], None, None), (2, "title", "primary", "BUILDING", None, ["summary"], None, None), (3, "title", "primary", None, "1", ["design"], None, None), (4, "title", "primary", "BUILDING", "1", ["population"], ["main"], None),
@@ -262,12 +275,12 @@ def full_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "nested_findings": nested_findings, "nested_values": nested_values, "broken_rules": broken_rules, "route_plans": route_plans, "routed_sections": routed_sections,
+    "nested_findings": nested_findings, "nested_values": nested_values, "broken_rules": broken_rules, "salvaged_orders": salvaged_orders, "route_plans": route_plans, "routed_sections": routed_sections,
     "full_studies": full_studies, "vision_pages": vision_pages, "gate_rules": gate_rules, "metadata_spine": metadata_spine,
     "sanitized_parts": sanitized_parts, "sanitizer_findings": sanitizer_findings, "unique_names": unique_names, "activity_links": activity_links, "assembled_orders": assembled_orders, "failed_rules": failed_rules, "cached_replies": cached_replies, "parsed_replies": parsed_replies, "reply_verdicts": reply_verdicts, "hourly_events": hourly_events,
 }
 SQL = {
-    "nested_findings": NESTED_FINDINGS, "nested_values": NESTED_VALUES, "broken_rules": BROKEN_RULES, "route_plans": ROUTE_PLANS, "routed_sections": ROUTED_SECTIONS,
+    "nested_findings": NESTED_FINDINGS, "nested_values": NESTED_VALUES, "broken_rules": BROKEN_RULES, "salvaged_orders": SALVAGED_ORDERS, "route_plans": ROUTE_PLANS, "routed_sections": ROUTED_SECTIONS,
     "vision_pages": VISION_PAGES, "gate_rules": GATE_RULES, "metadata_spine": METADATA_SPINE,
     "sanitized_parts": SANITIZED_PARTS, "sanitizer_findings": SANITIZER_FINDINGS, "unique_names": UNIQUE_NAMES, "activity_links": ACTIVITY_LINKS, "assembled_orders": ASSEMBLED_ORDERS, "failed_rules": FAILED_RULES, "cached_replies": CACHED_REPLIES, "parsed_replies": PARSED_REPLIES, "reply_verdicts": REPLY_VERDICTS, "hourly_events": HOURLY_EVENTS,
 }

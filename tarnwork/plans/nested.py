@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 FINDING = "array<struct<path:string,kind:string,severity:string>>"
 _BLANKS = r"[\s\p{Cc}]+"
@@ -134,3 +134,56 @@ def broken_rules(studies: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     if not checks:
         return studies.sparkSession.createDataFrame([], f"{key} {dict(studies.dtypes)[key]}, rule string, severity string, n int")
     return studies.select(key, F.inline(F.filter(F.array(*checks), lambda c: c["n"] > 0)))
+
+
+def _open(kind: DataType) -> DataType:
+    """The same type with nulls at every depth."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _open(f.dataType), True) for f in kind.fields])
+    return ArrayType(_open(kind.elementType), True) if isinstance(kind, ArrayType) else kind
+
+
+def salvaged(studies: DataFrame, key: str, rules: DataFrame, required: tuple[str, ...] = (), degrade: dict[str, str] | None = None) -> DataFrame:
+    """Studies with what can be kept of them: key, parts, ok, statuses, reliance. A part is a column, and a rule of severity ERROR concerns the part that its path begins with.
+
+    A part that breaks no such rule is kept. If all that it breaks is about its field degrade[part], that field is taken out and the rest stays ("degraded"); else the
+    part is null ("dropped"). Parts that are null have no status. A study whose required part is dropped, or was never there, is not ok and keeps nothing.
+    statuses: map of parts; reliance: kept and degraded parts over those that were there, null without any. All in one scan.
+    """
+    degrade = degrade or {}
+    parts = [f for f in studies.schema.fields if f.name != key]
+    own: dict[str, list[Column]] = {f.name: [] for f in parts}
+    inner: dict[str, list[Column]] = {f.name: [] for f in parts}
+    for r in rules.filter("severity = 'ERROR'").orderBy("rule").toLocalIterator():
+        part, *rest = (step.removesuffix("[]") for step in r["path"].split("."))
+        side = inner if rest and rest[0] == degrade.get(part) else own
+        if part in side:
+            side[part].append(F.expr(compiled(r["path"], r["quantifier"], r["predicate"])) > 0)
+    broken = lambda checks: F.exists(F.array(*checks), lambda b: b) if checks else F.lit(False)
+    status = {f.name: F.when(F.col(f.name).isNull(), None).when(broken(own[f.name]), "dropped").when(broken(inner[f.name]), "degraded").otherwise("kept") for f in parts}
+    told = studies.withColumns({f"_s_{n}": c.cast("string") for n, c in status.items()})
+    state = {n: F.col(f"_s_{n}") for n in status}
+    ok = F.lit(True)
+    for n in required:
+        ok = ok & F.coalesce(state[n] != "dropped", F.lit(False))
+
+    def kept(f) -> Column:
+        value = F.col(f.name)
+        if f.name in degrade:
+            without = (lambda x: x.withField(degrade[f.name], F.lit(None))) if isinstance(f.dataType, StructType) else None
+            less = without(value) if without else F.transform(value, lambda x: x.withField(degrade[f.name], F.lit(None)))
+            kind = _open(f.dataType)
+            value = F.when(state[f.name] == "degraded", less.cast(kind)).otherwise(value.cast(kind))
+        return F.when(ok & (state[f.name] != "dropped"), value).alias(f.name)
+
+    there = F.filter(F.array(*state.values()), lambda x: x.isNotNull())
+    produced = F.filter(there, lambda x: x != "dropped")
+    reliance = F.when(F.size(there) > 0, F.when(ok, F.size(produced)).otherwise(0) / F.size(there))
+    names = F.map_filter(F.create_map(*(x for n, c in state.items() for x in (F.lit(n), c))), lambda _, v: v.isNotNull())
+    return told.select(key, *map(kept, parts), ok.alias("ok"), names.alias("statuses"), reliance.alias("reliance"))
+
+
+def salvage_findings(kept: DataFrame, key: str) -> DataFrame:
+    """(key, part, kind, severity) of salvaged studies: parts that were dropped or degraded."""
+    rows = kept.select(key, "ok", F.explode("statuses").alias("part", "kind")).filter("kind <> 'kept'")
+    return rows.select(key, "part", "kind", F.when(~F.col("ok") | (F.col("kind") == "dropped"), "ERROR").otherwise("WARNING").alias("severity"))

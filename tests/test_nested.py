@@ -176,3 +176,21 @@ def test_sections_by_role(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 0, "f", "primary"), (1, 1, "f", "supporting"), (1, 2, "f", "prohibited"), (1, 4, "g", "primary")]
     assert sorted(map(tuple, routes.without_evidence(plans, got).collect())) == [(1, "h"), (2, "f"), (2, "g"), (2, "h")]
     assert got.filter(F.col("role").isNull()).count() == 0
+
+
+def test_what_can_be_kept_is_kept(spark):
+    schema = "id long, head struct<title:string>, aims struct<text:string,estimands:array<string>>, arms array<struct<name:string,note:string>>, extra string"
+    rows = [(1, ("t",), ("a", ["e"]), [("n", "x")], "x"), (2, ("t",), ("a", [""]), [("n", "x")], None), (3, ("t",), ("", [""]), [("", "x")], "y"), (4, ("",), ("a", ["e"]), None, None), (5, None, None, None, None), (6, ("t",), None, [("n", None)], None)]
+    rules = [("r1", "head.title", "all", "x <> ''", "ERROR"), ("r2", "aims.text", "all", "x <> ''", "ERROR"), ("r3", "aims.estimands[]", "all", "x <> ''", "ERROR"), ("r4", "arms[].name", "all", "x <> ''", "ERROR"), ("r5", "arms[].note", "all", "x is not null", "ERROR"), ("r6", "extra", "all", "x = 'y'", "WARNING")]
+    table = spark.createDataFrame(rules, "rule string, path string, quantifier string, predicate string, severity string")
+    kept = nested.salvaged(spark.createDataFrame(rows, schema), "id", table, ("head",), {"aims": "estimands", "arms": "note"})
+    got = {r.id: (r.ok, dict(r.statuses), untyped(tuple(r.aims)) if r.aims else None, untyped([tuple(a) for a in r.arms]) if r.arms else None, r.reliance) for r in kept.collect()}
+    assert got == {
+        1: (True, {"head": "kept", "aims": "kept", "arms": "kept", "extra": "kept"}, ("a", ["e"]), [("n", "x")], 1.0),
+        2: (True, {"head": "kept", "aims": "degraded", "arms": "kept"}, ("a", None), [("n", "x")], 1.0),
+        3: (True, {"head": "kept", "aims": "dropped", "arms": "dropped", "extra": "kept"}, None, None, 0.5),
+        4: (False, {"head": "dropped", "aims": "kept"}, None, None, 0.0),
+        5: (False, {}, None, None, None),
+        6: (True, {"head": "kept", "arms": "degraded"}, None, [("n", None)], 1.0),
+    }
+    assert sorted(tuple(r) for r in nested.salvage_findings(kept, "id").collect()) == [(2, "aims", "degraded", "WARNING"), (3, "aims", "dropped", "ERROR"), (3, "arms", "dropped", "ERROR"), (4, "head", "dropped", "ERROR"), (6, "arms", "degraded", "WARNING")]
