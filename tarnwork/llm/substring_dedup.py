@@ -24,8 +24,8 @@ from .token_binary import WaveletMatrix
 
 #: words of an anchor
 ANCHOR = 5
-#: an anchor in more segments than this is split: each of its windows is dealt by its own hash
-HOT = 5_000
+#: an anchor in more segments, or with more words in them, is split: each of its windows is dealt by its own hash
+HOT, HOT_WORDS = 5_000, 250_000
 #: words of the segments that one index holds, if no anchor has more
 SHARD_WORDS = 250_000
 #: suffixes whose smallest document is stored together
@@ -151,10 +151,10 @@ def _segments(buf: np.ndarray, off: np.ndarray, span: int) -> tuple:
 def _anchors(docs: DataFrame, span: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in blocks(batches):
-            row, _, _, anchor, *_ = _segments(buf, off, span)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), rows.column("doc_id").take(pa.array(row))], ["anchor", "doc_id"])
+            row, _, windows, anchor, *_ = _segments(buf, off, span)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), rows.column("doc_id").take(pa.array(row)), pa.array((windows + span - 1).astype(np.int32))], ["anchor", "doc_id", "words"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(scan, "anchor long, doc_id long, words int")
 
 
 def _cut(docs: DataFrame, span: int, of_hot: bool) -> DataFrame:
@@ -249,7 +249,7 @@ def _lists(values: np.ndarray, lens: np.ndarray) -> pa.ListArray:
 
 
 def _gone(rows: DataFrame, span: int) -> DataFrame:
-    """(doc_id, _key, gone): windows to remove from each row's segments. An anchor has at most HOT of them."""
+    """(doc_id, _key, gone): windows to remove from each row's segments. An anchor has at most HOT of them, with HOT_WORDS words."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, keys, starts, words in _shards(batches, ["doc_id", "_key", "start", "words"]):
@@ -319,8 +319,8 @@ def drop_repeats(docs: DataFrame, span: int = 13) -> DataFrame:
     are each judged, and never against one another. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("_anonymous"))
-    w = Window.partitionBy("anchor")  # one shuffle of two numbers a row, and one sort, which spills
-    anchors = _anchors(docs, span).withColumns({"_x": F.min("doc_id").over(w), "_y": F.max("doc_id").over(w), "_hot": F.count("*").over(w) > HOT})
+    w = Window.partitionBy("anchor")  # one shuffle of three numbers a row, and one sort, which spills
+    anchors = _anchors(docs, span).withColumns({"_x": F.min("doc_id").over(w), "_y": F.max("doc_id").over(w), "_hot": (F.count("*").over(w) > HOT) | (F.sum("words").over(w) > HOT_WORDS)})
     hits = checkpointed(anchors.filter("_x <> _y").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("_hot"), F.col("anchor"))).alias("hot")))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     gone = _gone(_cut(keyed.join(hits, "doc_id"), span, of_hot=False), span)

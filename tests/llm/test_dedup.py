@@ -183,3 +183,16 @@ def test_segments_come_in_pieces(spark, monkeypatch):
     rows = [(1, " ".join(f"w{i}" for i in range(400))), (2, "x " + " ".join(f"w{i}" for i in range(100, 300)))]
     got = {r.doc_id: r.n_removed for r in drop_repeats(table(spark, rows), 13).collect()}
     assert got == {1: 0, 2: 200}
+
+
+def test_texts_that_repeat_themselves_fill_no_index(spark, monkeypatch):
+    """Long texts of one passage over and over are one segment each; by their words their anchor is hot, and what is indexed stays small."""
+    monkeypatch.setattr(substring_dedup, "HOT_WORDS", 3_000)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 3_000)
+    passage = " ".join(f"w{k}" for k in range(5))
+    docs = [(i, " ".join([passage] * 300 + [f"own{i}"])) for i in range(12)] + [(50, " ".join(f"x{k}" for k in range(40)))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in drop_repeats(table(spark, docs)).collect()}
+    assert got == {0: (1501, 0), **{i: (1501, 1500) for i in range(1, 12)}, 50: (40, 0)}
+    docs_ = table(spark, docs).selectExpr("doc_id", "text")
+    sizes = substring_dedup._anchors(docs_, 13).groupBy("anchor").agg(F.sum("words").alias("n")).filter(f"n > {substring_dedup.HOT_WORDS}").count()
+    assert sizes > 0
