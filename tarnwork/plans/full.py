@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..shared import checkpointed
 from ..operators import features as V
 from ..operators import fields as X
-from ..operators.blocks import classify_blocks, strip_furniture, text_blocks
+from ..operators.blocks import classify_blocks, head_text, strip_furniture, text_blocks
 from ..operators.grids import demote
 from ..operators.sections import nest, section_of, split_numbered, title_shaped
-from ..operators.titles import HISTORY, label_sections
+from ..operators.titles import HISTORY, fingerprint, label_sections
 from .assembly import assemble, sanitize
+from .routes import routed as by_plan
+from .routes import study_plans
 from .spine import metadata
 
 #: which types of sections give evidence for a domain; what stands before the first section is for the metadata
@@ -28,15 +30,23 @@ def headings(blocks: DataFrame) -> DataFrame:
     return rows.filter(title_shaped(bare)).select("doc_id", "ord", "page", "y0", level.alias("level"), F.col("text").alias("title"))
 
 
-def domain_windows(blocks: DataFrame, sections: DataFrame, routes: dict[str, tuple[str, ...]] = ROUTES) -> tuple[DataFrame, DataFrame]:
+def domain_windows(blocks: DataFrame, sections: DataFrame, routes: dict[str, tuple[str, ...]] = ROUTES, plans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Blocks with the domain that they are evidence for (a block can serve several), and windows (doc_id, domain, kept, dropped, fallback).
 
     sections: with type and subtype. What stands under a history of amendments is evidence for nothing. A domain without any block of its own
-    falls back to all of the document that is not historic.
+    falls back to all of the document that is not historic. plans: those of routes.study_plans, whose fields are domains of `routes`; for documents with a plan they
+    say which sections are evidence, and what stands before the first section is for the metadata as ever.
     """
-    placed = section_of(blocks, sections, ["type", "subtype"]).filter(~F.coalesce(F.col("subtype") == HISTORY, F.lit(False)))
-    own = [F.when(F.col("type").isin(*types) | ((F.col("type").isNull()) & F.lit(domain == "metadata")), F.lit(domain)) for domain, types in routes.items()]
-    routed = placed.withColumn("_own", F.array_compact(F.array(*own)))
+    placed = section_of(blocks, sections.withColumn("_sec", F.col("ord")), ["type", "subtype", "_sec"]).filter(~F.coalesce(F.col("subtype") == HISTORY, F.lit(False)))
+    own = F.array_compact(F.array(*(F.when(F.col("type").isin(*types) | ((F.col("type").isNull()) & F.lit(domain == "metadata")), F.lit(domain)) for domain, types in routes.items())))
+    if plans is None:
+        routed = placed.withColumn("_own", own)
+    else:
+        scoped = sections if "scope" in sections.columns else sections.withColumn("scope", F.lit(None).cast("string"))
+        evidence = by_plan(plans, scoped).filter("role <> 'prohibited'").groupBy("doc_id", F.col("ord").alias("_sec")).agg(F.collect_set("field").alias("_named"))
+        planned = plans.select("doc_id", F.lit(True).alias("_planned")).distinct()
+        front = F.when(F.col("_sec").isNull(), F.array(F.lit("metadata"))).otherwise(F.array().cast("array<string>"))
+        routed = placed.join(evidence, ["doc_id", "_sec"], "left").join(planned, "doc_id", "left").withColumn("_own", F.when(F.col("_planned"), F.array_intersect(F.array(*map(F.lit, routes)), F.array_union(F.coalesce("_named", F.array().cast("array<string>")), front))).otherwise(own))
     some = routed.groupBy("doc_id").agg(F.flatten(F.collect_set("_own")).alias("_some"))
     every = F.array(*map(F.lit, routes))
     left = F.array_except(every, F.array_distinct("_some"))
@@ -52,16 +62,21 @@ def _texts(rows: DataFrame, domain: str) -> DataFrame:
     return own.select("doc_id", F.array_join(F.transform("_b", lambda b: b["text"]), "\n").alias("text"))
 
 
-def full_loop(docs: DataFrame, labels: DataFrame, others: DataFrame | None = None, visits: DataFrame | None = None, threshold: float = 0.9) -> dict[str, DataFrame]:
+def full_loop(docs: DataFrame, labels: DataFrame, others: DataFrame | None = None, visits: DataFrame | None = None, threshold: float = 0.9, rules: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every stage's table, by name: fields, arms, criteria, objectives, estimands, windows, findings, features and studies.
 
     docs: doc_id, text; labels and others as for the metadata; visits (doc_id, label): the columns of schedules, where some are known. A field is
     accepted at a confidence of `threshold`, or reviewed; fields of a domain with an ERROR are reviewed in any case. Documents without text have a
-    study without parts. One pass over the texts makes the blocks; everything else joins by document.
+    study without parts. rules: as routes.RULE, with domains for fields; families are the archetypes of documents and phases the first that their first page
+    names (phase_2). One pass over the texts makes the blocks; everything else joins by document.
     """
     blocks = strip_furniture(text_blocks(docs)).transform(checkpointed)
     sections = label_sections(nest(headings(blocks))).transform(checkpointed)
-    rows, windows = domain_windows(blocks, sections)
+    plans = None
+    if rules is not None:
+        seen = fingerprint(head_text(blocks, 1).withColumnRenamed("head", "title_page"), sections)
+        plans = study_plans(seen.select("doc_id", F.col("archetype").alias("family"), F.get("phases", F.lit(0)).alias("phase")), rules).transform(checkpointed)
+    rows, windows = domain_windows(blocks, sections, plans=plans)
     rows = rows.transform(checkpointed)
 
     decided = metadata(docs, labels, others)

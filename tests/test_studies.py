@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwork import schemas
 from tarnwork.operators import calibration, features, folds, schedules, scoring, sections, titles, voting
-from tarnwork.plans import assembly, full
+from tarnwork.plans import assembly, full, routes
 from tarnwork.sources import files, runs
 
 
@@ -231,3 +231,23 @@ def test_full_loop(spark):
     studies = {r.doc_id: r for r in got["studies"].collect()}
     assert studies[1].produced == 1.0 and studies[2].produced == 0.0 and json.dumps(len(studies[1].arms)) == "2"
     assert got["features"].count() == 6 and {r.window_kept_ratio is not None for r in got["features"].filter("study_id = 1").collect()} == {True}
+
+
+def test_full_loop_by_rules(spark):
+    """Rules that say what the built-in routes do change nothing; others move the evidence."""
+    docs = spark.createDataFrame([(1, TEXT), (2, None)], "doc_id long, text string")
+    blocks = full.strip_furniture(full.text_blocks(docs))
+    sections = full.label_sections(full.nest(full.headings(blocks))).transform(full.checkpointed)
+    known = [(k, domain, "primary", None, None, list(types), None, None) for k, (domain, types) in enumerate(full.ROUTES.items())]
+    studies = spark.createDataFrame([(1, "f", "phase_2")], "doc_id long, family string, phase string")
+    plans = lambda rules: routes.study_plans(studies, spark.createDataFrame(rules, routes.RULE))
+    usual, same = full.domain_windows(blocks, sections), full.domain_windows(blocks, sections, plans=plans(known))
+    pick = lambda rows: sorted(map(tuple, rows.select("doc_id", "domain", "ord").collect()))
+    untyped = {(r.doc_id, "metadata", r.ord) for r in full.section_of(blocks, sections, ["type"]).filter("type is null").collect()}
+    assert set(pick(usual[0])) - set(pick(same[0])) <= untyped and set(pick(same[0])) <= set(pick(usual[0]))
+    moved = full.domain_windows(blocks, sections, plans=plans([*known, (90, "eligibility", "primary", None, "phase_2", ["science"], None, None), (91, "objectives", "prohibited", "f", None, ["science"], None, None)]))
+    science = {r.ord for r in full.section_of(blocks, sections, ["type"]).filter("type = 'science'").collect()}
+    got = pick(moved[0])
+    assert science and {o for _, d, o in got if d == "eligibility"} == science
+    fallback = lambda windows: {r.domain for r in windows.filter("doc_id = 1 and fallback").collect()}
+    assert "objectives" in fallback(moved[1]) - fallback(same[1])  # nothing else is left for them
