@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
@@ -75,6 +76,18 @@ def deleted(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand Python at most so many rows at once: for rows that hold long texts, several of them each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def few(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df, marked to be sent to every task if a count shows that it has no more than `most` rows; else a join deals both sides."""
     return F.broadcast(df) if df.count() <= most else df

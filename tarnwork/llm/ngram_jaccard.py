@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, deleted, few, find_words, hash_grams, hash_words, mix, ragged, shared_members, states_in_block, text_bytes, written
+from .common import blocks, checkpointed, deleted, few, find_words, hash_grams, hash_words, mix, ragged, shared_members, small_batches, states_in_block, text_bytes, written
 from .graphs import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -31,6 +31,8 @@ LIGHT = 16
 BLOCK = 1024
 #: rounds in which a signature with many likely pairs gives only those of a few of its nodes
 ROUNDS = 6
+#: pairs whose texts a worker holds at once
+PAIR_ROWS = 250
 #: nodes of which a task remembers that their signatures are out
 MOST_SENT = 200_000
 #: the lowest bits of a signature: parity of its band, whether its part has three cells, and its part
@@ -318,7 +320,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     """Pairs (a, b) of nodes whose sets reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        for batch in (whole.slice(at, PAIR_ROWS) for whole in batches for at in range(0, whole.num_rows, PAIR_ROWS)):
             sets: dict[int, np.ndarray] = {}
             for side in ("a", "b"):
                 nodes, where = np.unique(batch.column(side).to_numpy(), return_index=True)
@@ -353,7 +355,8 @@ def _components(docs: DataFrame, nodes: DataFrame, n: int, percent: int, names:
         pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
         texts, texts_path = written(_texts(docs, pairs, nodes, n, names), "texts")
-        more = checkpointed(_linked(pairs, texts, n, percent))
+        with small_batches(spark, PAIR_ROWS):
+            more = checkpointed(_linked(pairs, texts, n, percent))
         deleted(spark, texts_path)
         links = more if links is None else links.union(more)
         labels = components(links)
