@@ -240,3 +240,13 @@ def markdown(rows: DataFrame) -> str:
     """A small report, such as a scoreboard, as a table; the driver holds all its rows."""
     got = rows.collect()
     return "\n".join(["| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns), *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in got)])
+
+
+def markdown_reports(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, report): a table in Markdown for each key, such as a study, of the other columns of its rows, in order; null is empty, and signs that end a cell are escaped."""
+    columns = [c for c in rows.columns if c != key]
+    cell = lambda c: F.replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    head = "| " + " | ".join(columns) + " |\n|" + "-|" * len(columns) + "\n"
+    own = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"_{k}") for k, c in enumerate(order)), line.alias("_line"))))
+    return rows.groupBy(key).agg(own.alias("_r")).select(key, F.concat(F.lit(head), F.array_join(F.transform("_r", lambda r: r["_line"]), "\n")).alias("report"))

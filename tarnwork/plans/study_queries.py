@@ -398,6 +398,17 @@ SELECT s AS study_id, x.p AS part, x.i AS invariant, x.h AS holds FROM r WHERE x
 """
 
 
+def study_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of its orders for each customer."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.lit("|x")).otherwise(F.lit("\ny"))).alias("note"))
+    return X.markdown_reports(o, "o_custkey", ["o_orderkey"])
+
+
+STUDY_REPORTS = r"""
+SELECT o_custkey, '| o_orderkey | status | note |' || chr(10) || '|-|-|-|' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE '' END || ' | ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN '\|x' ELSE ' y' END || ' |', chr(10) ORDER BY o_orderkey) AS report FROM orders GROUP BY 1
+"""
+
+
 def nested_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as studies with their fields, orders as arms, lines as objectives: one nested row for each, as JSON."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
@@ -515,14 +526,14 @@ SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page)::INT
 
 
 QUERIES = {
-    "study_invariants": study_invariants,
+    "study_invariants": study_invariants, "study_reports": study_reports,
     "visit_labels": visit_labels, "title_pages": title_pages, "current_sections": current_sections, "organization_roles": organization_roles, "study_findings": study_findings, "ranked_pages": ranked_pages,
     "title_axes": title_axes, "labelled_sections": labelled_sections, "deep_types": deep_types, "fingerprints": fingerprints, "feature_rows": feature_rows, "missing_visits": missing_visits, "domains_touched": domains_touched, "all_cells": all_cells, "live_jobs": live_jobs, "scalar_agreement": scalar_agreement, "study_scores": study_scores,
     "first_tables": first_tables, "first_writes": first_writes, "permitted_candidates": permitted_candidates, "table_data": table_data, "reviewer_rows": reviewer_rows, "training_studies": training_studies, "change_rationales": change_rationales, "placed_bookmarks": placed_bookmarks, "chosen_graphs": chosen_graphs,
     "bounding_tables": bounding_tables, "merged_windows": merged_windows, "table_edges": table_edges, "amendment_counts": amendment_counts, "nested_inputs": nested_inputs, "label_rows": label_rows,
 }
 SQL = {
-    "study_invariants": STUDY_INVARIANTS,
+    "study_invariants": STUDY_INVARIANTS, "study_reports": STUDY_REPORTS,
     "visit_labels": VISIT_LABELS, "title_pages": TITLE_PAGES, "current_sections": CURRENT_SECTIONS, "organization_roles": ORGANIZATION_ROLES, "study_findings": STUDY_FINDINGS, "ranked_pages": RANKED_PAGES,
     "title_axes": TITLE_AXES_SQL, "labelled_sections": LABELLED_SECTIONS, "deep_types": DEEP_TYPES, "fingerprints": FINGERPRINTS, "feature_rows": FEATURE_ROWS, "missing_visits": MISSING_VISITS, "domains_touched": DOMAINS_TOUCHED, "all_cells": ALL_CELLS, "live_jobs": LIVE_JOBS, "scalar_agreement": SCALAR_AGREEMENT,
     "first_tables": FIRST_TABLES, "first_writes": FIRST_WRITES, "permitted_candidates": PERMITTED_CANDIDATES, "table_data": TABLE_DATA, "reviewer_rows": REVIEWER_ROWS, "training_studies": TRAINING_STUDIES, "change_rationales": CHANGE_RATIONALES, "placed_bookmarks": PLACED_BOOKMARKS, "chosen_graphs": CHOSEN_GRAPHS,

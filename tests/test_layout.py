@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwork.operators import grids, headings, ruled, stitching
+from tarnwork.operators import fields, grids, headings, ruled, stitching
 
 SEGMENT = "doc_id int, page int, x0 double, y0 double, x1 double, y1 double"
 WORD = f"{SEGMENT}, text string, turn int"
@@ -159,3 +159,19 @@ def test_headings_look_ahead(spark):
     got = [(r.number, r.title, r.level) for r in headings.document_headings(table).orderBy("ord").collect()]
     assert got == [("", "Synopsis", 1), ("1", "Introduction", 1), ("1.1", "Background", 2), ("3.1", "Objectives", 2), ("1", "Provision of consent", 1), ("4", "STUDY DESIGN", 1), ("5", "Selection", 1), ("", "STUDY POPULATION", 2), ("5.1", "Inclusion Criteria", 2), ("", "Appendix A: Abbreviations and Terms", 1), ("7", "Statistics", 1)]
     assert headings.document_headings(table.limit(0)).count() == 0
+
+
+def test_invariants_of_what_is_there_and_what_is_not(spark):
+    make = spark.createDataFrame
+    studies = make([(1, True, True), (2, False, False), (3, True, True)], "study_id int, has_slot boolean, has_grid boolean")
+    visits = make([(1, k, f"Visit {k}", "Treatment") for k in range(3)] + [(3, 0, "V1", None), (3, 1, "V1", "x")], "study_id int, visit int, name string, epoch string")
+    activities = make([(1, k, f"a{k}") for k in range(5)] + [(3, 0, None)], "study_id int, activity int, name string")
+    marks = make([(1, k, k % 3) for k in range(5)] + [(3, 0, 7)], "study_id int, activity int, visit int")
+    criteria = make([(1, "inclusion", "Adults of any sex"), (1, "exclusion", "Trisomy 21"), (3, "inclusion", "no")], "study_id int, category string, text string")
+    aims = make([(1, "Primary", "to see whether it works", 1), (3, "Secondary", None, 0)], "study_id int, level string, objective string, n_endpoints int")
+    got = {}
+    for r in fields.study_invariants(studies, visits, activities, marks, criteria, aims).collect():
+        got.setdefault(r.study_id, {})[r.invariant] = r.holds
+    assert len(got[1]) == 18 and all(got[1].values())
+    assert len(got[2]) == 11 and not any(got[2].values())
+    assert {k for k, v in got[3].items() if v} == {"slot_found", "grid_found", "has_inclusion", "table_found", "most_activities_are_scheduled"}
