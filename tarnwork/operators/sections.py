@@ -35,13 +35,13 @@ def section_of(blocks: DataFrame, sections: DataFrame, columns: list[str]) -> Da
 def nest(sections: DataFrame) -> DataFrame:
     """Adds parent_ord (the last earlier section of a lower level) and page_end. sections: doc_id, ord, page, y0, level.
 
-    A window for each level carries its last section forward; the driver gets the levels that occur, a handful.
+    A window for each level carries its last section forward; the driver gets the levels that occur, a handful. Where documents have more than MOST_LEVELS of them,
+    an odd one that counts its lists for headings, all deeper levels are as the last of these.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
-    levels = sorted(r["level"] for r in sections.select("level").distinct().limit(MOST_LEVELS + 1).collect() if r["level"] is not None)
-    if len(levels) > MOST_LEVELS:
-        raise ValueError(f"more than {MOST_LEVELS} levels of headings")
-    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("ord")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))) for k in levels]
+    levels = [r["level"] for r in sections.select("level").filter("level is not null").distinct().orderBy("level").limit(MOST_LEVELS).collect()]
+    own = F.when(F.col("level").isNotNull(), F.least("level", F.lit(levels[-1]))) if levels else F.col("level")
+    last = [F.when(own > k, F.last(F.when(own == k, F.col("ord")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))) for k in levels]
     after, top = F.lead("page").over(order), F.lead("y0").over(order)
     parent = F.greatest(*last) if len(last) > 1 else F.lit(None).cast(sections.schema["ord"].dataType)
     return sections.withColumns({"parent_ord": parent, "page_end": F.when(after.isNull(), F.col("page")).when(top > 120, after).otherwise(F.greatest(F.col("page"), after - 1))})

@@ -251,3 +251,10 @@ def test_full_loop_by_rules(spark):
     assert science and {o for _, d, o in got if d == "eligibility"} == science
     fallback = lambda windows: {r.domain for r in windows.filter("doc_id = 1 and fallback").collect()}
     assert "objectives" in fallback(moved[1]) - fallback(same[1])  # nothing else is left for them
+
+
+def test_one_odd_document_stops_nothing(spark, monkeypatch):
+    monkeypatch.setattr(sections, "MOST_LEVELS", 3)
+    rows = [(1, k, 1, float(k), level) for k, level in enumerate([1, 2, 3, 4, 5, 2, None])]
+    got = sections.nest(spark.createDataFrame(rows, "doc_id long, ord int, page int, y0 double, level int"))
+    assert [r.parent_ord for r in got.orderBy("ord").collect()] == [None, 0, 1, 1, 1, 0, None]
