@@ -25,7 +25,7 @@ from .token_binary import WaveletMatrix
 #: words of an anchor
 ANCHOR = 5
 #: an anchor in more segments, or with more words in them, is split: each of its windows is dealt by its own hash
-HOT, HOT_WORDS = 5_000, 250_000
+HOT, HOT_WORDS = 5_000, 1_000_000
 #: words of the segments that one index holds, if no anchor has more
 SHARD_WORDS = 250_000
 #: suffixes whose smallest document is stored together
