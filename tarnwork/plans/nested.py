@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,49 +31,80 @@ def _blank(value: Column, kind: DataType) -> Column:
     return value.isNull()
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for all places where it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _told(value: Column, *found: Column) -> Column:
+    return F.struct(value.alias("v"), (F.concat(*found) if found else F.array().cast(FINDING)).alias("f"))
+
+
+def _finding(path: Column, what: str, severity: str) -> Column:
+    return F.struct(path.alias("path"), F.lit(what).alias("kind"), F.lit(severity).alias("severity"))
+
+
+def _some(*found: Column) -> Column:
+    return F.array_compact(F.array(*found)).cast(FINDING)
+
+
 class _Cleaner:
+    """Clean values with their findings. What is clean at one depth is put into an array of one before the depth above reads it: written out at each place that
+    needs it, it would be computed there again, so the work would be multiplied at each depth."""
+
     def __init__(self, gaps: dict[str, tuple[object, str]], limits: dict[str, int], unique: set[str]) -> None:
         self.gaps, self.limits, self.unique = gaps, limits, unique
 
-    def clean(self, value: Column, kind: DataType, path: Column, rule: str) -> tuple[Column, list[Column]]:
-        """The clean value, and arrays of findings. path: where the value is, as a column; rule: the same without numbers of elements."""
-        finding = lambda where, what, severity: F.struct(where.alias("path"), F.lit(what).alias("kind"), F.lit(severity).alias("severity"))
-        some = lambda *found: F.array_compact(F.array(*found)).cast(FINDING)
+    def clean(self, value: Column, kind: DataType, path: Column, rule: str) -> Column:
+        """struct(v: the clean value, f: findings). path: where the value is, as a column; rule: the same without numbers of elements."""
         if isinstance(kind, StringType):
-            tidy, (default, severity), limit = _tidy(value), self.gaps.get(rule, ("", "INFO")), self.limits.get(rule)
-            long = F.char_length(tidy) > limit if limit else F.lit(False)
-            text = F.when(tidy == "", F.lit(default)).otherwise(F.trim(F.left(tidy, F.lit(limit))) if limit else tidy)
-            return text, [some(F.when(tidy == "", finding(path, "missing", severity)), F.when((tidy != "") & (tidy != value), finding(path, "trimmed", "INFO")), F.when(long, finding(path, "shortened", "INFO")))]
+            return _let(_tidy(value), lambda tidy: self._text(value, tidy, path, rule))
         if isinstance(kind, StructType):
-            parts = [(f.name, *self.clean(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}")), f"{rule}.{f.name}")) for f in kind.fields]
-            return F.struct(*(v.alias(n) for n, v, _ in parts)), [x for _, _, found in parts for x in found]
+            names = [f.name for f in kind.fields]
+            parts = F.struct(*(self.clean(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}")), f"{rule}.{f.name}").alias(f.name) for f in kind.fields))
+            return _let(parts, lambda p: _told(F.struct(*(p.getField(n).getField("v").alias(n) for n in names)), *(p.getField(n).getField("f") for n in names)))
         if isinstance(kind, ArrayType):
-            return self._array(value, kind.elementType, path, rule, finding)
+            return self._array(value, kind.elementType, path, rule)
         if rule in self.gaps:
             default, severity = self.gaps[rule]
-            return F.coalesce(value, F.lit(default).cast(kind)), [some(F.when(value.isNull(), finding(path, "missing", severity)))]
-        return value, []
+            return _told(F.coalesce(value, F.lit(default).cast(kind)), _some(F.when(value.isNull(), _finding(path, "missing", severity))))
+        return _told(value)
+
+    def _text(self, value: Column, tidy: Column, path: Column, rule: str) -> Column:
+        (default, severity), limit = self.gaps.get(rule, ("", "INFO")), self.limits.get(rule)
+        long = F.char_length(tidy) > limit if limit else F.lit(False)
+        text = F.when(tidy == "", F.lit(default)).otherwise(F.trim(F.left(tidy, F.lit(limit))) if limit else tidy)
+        return _told(text, _some(F.when(tidy == "", _finding(path, "missing", severity)), F.when((tidy != "") & (tidy != value), _finding(path, "trimmed", "INFO")), F.when(long, _finding(path, "shortened", "INFO"))))
 
-    def _array(self, value: Column, kind: DataType, path: Column, rule: str, finding) -> tuple[Column, list[Column]]:
-        every = F.transform(F.coalesce(value, F.array().cast(ArrayType(kind))), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-        kept, gone = F.filter(every, lambda e: ~_blank(e["x"], kind)), F.filter(every, lambda e: _blank(e["x"], kind))
+    def _array(self, value: Column, kind: DataType, path: Column, rule: str) -> Column:
+        every = F.transform(F.coalesce(value, F.array().cast(ArrayType(kind))), lambda x, i: F.struct(x.alias("x"), i.alias("i"), _blank(x, kind).alias("gone")))
         at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
         def inner(e: Column) -> Column:
-            clean, found = self.clean(e["x"], kind, at(e["i"]), f"{rule}[]")
-            return F.struct(clean.alias("v"), (F.concat(*found) if found else F.array().cast(FINDING)).alias("f"), e["i"].alias("i"))
+            return F.struct(self.clean(e["x"], kind, at(e["i"]), f"{rule}[]").alias("c"), e["i"].alias("i"))
 
-        both = F.transform(kept, inner)
-        found = [F.flatten(F.transform(both, lambda b: b["f"])), F.transform(gone, lambda e: finding(at(e["i"]), "dropped", "INFO")).cast(FINDING)]
-        if rule in self.gaps:
-            found.append(F.when(F.size(kept) == 0, F.array(finding(path, "missing", self.gaps[rule][1]))).otherwise(F.array()).cast(FINDING))
-        out = F.transform(both, lambda b: b["v"])
-        if f"{rule}[].name" in self.unique:
-            same = lambda x, i: F.size(F.filter(F.slice(out, 1, i), lambda y: F.lower(y["name"]) == F.lower(x["name"])))
-            found.append(F.filter(F.transform(both, lambda b, i: F.when((b["v"]["name"] != "") & (same(b["v"], i) > 0), finding(F.concat(at(b["i"]), F.lit(".name")), "renamed", "INFO"))), lambda x: x.isNotNull()).cast(FINDING))
-            named = lambda x, i: F.when((x["name"] != "") & (same(x, i) > 0), F.concat(x["name"], F.lit(" ("), (same(x, i) + 1).cast("string"), F.lit(")"))).otherwise(x["name"])
-            return F.transform(out, lambda x, i: x.withField("name", named(x, i))), found
-        return out, found
+        def parted(every: Column) -> Column:
+            gone = F.transform(F.filter(every, lambda e: e["gone"]), lambda e: _finding(at(e["i"]), "dropped", "INFO")).cast(FINDING)
+            return F.struct(F.transform(F.filter(every, lambda e: ~e["gone"]), inner).alias("kept"), gone.alias("gone"))
+
+        def joined(p: Column) -> Column:
+            kept, out = p["kept"], F.transform(p["kept"], lambda b: b["c"]["v"])
+            found = [F.flatten(F.transform(kept, lambda b: b["c"]["f"])), p["gone"]]
+            if rule in self.gaps:
+                found.append(F.when(F.size(kept) == 0, F.array(_finding(path, "missing", self.gaps[rule][1]))).otherwise(F.array()).cast(FINDING))
+            if f"{rule}[].name" not in self.unique:
+                return _told(out, *found)
+
+            def named(earlier: Column) -> Column:
+                again = F.filter(F.zip_with(kept, earlier, lambda b, n: F.when(n > 0, _finding(F.concat(at(b["i"]), F.lit(".name")), "renamed", "INFO"))), lambda x: x.isNotNull()).cast(FINDING)
+                name = lambda x, n: F.when(n > 0, F.concat(x["name"], F.lit(" ("), (n + 1).cast("string"), F.lit(")"))).otherwise(x["name"])
+                return _told(F.zip_with(out, earlier, lambda x, n: x.withField("name", name(x, n))), *found, again)
+
+            # how often a name came before, 0 for blank ones
+            count = lambda names: F.transform(names, lambda x, i: F.when(x != "", F.size(F.filter(F.slice(names, 1, i), lambda y: y == x))).otherwise(F.lit(0)))
+            return _let(_let(F.transform(kept, lambda b: F.lower(b["c"]["v"]["name"])), count), named)
+
+        return _let(_let(every, parted), joined)
 
 
 def sanitize_nested(rows: DataFrame, key: str, gaps: dict[str, tuple[object, str]], limits: dict[str, int] | None = None, unique: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -85,10 +117,10 @@ def sanitize_nested(rows: DataFrame, key: str, gaps: dict[str, tuple[object, str
     Paths of findings have the numbers of elements as they came in.
     """
     cleaner = _Cleaner(gaps, limits or {}, set(unique))
-    parts = [(f.name, *cleaner.clean(F.col(f.name), f.dataType, F.lit(f.name), f.name)) for f in rows.schema.fields if f.name != key]
-    found = [x for _, _, some in parts for x in some]
-    both = rows.select(key, *(v.alias(n) for n, v, _ in parts), (F.concat(*found) if found else F.array().cast(FINDING)).alias("_findings"))
-    return both.drop("_findings"), both.select(key, F.inline("_findings"))
+    parts = {f.name: cleaner.clean(F.col(f.name), f.dataType, F.lit(f.name), f.name) for f in rows.schema.fields if f.name != key}
+    found = [p.getField("f") for p in parts.values()]
+    # the generator takes the expression itself: of a column it would be told to leave out empty ones first, in a filter that computes the column again
+    return rows.select(key, *(p.getField("v").alias(n) for n, p in parts.items())), rows.select(key, F.inline(F.concat(*found) if found else F.array().cast(FINDING)))
 
 
 _STEP = re.compile(r"[A-Za-z_]\w*(\[\])?")
