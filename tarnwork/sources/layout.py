@@ -224,11 +224,16 @@ def scanned(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("refused", F.col("thin_pages") >= SCANNED * F.col("n_pages"))
 
 
-def read_layout(spark: SparkSession, path: str, rows: str = "blocks", refuse: bool = True) -> DataFrame:
-    """Rows of an export without its scanned documents; with refuse, any of those fails the job, by name, as a reader of texts would otherwise miss them in silence."""
+def read_layout(spark: SparkSession, path: str, rows: str = "blocks", refuse: bool | None = True) -> DataFrame:
+    """Rows of an export without its scanned documents; with refuse, any of those fails the job, by name, as a reader of texts would otherwise miss them in silence.
+
+    None: rows of all documents, none taken for a scan. For exports made of texts, of which the shortest have as few characters as a scan.
+    """
     register(spark)
-    seen = scanned(spark, path).filter("refused").select("doc_id", F.lit(True).alias("_scanned"))
     own = spark.read.format("layout").option("rows", rows).load(path)
+    if refuse is None:
+        return own
+    seen = scanned(spark, path).filter("refused").select("doc_id", F.lit(True).alias("_scanned"))
     if not refuse:
         return own.join(seen, "doc_id", "left_anti")
     stop = F.raise_error(F.concat(F.lit("no text layer: "), F.col("doc_id"))).cast("string")

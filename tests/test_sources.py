@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import features, grids, ruled
+from tarnwork.plans import catalog
 from tarnwork.shared import checkpointed
 from tarnwork.sources import files, latest, layout
 from tarnwork.streaming import jobs
@@ -68,6 +69,13 @@ def test_scanned_documents_are_refused(spark, export, tmp_path):
         layout.read_layout(spark, path).collect()
 
 
+def test_documents_of_a_letter_are_no_scans(spark, tmp_path):
+    rows = [(1, "a"), (2, None), (3, "One line that is longer.\nx\n\nyz"), (4, "q\n" * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.page, r.text) for r in catalog.QUERIES["layout_blocks"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, "a"), (3, 1, "One line that is longer."), (3, 1, "x"), (3, 1, "yz"), (4, 1, "q"), (4, 2, "q")}
+
+
 def test_layout_words_by_gaps_and_turns(spark, tmp_path):
     wide = span("abcd", 0, 0, chars=True)
     for c in wide["chars"][2:]:
