@@ -177,19 +177,62 @@ def category_counts(delivered: DataFrame, reference: DataFrame, by: str = "study
         out = greedy_match_sets(refs.filter(known).drop("_text"), items.filter(known).drop("_text"), keys, least).select(*keys)
     if "marks" in thresholds:
         mark = F.col("category") == "marks"
-        marks = greedy_match(mark_pairs(refs.filter(mark), items.filter(mark), keys), keys, thresholds["marks"]).select(*keys)
+        marks = greedy_match_marks(refs.filter(mark), items.filter(mark), keys, thresholds["marks"]).select(*keys)
         out = marks if out is None else out.unionByName(marks)
     hits = out.groupBy(*keys).agg(F.count("*").alias("n_matched"))
     return have.filter(F.col("category").isin(*thresholds)).join(hits, keys, "left").select(*keys, "n_reference", F.coalesce("n_delivered", F.lit(0)).alias("n_delivered"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
 
 
-def mark_pairs(refs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ref, item, similarity) of marks (visit, line break, activity) that share a word of the visit and one of the activity: the smaller similarity of the two."""
-    part = lambda k: tokens(F.element_at(F.split("_text", "\n"), k))
-    side = lambda df, name, tag: df.select(*keys, name, part(1).alias(f"_v{tag}"), F.coalesce(part(2), F.array()).alias(f"_a{tag}"))
-    a, b = side(refs, "ref", 1).withColumn("_w", F.explode("_v1")), side(items, "item", 2).withColumn("_w", F.explode("_v2"))
+def mark_pairs(refs: DataFrame, items: DataFrame, keys: list[str], threshold: float | None = None) -> DataFrame:
+    """(keys, ref, item, similarity) of marks (visit, line break, activity) that share a word of the visit and one of the activity: the smaller similarity of the two. With a threshold only pairs that reach it, which meet by the rarest words of their visits."""
+    part = lambda k: tokens(F.get(F.split("_text", "\n"), F.lit(k)))
+    side = lambda df, name, tag: df.select(*keys, name, part(0).alias(f"_v{tag}"), part(1).alias(f"_a{tag}"))
+    a, b = side(refs, "ref", 1), side(items, "item", 2)
+    if threshold is None:
+        a, b = a.withColumn("_w", F.explode("_v1")), b.withColumn("_w", F.explode("_v2"))
+    else:
+        a, b = a.withColumn("_v1", F.array_sort("_v1")), b.withColumn("_v2", F.array_sort("_v2"))
+        rare = rare_tokens(a.select(*keys, F.col("_v1").alias("tokens")).union(b.select(*keys, "_v2")), keys, threshold).withColumnRenamed("token", "_w")
+        a, b = (df.join(rare.withColumnRenamed("tokens", v), [*keys, v]) for df, v in ((a, "_v1"), (b, "_v2")))
     met = a.join(b, [*keys, "_w"]).filter(F.arrays_overlap("_a1", "_a2")).select(*keys, "ref", "item", F.least(jaccard(F.col("_v1"), F.col("_v2")), jaccard(F.col("_a1"), F.col("_a2"))).alias("similarity"))
-    return met.distinct()
+    return met.distinct() if threshold is None else met.filter(F.col("similarity") >= threshold).distinct()
+
+
+def greedy_match_marks(refs: DataFrame, items: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """greedy_match(mark_pairs(refs, items, keys), keys, threshold) without a table of all pairs: marks with equal words are compared once and wait in one queue, and a key is
+    cut into what similar marks tie together, as in greedy_match_sets. Its work grows with the rows and with the pairs of different marks that are alike."""
+
+    def walk(rows: list[dict]) -> list[tuple]:
+        queues: dict[object, deque] = defaultdict(deque)
+        ways, kept = {}, []
+        for r in rows:
+            if r["_side"]:
+                queues[r["_set"]].append(r["_id"])
+        for r in rows:
+            if r["_side"]:
+                continue
+            own = r["_set"]
+            if own not in ways:  # the first of its set has the similar ones, best first
+                ways[own] = [(w["similarity"], w["item"]) for w in r["_ways"]]
+            ways[own] = [x for x in ways[own] if queues[x[1]]]
+            if ways[own]:
+                top = ways[own][0][0]
+                best = min((queues[other] for _, other in takewhile(lambda x: x[0] == top, ways[own])), key=lambda q: q[0])  # noqa: B023
+                kept.append((r["_id"], best.popleft(), top))
+        return kept
+
+    pair = F.array(*(F.array_sort(tokens(F.get(F.split("_text", "\n"), F.lit(k)))) for k in (0, 1)))
+    alike = lambda df, name: checkpointed(df.select(*keys, name, pair.alias("_pair"), "_text").withColumn("_set", F.min(name).over(Window.partitionBy(*keys, "_pair"))))
+    own, other = alike(refs, "ref"), alike(items, "item")
+    pairs = checkpointed(mark_pairs(own.filter("ref = _set"), other.filter("item = _set"), keys, threshold))
+    node = lambda name, side: F.xxhash64(*keys, name, F.lit(side))
+    tied = components(pairs.select(node("ref", "ref").alias("a"), node("item", "item").alias("b"))).withColumnRenamed("component", "_component")
+    best = F.reverse(F.array_sort(F.collect_list(F.struct("similarity", "item"))))
+    ways = pairs.groupBy(*keys, F.col("ref").alias("_id")).agg(best.alias("_ways"))
+    a = own.select(*keys, F.lit(0).alias("_side"), F.col("ref").alias("_id"), "_set", node("_set", "ref").alias("node")).join(ways, [*keys, "_id"], "left")
+    b = other.select(*keys, F.lit(1).alias("_side"), F.col("item").alias("_id"), "_set", node("_set", "item").alias("node"))
+    rows = a.unionByName(b, allowMissingColumns=True).join(tied, "node").drop("node")
+    return fold(rows, [*keys, "_component"], ["_side", "_id"], walk, f"ref {dict(refs.dtypes)['ref']}, item {dict(items.dtypes)['item']}, similarity double").drop("_component")
 
 
 def rubric(counts: DataFrame, by: str = "study") -> DataFrame:

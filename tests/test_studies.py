@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,19 @@ def test_categories(spark):
     assert total["s"] == (4 / 7, 4 / 5) and total["t"] == (0.0, 0.0)
 
 
+def test_marks_that_are_repeated(spark, monkeypatch):
+    """The same matches as from a table of all pairs, while the walk sees marks only."""
+    rng, seen = random.Random(3), []
+    text = lambda: rng.choice(["Day 1\nBlood draw", "day 1\nblood  draw", "Day 2\nBlood", "Day 1 of 2\nBlood draw", "Week 9\nExam", "Exam", None])
+    refs, items = (spark.createDataFrame([(i % 2, i, text()) for i in range(150)], f"k int, {name} int, _text string") for name in ("ref", "item"))
+    plain = scoring.greedy_match(scoring.mark_pairs(refs, items, ["k"]), ["k"], 0.5)
+    want = sorted(map(tuple, plain.collect()))
+    real = scoring.fold
+    monkeypatch.setattr(scoring, "fold", lambda rows, keys, *a: (seen.append(rows.count()), real(rows, keys, *a))[1])
+    got = scoring.greedy_match_marks(refs, items, ["k"], 0.5)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 80 and seen[0] <= 300
+
+
 def test_features_without_anything_known(spark):
     fields = spark.createDataFrame([(1, "soa", "f", "v", None, None, None, "n/a", True, 2, 0.5, "REVIEW")], "study_id long, domain string, field string, value string, quote_text string, quote_page int, verify_pass string, verifier string, methods_agree boolean, n_methods int, confidence double, decision string")
     none = spark.createDataFrame([], "study_id long, domain string, field string, ord int, value string, quote_text string, quote_page int, verify_pass string")
