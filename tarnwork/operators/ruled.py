@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import collapse
 from ..shared import checkpointed
-from .grids import in_boxes
 from .schedules import merge_wrapped
-from .stitching import ruled_boxes
+from .stitching import boxes_of
 
 # Fixed values, in points: how thick a rule may be and how long it is at least, how far apart rules of one edge lie, how wide a gap in an edge may be,
 # the share of a table that an edge covers, how much of its height a line of text may waver, and the width up to which cells break words.
@@ -25,18 +29,56 @@ def rules(segments: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, upright.alias("upright"), F.when(upright, (F.col("x0") + F.col("x1")) / 2).otherwise((F.col("y0") + F.col("y1")) / 2).alias("pos"), F.least(along(0), along(1)).alias("lo"), F.greatest(along(0), along(1)).alias("hi"))
 
 
-def _boxes(ruled: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bx0, by0, bx1, by1): of each page the largest set of rules that touch and have three upright ones, as high as the upright rules within its width."""
-    up = F.col("upright")
-    page = F.struct(*keys)
-    lines = ruled.select(page.alias("doc_id"), F.lit(0).alias("page"), F.when(up, F.col("pos")).otherwise(F.col("lo")).alias("x0"), F.when(up, F.col("lo")).otherwise(F.col("pos")).alias("y0"), F.when(up, F.col("pos")).otherwise(F.col("hi")).alias("x1"), F.when(up, F.col("hi")).otherwise(F.col("pos")).alias("y1"))
-    boxes = ruled_boxes(lines.withColumn("doc_id", F.to_json("doc_id")), GAP / 2).withColumnRenamed("box", "box_id")
-    posts = ruled.filter("upright").select(F.to_json(page).alias("doc_id"), F.col("pos").alias("x0"), F.col("pos").alias("x1"), F.col("lo").alias("y0"), F.col("hi").alias("y1"))
-    enough = in_boxes(posts, boxes, ["doc_id"]).groupBy("doc_id", "box_id").agg(F.count_distinct(F.round("x0")).alias("_n")).filter("_n >= 3")
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    best = boxes.join(enough, ["doc_id", "box_id"]).groupBy("doc_id").agg(F.max_by(F.struct("x0", "y0", "x1", "y1"), F.struct(area, -F.col("box_id"))).alias("_b"))
-    near = ruled.filter("upright").withColumn("_page", F.to_json(page)).join(best.withColumnRenamed("doc_id", "_page"), "_page").filter((F.col("pos") >= F.col("_b.x0") - GAP) & (F.col("pos") <= F.col("_b.x1") + GAP))
-    return near.groupBy(*keys, "_b").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).select(*keys, F.col("_b.x0").alias("bx0"), F.least("_b.y0", "_lo").alias("by0"), F.col("_b.x1").alias("bx1"), F.greatest("_b.y1", "_hi").alias("by1"))
+def _boxed(ruled: DataFrame, keys: list[str]) -> DataFrame:
+    """Rules with the box of their page's table (bx0, by0, bx1, by1): the largest set of rules that touch and have three upright ones, as high as the upright rules
+    within its width. Pages without one are left out. A page's rules are gathered once and handed on with its box."""
+    up, sides = F.col("upright"), ["x0", "y0", "x1", "y1"]
+    line = F.struct(F.when(up, F.col("pos")).otherwise(F.col("lo")).alias("x0"), F.when(up, F.col("lo")).otherwise(F.col("pos")).alias("y0"), F.when(up, F.col("pos")).otherwise(F.col("hi")).alias("x1"), F.when(up, F.col("hi")).otherwise(F.col("pos")).alias("y1"), up.alias("up"))
+    gathered = ruled.dropna(subset=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("_rules"))
+    new = [T.StructField("upright", T.BooleanType()), *(T.StructField(c, T.DoubleType()) for c in ("pos", "lo", "hi", "bx0", "by0", "bx1", "by1"))]
+    made = T.StructType([*(ruled.schema[k] for k in keys), *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            lines = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in sides])
+            upright = flat.field("up").to_numpy(zero_copy_only=False)
+            page, order, first, low, high = boxes_of(lines, sizes, GAP / 2)
+            if not len(first):
+                continue
+            best = _tables(lines, upright, page, page[order][first], np.diff(np.append(first, len(order))), low, high, len(sizes))
+            has = ~np.isnan(best[0])
+            near = upright & has[page] & (lines[0] >= best[0][page] - GAP) & (lines[0] <= best[2][page] + GAP)
+            np.minimum.at(best[1], page[near], lines[1][near])
+            np.maximum.at(best[3], page[near], lines[3][near])
+            keep = has[page]
+            own, at, u = lines[:, keep], page[keep], upright[keep]
+            values = [np.where(u, own[0], own[1]), np.where(u, own[1], own[0]), np.where(u, own[3], own[2]), *(side[at] for side in best)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in range(len(keys))), pa.array(u), *map(pa.array, values)], made.names)
+
+    return gathered.mapInArrow(run, made)
+
+
+def _tables(lines: np.ndarray, upright: np.ndarray, page: np.ndarray, box_page: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, pages: int) -> np.ndarray:
+    """(4, pages): the widest of a page's boxes that holds the centres of upright lines at three places, the one with more lines of equals; NaN without any."""
+    ranked = np.lexsort((*high[::-1], *low[::-1], -n, -(high - low).prod(axis=0), box_page))
+    box_page, low, high = box_page[ranked], low[:, ranked], high[:, ranked]
+    many = np.bincount(box_page, minlength=pages)
+    first, best = np.cumsum(many) - many, np.full((4, pages), np.nan)
+    x, y, own = lines[0][upright], (lines[1] + lines[3])[upright] / 2, page[upright]
+    place = np.copysign(np.floor(np.abs(x) + 0.5), x) + 0.0
+    k = 0
+    while len(own):  # the k-th box of each page that has no table yet
+        box = first[own] + k
+        inside = (x >= low[0][box]) & (x <= high[0][box]) & (y >= low[1][box]) & (y <= high[1][box])
+        places = np.unique(np.stack([own[inside].astype(float), place[inside]]), axis=1)[0].astype(np.int64)
+        found = np.flatnonzero(np.bincount(places, minlength=pages) >= 3)
+        best[:2, found], best[2:, found] = low[:, first[found] + k], high[:, first[found] + k]
+        k += 1
+        more = (many[own] > k) & np.isnan(best[0][own])
+        x, y, own, place = x[more], y[more], own[more], place[more]
+    return best
 
 
 def lattice(segments: DataFrame, keys: list[str], least_columns: int = 3, least_rows: int = 2) -> DataFrame:
@@ -49,7 +91,7 @@ def lattice(segments: DataFrame, keys: list[str], least_columns: int = 3, least_
     up = F.col("upright")
     within = lambda v, lo, hi: (F.col(v) >= F.col(lo) - GAP) & (F.col(v) <= F.col(hi) + GAP)
     beside = lambda lo, hi: (F.col("hi") >= F.col(lo) - GAP) & (F.col("lo") <= F.col(hi) + GAP)
-    own = ruled.join(_boxes(ruled, keys), keys).filter(F.when(up, within("pos", "bx0", "bx1") & beside("by0", "by1")).otherwise(within("pos", "by0", "by1") & beside("bx0", "bx1")))
+    own = _boxed(ruled, keys).filter(F.when(up, within("pos", "bx0", "bx1") & beside("by0", "by1")).otherwise(within("pos", "by0", "by1") & beside("bx0", "bx1")))
     side = [*keys, "upright"]
     by_pos = Window.partitionBy(*side).orderBy("pos", "lo", "hi")
     own = own.withColumn("_far", F.coalesce(F.col("pos") - F.lag("pos").over(by_pos) > TOLERANCE, F.lit(False)).cast("int")).withColumn("_edge", F.sum("_far").over(by_pos))

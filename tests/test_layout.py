@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,18 @@ def test_invariants_of_what_is_there_and_what_is_not(spark):
     assert len(got[1]) == 18 and all(got[1].values())
     assert len(got[2]) == 11 and not any(got[2].values())
     assert {k for k, v in got[3].items() if v} == {"slot_found", "grid_found", "has_inclusion", "table_found", "most_activities_are_scheduled"}
+
+
+def test_boxes_by_pairs_and_by_walk():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 60, 200):
+        lines = rng.integers(0, 60, (4, n)).astype(float)
+        lines[2:] = lines[:2] + rng.integers(0, 9, (2, n)) * (rng.random((2, n)) < 0.5)
+        lines = lines[:, np.lexsort(lines[::-1])]
+        assert (stitching._touching(lines[:, None], 0.5)[0] == stitching._walked(lines, 0.5)).all()
+
+
+def test_a_lattice_gathers_its_rules_once(spark):
+    segments = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 0.0)], "doc_id int, x0 double, y0 double, x1 double, y1 double")
+    plan = ruled.lattice(segments, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
