@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for all places where it is used, as an array of one."""
+    return F.transform(F.array(value), use)[0]
+
+
 def norm(s: Column) -> Column:
     """collapse() in lower case."""
     return F.lower(collapse(s))

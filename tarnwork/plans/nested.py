@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
+from ..functions.text import once
+
 FINDING = "array<struct<path:string,kind:string,severity:string>>"
 _BLANKS = r"[\s\p{Cc}]+"
 
@@ -31,11 +32,6 @@ def _blank(value: Column, kind: DataType) -> Column:
     return value.isNull()
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once for all places where it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _told(value: Column, *found: Column) -> Column:
     return F.struct(value.alias("v"), (F.concat(*found) if found else F.array().cast(FINDING)).alias("f"))
 
@@ -58,11 +54,11 @@ class _Cleaner:
     def clean(self, value: Column, kind: DataType, path: Column, rule: str) -> Column:
         """struct(v: the clean value, f: findings). path: where the value is, as a column; rule: the same without numbers of elements."""
         if isinstance(kind, StringType):
-            return _let(_tidy(value), lambda tidy: self._text(value, tidy, path, rule))
+            return once(_tidy(value), lambda tidy: self._text(value, tidy, path, rule))
         if isinstance(kind, StructType):
             names = [f.name for f in kind.fields]
             parts = F.struct(*(self.clean(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}")), f"{rule}.{f.name}").alias(f.name) for f in kind.fields))
-            return _let(parts, lambda p: _told(F.struct(*(p.getField(n).getField("v").alias(n) for n in names)), *(p.getField(n).getField("f") for n in names)))
+            return once(parts, lambda p: _told(F.struct(*(p.getField(n).getField("v").alias(n) for n in names)), *(p.getField(n).getField("f") for n in names)))
         if isinstance(kind, ArrayType):
             return self._array(value, kind.elementType, path, rule)
         if rule in self.gaps:
@@ -102,9 +98,9 @@ class _Cleaner:
 
             # how often a name came before, 0 for blank ones
             count = lambda names: F.transform(names, lambda x, i: F.when(x != "", F.size(F.filter(F.slice(names, 1, i), lambda y: y == x))).otherwise(F.lit(0)))
-            return _let(_let(F.transform(kept, lambda b: F.lower(b["c"]["v"]["name"])), count), named)
+            return once(once(F.transform(kept, lambda b: F.lower(b["c"]["v"]["name"])), count), named)
 
-        return _let(_let(every, parted), joined)
+        return once(once(every, parted), joined)
 
 
 def sanitize_nested(rows: DataFrame, key: str, gaps: dict[str, tuple[object, str]], limits: dict[str, int] | None = None, unique: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
