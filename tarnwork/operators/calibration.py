@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..shared import checkpointed
 
 # Fixed values of the calibration.
@@ -233,8 +234,17 @@ def threshold_counts(scored: DataFrame, score: str, correct: str, grid: tuple[fl
 
     spark = scored.sparkSession
     table = spark.createDataFrame([(i, t) for i, t in enumerate(grid)], "seq int, t double")
-    at = F.array_position(F.transform(F.array(*map(F.lit, grid)), lambda t: F.col(score) >= t), True)
-    steps = scored.withColumn("seq", (at - 1).cast("int")).filter("seq >= 0").groupBy("seq").agg(F.count("*").alias("_m"), F.count_if(~F.col(correct)).alias("_k"))
+    low = [min(grid[: i + 1]) for i in range(len(grid))]  # falls, so the first threshold reached is found by halves
+
+    def reached(s: Column, lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo if lo < len(low) else None).cast("int")
+        mid = (lo + hi) // 2
+        return F.when(s >= low[mid], reached(s, lo, mid)).otherwise(reached(s, mid + 1, hi))
+
+    # rows below all thresholds go after the aggregation: a filter before it would compute the place of each row again
+    seq = once(F.col(score), lambda s: reached(s, 0, len(low)))
+    steps = scored.groupBy(seq.alias("seq")).agg(F.count("*").alias("_m"), F.count_if(~F.col(correct)).alias("_k")).filter("seq is not null")
     w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)  # a row per threshold
     return table.join(F.broadcast(steps), "seq", "left").select("seq", "t", F.sum(F.coalesce("_m", F.lit(0))).over(w).alias("m"), F.sum(F.coalesce("_k", F.lit(0))).over(w).alias("k"))
 

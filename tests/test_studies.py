@@ -73,6 +73,16 @@ def test_categories(spark):
     assert total["s"] == (4 / 7, 4 / 5) and total["t"] == (0.0, 0.0)
 
 
+def test_thresholds_are_found_by_halves(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, float("nan"), 2.0, 0.7, rng.random()]), rng.random() < 0.6) for _ in range(400)]
+    for grid in (calibration.GRID, (0.5, 0.9, 0.2), (0.7,)):
+        out = calibration.threshold_counts(spark.createDataFrame(rows, "score double, correct boolean"), "score", "correct", grid)
+        plain = [[ok for s, ok in rows if s is not None and (s != s or s >= min(grid[: i + 1]))] for i in range(len(grid))]
+        assert sorted((r.seq, r.t, r.m, r.k) for r in out.collect()) == [(i, t, len(x), x.count(False)) for i, (t, x) in enumerate(zip(grid, plain, strict=True))]
+    assert "array_position" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_marks_that_are_repeated(spark, monkeypatch):
     """The same matches as from a table of all pairs, while the walk sees marks only."""
     rng, seen = random.Random(3), []
