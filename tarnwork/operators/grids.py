@@ -78,9 +78,10 @@ def data_columns(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def drop_empty_columns(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of columns with some text, columns numbered anew from 0."""
-    full = cells.groupBy(*keys, "col").agg(F.max((F.trim(F.coalesce("text", F.lit(""))) != "").cast("int")).alias("_f")).filter("_f = 1")
-    new = full.withColumn("_new", F.row_number().over(Window.partitionBy(*keys).orderBy("col")) - 1).drop("_f")
-    return cells.join(new, [*keys, "col"]).withColumn("col", F.col("_new")).drop("_new").select(*cells.columns)
+    # one exchange and one sort by keys and column serve both windows
+    rows = cells.dropna(subset=[*keys, "col"]).repartition(*keys)
+    full = rows.withColumn("_f", F.max(F.trim(F.coalesce("text", F.lit(""))) != "").over(Window.partitionBy(*keys, "col"))).filter("_f")
+    return full.withColumn("col", F.dense_rank().over(Window.partitionBy(*keys).orderBy("col")) - 1).select(*cells.columns)
 
 
 def parse_schedule(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -191,3 +191,16 @@ def test_a_lattice_gathers_its_rules_once(spark):
     segments = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 0.0)], "doc_id int, x0 double, y0 double, x1 double, y1 double")
     plan = ruled.lattice(segments, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+
+
+def test_cells_are_numbered_without_joins(spark):
+    """Columns without a text go, in one exchange; cells of a chain meet their tables in one join."""
+    rows = [(1, 0, 0, "a"), (1, 0, 1, " "), (1, 0, 2, "b"), (1, 1, 1, None), (1, 1, 2, ""), (2, 0, 5, "c")]
+    out = grids.drop_empty_columns(spark.createDataFrame(rows, "k int, row int, col int, text string"), ["k"])
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 1, ""), (2, 0, 0, "c")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    cells = spark.createDataFrame(rows, "doc_id int, row int, col int, text string").withColumn("table_ix", F.lit(0))
+    chains = spark.createDataFrame([(1, 0, 0, 1), (2, 0, 0, 0)], "doc_id int, table_ix int, chain int, repeated int")
+    made = stitching.stitched_cells(cells, chains)
+    assert [tuple(r) for r in made.collect()] == [(2, 0, 0, 0, "c", 0)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
