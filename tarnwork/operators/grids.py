@@ -155,18 +155,35 @@ def read_ruled(cells: DataFrame, keys: list[str]) -> DataFrame:
 
     The row with most cells, the first of equals, gives the columns. Rows above the first one with a mark are the header: the first names epochs, the
     last visits, and a header cell or a mark that spans several columns is that of each whose centre it covers. The first column holds activities.
+    A schedule's cells are gathered once; who has them so gives them to read_ruled_pages.
     """
+    pages = cells.dropna(subset=keys).groupBy(*keys).agg(F.collect_list(F.struct("row", "col", "x0", "x1", "text")).alias("cells"))
+    return read_ruled_pages(pages, keys)
+
+
+def read_ruled_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """read_ruled of schedules (keys, cells), whose cells are an array of struct(row, col, x0, x1, text). Nothing is shuffled."""
     from ..functions.text import mark_first
 
-    text = F.trim(F.coalesce("text", F.lit("")))
-    rows = cells.withColumns({"_t": text, "_mark": (F.col("col") > 0) & mark_first(text)})
-    widest = rows.groupBy(*keys, "row").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.max(F.struct("_n", (-F.col("row")).alias("_o")))["_o"].alias("_o"))
-    columns = rows.filter("col > 0").join(widest, keys).filter("row = -_o").select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("x0")).alias("visit_col"), ((F.col("x0") + F.col("x1")) / 2).alias("_c"))
-    body = rows.filter("_mark").groupBy(*keys).agg(F.min("row").alias("_first"))
-    placed = rows.join(body, keys)
-    over = placed.filter("col > 0").join(columns, keys).filter((F.col("_c") >= F.col("x0")) & (F.col("_c") <= F.col("x1")))
-    head = over.filter((F.col("row") < F.col("_first")) & (F.col("_t") != "")).groupBy(*keys, "visit_col").agg(F.min_by("_t", F.when(F.col("row") == 0, 0)).alias("_e"), F.max_by("_t", F.when(F.col("row") == F.col("_first") - 1, 1)).alias("_v"))
-    names = placed.filter("col = 0 and row >= _first and _t <> ''").select(*keys, "row", F.col("_t").alias("activity"))
-    marks = over.filter("_mark and row >= _first").select(*keys, "row", "visit_col").distinct()
-    out = marks.join(names, [*keys, "row"]).join(head, [*keys, "visit_col"], "left")
-    return out.select(*keys, F.col("row").alias("activity_row"), "activity", "visit_col", F.coalesce("_e", F.lit("")).alias("epoch"), F.coalesce("_v", F.lit("")).alias("visit"))
+    trimmed = F.transform("cells", lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["x0"].alias("x0"), c["x1"].alias("x1"), F.trim(F.coalesce(c["text"], F.lit(""))).alias("t")))
+    out = pages.select(*keys, F.array_sort(trimmed).alias("_s")).withColumn("_marks", F.filter("_s", lambda c: (c["col"] > 0) & mark_first(c["t"])))
+    # cells are sorted, so a row's follow each other; the largest (cells, -row) so far is that of whole rows in the end
+    none = F.lit(None).cast(pages.select(F.col("cells")[0]["row"]).schema[0].dataType)
+    start = F.struct(none.alias("row"), F.lit(0).alias("n"), F.struct(F.lit(0).alias("n"), none.alias("o")).alias("best"))
+
+    def longest(at: Column, c: Column) -> Column:
+        n = F.when(at["row"].eqNullSafe(c["row"]), at["n"] + 1).otherwise(F.lit(1))
+        return F.struct(c["row"].alias("row"), n.alias("n"), F.greatest(at["best"], F.struct(n.alias("n"), (-c["row"]).alias("o"))).alias("best"))
+
+    out = out.withColumns({"_first": F.array_min(F.transform("_marks", lambda c: c["row"])), "_widest": -F.aggregate("_s", start, longest)["best"]["o"]})
+    own = F.filter("_s", lambda c: (c["col"] > 0) & (c["row"] == F.col("_widest")))
+    head = F.filter("_s", lambda c: (c["col"] > 0) & (c["row"] < F.col("_first")) & (c["t"] != ""))
+    names = F.filter("_s", lambda c: (c["col"] == 0) & (c["row"] >= F.col("_first")) & (c["t"] != ""))
+    out = out.withColumns({"_columns": F.array_sort(F.transform(own, lambda c: F.struct(c["x0"].alias("x0"), ((c["x0"] + c["x1"]) / 2).alias("c")))), "_head": head, "_names": names})
+    covers = lambda cell, c: (c >= cell["x0"]) & (c <= cell["x1"])
+    named = lambda c, row: F.coalesce(F.get(F.filter("_head", lambda h: (h["row"] == row) & covers(h, c)), F.lit(0))["t"], F.lit(""))
+    columns = F.transform("_columns", lambda c, i: F.struct((i + 1).alias("visit_col"), c["c"].alias("c"), named(c["c"], F.lit(0)).alias("epoch"), named(c["c"], F.col("_first") - 1).alias("visit")))
+    out = out.select(*keys, "_marks", "_names", columns.alias("_columns"))
+    hits = F.flatten(F.transform("_marks", lambda m: F.transform(F.filter("_columns", lambda c: covers(m, c["c"])), lambda c: F.struct(m["row"].alias("row"), c["visit_col"].alias("visit_col"), c["epoch"].alias("epoch"), c["visit"].alias("visit")))))
+    rows = F.flatten(F.transform(F.array_distinct(hits), lambda h: F.transform(F.filter("_names", lambda n: n["row"] == h["row"]), lambda n: F.struct(h["row"].alias("activity_row"), n["t"].alias("activity"), h["visit_col"].alias("visit_col"), h["epoch"].alias("epoch"), h["visit"].alias("visit")))))
+    return out.select(*keys, F.inline(rows))

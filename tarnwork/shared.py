@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 
@@ -24,3 +25,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(rows: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
+    """rows by keys, in as many parts as bring about `most` rows to each, so what a task holds does not grow with the table. rows are counted first: of Parquet files
+    only the footers are read."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / most)), *keys)

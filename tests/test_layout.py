@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwork import shared
 from tarnwork.operators import fields, grids, headings, ruled, stitching
 
 SEGMENT = "doc_id int, page int, x0 double, y0 double, x1 double, y1 double"
@@ -204,3 +205,18 @@ def test_cells_are_numbered_without_joins(spark):
     made = stitching.stitched_cells(cells, chains)
     assert [tuple(r) for r in made.collect()] == [(2, 0, 0, 0, "c", 0)]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_ruled_schedules_gather_their_cells_once(spark):
+    """A spanning header and mark, a repeated label, a schedule without marks; of equal rows the first gives the columns."""
+    row = lambda k, row, *cells: [(k, row, i, float(x0), float(x1), t) for i, (x0, x1, t) in enumerate(cells)]
+    rows = row(1, 0, (0, 10, None), (10, 30, " On "), (30, 40, "Off")) + row(1, 1, (0, 10, ""), (10, 20, "D1"), (20, 30, "D2"), (30, 40, "")) + row(1, 2, (0, 10, "ECG "), (10, 20, "x"), (20, 30, "Exam"), (30, 40, "✓")) + row(1, 3, (0, 10, "Labs"), (10, 30, "X a"), (30, 40, ""))
+    rows += row(2, 0, (0, 10, "a"), (10, 20, "Exam")) + row(3, 0, (0, 10, "b"), (10, 20, "x")) + [(3, 0, 0, 0.0, 10.0, "c"), (None, 0, 0, 0.0, 10.0, "d"), (None, 0, 1, 10.0, 20.0, "x")]
+    out = grids.read_ruled(spark.createDataFrame(rows, "k int, row int, col int, x0 double, x1 double, text string"), ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "ECG", 1, "On", "D1"), (1, 2, "ECG", 3, "Off", ""), (1, 3, "Labs", 1, "On", "D1"), (1, 3, "Labs", 2, "On", "D2"), (3, 0, "b", 1, "", ""), (3, 0, "c", 1, "", "")]
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+
+
+def test_parts_hold_a_number_of_rows(spark):
+    assert shared.spread(spark.range(100).toDF("k"), ["k"], most=4).rdd.getNumPartitions() == 25
