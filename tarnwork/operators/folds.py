@@ -51,19 +51,25 @@ def running_sums(rows: DataFrame, by: list[str], order: list[Column], values: di
     return placed.join(parts, same).select(*rows.columns, *((F.col(f"_b_{k}") + F.sum(f"_v_{k}").over(inside)).alias(k) for k in values))
 
 
+def _kin(rows: DataFrame, key: list[str], parent: str, others: DataFrame, how: str) -> DataFrame:
+    """rows joined with what others (_t, _n) say of their parents. Both sides are shuffled: generations sent to all tasks would add up on the driver."""
+    tree, number = key
+    return rows.join(others.hint("merge"), (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n")), how)
+
+
 def by_generation(rows: DataFrame, key: list[str], parent: str, own: str, step: Callable[[Column, Column], Column]) -> DataFrame:
     """rows with column `own` settled from the top of each tree down, to any depth: step(own, settled column of the parent).
 
     Rows without a parent, or whose parent is not there, stay as they are. key: the tree, then the row's number in it; parent: the number of the
-    parent. Each generation is one join with the one before, cut off by a checkpoint, and rounds end when a generation is empty.
+    parent. Each generation is one shuffled join with the one before, cut off by a checkpoint, and rounds end when a generation is empty.
     """
     tree, number = key
     up = rows.select(F.col(tree).alias("_t"), F.col(number).alias("_n"))
-    settled = rows.join(up, (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n")), "left_anti").transform(checkpointed)
+    settled = _kin(rows, key, parent, up, "left_anti").transform(checkpointed)
     out = settled
     while True:
         above = settled.select(F.col(tree).alias("_t"), F.col(number).alias("_n"), F.col(own).alias("_above"))
-        settled = rows.join(above, (F.col(tree) == F.col("_t")) & (F.col(parent) == F.col("_n"))).withColumn(own, step(F.col(own), F.col("_above"))).select(*rows.columns).transform(checkpointed)
+        settled = _kin(rows, key, parent, above, "inner").withColumn(own, step(F.col(own), F.col("_above"))).select(*rows.columns).transform(checkpointed)
         if settled.isEmpty():
             return out
         out = out.unionByName(settled)

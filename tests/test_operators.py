@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text as T
-from tarnwork.operators import audit, calibration, graphs, grids, matching, scoring, sections, stitching, voting
+from tarnwork.operators import audit, calibration, folds, graphs, grids, matching, scoring, sections, stitching, voting
 from tarnwork.plans import assembly, log_queries
 from tarnwork.sources import files
 from tarnwork.streaming import log
@@ -316,3 +316,10 @@ def test_repair_and_models(spark):
     fixed, left = assembly.repair(state, ["id"], bad, lambda failed: failed.withColumn("value", F.when(F.col("id") == 1, "fixed")))
     assert values(fixed) == [(1, "fixed"), (2, "good"), (3, "bad")] and values(left) == [(3,)]
     assert assembly.complete(state.withColumn("prompt", F.lit("p")), None).filter("reply is null").count() == 3
+
+
+def test_generations_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, 1, None, "a"), (1, 2, 1, None), (1, 3, 2, None), (2, 2, 1, "b")], "doc_id int, ord int, parent_ord int, type string")
+    up = rows.selectExpr("doc_id AS _t", "ord AS _n")
+    assert all("Broadcast" not in folds._kin(rows, ["doc_id", "ord"], "parent_ord", up, how)._jdf.queryExecution().executedPlan().toString() for how in ("inner", "left_anti"))
+    assert sorted((r.doc_id, r.ord, r.type) for r in sections.inherit(rows, "type").collect()) == [(1, 1, "a"), (1, 2, "a"), (1, 3, "a"), (2, 2, "b")]
