@@ -20,7 +20,7 @@ def resolve_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 
     start is 0-based, in the text or in the folded text. A document that holds a quote also holds its inner words as whole words, so both
     meet in an equi-join on the hash of a run of inner words; the whole quote is then looked up. Up to FEW_ANCHORS runs of quotes leave only theirs
-    of each text before anything is shuffled. Shorter quotes find their documents by _short_quotes. docs: doc_id, text; quotes: quote_id, quote. Blank quotes match nothing.
+    of each text before anything is shuffled, and the texts that have one go on with it. Shorter quotes, where there are some, find their documents by _short_quotes. docs: doc_id, text; quotes: quote_id, quote. Blank quotes match nothing.
     """
     both = quotes.filter(F.trim(F.coalesce("quote", F.lit(""))) != "").select("quote_id", "quote", fold_typography(F.col("quote")).alias("_fold"))
     both = both.withColumn("_words", F.split(F.trim("_fold"), " "))
@@ -29,13 +29,17 @@ def resolve_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     short = both.filter(F.size("_words") < ANCHOR_WORDS + 2).withColumn("_piece", F.array_max(F.transform("_words", lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]).drop("_words")
     texts = docs.select("doc_id", "text", fold_typography(F.coalesce("text", F.lit(""))).alias("_folded"))
     runs = F.transform("_w", lambda w, i: F.xxhash64(w, *(F.get("_w", i + k) for k in range(1, ANCHOR_WORDS))))
-    hashed = texts.select("doc_id", F.split(F.trim(F.col("_folded")), " ").alias("_w")).select("doc_id", runs.alias("_runs"))
     anchors = [r["_anchor"] for r in long_.select("_anchor").distinct().limit(FEW_ANCHORS + 1).collect()]
-    wanted = F.array_distinct("_runs") if len(anchors) > FEW_ANCHORS else F.array_intersect("_runs", F.array(*map(F.lit, anchors)).cast("array<bigint>"))
-    near = hashed.select("doc_id", F.explode(wanted).alias("_anchor")).join(long_.select("quote_id", "_anchor"), "_anchor").select("doc_id", "quote_id").distinct()
-    found = near.join(long_.drop("_anchor"), "quote_id").join(texts, "doc_id")
-    few = _short_quotes(texts, short).join(short, "quote_id").join(texts, "doc_id").filter(F.contains(F.col("_folded"), F.col("_fold")))
-    found = found.unionByName(few.select(*found.columns))
+    words = F.split(F.trim(F.col("_folded")), " ").alias("_w")
+    if len(anchors) > FEW_ANCHORS:
+        near = texts.select("doc_id", words).select("doc_id", F.explode(F.array_distinct(runs)).alias("_anchor")).join(long_.select("quote_id", "_anchor"), "_anchor").select("doc_id", "quote_id").distinct()
+        found = near.join(long_.drop("_anchor"), "quote_id").join(texts, "doc_id")
+    else:  # texts with a run of a quote, which are few, keep their text beside it
+        held = texts.select("doc_id", "text", "_folded", words).select("doc_id", "text", "_folded", F.explode(F.array_intersect(runs, F.array(*map(F.lit, anchors)).cast("array<bigint>"))).alias("_anchor"))
+        found = held.join(long_, "_anchor").select("quote_id", "doc_id", "quote", "_fold", "text", "_folded")
+    if not short.isEmpty():
+        few = _short_quotes(texts, short).join(short, "quote_id").join(texts, "doc_id").filter(F.contains(F.col("_folded"), F.col("_fold")))
+        found = found.unionByName(few.select(*found.columns))
     exact, folded = F.expr("instr(text, quote)"), F.expr("instr(_folded, _fold)")
     return found.select(
         "doc_id", "quote_id", F.when(exact > 0, "exact").when(folded > 0, "normalized").alias("verify_pass"), (F.when(exact > 0, exact).otherwise(folded) - 1).alias("start")

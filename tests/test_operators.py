@@ -323,3 +323,13 @@ def test_generations_are_not_broadcast(spark):
     up = rows.selectExpr("doc_id AS _t", "ord AS _n")
     assert all("Broadcast" not in folds._kin(rows, ["doc_id", "ord"], "parent_ord", up, how)._jdf.queryExecution().executedPlan().toString() for how in ("inner", "left_anti"))
     assert sorted((r.doc_id, r.ord, r.type) for r in sections.inherit(rows, "type").collect()) == [(1, 1, "a"), (1, 2, "a"), (1, 3, "a"), (2, 2, "b")]
+
+
+def test_long_quotes_read_texts_once(spark, tmp_path):
+    """Without short quotes texts are neither split into all their words nor read again for those found."""
+    spark.createDataFrame([(1, "say one  two three four five now"), (2, "one two three four"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    quotes = spark.createDataFrame([(7, "one two three four five")], "quote_id long, quote string")
+    got = voting.resolve_quotes(spark.read.parquet(str(tmp_path / "docs")), quotes)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert [tuple(r) for r in got.collect()] == [(1, 7, "normalized", 4)]
