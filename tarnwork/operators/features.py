@@ -37,22 +37,29 @@ def features(fields: DataFrame, candidates: DataFrame, kinds: DataFrame, pages:
     rows = fields.withColumn("_own", quote).drop("quote_text", "quote_page", "verify_pass").join(offered, keys, "left").join(kinds.select("domain", "field", "field_type"), ["domain", "field"], "left")
     winner = F.get(F.filter("_c", lambda c: c["value"] == F.col("value")), F.lit(0))["quote"]
     rows = rows.withColumn("_q", F.when(F.col("_own.how").isNotNull(), F.col("_own")).otherwise(winner))
-    rows = rows.withColumn("page", F.col("_q.page").cast("int"))
+    # what candidates are needed for is worked out before anything else is joined, so they are not shuffled again
+    rows = rows.select(
+        *keys, "field_type", "value", "verifier", "methods_agree", "n_methods", "confidence", "decision",
+        F.col("_q.page").cast("int").alias("page"), F.coalesce("_q.how", F.lit("none")).alias("verify_pass"), F.coalesce(F.char_length("_q.text"), F.lit(0)).alias("span_length"), mean_likeness(F.transform("_c", lambda c: c["value"])).alias("agreement_fuzzy_mean"),
+    )
+    rows = rows.withColumn("grid_agreement", F.lit(None).cast("double")) if grids is None else rows.join(grids.select(*keys, "grid_agreement"), keys, "left")
     if pages is None:
         rows = rows.withColumns({"_total": F.lit(None).cast("long"), "has_text_layer": F.lit(None).cast("boolean")})
     else:
-        total = pages.groupBy("study_id").agg(F.countDistinct("page").alias("_total"))
-        layer = pages.groupBy("study_id", "page").agg(F.max("has_text").alias("_layer"))
-        rows = rows.join(total, "study_id", "left").join(layer, ["study_id", "page"], "left").withColumn("has_text_layer", F.when(F.col("page").isNotNull() & F.col("_total").isNotNull(), F.coalesce("_layer", F.lit(False))))
+        rows = rows.join(pages.groupBy("study_id").agg(F.collect_set(F.struct("page", "has_text")).alias("_pages")), "study_id", "left")
+        total = F.size(F.array_distinct(F.filter(F.transform("_pages", lambda p: p["page"]), lambda p: p.isNotNull()))).cast("long")
+        layer = F.exists("_pages", lambda p: (p["page"] == F.col("page")) & p["has_text"])
+        there = F.col("_pages").isNotNull()
+        rows = rows.withColumns({"_total": F.when(there, total), "has_text_layer": F.when(F.col("page").isNotNull() & there, F.coalesce(layer, F.lit(False)))}).drop("_pages")
     if windows is None:
         rows = rows.withColumns({"window_kept_ratio": F.lit(None).cast("double"), "route_plan_hash": F.lit(None).cast("string")})
     else:
-        own = windows.select("study_id", "domain", F.when(F.col("kept") + F.col("dropped") > 0, F.col("kept") / (F.col("kept") + F.col("dropped"))).alias("window_kept_ratio"), F.col("plan_hash").alias("route_plan_hash"))
-        rows = rows.join(own, ["study_id", "domain"], "left")
-    rows = rows.withColumn("grid_agreement", F.lit(None).cast("double")) if grids is None else rows.join(grids.select(*keys, "grid_agreement"), keys, "left")
+        ratio = F.when(F.col("kept") + F.col("dropped") > 0, F.col("kept") / (F.col("kept") + F.col("dropped")))
+        own = windows.groupBy("study_id").agg(F.collect_list(F.struct("domain", ratio.alias("window_kept_ratio"), F.col("plan_hash").alias("route_plan_hash"))).alias("_windows"))
+        rows = rows.join(own, "study_id", "left").withColumn("_w", F.explode_outer(F.filter("_windows", lambda w: w["domain"] == F.col("domain")))).select("*", "_w.window_kept_ratio", "_w.route_plan_hash")
     made = {
-        "field_type": F.coalesce("field_type", F.lit("unknown")), "value_present": F.col("value").isNotNull(), "verify_pass": F.coalesce("_q.how", F.lit("none")), "is_table_cell": F.col("domain") == TABLE_DOMAIN,
-        "agreement_fuzzy_mean": mean_likeness(F.transform("_c", lambda c: c["value"])), "span_length": F.coalesce(F.char_length("_q.text"), F.lit(0)), "page_position": F.when(F.col("page") > 0, F.col("page") / F.col("_total")),
+        "field_type": F.coalesce("field_type", F.lit("unknown")), "value_present": F.col("value").isNotNull(), "is_table_cell": F.col("domain") == TABLE_DOMAIN,
+        "page_position": F.when(F.col("page") > 0, F.col("page") / F.col("_total")),
     }
     return rows.withColumns(made).select(*FEATURES)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork import schemas
 from tarnwork.operators import calibration, features, folds, schedules, scoring, sections, titles, voting
-from tarnwork.plans import assembly, full, routes
+from tarnwork.plans import assembly, catalog, full, routes
 from tarnwork.sources import files, runs
 
 
@@ -282,3 +282,9 @@ def test_one_odd_document_stops_nothing(spark, monkeypatch):
     rows = [(1, k, 1, float(k), level) for k, level in enumerate([1, 2, 3, 4, 5, 2, None])]
     got = sections.nest(spark.createDataFrame(rows, "doc_id long, ord int, page int, y0 double, level int"))
     assert [r.parent_ord for r in got.orderBy("ord").collect()] == [None, 0, 1, 1, 1, 0, None]
+
+
+def test_features_leave_candidates_where_they_meet(spark):
+    """Pages meet the fields once, after candidates are left behind."""
+    plan = catalog.QUERIES["feature_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 5
