@@ -61,9 +61,12 @@ def furniture(blocks: DataFrame) -> DataFrame:
 
 
 def strip_furniture(blocks: DataFrame) -> DataFrame:
-    """Blocks that are no running headers or footers."""
+    """Blocks that are no running headers or footers, those of furniture(). Blocks are shuffled once, by document, and pages are counted where they lie."""
     key, band = furniture_key(F.col("text"), F.col("y0"))
-    return blocks.withColumns({"key": key, "band": band}).join(furniture(blocks), ["doc_id", "key", "band"], "left_anti").select(*blocks.columns)
+    pages = lambda *by: F.size(F.collect_set("page").over(Window.partitionBy(*by)))
+    rows = blocks.repartition("doc_id").withColumns({"_key": key, "_band": band}).withColumn("_n", pages("doc_id", "_key", "_band")).withColumn("_pages", pages("doc_id"))
+    named = F.col("doc_id").isNotNull() & F.col("_key").isNotNull() & F.col("_band").isNotNull()
+    return rows.filter(~(named & (F.col("_n") >= F.greatest(F.lit(5.0), 0.5 * F.col("_pages"))))).select(*blocks.columns)
 
 
 def strip_repeated(blocks: DataFrame, pages: int = 3) -> DataFrame:

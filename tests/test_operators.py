@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.functions import text as T
-from tarnwork.operators import audit, calibration, folds, graphs, grids, matching, scoring, sections, stitching, voting
+from tarnwork.operators import audit, blocks, calibration, folds, graphs, grids, matching, scoring, sections, stitching, voting
 from tarnwork.plans import assembly, log_queries
 from tarnwork.sources import files
 from tarnwork.streaming import log
@@ -333,3 +333,11 @@ def test_long_quotes_read_texts_once(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     assert [tuple(r) for r in got.collect()] == [(1, 7, "normalized", 4)]
+
+
+def test_furniture_is_stripped_without_joins(spark):
+    rows = [(1, p, p, 0.0, f"Page {p} of 9") for p in range(1, 7)] + [(1, 10 + p, p, 12.0, f"{'abcdef'[p - 1]} text") for p in range(1, 7)] + [(1, 20, 1, 0.0, None), (None, 0, 1, 0.0, "Page 1 of 9"), (2, 0, 1, 0.0, "Page 1 of 9")]
+    rows += [(3, p, p, 0.0, "seldom") for p in range(1, 5)] + [(4, p, p, None, "short") for p in range(1, 7)]
+    out = blocks.strip_furniture(spark.createDataFrame(rows, "doc_id int, ord int, page int, y0 double, text string"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect()), key=str) == sorted((r for r in rows if not (r[0] == 1 and r[1] < 10)), key=str)
