@@ -19,11 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, blocks, checkpointed, find_words, gram_rows, hash_grams, hash_spans, hash_words, mix, ragged
+from .common import BLOCK_BYTES, NO_ID, blocks, find_runs, find_words, gram_rows, hash_grams, hash_spans, hash_words, mix, ragged, text_bytes
 from .token_binary import WaveletMatrix
 
 #: words of an anchor
 ANCHOR = 5
+#: of an anchor's hash 48 bits are kept, which shuffle in two bytes less; two anchors of one hash only meet in vain
+ANCHOR_BITS = np.uint64(2**64 - 2**16)
 #: an anchor in more segments, or with more words in them, is split: each of its windows is dealt by its own hash
 HOT, HOT_WORDS = 5_000, 1_000_000
 #: words of the segments that one index holds, if no anchor has more
@@ -141,7 +143,7 @@ def _segments(buf: np.ndarray, off: np.ndarray, span: int) -> tuple:
         least, width = np.minimum(least[:-width], least[width:]), width * 2
     if width < want:
         least = np.minimum(least[: len(least) - (want - width)], least[want - width :])
-    anchor = least[place]
+    anchor = least[place] & ANCHOR_BITS
     new = np.ones(len(place), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
@@ -157,11 +159,40 @@ def _anchors(docs: DataFrame, span: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "anchor long, doc_id long, words int")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with each text compressed, and its size: it is shuffled in two thirds of the bytes that a shuffle's own codec, which sees small blocks, brings it to."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            buf, off = text_bytes(batch.column("text"))
+            data, at = memoryview(buf), off.tolist()
+            packed = [codec.compress(data[a:b], asbytes=True) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "_key", "_anonymous")), pa.array(packed, pa.binary()), pa.array(np.diff(off))], ["doc_id", "_key", "_anonymous", "packed", "size"])
+
+    return docs.select("doc_id", "_key", "_anonymous", "text").mapInArrow(pack, "doc_id long not null, _key long, _anonymous boolean, packed binary, size long")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Like blocks(), of packed texts: rows, bytes, offsets. No more than a block is unpacked at once."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        sizes = batch.column("size").to_numpy()
+        off, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(off, off[at] + BLOCK_BYTES, "right")) - 1)
+            rows = batch.slice(at, to - at)
+            data = b"".join(codec.decompress(x.as_buffer(), n, asbytes=True) for x, n in zip(rows.column("packed"), sizes[at:to].tolist(), strict=True))
+            yield rows, np.frombuffer(data, np.uint8), off[at : to + 1] - off[at]
+            at = to
+
+
 def _cut(docs: DataFrame, span: int, of_hot: bool) -> DataFrame:
-    """A row for each segment of each row of docs (doc_id, _key, text, shared, hot) whose anchor is shared, and hot or not; those of hot anchors are single windows."""
+    """A row for each segment of each row of docs (doc_id, _rank, packed, size, shared, hot) whose anchor is shared, and hot or not; those of hot anchors are single windows, and have two hashes of their words (h1, h2)."""
+    names = ["doc_id", "_rank", "start", "anchor", *(["h1", "h2"] if of_hot else []), "words"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in blocks(batches):
+        for rows, buf, off in _unpacked(batches):
             row, place, windows, anchor, starts, ends, first, words = _segments(buf, off, span)
             shared, hot = rows.column("shared"), rows.column("hot")
             keep, many = np.zeros(len(row), bool), np.zeros(len(row), bool)
@@ -174,19 +205,19 @@ def _cut(docs: DataFrame, span: int, of_hot: bool) -> DataFrame:
             at = np.cumsum(lens + 1) - (lens + 1)
             line = np.full(int((lens + 1).sum()), 32, np.uint8)
             line[ragged(at, lens)] = buf[ragged(starts, lens)]
-            own = np.zeros(len(row), bool) if of_hot else keep & ~many
-            alone_at = keep & many if of_hot else np.zeros(len(row), bool)
-            one = ragged(place[alone_at], windows[alone_at])
-            alone = mix(hash_grams(words, span)[one]) if len(one) else np.zeros(0, np.uint64)
-            s_row = np.concatenate([row[own], np.repeat(row[alone_at], windows[alone_at])])
-            s_at = np.concatenate([place[own], one])
-            s_n = np.concatenate([windows[own], np.ones(len(one), np.int64)]) + span - 1
-            s_anchor = np.concatenate([anchor[own], alone])
+            own = np.flatnonzero(keep & (many if of_hot else ~many))
+            if of_hot:
+                s_row, s_at = np.repeat(row[own], windows[own]), ragged(place[own], windows[own])
+                s_n = np.full(len(s_at), span)
+                s_anchor = mix(hash_grams(words, span)[s_at]) if len(s_at) else np.zeros(0, np.uint64)
+            else:
+                s_row, s_at, s_n, s_anchor = row[own], place[own], windows[own] + span - 1, anchor[own]
             lo, hi = at[s_at], at[s_at + s_n - 1] + lens[s_at + s_n - 1] if len(s_at) else at[s_at]
-            word_sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(77)) * (np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
-            plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(77)), dtype=np.uint64)])
-            with np.errstate(over="ignore"):  # a sum of words times their odd places from the segment's start
-                h2 = mix(word_sums[s_at + s_n] - word_sums[s_at] - (plain[s_at + s_n] - plain[s_at]) * (s_at.astype(np.uint64) * np.uint64(2)))
+            if of_hot:
+                word_sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(77)) * (np.arange(len(words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
+                plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(77)), dtype=np.uint64)])
+                with np.errstate(over="ignore"):  # a sum of words times their odd places from the segment's start
+                    h2 = mix(word_sums[s_at + s_n] - word_sums[s_at] - (plain[s_at + s_n] - plain[s_at]) * (s_at.astype(np.uint64) * np.uint64(2)))
             size = np.cumsum(hi - lo)
             cuts = np.unique(np.concatenate([[0], np.searchsorted(size, np.arange(PIECE_BYTES, int(size[-1]) if len(size) else 0, PIECE_BYTES)) + 1, [len(lo)]]))
             for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # one very long text makes several batches
@@ -195,10 +226,12 @@ def _cut(docs: DataFrame, span: int, of_hot: bool) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), q - p, [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(data.tobytes())])
                 at_row = pa.array(s_row[p:q])
-                columns = [pa.array((s_at - first[s_row])[p:q].astype(np.int32)), pa.array(s_anchor[p:q].view(np.int64)), pa.array(hash_spans(data, lens).view(np.int64)), pa.array(h2[p:q].view(np.int64)), blobs]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at_row), rows.column("_key").take(at_row), *columns], ["doc_id", "_key", "start", "anchor", "h1", "h2", "words"])
+                hashes = [pa.array(hash_spans(data, lens).view(np.int64)), pa.array(h2[p:q].view(np.int64))] if of_hot else []
+                columns = [pa.array((s_at - first[s_row])[p:q].astype(np.int32)), pa.array(s_anchor[p:q].view(np.int64)), *hashes, blobs]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at_row), rows.column("_rank").take(at_row), *columns], names)
 
-    return docs.mapInArrow(scan, "doc_id long, _key long, start int, anchor long, h1 long, h2 long, words binary")
+    kinds = {"_rank": "int", "start": "int", "words": "binary"}
+    return docs.mapInArrow(scan, ", ".join(f"{k} {kinds.get(k, 'long')}" for k in names))
 
 
 def _answers(segments: list[bytes], first: list[int], span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,69 +277,62 @@ def _shards(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[l
         yield held
 
 
-def _lists(values: np.ndarray, lens: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(values))
-
-
 def _gone(rows: DataFrame, span: int) -> DataFrame:
-    """(doc_id, _key, gone): windows to remove from each row's segments. An anchor has at most HOT of them, with HOT_WORDS words."""
+    """(doc_id, _rank, first, n): runs of windows to remove, of each row's segments. An anchor has at most HOT of those, with HOT_WORDS words."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, keys, starts, words in _shards(batches, ["doc_id", "_key", "start", "words"]):
+        for doc_ids, ranks, starts, words in _shards(batches, ["doc_id", "_rank", "start", "words"]):
             slot: dict[bytes, int] = {}
             at = np.fromiter((slot.setdefault(w, len(slot)) for w in words), np.int64, len(words))
-            docs, first = np.array(doc_ids, np.int64), np.full(len(slot), np.iinfo(np.int64).max)
-            np.minimum.at(first, at, docs)
-            least, windows = _answers(list(slot), first.tolist(), span)
+            docs, least_of = np.array(doc_ids, np.int64), np.full(len(slot), np.iinfo(np.int64).max)
+            np.minimum.at(least_of, at, docs)
+            least, windows = _answers(list(slot), least_of.tolist(), span)
             n = windows[at]
-            row = np.repeat(np.arange(len(at)), n)
-            place = ragged(np.zeros(len(at), np.int64), n)
-            hit = least[ragged((np.cumsum(windows) - windows)[at], n)] < docs[row]
-            count = np.bincount(row[hit], minlength=len(at))
-            some = np.flatnonzero(count)
-            gone = (np.array(starts, np.int64)[row] + place)[hit].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(np.array(keys, np.int64)[some]), _lists(gone, count[some])], ["doc_id", "_key", "gone"])
+            row, edge = np.repeat(np.arange(len(at)), n), np.concatenate([[0], np.cumsum(n)])
+            begin, end, _ = find_runs(least[ragged((np.cumsum(windows) - windows)[at], n)] < docs[row], edge)
+            of = row[begin]
+            first = np.array(starts, np.int64)[of] + begin - edge[of]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[of]), pa.array(np.array(ranks, np.int32)[of]), pa.array(first.astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["doc_id", "_rank", "first", "n"])
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "doc_id long, _key long, gone array<int>")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "doc_id long, _rank int, first int, n int")
 
 
 def _gone_hot(rows: DataFrame, span: int) -> DataFrame:
-    """The same for segments of hot anchors, which a third of all rows may share: equal ones meet in an aggregate before they are indexed, and answers go back by a join, which Spark splits where it is skewed."""
+    """The same for windows of hot anchors, which a third of all rows may share: equal ones meet in an aggregate before they are indexed, and answers go back by a join, which Spark splits where it is skewed."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h1, h2, first, words in _shards(batches, ["h1", "h2", "first", "words"]):
-            least, windows = _answers(words, first, span)
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(least, windows)], ["h1", "h2", "least"])
+            least, _ = _answers(words, first, span)
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(least)], ["h1", "h2", "least"])
 
     distinct = rows.groupBy("anchor", "h1", "h2", "words").agg(F.min("doc_id").alias("first"))
-    least = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "h1 long, h2 long, least array<long>")
-    found = rows.select("doc_id", "_key", "start", "h1", "h2").join(least, ["h1", "h2"])
-    gone = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    return found.select("doc_id", "_key", gone.alias("gone")).filter(F.size("gone") > 0)
+    least = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, "h1 long, h2 long, least long")
+    found = rows.select("doc_id", "_rank", "start", "h1", "h2").join(least, ["h1", "h2"])
+    return found.filter(F.col("least") < F.col("doc_id")).select("doc_id", "_rank", F.col("start").alias("first"), F.lit(1).alias("n"))
 
 
 def _without(cut: DataFrame, span: int) -> DataFrame:
-    """Digests of rows (doc_id, _key, text) that lose the windows that begin at the words in those of `lost` (_key, gone) with their key (null: none)."""
+    """Digests of rows (doc_id, _rank, _anonymous, packed, size) that lose the runs of windows in those of `lost` (_rank, first, n) with their rank (null: none)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in blocks(batches):
+        for rows, buf, off in _unpacked(batches):
             starts, ends, first = find_words(buf, off)
-            lost, keys, removed, digest = rows.column("lost").to_pylist(), rows.column("_key").to_pylist(), [], []
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                change = np.zeros(b - a + 1, np.int64)
-                own = [x["gone"] for x in lost[i] or () if x["_key"] == keys[i]]
-                if own:
-                    at = np.unique(np.concatenate([np.array(g, np.int64) for g in own]))
-                    change[at] += 1
-                    np.subtract.at(change, at + span, 1)
-                keep = np.flatnonzero(np.cumsum(change)[:-1] == 0) + a
-                lens = ends[keep] - starts[keep]
-                line = np.full(int((lens + 1).sum()), 32, np.uint8)
-                line[ragged(np.cumsum(lens + 1) - (lens + 1), lens)] = buf[ragged(starts[keep], lens)]
-                removed.append(b - a - len(keep))
-                digest.append(hashlib.sha256(line[:-1].tobytes()).hexdigest())
+            runs = rows.column("lost").flatten()
+            row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("lost")).fill_null(0).to_numpy())
+            own = runs.field("_rank").to_numpy() == rows.column("_rank").to_numpy()[row]
+            begin = (first[row] + runs.field("first").to_numpy())[own]
+            change = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(change, begin, 1)
+            np.subtract.at(change, begin + runs.field("n").to_numpy()[own] + span - 1, 1)
+            keep = np.flatnonzero(np.cumsum(change)[:-1] == 0)
+            lens = ends[keep] - starts[keep]
+            line = np.full(int((lens + 1).sum()), 32, np.uint8)
+            line[ragged(np.cumsum(lens + 1) - (lens + 1), lens)] = buf[ragged(starts[keep], lens)]
+            left = np.searchsorted(keep, first)
+            edge = np.concatenate([[0], np.cumsum(lens + 1)])[left].tolist()
+            digest = [hashlib.sha256(line[a : max(a, b - 1)]).hexdigest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             named = pc.if_else(rows.column("_anonymous"), pa.nulls(rows.num_rows, pa.int64()), rows.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([named, pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([named, pa.array(np.diff(first)), pa.array(np.diff(first) - np.diff(left)), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return cut.mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -321,11 +347,13 @@ def drop_repeats(docs: DataFrame, span: int = 13) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("_anonymous"))
     w = Window.partitionBy("anchor")  # one shuffle of three numbers a row, and one sort, which spills
     anchors = _anchors(docs, span).withColumns({"_x": F.min("doc_id").over(w), "_y": F.max("doc_id").over(w), "_hot": (F.count("*").over(w) > HOT) | (F.sum("words").over(w) > HOT_WORDS)})
-    hits = checkpointed(anchors.filter("_x <> _y").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("_hot"), F.col("anchor"))).alias("hot")))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    gone = _gone(_cut(keyed.join(hits, "doc_id"), span, of_hot=False), span)
+    hits = anchors.filter("_x <> _y").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("_hot"), F.col("anchor"))).alias("hot"))
+    # hits and texts are read several times from one shuffle each, for which all of its readers need the same plan: with a doc_id that could be null, joins would filter theirs.
+    # A rank tells rows with one doc_id apart in few bytes.
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_key"))
+    keyed = _packed(docs.withColumn("_key", F.xxhash64("text"))).select("doc_id", rank.alias("_rank"), "_anonymous", "packed", "size")
     holders = hits.filter(F.size("hot") > 0)
-    if not holders.isEmpty():
-        gone = gone.unionByName(_gone_hot(_cut(keyed.join(holders, "doc_id"), span, of_hot=True), span))
-    lost = gone.groupBy("doc_id").agg(F.collect_list(F.struct("_key", "gone")).alias("lost"))
+    gone = _gone(_cut(keyed.join(hits, "doc_id"), span, of_hot=False), span)
+    gone = gone.unionByName(_gone_hot(_cut(keyed.join(holders, "doc_id"), span, of_hot=True), span))
+    lost = gone.groupBy("doc_id").agg(F.collect_list(F.struct("_rank", "first", "n")).alias("lost"))
     return _without(keyed.join(lost, "doc_id", "left"), span)

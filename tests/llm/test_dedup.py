@@ -196,3 +196,34 @@ def test_texts_that_repeat_themselves_fill_no_index(spark, monkeypatch):
     docs_ = table(spark, docs).selectExpr("doc_id", "text")
     sizes = substring_dedup._anchors(docs_, 13).groupBy("anchor").agg(F.sum("words").alias("n")).filter(f"n > {substring_dedup.HOT_WORDS}").count()
     assert sizes > 0
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_repeats_shuffle_few_bytes(spark, tmp_path):
+    """Texts are shuffled once and packed, segments without hashes, and removed windows as runs."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeinrstlomd", k=rng.randrange(2, 11))) for _ in range(2_000)]
+    docs = [(i, " ".join(rng.choices(words, k=300))) for i in range(600)]
+    docs += [(1_000 + i, " ".join(rng.choices(words, k=20)) + " " + t) for i, t in docs[:240]]
+    table(spark, docs).write.parquet(str(tmp_path / "docs"))
+    before = shuffled(spark)
+    drop_repeats(spark.read.parquet(str(tmp_path / "docs"))).write.parquet(str(tmp_path / "out"))
+    x = (shuffled(spark) - before) / sum(len(t) for _, t in docs)
+    assert x < 2.8
+    got = {r.doc_id: r.n_removed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: 300 * (i >= 1_000) for i, _ in docs}
+
+
+def test_rows_with_one_id_lose_their_own_windows(spark):
+    """Rows with one doc_id are told apart by their texts, also where these are packed in several blocks."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    docs = [(1, a), (2, b + " " + a), (2, c), (2, "x " + b), (3, c + " " + b), (3, ""), (3, None), (None, c), (None, a + " y")]
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in drop_repeats(table(spark, docs)).collect()))
+    assert got == sorted([(1, 40, 40), (2, 80, 40), (2, 40, 40), (2, 41, 0), (3, 80, 80), (3, 0, 0), (3, 0, 0), (0, 40, 0), (0, 41, 0)])
