@@ -226,3 +226,14 @@ def test_parts_hold_a_number_of_rows(spark):
 def test_document_headings_shuffle_lines_once(spark):
     plan = catalog.QUERIES["document_headings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_ruled_cells_broadcast_nothing(spark):
+    """Small tables too meet in one join that passes nothing through the driver; words without a page or a table go, pages without words stay."""
+    lines = [(page, *x) for page in (1, 2, None) for x in box_lines([0.0, 60.0, 100.0, 200.0], [0.0, 40.0, 80.0])]
+    words = [(k, x, 10.0, x + 8.0, 18.0, t, None) for k, x, t in ((1, 96.0, "on an edge"), (1, 196.0, "on the last"), (1, 10.0, "b"), (1, 5.0, "a"), (3, 5.0, "no table"), (None, 5.0, "no page"))]
+    out = ruled.ruled_cells(spark.createDataFrame(lines, SEGMENT.replace(" page int,", "")), spark.createDataFrame(words, WORD.replace(" page int,", "")), ["doc_id"])
+    got = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.row, r.col): r.text for r in got if r.text} == {(1, 0, 0): "a b", (1, 0, 2): "on an edge on the last"} and len(got) == 12
+    assert "Broadcast" not in plan and out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
